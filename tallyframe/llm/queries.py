@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .jaccard_join import op6_jaccard_join
 from .mixing import op3_mixing
 from .sharding import op5_sharding
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_sharding, op6_jaccard_join, op9_exact_dedup)}
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
