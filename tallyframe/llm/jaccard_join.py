@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,22 +72,40 @@ def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(m & np.uint64(bits - 1)).astype(np.int64), ((m >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
 
 
-def _counted(h: np.ndarray) -> np.ndarray:
-    return h % np.uint64(ONE_IN) == 0
+def _counted(h: np.ndarray, one_in: int) -> np.ndarray:
+    return h % np.uint64(one_in) == 0
+
+
+def bloom_of(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of the 64-bit column 0 of ``keys``, ``bits`` bits whatever the number of keys."""
+
+    def words(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_positions(batch.column(0).to_numpy().view(np.uint64), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bit"])
+
+    bloom = np.zeros(bits >> 5, np.uint32)
+    for part in keys.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+        bloom[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
+    return bloom.view(np.uint8)
+
+
+def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _positions(h, 8 * len(bloom))
+    return (bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1
 
 
 class Order:
     """The order of n-grams as tasks see it: ``level`` 0 for one document only, 1 for rare, 2 for not counted, more for frequent."""
 
-    def __init__(self, bloom: np.ndarray, heavy: np.ndarray, count: np.ndarray):
-        self.bloom, self.heavy, self.count = bloom, heavy, count
+    def __init__(self, bloom: np.ndarray, heavy: np.ndarray, count: np.ndarray, one_in: int):
+        self.bloom, self.heavy, self.count, self.one_in = bloom, heavy, count, one_in
 
     def level(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), 2, np.int64)
-        known = np.flatnonzero(_counted(h))
+        known = np.flatnonzero(_counted(h, self.one_in))
         h = h[known]
-        a, b = _positions(h, 8 * len(self.bloom))
-        out[known] = (self.bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1
+        out[known] = in_bloom(self.bloom, h)
         if len(self.heavy):
             i = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
             same = self.heavy[i] == h
@@ -95,30 +113,23 @@ class Order:
         return out
 
 
-def order_of(docs: DataFrame, n: int, bits: int = BLOOM_BITS, heavy: int = HEAVY) -> Order:
-    """Counts in how many documents each n-gram is, and gathers the fixed-size summary of it."""
-
-    def grams(batches):
-        for _, g, _ in _sets_of(batches, n):
-            once, counts = np.unique(g[_counted(g)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(counts.astype(np.int64))], ["g", "n"])
+def order_of(src: DataFrame, sets_of: Callable, one_in: int = ONE_IN, bits: int = BLOOM_BITS, heavy: int = HEAVY) -> Order:
+    """Counts in how many sets each token is, and gathers the fixed-size summary of it.
 
-    counted = docs.select("id", "text").mapInArrow(grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1")
+    ``sets_of`` takes batches of ``src`` and gives (ids, sorted distinct tokens, bounds of the sets).
+    """
 
-    def words(batches):
-        for batch in batches:
-            g = batch.column(0).to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate(_positions(g, bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bit"])
+    def tokens(batches):
+        for _, g, _ in sets_of(batches):
+            once, counts = np.unique(g[_counted(g, one_in)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(counts.astype(np.int64))], ["g", "n"])
 
-    counted = cut(counted)
-    bloom = np.zeros(bits >> 5, np.uint32)
-    for part in counted.select("g").mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        bloom[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
+    counted = cut(src.mapInArrow(tokens, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1"))
+    bloom = bloom_of(counted.select("g"), bits)
     top = counted.filter("n > 2").orderBy(F.desc("n"), "g").limit(heavy).toArrow()
     g, c = top.column("g").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(g)
-    return Order(bloom.view(np.uint8), g[by], c[by].astype(np.int64))
+    return Order(bloom, g[by], c[by].astype(np.int64), one_in)
 
 
 def _needed(a: int, b: int, t: int) -> int:
@@ -256,7 +267,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = order or order_of(src, n)
+    order = order or order_of(src, lambda batches: _sets_of(batches, n))
     shared = spark.sparkContext.broadcast(order)
 
     def prefixes(batches):
@@ -281,7 +292,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     # one document of each class that is in a component brings the set itself
     near = near.join(rows.groupBy("set").agg(F.min("n").alias("n")), F.col("node") == F.col("set")).select("set", "n", "root")
-    sized = cut(_tasks(near, percent, most))
+    sized = cut(tasks_of(near, percent, most))
     wanted = rows.join(sized.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("id").alias("id"))
     sets_ = _fetch(src, wanted, n)
     tasks = sized.join(sets_, "set").select("task", "second", "across", "set", "grams")
@@ -304,7 +315,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return out, links
 
 
-def _tasks(near: DataFrame, percent: int, most: int) -> DataFrame:
+def tasks_of(near: DataFrame, percent: int, most: int) -> DataFrame:
     """(task, second, across, set): which task compares which sets. ``near``: (set, n, root).
 
     A component of at most ``most`` sets is one task. A larger one is cut into runs: cells of sizes (a run's
