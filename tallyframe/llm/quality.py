@@ -8,6 +8,10 @@ an order, interpolation weights. This gives a log probability for each n-gram of
 trusted text or not. Documents take theirs by a join on the n-gram: if the table has at most ``TABLE`` rows
 it is broadcast and looked up in each batch; a larger one is joined with (document, n-gram, count) rows.
 
+A model knows the text it was trained on too well. So trusted documents are halved by a hash of their id,
+and each half is scored by a model of the other half (``VARIANTS``), all other documents by the model of all
+trusted text. The three are trained in the same joins.
+
 A document stays if its perplexity is not above its language's threshold, the ``quantile`` of the
 perplexities of that language's trusted documents (from a histogram of ``BIN`` wide bins of the logarithm);
 languages with fewer than ``few`` trusted documents, and null, use that of all trusted documents.
@@ -31,7 +35,9 @@ from .common import cut, read
 from .words import chunks
 
 ORDER, QUANTILE, FEW, BIN = 4, 0.995, 50, 0.001
-#: Rows of the n-gram table up to which it is broadcast (16 bytes each), and of labels (8 bytes each).
+#: Models: of all trusted text, without its first half, without its second half.
+VARIANTS = 3
+#: Rows of the n-gram table up to which it is broadcast (20 bytes each), and of labels (8 bytes each).
 TABLE, LABELS = 4_000_000, 2_000_000
 
 
@@ -54,16 +60,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(g, trusted): how often each n-gram of the corpus is in trusted text."""
+    """(g, n1, n2): how often each n-gram of the corpus is in the first and the second half of the trusted text."""
 
     def count(batches):
         for rows, g, at in _grams(batches):
-            trusted = np.repeat(rows.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+            half = np.repeat(rows.column(1).to_numpy(zero_copy_only=False), np.diff(at))
             once, inverse = np.unique(g, return_inverse=True)
-            n = np.bincount(inverse, weights=trusted, minlength=len(once)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(n)], ["g", "trusted"])
+            n = [np.bincount(inverse, weights=half == k, minlength=len(once)).astype(np.int64) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), *map(pa.array, n)], ["g", "n1", "n2"])
 
-    return docs.select("text", "trusted").mapInArrow(count, "g long, trusted long").groupBy("g").agg(F.sum("trusted").alias("trusted"))
+    return docs.select("text", "half").mapInArrow(count, "g long, n1 long, n2 long").groupBy("g").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
 
 
 def _tail(g: Column, k: int) -> Column:
@@ -71,62 +77,76 @@ def _tail(g: Column, k: int) -> Column:
     return g.bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < 4 else g
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney smoothing from how many n-grams occur 1 to 4 times."""
-    n = {r["n"]: r["c"] for r in counts.filter("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
-    n1, n2, n3, n4 = (float(n.get(i, 0)) for i in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return 0.5, 0.5, 0.5
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw))
+def _discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """The three discounts of each variant from how many of its n-grams occur 1 to 4 times."""
+    found = {(r["v"], r["n"]): float(r["c"]) for r in counts.filter("n <= 4").groupBy("v", "n").agg(F.count("*").alias("c")).collect()}
+    out = {}
+    for v in range(VARIANTS):
+        n1, n2, n3, n4 = (found.get((v, i), 0.0) for i in (1, 2, 3, 4))
+        out[v] = (0.5, 0.5, 0.5)
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+            out[v] = tuple(min(max(d, 0.1), i + 0.9) for i, d in enumerate(raw))
+    return out
+
+
+def _of_variant(values: dict[int, float]) -> Column:
+    return F.element_at(F.array(*[F.lit(float(values.get(v, 0.0))) for v in range(VARIANTS)]), F.col("v") + 1)
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(g, logp) for each row of (g, trusted): the natural logarithm of P(last character | those before)."""
-    grams = counts.select("g")
-    orders = {ORDER: counts.filter("trusted > 0").select("g", F.col("trusted").alias("n"))}
+    """(g, logp) for each row of (g, n1, n2): the logarithm of P(last character | those before) in each variant."""
+    variants = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), n.alias("n")) for v, n in enumerate((F.col("n1") + F.col("n2"), F.col("n2"), F.col("n1")))]))
+    orders = {ORDER: counts.select("g", variants.alias("x")).select("x.v", "g", "x.n").filter("n > 0")}
+    grams = counts.select("g", F.explode(F.array(*map(F.lit, range(VARIANTS)))).alias("v"))
     for k in range(ORDER - 1, 0, -1):  # in how many ways a shorter n-gram is continued to the left
-        orders[k] = cut(orders[k + 1].groupBy(_tail(F.col("g"), k).alias("g")).agg(F.count("*").alias("n")))
-    vocabulary = orders[1].count() + 1
-    lower, name = None, None
+        orders[k] = cut(orders[k + 1].groupBy("v", _tail(F.col("g"), k).alias("g")).agg(F.count("*").alias("n")))
+    vocabulary = {r["v"]: r["c"] for r in orders[1].groupBy("v").agg(F.count("*").alias("c")).collect()}
+    lower = None
     for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(orders[k])
-        d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        ds = _discounts(orders[k])
+        d = F.when(F.col("n") == 1, _of_variant({v: x[0] for v, x in ds.items()})).when(F.col("n") == 2, _of_variant({v: x[1] for v, x in ds.items()})).otherwise(_of_variant({v: x[2] for v, x in ds.items()}))
         context = F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long")
-        seen = orders[k].select("g", context.alias("ctx"), (F.col("n") - d).alias("left"), d.alias("d"), "n")
-        totals = seen.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("off"))
-        wanted = grams.select(_tail(F.col("g"), k).alias("g")).distinct() if k < ORDER else grams
-        w = wanted.withColumn("ctx", context).join(seen.select("g", "left"), "g", "left").join(totals, "ctx", "left")
+        seen = orders[k].select("v", "g", context.alias("ctx"), (F.col("n") - d).alias("left"), d.alias("d"), "n")
+        totals = seen.groupBy("v", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("off"))
+        wanted = grams.select("v", _tail(F.col("g"), k).alias("g")).distinct() if k < ORDER else grams
+        w = wanted.withColumn("ctx", context).join(seen.select("v", "g", "left"), ["v", "g"], "left").join(totals, ["v", "ctx"], "left")
         if lower is None:
-            below = F.lit(1.0 / vocabulary)
+            below = 1 / (_of_variant(vocabulary) + 1)
         else:
-            w = w.withColumn("short", _tail(F.col("g"), k - 1)).join(lower.select(F.col("g").alias("short"), F.col("p").alias("below")), "short")
+            w = w.withColumn("short", _tail(F.col("g"), k - 1)).join(lower.select("v", F.col("g").alias("short"), F.col("p").alias("below")), ["v", "short"])
             below = F.col("below")
         p = F.when(F.col("total").isNull(), below).otherwise(F.coalesce("left", F.lit(0.0)) / F.col("total") + F.col("off") / F.col("total") * below)
-        lower = cut(w.select("g", p.alias("p")))
-    return lower.select("g", F.log("p").alias("logp"))
+        lower = cut(w.select("v", "g", p.alias("p")))
+    each = [F.max(F.when(F.col("v") == v, F.log("p"))) for v in range(VARIANTS)]
+    return lower.groupBy("g").agg(F.array(*each).alias("logp"))
 
 
 def score(docs: DataFrame, table: DataFrame, most: int = TABLE) -> DataFrame:
-    """``docs`` without text, with n (its n-grams) and logp (their sum), by a join with (g, logp)."""
-    keys = [c for c in docs.columns if c != "text"]
+    """``docs`` without text, with n (its n-grams) and logp (their sum), by a join with (g, logp).
+
+    Column ``half`` of ``docs`` names the variant: 0 all trusted text, 1 and 2 without that half.
+    """
+    keys = [c for c in docs.columns if c not in ("text", "half")]
     names = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
     if table.limit(most + 1).count() <= most:
-        rows = table.orderBy("g").toArrow()
+        rows = table.toArrow()
         g = rows.column("g").to_numpy().view(np.uint64)
         by = np.argsort(g)
-        shared = docs.sparkSession.sparkContext.broadcast((g[by], rows.column("logp").to_numpy()[by]))
+        values = np.array(rows.column("logp").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, VARIANTS)
+        shared = docs.sparkSession.sparkContext.broadcast((g[by], values[by]))
 
         def look_up(batches):
             known, logp = shared.value
             for rows, g, at in _grams(batches):
+                half = np.repeat(rows.column(1).to_numpy(), np.diff(at))
                 once, inverse = np.unique(g, return_inverse=True)
-                value = logp[np.searchsorted(known, once)] if len(once) else np.zeros(0)
-                sums = row_sums(value[inverse], at)
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(np.diff(at)), pa.array(sums)], [*keys, "n", "logp"])
+                value = logp[np.searchsorted(known, once)].ravel() if len(once) else np.zeros(0, np.float32)
+                sums = row_sums(value[inverse * VARIANTS + half], at)
+                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(np.diff(at)), pa.array(sums)], [*keys, "n", "logp"])
 
-        return docs.select("text", *keys).mapInArrow(look_up, f"{names}, n long, logp double")
+        return docs.select("text", "half", *keys).mapInArrow(look_up, f"{names}, n long, logp double")
 
     def ask(batches):
         for rows, g, at in _grams(batches):
@@ -136,10 +156,11 @@ def score(docs: DataFrame, table: DataFrame, most: int = TABLE) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(g) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(g)))
             own = rows.take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(np.diff(at)[row[first]]), pa.array(g[first].view(np.int64)), pa.array(n)], [*keys, "n", "g", "times"])
+            yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(np.diff(at)[row[first]]), pa.array(g[first].view(np.int64)), pa.array(n)], ["half", *keys, "n", "g", "times"])
 
-    asked = docs.select("text", *keys).mapInArrow(ask, f"{names}, n long, g long, times long")
-    sums = asked.join(table, "g").groupBy(*keys, "n").agg(F.sum("times").alias("all"), F.sum(F.col("times") * F.col("logp")).alias("logp"))
+    asked = docs.select("text", "half", *keys).mapInArrow(ask, f"half long, {names}, n long, g long, times long")
+    value = F.element_at("logp", (F.col("half") + 1).cast("int"))
+    sums = asked.join(table, "g").groupBy(*keys, "n").agg(F.sum("times").alias("all"), F.sum(F.col("times") * value).alias("logp"))
     # equal rows have been summed as one; each gets its share
     equal = (F.col("all") / F.col("n")).cast("int")
     sums = sums.select(*keys, "n", (F.col("logp") / equal).alias("logp"), F.explode(F.array_repeat(F.lit(0), equal)).alias("nth")).drop("nth")
@@ -173,8 +194,9 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, few:
         good = F.broadcast(good)
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    src = src.join(good, F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text_key", F.col("good").isNotNull().alias("trusted"), "text")
-    table = log_probabilities(cut(count_grams(src)))
+    half = F.when(F.col("good").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) + 1).otherwise(0).cast("long")
+    src = src.join(good, F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text_key", F.col("good").isNotNull().alias("trusted"), half.alias("half"), "text")
+    table = cut(log_probabilities(cut(count_grams(src))))
     scored = cut(score(src, table, most))
     by_lang, pooled = thresholds(scored, quantile, few)
     log_ppl = F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))
