@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays as ar
 from ..functions import metrics, stats
 from ..functions.calendar import calendar, recency_weight
 from ..operators import encoders as en
 from ..operators import features as fe
+from ..operators import joins as jo
 from ..operators import splits
 from ..operators import target as ta
 from ..streaming.knowledge import batch_features
@@ -666,3 +668,71 @@ def sample_balanced(spark, d):
 @query("SELECT o_orderkey, o_orderdate < TIMESTAMP '1996-06-01' AS is_train FROM orders")
 def split_time(spark, d):
     return splits.time_split(table(spark, d, "orders"), "o_orderdate", "1996-06-01").select("o_orderkey", "is_train")
+
+
+# strings, arrays and joins
+
+@query("SELECT p_partkey, " + ", ".join(f"coalesce(string_split(p_type, ' ')[{i + 1}], '') AS t{i}" for i in range(4)) + " FROM part")
+def feat_split_tokens(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", *[c.alias(n) for n, c in ar.split_tokens(F.col("p_type"), " ", 4, "t").items()])
+
+
+@query("SELECT c_custkey, " + ", ".join(f"nullif(substr(c_mktsegment, {i + 1}, 1), '') AS c{i}" for i in range(12)) + " FROM customer")
+def feat_char_positions(spark, d):
+    c = customers(spark, d)
+    return c.select("c_custkey", *[x.alias(n) for n, x in ar.char_positions(F.col("c_mktsegment"), 12, "c").items()])
+
+
+@query("WITH a AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS a FROM events GROUP BY 1) SELECT user_id, array_to_string(a, ',') AS kinds, array_to_string(list_concat(a, ['-', '-', '-', '-'])[1:4], ',') AS padded, (coalesce(list_position(a, 'view'), 0) - 1)::INT AS at FROM a")
+def feat_user_arrays(spark, d):
+    a = events(spark, d).groupBy("user_id").agg(ar.sorted_unique(F.col("event_type")).alias("a"))
+    return a.select("user_id", F.array_join("a", ",").alias("kinds"), F.array_join(ar.pad(F.col("a"), 4, F.lit("-")), ",").alias("padded"), ar.find(F.col("a"), F.array(F.lit("view"))).cast("int").alias("at"))
+
+
+@query("WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1950 + c_custkey % 40 WHEN c_custkey % 3 = 1 THEN c_custkey % 120 END AS age FROM customer), f AS (SELECT c_custkey, CASE WHEN age BETWEEN 1900 AND 2015 THEN 2015 - age ELSE age END AS x FROM a) SELECT c_custkey, CASE WHEN x BETWEEN 15 AND 100 THEN x END AS age FROM f")
+def feat_repair_age(spark, d):
+    k = F.col("c_custkey")
+    age = F.when(k % 3 == 0, 1950 + k % 40).when(k % 3 == 1, k % 120)
+    return customers(spark, d).select("c_custkey", ar.repair_age(age, 2015).alias("age"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def join_semi_anti(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    building = customers(spark, d).filter("c_mktsegment = 'BUILDING'")
+    returned = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return jo.drop_listed(jo.keep_listed(o, building, ["c_custkey"]), returned, ["o_orderkey"]).select("o_orderkey")
+
+
+@query("SELECT c_custkey, n_name AS c_nationkey FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
+def join_map_values(spark, d):
+    n = table(spark, d, "nation").filter("n_regionkey < 3")
+    return jo.map_values(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", n, "n_nationkey", "n_name")
+
+
+@query("SELECT c_nationkey AS n_nationkey, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def join_left_merge(spark, d):
+    return jo.left_merge(table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey")), table(spark, d, "nation"), ["n_nationkey"])
+
+
+@query(EV + ", f AS (SELECT day, (count(*) % 2)::INT AS flag FROM e GROUP BY 1) SELECT a.day, a.flag, b.flag AS \"flag_-1\", c.flag AS flag_1 FROM f a LEFT JOIN f b ON b.day = a.day - 1 LEFT JOIN f c ON c.day = a.day + 1")
+def join_shifted_dimension(spark, d):
+    f = events(spark, d).groupBy("day").agg((F.count("*") % 2).cast("int").alias("flag"))
+    return jo.shifted_dimension(f, f, "day", "flag", [-1, 1])
+
+
+@query("WITH a AS (SELECT DISTINCT p_type AS v FROM part WHERE p_size < 3), b AS (SELECT DISTINCT p_type AS v FROM part WHERE p_size > 48) SELECT CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.v = b.v GROUP BY 1")
+def stat_membership(spark, d):
+    p = table(spark, d, "part")
+    return jo.membership_audit(p.filter("p_size < 3"), p.filter("p_size > 48"), "p_type")
+
+
+@query(EV + "SELECT user_id, day, count(*) AS share_n, round(count(*) / (sum(count(*)) OVER (PARTITION BY user_id))::DOUBLE, 6) AS share FROM e GROUP BY 1, 2")
+def feat_count_ratio(spark, d):
+    return rounded(jo.count_ratio(events(spark, d), ["user_id"], ["day"], "share"))
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
+def stat_crosstab(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)

@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import features as fe
-from tallyframe.operators import splits
+from tallyframe.operators import selection, splits
+from tallyframe.operators.resample import fourier, resample
 from tallyframe.sources import files
 from tallyframe.streaming.knowledge import batch_features, stream_features
 
@@ -49,3 +51,24 @@ def test_quantile_edges_must_differ(spark):
 def test_box_cox(spark):
     df = spark.range(1, 500).withColumn("x", F.exp(F.col("id") / 60.0))
     assert abs(fe.boxcox_lambda(df, "x", [k / 10 for k in range(-5, 11)])) <= 0.3
+
+
+def test_fourier_resampling(spark):
+    t = np.arange(60) / 60
+    wave = np.sin(2 * np.pi * 3 * t) + 0.5 * np.cos(2 * np.pi * 5 * t)
+    want = np.sin(2 * np.pi * 3 * np.arange(40) / 40) + 0.5 * np.cos(2 * np.pi * 5 * np.arange(40) / 40)
+    assert np.allclose(fourier(wave, 40), want) and np.allclose(fourier(wave, 60), wave)
+    df = spark.createDataFrame([(k, i, float(v * (k + 1))) for k in range(2) for i, v in enumerate(wave)], "f long, i int, x double")
+    got = resample(df, "f", "i", ["x"], 40).orderBy("key", "step").collect()
+    assert np.allclose([r["x"] for r in got], np.concatenate([want, 2 * want]))
+
+
+def test_selection(spark):
+    df = spark.range(200).selectExpr("cast(id as double) as a", "cast(id * id % 17 as double) as b", "cast(id % 7 as double) as c").withColumn("y", F.col("a") * 2 + F.col("c"))
+    score = selection.linear_r2(df, "y")
+    assert selection.forward(["a", "b", "c"], score, 2) == ["a", "c"]
+    assert sorted(selection.backward(["a", "b", "c"], score, 2)) == ["a", "c"]
+    assert sorted(selection.exhaustive(["a", "b", "c"], score, 2)) == ["a", "c"]
+    folds = df.withColumn("fold", (F.col("a") % 3).cast("int"))
+    out = selection.out_of_fold_predictions(folds, "fold", 3, lambda train: (lambda m: lambda t: t.withColumn("p", F.lit(m)))(train.agg(F.avg("y")).first()[0]))
+    assert out.count() == 200 and out.select("p").distinct().count() == 3
