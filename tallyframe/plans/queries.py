@@ -371,7 +371,7 @@ def stat_corr_drop(spark, d):
     return li.drop(*stats.drop_correlated(li, ["l_quantity", "l_discount", "twice"], 0.8))
 
 
-@query("SELECT 'l_extendedprice' AS \"column\", round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem")
+@query("WITH r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", corr({c}, l_quantity) AS r FROM lineitem" for c in ("l_extendedprice", "l_discount", "l_tax")) + ") SELECT \"column\", round(r, 6) AS r FROM r ORDER BY r.r DESC, 1 LIMIT 1")
 def stat_top_correlated(spark, d):
     return rounded(stats.top_correlated(table(spark, d, "lineitem"), ["l_extendedprice", "l_discount", "l_tax"], "l_quantity", 1))
 
