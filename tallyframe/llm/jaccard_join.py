@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, read
-from .words import chunks, mix, ngrams, sets, word_hashes
+from .words import by_level, chunks, mix, ngrams, sets, word_hashes
 
 #: Fixed sizes of what tasks are sent, and the most sets of a task.
 BLOOM_BITS, HEAVY, MOST = 1 << 26, 100_000, 4096
@@ -82,11 +82,11 @@ def bloom_of(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     def words(batches):
         for batch in batches:
             at = np.unique(np.concatenate(_positions(batch.column(0).to_numpy().view(np.uint64), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
 
-    bloom = np.zeros(bits >> 5, np.uint32)
+    bloom = np.zeros(bits >> 6, np.int64)
     for part in keys.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        bloom[part.column(0).to_numpy()] = part.column(1).to_numpy().astype(np.uint32)
+        bloom[part.column(0).to_numpy()] = part.column(1).to_numpy()
     return bloom.view(np.uint8)
 
 
@@ -98,8 +98,9 @@ def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Order:
     """The order of n-grams as tasks see it: ``level`` 0 for one document only, 1 for rare, 2 for not counted, more for frequent."""
 
-    def __init__(self, bloom: np.ndarray, heavy: np.ndarray, count: np.ndarray, one_in: int):
+    def __init__(self, bloom: np.ndarray, heavy: np.ndarray, count: np.ndarray, one_in: int, total: int):
         self.bloom, self.heavy, self.count, self.one_in = bloom, heavy, count, one_in
+        self.total = total  # tokens of sets that are in other sets too
 
     def level(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), 2, np.int64)
@@ -129,7 +130,8 @@ def order_of(src: DataFrame, sets_of: Callable, one_in: int = ONE_IN, bits: int
     top = counted.filter("n > 2").orderBy(F.desc("n"), "g").limit(heavy).toArrow()
     g, c = top.column("g").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by = np.argsort(g)
-    return Order(bloom, g[by], c[by].astype(np.int64), one_in)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return Order(bloom, g[by], c[by].astype(np.int64), one_in, one_in * total)
 
 
 def _needed(a: int, b: int, t: int) -> int:
@@ -276,9 +278,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             sizes = np.diff(at)
             row = np.repeat(np.arange(len(sizes)), sizes)
             level = o.level(g)
-            by = np.lexsort((g, level, row))
+            by, place = by_level(level, at)
             take = sizes - -(-percent * sizes // 100) + 1
-            pick = by[(np.arange(len(g)) - np.repeat(at[:-1], sizes)) < np.repeat(take, sizes)]
+            pick = by[place < np.repeat(take, sizes)]
             pick = pick[level[pick] > 0]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes), pa.array(_set_hashes(g, at), pa.binary()), _lists(g[pick], np.bincount(row[pick], minlength=len(sizes)))],

@@ -10,8 +10,7 @@ place in the text; a line goes if any earlier line matches it, whether that one
    prefixes. Each prefix word that other lines have sends a narrow row (word, set, n, place, signature).
    A word in very many sets is salted, so that each pair of its parts meets in a group of bounded size.
 3. Inside a word's rows the length filter (sizes within t), the positional filter (what the places leave
-   to be shared) and the signature filter (the parities of the words' hash bits differ in no more bits
-   than the sets may differ in words) leave candidates. A group gives a spanning forest of them, not pairs.
+   to be shared) and the signature filter (see ``parities``) leave candidates. A group gives a spanning forest of them, not pairs.
 4. Sets in one component of candidates are compared in tasks of bounded size, exactly, oldest first,
    until the earliest match is found.
 5. Lines join the earliest match of their set; those after it go.
@@ -33,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, read
 from .jaccard_join import Order, bloom_of, in_bloom, order_of, tasks_of
-from .words import chunks, mix, sets, word_hashes
+from .words import by_level, chunks, mix, sets, word_hashes
 
 PERCENT = 80
 #: Most sets compared in a task, and rows of a word from which it is salted, in parts of that many.
 MOST, HOT = 4096, 4096
+#: Words of the corpus for each bucket of prefix words; about a fifth of them are in prefixes.
+BUCKET = 250_000
 
 
 class Lines:
@@ -61,20 +62,44 @@ class Lines:
         return np.diff(self.at)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A 64-bit hash of each set and two words of the parities of its words' bits."""
+        """A 64-bit hash of each set and the two words of its signature of 128 bits."""
+
         def total(x: np.ndarray, op) -> np.ndarray:
             return op.reduceat(x, self.at[:-1]) if len(self.at) > 1 else np.zeros(0, np.uint64)
 
         h = mix(total(mix(self.words + np.uint64(0x632BE59BD9B4E019)), np.add) + self.sizes.astype(np.uint64))
-        bit = (self.words >> np.uint64(57)).astype(np.int64)
-        one = np.uint64(1) << (bit & 63).astype(np.uint64)
+        bit = (self.words >> np.uint64(53)) & np.uint64(127)
+        one = np.uint64(1) << (bit & np.uint64(63))
         return h, total(np.where(bit < 64, one, np.uint64(0)), np.bitwise_xor), total(np.where(bit < 64, np.uint64(0), one), np.bitwise_xor)
 
+    def wide(self, i: int) -> bytes:
+        """The signature of set ``i`` beyond 128 bits; none for small sets."""
+        bits = width(int(self.at[i + 1] - self.at[i]))
+        return b"" if bits == 128 else parities(self.words[self.at[i] : self.at[i + 1]], bits).tobytes()
+
+
+def width(n: int) -> int:
+    """Bits of the signature of a set of ``n`` words: 128 up to 128 words, then 512, from 512 words on 2048."""
+    return 128 if n <= 128 else 512 if n <= 512 else 2048
+
+
+def parities(words: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` classes of words whether the set has an odd number of them, packed in 64-bit words.
+
+    Two sets differ in at least as many words as their signatures in bits. Halving a signature by exclusive
+    or of its halves gives the one of half the bits.
+    """
+    n = np.bincount(((words >> np.uint64(53)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((n & 1).astype(bool), bitorder="little").view(np.uint64)
+
 
 def _keys(h: np.ndarray, s: np.ndarray) -> pa.Array:
     """16-byte keys: the set's hash and the first half of its signature."""
-    raw = np.column_stack([h, s]).tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((16 * np.arange(len(h) + 1)).astype(np.int32)), pa.py_buffer(raw)])
+    return _binary(np.column_stack([h, s]).tobytes(), 16 * np.arange(len(h) + 1))
+
+
+def _binary(raw: bytes, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
 
 
 def _unkeyed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +128,12 @@ def _occurrences(src: DataFrame) -> DataFrame:
 
 
 def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFrame:
-    """(word, set, shape, sig): shape is the set's size and the word's place in it, size first."""
+    """(bucket, fixed, more): rows of the prefix words of a bucket, packed, one blob a batch and bucket.
+
+    Five numbers a row: word, set, signature (two), and shape, the set's size and the word's place in it; then
+    the wider signatures of those that have one. There are as many buckets as the words seen make ``BUCKET`` each.
+    """
+    buckets = max(64, order.total // BUCKET)
     shared = src.sparkSession.sparkContext.broadcast(order)
 
     def rows(batches):
@@ -112,14 +142,13 @@ def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFr
             parts = []
             for _, ls in _lines(iter([batch])):
                 n = ls.sizes
-                line = np.repeat(np.arange(len(n)), n)
                 level = o.level(ls.words)
-                by = np.lexsort((ls.words, level, line))
-                place = np.arange(len(by)) - np.repeat(ls.at[:-1], n)
+                by, place = by_level(level, ls.at)
                 pick = (place < np.repeat(n - -(-percent * n // 100) + 1, n)) & (level[by] > 0)
                 by, place = by[pick], place[pick]
                 h, s1, s2 = ls.ids()
-                of = line[by]
+                more = np.array([ls.wide(i) if k > 128 else b"" for i, k in enumerate(n.tolist())] or [b""], object)
+                of = np.repeat(np.arange(len(n)), n)[by]
                 word, set_, sig1, sig2 = ls.words[by], h[of], s1[of], s2[of]
                 shape = (n[of] << 32) | place
                 # a hot word's sets are dealt to parts; a row goes to its part's group with each part
@@ -130,24 +159,40 @@ def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFr
                 other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
                 a, b = np.minimum(part[again], other), np.maximum(part[again], other)
                 key = np.where(many[again] > 1, mix(word[again] ^ mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))), word[again])
-                parts.append((key, set_[again], sig1[again], sig2[again], shape[again]))
+                parts.append((key, set_[again], sig1[again], sig2[again], shape[again], more[of[again]]))
             if not parts:
                 continue
-            key, set_, sig1, sig2, shape = (np.concatenate(c) for c in zip(*parts, strict=True))
-            by = np.lexsort((set_, key))
-            key, set_, sig1, sig2, shape = key[by], set_[by], sig1[by], sig2[by], shape[by]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])
+            key, set_, sig1, sig2, shape, more = (np.concatenate(c) for c in zip(*parts, strict=True))
+            # copies of a line in this batch send one row a word
+            new = np.unique(mix(key) ^ set_, return_index=True)[1]
+            bucket = (key[new] % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            bucket, new = bucket[by], new[by]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            fixed = np.column_stack([key[new], set_[new], sig1[new], sig2[new], shape[new].view(np.uint64)])
+            more = more[new].tolist()
+            ends = np.cumsum([0, *map(len, more)])[np.append(first, len(new))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[new].view(np.int64)), _keys(set_[new], sig1[new]), pa.array(shape[new]), pa.array(sig2[new].view(np.int64))], ["word", "set", "shape", "sig"]
+                [pa.array(bucket[first]), _binary(fixed.tobytes(), 40 * np.append(first, len(new))), _binary(b"".join(more), ends)], ["bucket", "fixed", "more"]
             )
 
-    return src.select("text").mapInArrow(rows, "word long, set binary, shape long, sig long")
+    return src.select("text").mapInArrow(rows, "bucket long, fixed binary, more binary")
+
 
+def _wider(more: list[bytes], bits: int) -> np.ndarray:
+    """Signatures of ``bits`` bits of the sets that have as many, zeros for the others."""
+    out = np.zeros((len(more), bits // 64), np.uint64)
+    for k in {8 * len(m) for m in more if 8 * len(m) >= bits}:
+        own = [i for i, m in enumerate(more) if 8 * len(m) == k]
+        out[own] = np.bitwise_xor.reduce(np.frombuffer(b"".join(more[i] for i in own), np.uint64).reshape(len(own), k // bits, bits // 64), axis=1)
+    return out
 
-def forest(key: np.ndarray, set_: np.ndarray, s1: np.ndarray, s2: np.ndarray, shape: np.ndarray, t: int) -> list[tuple[int, int]]:
+
+def forest(key: np.ndarray, s1: np.ndarray, s2: np.ndarray, shape: np.ndarray, more: list[bytes], t: int) -> list[tuple[int, int]]:
     """Index pairs that span the candidates of each word; rows are sorted by word, then by size."""
     n, place = shape >> 32, shape & 0xFFFFFFFF
+    large = np.array([len(m) * 8 for m in more])
+    wider = [(bits, _wider(more, bits)) for bits in (512, 2048) if (large >= bits).any()]
     up, label = list(range(len(key))), np.arange(len(key))
 
     def find(i: int) -> int:
@@ -167,8 +212,12 @@ def forest(key: np.ndarray, set_: np.ndarray, s1: np.ndarray, s2: np.ndarray, sh
         need = _needed(n[i], n[j], t)
         could = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
         apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-        hit = (could >= need) & (apart <= n[i] + n[j] - 2 * need) & (label[i] != label[j])
-        if hit.any():
+        hit = np.flatnonzero((could >= need) & (apart <= n[i] + n[j] - 2 * need) & (label[i] != label[j]))
+        for bits, sig in wider:
+            both = (large[i[hit]] >= bits) & (large[j[hit]] >= bits)
+            apart = np.bitwise_count(sig[i[hit]] ^ sig[j[hit]]).sum(axis=1, dtype=np.int64)
+            hit = hit[~both | (apart <= (n[i] + n[j] - 2 * need)[hit])]
+        if len(hit):
             for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
                 ra, rb = find(a), find(b)
                 if ra != rb:
@@ -186,36 +235,41 @@ def forest(key: np.ndarray, set_: np.ndarray, s1: np.ndarray, s2: np.ndarray, sh
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): edges between sets whose components hold all matching pairs."""
 
+    def blobs(batches):
+        """(fixed, more) of each bucket; its rows follow each other."""
+        now, fixed, more = None, [], []
+        for batch in batches:
+            for bucket, f, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if bucket != now and fixed:
+                    yield fixed, more
+                    fixed, more = [], []
+                now = bucket
+                fixed.append(f)
+                more.append(m)
+        if fixed:
+            yield fixed, more
+
     def join(batches):
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                rest = table if rest is None else pa.concat_tables([rest, table])
-                key = rest.column("word").to_numpy()
-                done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last word may go on in the next batch
-            else:
-                done = rest.num_rows if rest is not None else 0
-            if not done:
-                continue
-            ready, rest = rest.slice(0, done), rest.slice(done)
-            h, s1 = _unkeyed(ready.column("set"))
-            key, shape, s2 = (ready.column(c).to_numpy() for c in ("word", "shape", "sig"))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (s1[1:] != s1[:-1])
-            key, h, s1, s2, shape = key[new], h[new], s1[new], s2[new].view(np.uint64), shape[new]
-            pairs = forest(key, h, s1, s2, shape, percent)
+        for fixed, more in blobs(batches):
+            table = np.frombuffer(b"".join(fixed), np.uint64).reshape(-1, 5)
+            key, h, s1, s2, shape = (table[:, k].copy() for k in range(5))
+            shape = shape.view(np.int64)
+            size = np.array([0, 64, 256])[np.searchsorted([128, 512], shape >> 32)]
+            end, raw = np.cumsum(size), b"".join(more)
+            by = np.lexsort((s1, h, shape, key))
+            new = np.ones(len(by), bool)
+            k, g = key[by], h[by]
+            new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (s1[by][1:] != s1[by][:-1])
+            by = by[new]
+            wide = [raw[e - n : e] for e, n in zip(end[by].tolist(), size[by].tolist(), strict=True)]
+            h, s1 = h[by], s1[by]
+            pairs = forest(key[by], s1, s2[by], shape[by], wide, percent)
             if pairs:
                 a, b = (np.array(x) for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([_keys(h[a], s1[a]), _keys(h[b], s1[b])], ["a", "b"])
 
-    by_word = rows.repartition("word").sortWithinPartitions("word", "shape", "set")
-    return by_word.mapInArrow(join, "a binary, b binary").filter("a <> b").distinct()
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return by_bucket.mapInArrow(join, "a binary, b binary").filter("a <> b").distinct()
 
 
 def _place(prefix: str = "") -> Column:
@@ -248,9 +302,7 @@ def _words_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
 def earliest(words: list[np.ndarray], t: int) -> list[int | None]:
     """For each set, in order of age, the index of the oldest before it that matches."""
     n = np.array([len(w) for w in words])
-    bit = [(w >> np.uint64(57)).astype(np.int64) for w in words]
-    odd = np.array([np.bincount(b, minlength=128) & 1 for b in bit], bool).reshape(len(words), 128)
-    packed = np.packbits(odd, axis=1).view(np.uint64)
+    packed = np.array([parities(w, width(int(n.max()))) for w in words])
     out: list[int | None] = [None]
     for i in range(1, len(words)):
         need = _needed(n[:i], n[i], t)

@@ -18,6 +18,8 @@ import hashlib
 import math
 from bisect import bisect_left
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def capacities(total: int, n_shards: int, epsilon: float) -> list[int]:
     return [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
 
 
-def place(cells: list[tuple[int, int, int]], owners: list[int], caps: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """Segments (wave, position, first rank, shard, first slot) of cells (wave, position, rows)."""
+def place(cells: np.ndarray, owners: list[int], caps: list[int]) -> np.ndarray:
+    """Segments (wave, position, first rank, end rank, shard, first slot) of cells (wave, position, rows), in order."""
     load = [0] * len(caps)
     open_ = [c > 0 for c in caps]
 
@@ -60,23 +62,26 @@ def place(cells: list[tuple[int, int, int]], owners: list[int], caps: list[int])
             out[r] = at
         return out
 
-    now, segments = forward(), []
-    for step, pos, rows in sorted(cells):
+    now = forward()
+    segments = np.zeros((len(cells) + len(caps), 6), np.int64)
+    n = 0
+    for step, pos, rows in cells:
         rank = 0
         while rank < rows:
             s = now[pos]
-            take = min(rows - rank, caps[s] - load[s])
-            segments.append((step, pos, rank, s, load[s]))
+            take = min(int(rows) - rank, caps[s] - load[s])
+            segments[n] = step, pos, rank, rank + take, s, load[s]
+            n += 1
             load[s] += take
             rank += take
             if load[s] == caps[s]:
                 open_[s] = False
                 now = forward()
-    return segments
+    return segments[:n]
 
 
-def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, ring: int = RING, steps: int = STEPS) -> DataFrame:
-    """All rows and columns of ``docs``, as struct ``row``, with size, text_crc32, shard and slot.
+def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, ring: int = RING, steps: int = STEPS, keep: list[str] | None = None) -> DataFrame:
+    """All rows and columns (or those of ``keep``) of ``docs``, as struct ``row``, with size, text_crc32, shard and slot.
 
     ``epsilon`` is how far over the mean a shard may be filled; at 0 the shards' row counts are at most
     one apart. ``size`` is the text's UTF-8 bytes plus 1; slots count from 0 in each shard without gaps.
@@ -84,33 +89,29 @@ def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str
     spark = docs.sparkSession
     text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col)
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(key, F.lit("place")), F.lit(ring)).cast("int").alias("pos"),
-        F.pmod(F.xxhash64(key, text, F.lit("wave")), F.lit(steps)).cast("int").alias("step"),
+        F.pmod(F.xxhash64(key, F.lit("place")), F.lit(ring)).alias("pos"),
+        F.pmod(F.xxhash64(key, text, F.lit("wave")), F.lit(steps)).alias("step"),
         F.xxhash64(key, text, F.lit("turn")).alias("turn"),
     )
-    cells = [tuple(r) for r in keyed.groupBy("step", "pos").count().collect()]
-    segments = place(cells, ring_owners(n_shards, vnodes, ring), capacities(sum(c[2] for c in cells), n_shards, epsilon))
-    by_cell: dict[tuple[int, int], list] = {}
-    for step, pos, rank, s, slot in segments:
-        by_cell.setdefault((step, pos), []).append((rank, s, slot))
-    table = spark.createDataFrame(
-        [(*cell, parts) for cell, parts in by_cell.items()],
-        "step int, pos int, parts array<struct<first: long, shard: int, slot: long>>",
-    )
+    counted = keyed.groupBy("step", "pos").count().toArrow()
+    cells = np.column_stack([counted.column(c).to_numpy() for c in ("step", "pos", "count")]).astype(np.int64).reshape(-1, 3)
+    cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
+    segments = place(cells, ring_owners(n_shards, vnodes, ring), capacities(int(cells[:, 2].sum()), n_shards, epsilon))
+    names = ("step", "pos", "first", "end", "shard", "slot")
+    table = spark.createDataFrame(pa.table({n: segments[:, k] for k, n in enumerate(names)}))
+    table = table.select(F.col("step").alias("of_step"), F.col("pos").alias("of_pos"), "first", "end", F.col("shard").cast("int").alias("shard"), F.col("slot").alias("first_slot"))
     turn = Window.partitionBy("step", "pos").orderBy("turn", "text_crc32", "size")
-    ranked = keyed.withColumn("rank", (F.row_number().over(turn) - 1).cast("long")).join(F.broadcast(table), ["step", "pos"])
-    own = F.element_at(F.filter("parts", lambda p: p["first"] <= F.col("rank")), -1)
-    return ranked.withColumn("own", own).select(
-        "row", "size", "text_crc32", F.col("own.shard").alias("shard"), (F.col("own.slot") + F.col("rank") - F.col("own.first")).alias("slot")
-    )
+    ranked = keyed.withColumn("rank", (F.row_number().over(turn) - 1).cast("long"))
+    own = (F.col("step") == F.col("of_step")) & (F.col("pos") == F.col("of_pos")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+    return ranked.join(F.broadcast(table), own).select("row", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = shard(docs)
+    placed = shard(docs, keep=["doc_id"])
     return placed.select(
         F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -118,9 +118,28 @@ def ngrams(hashes: np.ndarray, bounds: np.ndarray, n: int, whole: bool = True) -
 def sets(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each row, and their row bounds."""
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((grams, row))
-    g, r = grams[order], row[order]
+    # one sort by row and the upper bits of the hash, if these tell all hashes of a row apart
+    key = (row.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
+    order = np.argsort(key)
+    key, g = key[order], grams[order]
+    if len(bounds) > 1 << 20 or ((key[1:] == key[:-1]) & (g[1:] != g[:-1])).any():
+        order = np.lexsort((grams, row))
+        g = grams[order]
+    r = row[order]
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
     g, r = g[keep], r[keep]
     return g, np.searchsorted(r, np.arange(len(bounds)))
+
+
+def by_level(level: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted sets by row, level and hash, and the place of each entry of it in its row.
+
+    Levels from 2**24 on count as that.
+    """
+    sizes = np.diff(bounds)
+    row, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    level = np.minimum(level, (1 << 24) - 1)
+    if len(sizes) >= 1 << 19 or (len(sizes) and sizes.max() >= 1 << 20):
+        return np.lexsort((place, level, row)), place
+    return np.argsort((row << 44) | (level << 20) | place), place
