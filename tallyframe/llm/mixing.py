@@ -144,7 +144,7 @@ class Mix:
         free = ranked.filter(F.col("turn") >= F.col("n_slots")).select("slot", "shard", (F.col("over_at") + F.col("turn") - F.col("n_slots")).alias("q"))
         open_ = gap.filter("drawn < n_slots").select("sid", F.explode(F.sequence(F.col("drawn"), F.col("n_slots") - 1)).alias("turn"), "drawn", "under_at")
         open_ = open_.select("sid", "turn", (F.col("under_at") + F.col("turn") - F.col("drawn")).alias("q"))
-        given = fits.unionByName(free.join(open_, "q").select("slot", "shard", "sid", "turn"))
+        given = cut(fits.unionByName(free.join(open_, "q").select("slot", "shard", "sid", "turn")))
         t = given.join(src.select("sid", "blocks", "short", "epochs", "rest", "short_at"), "sid")
         t = t.withColumn("epoch", F.least(F.floor(F.col("turn") / F.col("blocks")), F.col("epochs")))
         t = t.withColumn("j", F.col("turn") - F.col("epoch") * F.col("blocks"))
@@ -188,7 +188,7 @@ class Mix:
             F.sum(F.col("high") - F.col("low")).alias("got"), F.first("size").alias("size"),
             F.sort_array(F.collect_list(F.struct((F.col("low") - F.col("start")).cast("int").alias("at"), (F.col("high") - F.col("low")).cast("int").alias("n")))).alias("parts"),
         )
-        whole = whole.select("sid", "bucket", "rn", F.when(F.col("got") < F.col("size"), F.col("parts")).alias("parts"))
+        whole = cut(whole.select("sid", "bucket", "rn", F.when(F.col("got") < F.col("size"), F.col("parts")).alias("parts")))
         out = self.placed.select("sid", "bucket", "rn", "row").join(whole, ["sid", "bucket", "rn"])
         words = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
         cutout = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["at"] + 1, p["n"]))), "")
