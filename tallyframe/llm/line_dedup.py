@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +38,10 @@ PERCENT = 80
 MOST, HOT = 4096, 4096
 #: Words of the corpus for each bucket of prefix words; about a fifth of them are in prefixes.
 BUCKET = 250_000
+#: Bytes of text whose rows are packed at once, and prefix rows of a bucket from which copies are taken out on the way.
+PACK, ROWS = 1 << 23, 200_000
+#: Rows of whole words that are joined at once.
+RUN = 16_384
 
 
 class Lines:
@@ -113,6 +116,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(first, end - first), Lines(data, offsets)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``PACK`` bytes of text, however long a batch's texts are."""
+    for batch in batches:
+        for first, end, _, _ in chunks(batch.column(0), PACK):
+            yield batch.slice(first, end - first)
+
+
 def _needed(a, b, t: int):
     return -(-t * (a + b) // (100 + t))
 
@@ -128,7 +138,7 @@ def _occurrences(src: DataFrame) -> DataFrame:
 
 
 def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFrame:
-    """(bucket, fixed, more): rows of the prefix words of a bucket, packed, one blob a batch and bucket.
+    """(bucket, fixed, more): rows of the prefix words of a bucket, packed, one blob a run of texts and bucket.
 
     Five numbers a row: word, set, signature (two), and shape, the set's size and the word's place in it; then
     the wider signatures of those that have one. There are as many buckets as the words seen make ``BUCKET`` each.
@@ -138,7 +148,7 @@ def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFr
 
     def rows(batches):
         o = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             parts = []
             for _, ls in _lines(iter([batch])):
                 n = ls.sizes
@@ -163,7 +173,7 @@ def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFr
             if not parts:
                 continue
             key, set_, sig1, sig2, shape, more = (np.concatenate(c) for c in zip(*parts, strict=True))
-            # copies of a line in this batch send one row a word
+            # copies of a line in this run send one row a word
             new = np.unique(mix(key) ^ set_, return_index=True)[1]
             bucket = (key[new] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -235,37 +245,54 @@ def forest(key: np.ndarray, s1: np.ndarray, s2: np.ndarray, shape: np.ndarray, m
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): edges between sets whose components hold all matching pairs."""
 
-    def blobs(batches):
-        """(fixed, more) of each bucket; its rows follow each other."""
-        now, fixed, more = None, [], []
+    def unpacked(fixed, more):
+        table = np.frombuffer(fixed, np.uint64).reshape(-1, 5)
+        if not more:
+            return table, [b""] * len(table)
+        size = np.array([0, 64, 256])[np.searchsorted([128, 512], table[:, 4].view(np.int64) >> 32)]
+        return table, [more[e - n : e] for e, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
+
+    def once(tables, wide):
+        """The rows by word, size, place and set, without copies."""
+        table = np.concatenate(tables)
+        key, h, s1, _, shape = (table[:, k].copy() for k in range(5))
+        by = np.lexsort((s1, h, shape, key))
+        new = np.ones(len(by), bool)
+        k, g, s = key[by], h[by], s1[by]
+        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+        by = by[new]
+        return table[by], [wide[i] for i in by.tolist()]
+
+    def buckets(batches):
+        """Rows and wider signatures of each bucket; its blobs follow each other. Copies go as they gather."""
+        now, tables, wide, n, kept = None, [], [], 0, 0
         for batch in batches:
             for bucket, f, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if bucket != now and fixed:
-                    yield fixed, more
-                    fixed, more = [], []
+                if bucket != now and tables:
+                    yield once(tables, wide)
+                    tables, wide, n, kept = [], [], 0, 0
                 now = bucket
-                fixed.append(f)
-                more.append(m)
-        if fixed:
-            yield fixed, more
+                table, more = unpacked(f, m)
+                tables.append(table)
+                wide += more
+                n += len(table)
+                if n > 2 * kept + ROWS:
+                    table, wide = once(tables, wide)
+                    tables, n, kept = [table], len(table), len(table)
+        if tables:
+            yield once(tables, wide)
 
     def join(batches):
-        for fixed, more in blobs(batches):
-            table = np.frombuffer(b"".join(fixed), np.uint64).reshape(-1, 5)
+        for table, wide in buckets(batches):
             key, h, s1, s2, shape = (table[:, k].copy() for k in range(5))
-            shape = shape.view(np.int64)
-            size = np.array([0, 64, 256])[np.searchsorted([128, 512], shape >> 32)]
-            end, raw = np.cumsum(size), b"".join(more)
-            by = np.lexsort((s1, h, shape, key))
-            new = np.ones(len(by), bool)
-            k, g = key[by], h[by]
-            new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (s1[by][1:] != s1[by][:-1])
-            by = by[new]
-            wide = [raw[e - n : e] for e, n in zip(end[by].tolist(), size[by].tolist(), strict=True)]
-            h, s1 = h[by], s1[by]
-            pairs = forest(key[by], s1, s2[by], shape[by], wide, percent)
-            if pairs:
-                a, b = (np.array(x) for x in zip(*pairs, strict=True))
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first = first[np.unique(first // RUN, return_index=True)[1]]
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                run = slice(low, high)
+                pairs = forest(key[run], s1[run], s2[run], shape[run].view(np.int64), wide[run], percent)
+                if not pairs:
+                    continue
+                a, b = (low + np.array(x) for x in zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_arrays([_keys(h[a], s1[a]), _keys(h[b], s1[b])], ["a", "b"])
 
     by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
@@ -286,7 +313,7 @@ def _words_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = src.sparkSession.sparkContext.broadcast(bloom_of(wanted.mapInArrow(own_hash, "h long")))
 
     def bring(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             seen: dict[bytes, bytes] = {}
             for _, ls in _lines(iter([batch])):
                 h, s, _ = ls.ids()
@@ -316,6 +343,11 @@ def earliest(words: list[np.ndarray], t: int) -> list[int | None]:
     return out
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"set": pa.binary(), "last": pa.bool_(), "id": pa.int64(), "text_key": pa.int64(), "line": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
 def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, removed): the places, from 0, of the lines that go, of documents that lose some."""
     text = F.col(text_col).cast("string")
@@ -333,14 +365,33 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot:
     tasks = tasks_of(near.select("set", "n", "root"), percent, most)
     ready = tasks.join(near.select("set", "first.*"), "set").join(_words_of(src, near.select("set")), "set")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["last", "id", "text_key", "line"], ignore_index=True)
-        hits = earliest([np.frombuffer(w, np.uint64) for w in pdf["words"]], percent)
-        mine = [i for i, j in enumerate(hits) if j is not None]
-        other = pdf.iloc[[hits[i] for i in mine]]
-        return pd.DataFrame({"set": pdf["set"].iloc[mine].to_numpy(), **{c: other[c].to_numpy() for c in ("last", "id", "text_key", "line")}})
-
-    matched = ready.groupBy("task").applyInPandas(compare, "set binary, last boolean, id long, text_key long, line int")
+    def groups(batches):
+        """The rows of each task, without its name; they follow each other."""
+        now, rows = None, []
+        for batch in batches:
+            for task, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if task != now and rows:
+                    yield rows
+                    rows = []
+                now = task
+                rows.append(row)
+        if rows:
+            yield rows
+
+    def compare(batches):
+        out = []
+        for rows in groups(batches):
+            hits = earliest([np.frombuffer(row[-1], np.uint64) for row in rows], percent)
+            out += [(row[0], *rows[j][1:5]) for row, j in zip(rows, hits, strict=True) if j is not None]
+            if len(out) >= 10_000:
+                yield _found(out)
+                out = []
+        if out:
+            yield _found(out)
+
+    place = ("last", "id", "text_key", "line")
+    by_task = ready.select("task", "set", *place, "words").repartition("task").sortWithinPartitions("task", *place)
+    matched = by_task.mapInArrow(compare, "set binary, last boolean, id long, text_key long, line int")
     matched = matched.groupBy("set").agg(F.min(F.struct("last", "id", "text_key", "line")).alias("match"))
     cuts = known.join(matched, "set", "left").filter((F.col("times") > 1) | F.col("match").isNotNull()).select("set", F.coalesce("match", "first").alias("upto"))
     gone = found.join(cut(cuts), "set").filter(_place() > F.col("upto"))
