@@ -1,18 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman scores the pairs.
+"""Benchmark decontamination: rare words of a test item find documents, Smith-Waterman scores the pairs.
+
+The item is aligned with a document's words: ``MATCH`` for equal words, ``-MISS`` for different ones and for
+each word left out or put in. The score is the best local alignment over that of the whole item with itself;
+from ``least`` on the document counts as contaminated by the item. Less than ``FLOOR`` equal words, or than
+all words of a shorter item, is never enough.
+
+No such pair is lost before it is scored. An alignment that is good enough bounds from below how many of the
+item's words it matches, and from above how many words of the document it spans. So however the copy was
+edited, of the item's rarest words all but the number that may be unmatched are in such a span; taking
+``HITS`` words more, at least that many are. Spans with these are kept if adding ``MATCH`` for each word that
+the item has anywhere and ``-MISS`` for each other one, which no alignment exceeds, can reach what is needed.
+Only the rest is aligned. How often words occur is counted over all documents, but decides only the work.
 
 The test items are taken in blocks of about ``BLOCK`` words, so that what a task gets of them is bounded
-whatever the benchmark's size; all documents pass once a block. A document with an n-gram of an item
-(``SEED`` words) gives the positions of these n-grams and the words around them, as hashes. In how many
-documents each n-gram occurs is counted over all documents; of every ``EVERY`` n-grams of an item in a row
-the rarest is a seed, so an unchanged run of ``SEED + EVERY - 1`` words of an item always holds a seed,
-however frequent it is. Where a document has a seed of an item, the item is aligned with the words around:
-``MATCH`` for equal words, ``-MISS`` for different ones and for each word left out or put in. The score is
-the best local alignment over that of the whole item with itself; from ``least`` on the document counts as
-contaminated by the item.
-
-Words are compared by a hash, A-Z as a-z. Null and empty texts and items match nothing; an item of fewer
-words than a seed is its own seed. Equal rows of one document or item give one row. A null id is an id.
-Extra columns aren't read. An empty table gives no rows.
+whatever the benchmark's size; all documents pass twice a block.
+
+Words are compared by a hash, A-Z as a-z. Null and empty texts and items match nothing. Equal rows of one
+document or item give one row. A null id is an id. Extra columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,48 +28,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, word_count
-from .words import chunks, ngrams, word_hashes
+from .common import read, word_count
+from .words import chunks, word_hashes
 
-SEED, EVERY, MATCH, MISS, LEAST, BLOCK = 4, 4, 2, 1, 0.5, 1_000_000
+FLOOR, HITS, MATCH, MISS, LEAST, BLOCK = 4, 4, 2, 1, 0.5, 1_000_000
 
 
 class Items:
-    """The test items of a block: their words, and the n-grams that seed an alignment."""
+    """The test items of a block: their words, and those of them that a contaminated document must have."""
 
-    def __init__(self, ids: list, texts: list[str | None], seed: int):
+    def __init__(self, ids: list, texts: list[str | None], least: float, floor: int):
         column = pa.array([t or "" for t in texts], pa.large_string())
         self.ids, self.words = list(ids), []
         for _, _, data, offsets in chunks(column):
             hashes, bounds, _ = word_hashes(data, offsets)
             self.words += [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        lengths = [min(seed, len(w)) for w in self.words]
-        self.lengths = sorted(set(lengths) - {0})
-        gram, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, (w, n) in enumerate(zip(self.words, lengths, strict=True)):
-            if n:
-                g, _, first = ngrams(w, np.array([0, len(w)]), n)
-                gram.append(g)
-                item.append(np.full(len(g), i))
-                at.append(first)
-        self.gram, self.item, self.at = np.concatenate(gram), np.concatenate(item), np.concatenate(at)
-        self.known = np.unique(self.gram)
-        self.most = max(map(len, self.words), default=0)
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-
-    def choose(self, count: dict[int, int], every: int) -> None:
-        """Keeps the rarest of every ``every`` n-grams in a row of an item; those of no document are of no use."""
-        n = np.array([count.get(g, 0) for g in self.gram.view(np.int64).tolist()], np.int64)
-        for i in range(len(self.words)):
-            own = np.flatnonzero(self.item == i)
-            order = sorted(range(len(own)), key=lambda k: (n[own[k]], k))
-            rank = np.empty(len(own), np.int64)
-            rank[order] = np.arange(len(own))
-            width = min(every, len(own))
-            picks = {int(k + np.argmin(rank[k : k + width])) for k in range(len(own) - width + 1)} if len(own) else set()
-            for k in picks:
-                if n[own[k]]:
-                    self.seeds.setdefault(int(self.gram[own[k]]), []).append((i, int(self.at[own[k]])))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        self.own = [np.searchsorted(self.known, w) for w in self.words]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        #: Scores needed, and the most words of a document that an alignment with such a score spans.
+        self.need = np.maximum(least * MATCH * self.lengths, MATCH * np.minimum(floor, self.lengths))
+        self.span = self.lengths + np.floor((MATCH * self.lengths - self.need) / MISS + 1e-9).astype(np.int64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def choose(self, count: np.ndarray, hits: int) -> None:
+        """Chooses each item's rarest words by ``count``, so that an alignment has ``self.hits`` of them."""
+        matched = np.ceil(self.need / MATCH - 1e-9).astype(np.int64)
+        self.hits = np.minimum(hits, matched)
+        word, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, own in enumerate(self.own):
+            if len(own) and matched[i] <= len(own):
+                rare = own[np.argsort(count[own], kind="stable")][: len(own) - matched[i] + self.hits[i]]
+                word.append(np.unique(rare))
+                item.append(np.full(len(word[-1]), i))
+        words, items = np.concatenate(word), np.concatenate(item)
+        by = np.argsort(words, kind="stable")
+        self.items, self.bounds = items[by], np.searchsorted(words[by], np.arange(len(self.known) + 1))
+        #: Slots of (item, word); those that share one with another only raise the bound.
+        n = int(self.lengths.sum())
+        self.has = np.zeros(1 << max(16, (16 * n).bit_length()), bool)
+        for i, own in enumerate(self.own):
+            self.has[self.slot(np.full(len(own), i), own)] = True
+
+    def slot(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        x = (item.astype(np.uint64) << np.uint64(32)) + word.astype(np.uint64)
+        return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.has).bit_length())).astype(np.int64)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``hashes``, place in ``known``) of the words that some item has."""
+        at = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        word = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
+        same = self.known[word] == hashes[at] if len(at) else np.zeros(0, bool)
+        return at[same], word[same]
+
+    def stretches(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, first, end) of stretches of the rows' words, which hold all alignments that are good enough."""
+        place, word = self.look_up(hashes)
+        times = self.bounds[word + 1] - self.bounds[word]
+        ends = np.cumsum(times)
+        if not len(ends) or not ends[-1]:
+            return
+        item = self.items[np.arange(ends[-1]) - np.repeat(ends - times, times) + np.repeat(self.bounds[word], times)]
+        key = np.sort(item * len(hashes) + np.repeat(place, times))
+        item, at = key // len(hashes), key % len(hashes)
+        # enough hits in a row of one document in one span
+        last = np.arange(len(key)) + self.hits[item] - 1
+        k = np.flatnonzero(last < len(key))
+        k = k[(item[last[k]] == item[k]) & (at[last[k]] - at[k] < self.span[item[k]])]
+        row = np.searchsorted(bounds, at[k], "right") - 1
+        same = at[last[k]] < bounds[row + 1]
+        k, row = k[same], row[same]
+        if not len(k):
+            return
+        item, low, high = item[k], np.maximum(at[k] - self.span[item[k]], bounds[row]), np.minimum(at[k] + self.span[item[k]], bounds[row + 1])
+        new = np.ones(len(k), bool)
+        new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1])
+        first = np.flatnonzero(new)
+        row, item, low, high = row[first], item[first], low[first], high[np.append(first[1:], len(k)) - 1]
+        known = np.full(len(hashes), -1, np.int64)
+        known[place] = word
+        # the best sum over a run of words, in parts of bounded size
+        size = high - low
+        part = np.cumsum(size) // (1 << 20)
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            n = size[own]
+            of = np.repeat(np.arange(len(own)), n)
+            w = known[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[own], n)]
+            gain = np.where((w >= 0) & self.has[self.slot(item[own][of], np.maximum(w, 0))], MATCH, -MISS)
+            total = np.cumsum(gain)
+            apart = of * ((MATCH + MISS) * (len(of) + 1))
+            best = total - (np.minimum.accumulate(total - gain - apart) + apart)
+            good = np.maximum.reduceat(best, np.cumsum(n) - n) >= self.need[item[own]] - 1e-9
+            for s in own[good].tolist():
+                yield int(row[s]), int(item[s]), int(low[s]), int(high[s])
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -83,95 +140,50 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _around(at: np.ndarray, before: int, after: int, count: int) -> list[tuple[int, int]]:
-    """Merged stretches [position - before, position + after) in [0, count)."""
-    out: list[list[int]] = []
-    for p in np.unique(at).tolist():
-        low, high = max(0, p - before), min(count, p + after)
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
-
-
-def _hits(docs: DataFrame, items: Items) -> DataFrame:
-    """Documents that hold an n-gram of an item: those n-grams, their positions, and the words around them."""
-    shared = docs.sparkSession.sparkContext.broadcast((items.known, items.lengths, items.most))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lengths, most = shared.value
-        low = np.uint64((1 << 20) - 1)
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(known & low).astype(np.int64)] = True
-        reach = most + most // 4 + 4
+def _count(docs: DataFrame, items: Items) -> np.ndarray:
+    """How often each known word is in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        n = np.zeros(len(known.known), np.int64)
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(2)):
-                hashes, bounds, _ = word_hashes(data, offsets)
-                rows, grams, at = [], [], []
-                for n in lengths:
-                    g, by, start = ngrams(hashes, bounds, n, whole=False)
-                    k = np.flatnonzero(maybe[(g & low).astype(np.int64)])
-                    if len(k):
-                        k = k[known[np.minimum(np.searchsorted(known, g[k]), len(known) - 1)] == g[k]]
-                    row = np.searchsorted(by, k, "right") - 1
-                    rows.append(row)
-                    grams.append(g[k])
-                    at.append(start[k] - bounds[row])
-                if not rows or not sum(map(len, rows)):
-                    continue
-                row, gram, pos = np.concatenate(rows), np.concatenate(grams), np.concatenate(at)
-                found = np.unique(row)
-                out: dict[str, list] = {"gram": [], "pos": [], "from": [], "words": []}
-                for r in found.tolist():
-                    own = row == r
-                    words = hashes[bounds[r] : bounds[r + 1]]
-                    parts = _around(pos[own], reach, reach, len(words))
-                    out["gram"].append(gram[own].view(np.int64))
-                    out["pos"].append(pos[own])
-                    out["from"].append([a for a, _ in parts])
-                    out["words"].append([words[a:b].tobytes() for a, b in parts])
-                own = batch.slice(first, end - first).take(pa.array(found))
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(out["gram"], pa.list_(pa.int64())), pa.array(out["pos"], pa.list_(pa.int64())), pa.array(out["from"], pa.list_(pa.int64())), pa.array(out["words"], pa.list_(pa.binary()))],
-                    ["id", "text_key", "gram", "pos", "from", "words"],
-                )
-
-    return docs.select("id", "text_key", "text").mapInArrow(find, "id long, text_key long, gram array<long>, pos array<long>, `from` array<long>, words array<binary>")
-
-
-def _score(hits: DataFrame, items: Items, least: float) -> DataFrame:
-    shared = hits.sparkSession.sparkContext.broadcast(items)
+            for _, _, data, offsets in chunks(batch.column(0)):
+                n += np.bincount(known.look_up(word_hashes(data, offsets)[0])[1], minlength=len(n))
+        word = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n[word])], ["word", "n"])
+
+    out = np.zeros(len(items.known), np.int64)
+    for r in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["word"]] = r["n"]  # no more rows than the block's words
+    return out
+
+
+def _score(docs: DataFrame, items: Items) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             out = []
-            for d in batch.to_pylist():
-                starts: dict[int, list[int]] = {}
-                for g, p in zip(d["gram"], d["pos"], strict=True):
-                    for i, q in known.seeds.get(g & ((1 << 64) - 1), ()):
-                        starts.setdefault(i, []).append(p - q)
-                parts = [np.frombuffer(w, np.uint64) for w in d["words"]]
-                for i, at in starts.items():
+            for first, end, data, offsets in chunks(batch.column(2)):
+                hashes, bounds, _ = word_hashes(data, offsets)
+                rows, best = batch.slice(first, end - first), {}
+                for row, i, low, high in known.stretches(hashes, bounds):
                     item = known.words[i]
-                    slack, best = len(item) // 4 + 4, (0, 0, 0)
-                    for low, words in zip(d["from"], parts, strict=True):
-                        near = [s - low for s in at if low - len(item) <= s < low + len(words)]
-                        for a, b in _around(np.array(near, np.int64), slack, len(item) + slack, len(words)):
-                            got, end = align(item, words[a:b])
-                            if got > best[0]:
-                                back = align(item[::-1], words[a : a + end][::-1])[1]
-                                best = (got, low + a + end - back, low + a + end)
-                    if best[0] >= least * MATCH * len(item):
-                        out.append((d["id"], known.ids[i], d["text_key"], best[0] / (MATCH * len(item)), best[1], best[2]))
+                    got, stop = align(item, hashes[low:high])
+                    if got >= known.need[i] - 1e-9 and got > best.get((row, i), (0,))[0]:
+                        back = align(item[::-1], hashes[low : low + stop][::-1])[1]
+                        best[row, i] = (got, int(low + stop - back - bounds[row]), int(low + stop - bounds[row]))
+                for (row, i), (got, low, high) in best.items():
+                    out.append((rows.column(0)[row].as_py(), known.ids[i], rows.column(1)[row].as_py(), got / (MATCH * len(known.words[i])), low, high))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2, strict=True)], ["doc_id", "item_id", "text_key", "score", "first_word", "end_word"])
 
-    return hits.mapInArrow(score, "doc_id long, item_id long, text_key long, score double, first_word long, end_word long")
+    return docs.select("id", "text_key", "text").mapInArrow(score, "doc_id long, item_id long, text_key long, score double, first_word long, end_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, seed: int = SEED, every: int = EVERY, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, floor: int = FLOOR, hits: int = HITS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, text_key, score, first_word, end_word) of documents that hold a test item.
 
     ``first_word`` and ``end_word`` bound the best stretch; ``text_key`` is the XXH64 of the text, to tell
@@ -184,11 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, se
     found = None
     for b in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], seed)
-        hits = cut(_hits(src, items))
-        counts = hits.select(F.explode(F.array_distinct("gram")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-        items.choose({r["g"]: r["n"] for r in counts.toLocalIterator()}, every)  # no more than the block's n-grams
-        scored = _score(hits, items, least)
+        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], least, floor)
+        items.choose(_count(src, items), hits)
+        scored = _score(src, items)
         found = scored if found is None else found.unionByName(scored)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, text_key long, score double, first_word long, end_word long")

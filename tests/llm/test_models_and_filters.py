@@ -75,6 +75,38 @@ def test_contaminated(spark):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter(r[0] for r in rows if r[0] not in {d for d, _ in want})
 
 
+def test_edited_copies_are_found(spark):
+    """Against brute force: a word changed, put in or left out every 3 to 7 words, with and without unedited copies."""
+    rnd = random.Random(7)
+    items = [[f"i{k}w{j}" if rnd.random() < 0.7 else rnd.choice("abcde") for j in range(n)] for k, n in enumerate((40, 40, 23, 8, 5, 3))]
+    rows, edited = [], set()
+
+    def put(words):
+        rows.append((len(rows), " ".join([rnd.choice("abcdefgh") for _ in range(30)] + words + [rnd.choice("abcdefgh") for _ in range(30)])))
+
+    for k, item in enumerate(items):
+        for every in range(3, 8):
+            for edit in (lambda w: ["other"], lambda w: ["other", w], lambda w: []):
+                if k < 2:
+                    edited.add((len(rows), k))
+                put([x for j, w in enumerate(item) for x in (edit(w) if j % every == every - 1 else [w])])
+        for part in (item[: len(item) // 2], item[::2], item[:4], item[: len(item) // 2 + 1]):
+            put(part)
+    for _ in range(5):
+        put(items[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    want = {}
+    for d, text in rows:
+        for k, item in enumerate(items):
+            best = _sw(item, text.split())
+            if best >= max(de.LEAST * de.MATCH * len(item), de.MATCH * min(de.FLOOR, len(item))):
+                want[d, k] = best / (de.MATCH * len(item))
+    assert edited <= want.keys()
+    for how in ({}, {"hits": 1}, {"hits": 100, "block": 50}):
+        assert {(r["doc_id"], r["item_id"]): r["score"] for r in de.contaminated(docs, bench, **how).collect()} == pytest.approx(want)
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
