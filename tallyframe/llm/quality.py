@@ -16,6 +16,10 @@ A document stays if its perplexity is not above its language's threshold, the ``
 perplexities of that language's trusted documents (from a histogram of ``BIN`` wide bins of the logarithm);
 languages with fewer than ``few`` trusted documents, and null, use that of all trusted documents.
 
+Text that repeats good words has good n-grams. What tells it apart is its variety: the least share of
+different words in any ``SPAN`` words in a row (in all words of a shorter text). A document whose variety is
+below that of all but a share ``repeats`` of the trusted documents of its language doesn't stay either.
+
 Null and empty texts have no perplexity and don't stay. Without any trusted text there is no model: all
 documents with text stay. A document is trusted if it has labels and all of them say quality 1 and toxic 0;
 a null id is never trusted. Characters beyond U+FFFF count as U+FFFF. Extra columns aren't read.
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 
 from .chars import code_points, padded, row_sums
 from .common import cut, read
-from .words import chunks
+from .words import buffers, chunks, mix, word_hashes
 
 ORDER, QUANTILE, FEW, BIN = 4, 0.995, 50, 0.001
+#: Words looked at for repetition, and the share of trusted documents that may be below the threshold of variety.
+SPAN, REPEATS = 32, 0.005
 #: Models: of all trusted text, without its first half, without its second half.
 VARIANTS = 3
 #: Rows of the n-gram table up to which it is broadcast (20 bytes each), and of labels (8 bytes each).
@@ -59,6 +65,34 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(first, end - first), grams[keep], np.concatenate([[0], np.cumsum(np.where(counts > 0, counts + 1, 0))])
 
 
+def varieties(column: pa.Array, span: int = SPAN) -> np.ndarray:
+    """The least share of different words in any ``span`` words in a row of each text; 1 for one without words."""
+    _, offsets = buffers(column)
+    out = np.ones(len(offsets) - 1)
+    for first, end, data, at in chunks(column):
+        hashes, bounds, _ = word_hashes(data, at)
+        if not len(hashes):
+            continue
+        count = np.diff(bounds)
+        row = np.repeat(np.arange(len(count)), count)
+        key = mix(hashes ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        by = np.argsort(key, kind="stable")
+        place = np.arange(len(hashes))
+        before = np.full(len(hashes), -1)
+        same = key[by[1:]] == key[by[:-1]]
+        before[by[1:][same]] = by[:-1][same]
+        # a word is new in the spans that start after the one before it, and hold it
+        new = np.bincount(np.maximum(np.maximum(before + 1, place - span + 1), bounds[row]), minlength=len(hashes) + 1)
+        new[1:] -= 1
+        different = np.cumsum(new)[:-1]
+        # spans start up to the last whole one of a row
+        start = place <= np.maximum(bounds[row], bounds[row + 1] - span)
+        some = np.flatnonzero(count)
+        kept = np.append(0, np.cumsum(start))[bounds[some]]
+        out[first + some] = np.minimum.reduceat(different[start], kept) / np.minimum(count[some], span)
+    return out
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(g, n1, n2): how often each n-gram of the corpus is in the first and the second half of the trusted text."""
 
@@ -124,7 +158,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, table: DataFrame, most: int = TABLE) -> DataFrame:
-    """``docs`` without text, with n (its n-grams) and logp (their sum), by a join with (g, logp).
+    """``docs`` without text, with n (its n-grams), logp (their sum) and variety, by a join with (g, logp).
 
     Column ``half`` of ``docs`` names the variant: 0 all trusted text, 1 and 2 without that half.
     """
@@ -144,9 +178,9 @@ def score(docs: DataFrame, table: DataFrame, most: int = TABLE) -> DataFrame:
                 once, inverse = np.unique(g, return_inverse=True)
                 value = logp[np.searchsorted(known, once)].ravel() if len(once) else np.zeros(0, np.float32)
                 sums = row_sums(value[inverse * VARIANTS + half], at)
-                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(np.diff(at)), pa.array(sums)], [*keys, "n", "logp"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(varieties(rows.column(0))), pa.array(np.diff(at)), pa.array(sums)], [*keys, "variety", "n", "logp"])
 
-        return docs.select("text", "half", *keys).mapInArrow(look_up, f"{names}, n long, logp double")
+        return docs.select("text", "half", *keys).mapInArrow(look_up, f"{names}, variety double, n long, logp double")
 
     def ask(batches):
         for rows, g, at in _grams(batches):
@@ -156,30 +190,37 @@ def score(docs: DataFrame, table: DataFrame, most: int = TABLE) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(g) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(g)))
             own = rows.take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(np.diff(at)[row[first]]), pa.array(g[first].view(np.int64)), pa.array(n)], ["half", *keys, "n", "g", "times"])
+            yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(varieties(rows.column(0))[row[first]]), pa.array(np.diff(at)[row[first]]), pa.array(g[first].view(np.int64)), pa.array(n)], ["half", *keys, "variety", "n", "g", "times"])
 
-    asked = docs.select("text", "half", *keys).mapInArrow(ask, f"half long, {names}, n long, g long, times long")
+    asked = docs.select("text", "half", *keys).mapInArrow(ask, f"half long, {names}, variety double, n long, g long, times long")
     value = F.element_at("logp", (F.col("half") + 1).cast("int"))
-    sums = asked.join(table, "g").groupBy(*keys, "n").agg(F.sum("times").alias("all"), F.sum(F.col("times") * value).alias("logp"))
+    sums = asked.join(table, "g").groupBy(*keys, "variety", "n").agg(F.sum("times").alias("all"), F.sum(F.col("times") * value).alias("logp"))
     # equal rows have been summed as one; each gets its share
     equal = (F.col("all") / F.col("n")).cast("int")
-    sums = sums.select(*keys, "n", (F.col("logp") / equal).alias("logp"), F.explode(F.array_repeat(F.lit(0), equal)).alias("nth")).drop("nth")
-    empty = docs.filter(F.coalesce(F.col("text"), F.lit("")) == "").select(*keys, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp"))
+    sums = sums.select(*keys, "variety", "n", (F.col("logp") / equal).alias("logp"), F.explode(F.array_repeat(F.lit(0), equal)).alias("nth")).drop("nth")
+    empty = docs.filter(F.coalesce(F.col("text"), F.lit("")) == "").select(*keys, F.lit(1.0).alias("variety"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("logp"))
     return sums.unionByName(empty)
 
 
-def thresholds(scored: DataFrame, quantile: float, few: int) -> tuple[DataFrame, float | None]:
-    """((lang, limit) of languages with ``few`` trusted documents or more, limit of all): logarithms of perplexities."""
-    bins = scored.filter("trusted and n > 0").groupBy("lang", F.floor(-F.col("logp") / F.col("n") / BIN).alias("bin")).agg(F.count("*").alias("c"))
-    bins = cut(bins)
+def quantiles(bins: DataFrame, by: list[str], share: float) -> DataFrame:
+    """(by, bin, all) of (by, bin, c): the bin in which ``share`` of the rows is reached, and the number of rows."""
+    bins = bins.groupBy(*by, "bin").agg(F.sum("c").alias("c"))
+    b = bins.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("bin"))).withColumn("all", F.sum("c").over(Window.partitionBy(*by)))
+    return b.filter(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min("bin").alias("bin"), F.first("all").alias("all"))
+
 
-    def limits(b: DataFrame, by: list[str]) -> DataFrame:
-        upto = Window.partitionBy(*by).orderBy("bin")
-        b = b.withColumn("upto", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(Window.partitionBy(*by)))
-        return b.filter(F.col("upto") >= quantile * F.col("all")).groupBy(*by).agg(((F.min("bin") + 1) * BIN).alias("limit"), F.first("all").alias("all"))
+def thresholds(scored: DataFrame, quantile: float, repeats: float, few: int) -> tuple[DataFrame, float | None, float | None]:
+    """((lang, limit, low) of languages with ``few`` trusted documents or more, limit and low of all).
 
-    pooled = limits(bins.groupBy("bin").agg(F.sum("c").alias("c")), []).first()
-    return limits(bins, ["lang"]).filter((F.col("all") >= few) & F.col("lang").isNotNull()).select("lang", "limit"), pooled["limit"] if pooled else None
+    ``limit`` is the greatest logarithm of a perplexity, ``low`` the least variety.
+    """
+    good = scored.filter("trusted and n > 0")
+    surprise, variety = (cut(good.groupBy("lang", F.floor(v / BIN).alias("bin")).agg(F.count("*").alias("c"))) for v in (-F.col("logp") / F.col("n"), F.col("variety")))
+    limits = quantiles(surprise, ["lang"], quantile).select("lang", ((F.col("bin") + 1) * BIN).alias("limit"), "all")
+    lows = quantiles(variety, ["lang"], repeats).select("lang", (F.col("bin") * BIN).alias("low"))
+    limit, low = quantiles(surprise, [], quantile).first(), quantiles(variety, [], repeats).first()
+    by_lang = limits.join(lows, "lang").filter(F.col("all") >= few).select("lang", "limit", "low")
+    return by_lang, (limit["bin"] + 1) * BIN if limit and limit["bin"] is not None else None, low["bin"] * BIN if low and low["bin"] is not None else None
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -187,8 +228,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return cut(good.filter("q = 1 and t = 0").select(F.col("doc_id").alias("good")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, few: int = FEW, most: int = TABLE) -> DataFrame:
-    """(doc_id, lang, text_key, n, perplexity, threshold, kept), a row a document; text_key is a hash of its text."""
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, few: int = FEW, most: int = TABLE, repeats: float = REPEATS) -> DataFrame:
+    """(doc_id, lang, text_key, n, perplexity, threshold, variety, least, kept), a row a document; text_key is a hash of its text."""
     good = trusted_ids(labels)
     if good.count() <= LABELS:
         good = F.broadcast(good)
@@ -198,12 +239,13 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, few:
     src = src.join(good, F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text_key", F.col("good").isNotNull().alias("trusted"), half.alias("half"), "text")
     table = cut(log_probabilities(cut(count_grams(src))))
     scored = cut(score(src, table, most))
-    by_lang, pooled = thresholds(scored, quantile, few)
+    by_lang, pooled, varied = thresholds(scored, quantile, repeats, few)
     log_ppl = F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))
     limit = F.coalesce("limit", F.lit(pooled).cast("double"), F.lit(float("inf")))
+    least = F.coalesce("low", F.lit(varied).cast("double"), F.lit(0.0))
     out = scored.join(by_lang, "lang", "left")
     return out.select(
-        "doc_id", "lang", "text_key", "n", F.exp(log_ppl).alias("perplexity"), F.exp(limit).alias("threshold"), F.coalesce(log_ppl <= limit, F.lit(False)).alias("kept")
+        "doc_id", "lang", "text_key", "n", F.exp(log_ppl).alias("perplexity"), F.exp(limit).alias("threshold"), "variety", least.alias("least"), F.coalesce((log_ppl <= limit) & (F.col("variety") >= least), F.lit(False)).alias("kept")
     )
 
 

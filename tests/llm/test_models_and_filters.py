@@ -243,6 +243,30 @@ def test_quality_without_trusted_text(spark):
     assert qu.quality(docs.limit(0), labs).count() == 0
 
 
+def test_varieties_against_brute_force():
+    rnd = random.Random(8)
+    texts = [None, "", " "] + [" ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz"[: rnd.randint(1, 26)]) for _ in range(rnd.randint(1, 80))) for _ in range(300)]
+    want = []
+    for t in texts:
+        w = (t or "").split()
+        want.append(min(len(set(w[s : s + qu.SPAN])) / min(qu.SPAN, len(w)) for s in range(max(1, len(w) - qu.SPAN + 1))) if w else 1)
+    assert qu.varieties(qu.pa.array(texts)).tolist() == pytest.approx(want)
+
+
+def test_repeated_good_words_go(spark):
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 6))) for _ in range(400)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(60, 120))), "en", "s", 0) for i in range(200)]
+    for i in range(200, 220):
+        words = [w for w in rnd.sample(vocab, 8) for _ in range(15)]
+        rows.append((i, (rows[i - 200][1] + "\n" if i % 2 else "") + " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOC)
+    labs = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    for most in (qu.TABLE, 0):
+        kept = {r["doc_id"] for r in qu.quality(docs, labs, most=most).collect() if r["kept"]}
+        assert kept.isdisjoint(range(200, 220)) and len(kept) >= 190
+
+
 # pages
 
 PAGE = """<html><head><title>T</title><script>if (a<b) document.write("<p>no</p>")</script></head><body>
