@@ -12,13 +12,17 @@ A model knows the text it was trained on too well. So trusted documents are halv
 and each half is scored by a model of the other half (``VARIANTS``), all other documents by the model of all
 trusted text. The three are trained in the same joins.
 
-A document stays if its perplexity is not above its language's threshold, the ``quantile`` of the
-perplexities of that language's trusted documents (from a histogram of ``BIN`` wide bins of the logarithm);
-languages with fewer than ``few`` trusted documents, and null, use that of all trusted documents.
+A document stays if its perplexity is not above its language's threshold, from histograms of ``BIN`` wide
+bins of the logarithm. With n trusted documents of a language, this is the ``quantile`` of their perplexities,
+raised by the part few / (n + few) of the way to the same quantile over all documents of the language, if
+that is higher: the less trusted text a model has seen of a language, the less it says about its documents.
+Without any they are only ranked among themselves. Null is a language, but its documents may be of any: if
+there are languages without trusted text, these and null share the highest of their thresholds.
 
 Text that repeats good words has good n-grams. What tells it apart is its variety: the least share of
 different words in any ``SPAN`` words in a row (in all words of a shorter text). A document whose variety is
-below that of all but a share ``repeats`` of the trusted documents of its language doesn't stay either.
+below that of all but a share ``repeats`` of the trusted documents of its language doesn't stay either. As it
+needs no model, the trusted documents of all languages count as ``few`` more of the language for this.
 
 Null and empty texts have no perplexity and don't stay. Without any trusted text there is no model: all
 documents with text stay. A document is trusted if it has labels and all of them say quality 1 and toxic 0;
@@ -209,18 +213,25 @@ def quantiles(bins: DataFrame, by: list[str], share: float) -> DataFrame:
     return b.filter(F.col("upto") >= share * F.col("all")).groupBy(*by).agg(F.min("bin").alias("bin"), F.first("all").alias("all"))
 
 
-def thresholds(scored: DataFrame, quantile: float, repeats: float, few: int) -> tuple[DataFrame, float | None, float | None]:
-    """((lang, limit, low) of languages with ``few`` trusted documents or more, limit and low of all).
-
-    ``limit`` is the greatest logarithm of a perplexity, ``low`` the least variety.
-    """
-    good = scored.filter("trusted and n > 0")
-    surprise, variety = (cut(good.groupBy("lang", F.floor(v / BIN).alias("bin")).agg(F.count("*").alias("c"))) for v in (-F.col("logp") / F.col("n"), F.col("variety")))
-    limits = quantiles(surprise, ["lang"], quantile).select("lang", ((F.col("bin") + 1) * BIN).alias("limit"), "all")
-    lows = quantiles(variety, ["lang"], repeats).select("lang", (F.col("bin") * BIN).alias("low"))
-    limit, low = quantiles(surprise, [], quantile).first(), quantiles(variety, [], repeats).first()
-    by_lang = limits.join(lows, "lang").filter(F.col("all") >= few).select("lang", "limit", "low")
-    return by_lang, (limit["bin"] + 1) * BIN if limit and limit["bin"] is not None else None, low["bin"] * BIN if low and low["bin"] is not None else None
+def thresholds(scored: DataFrame, quantile: float, repeats: float, few: int) -> DataFrame:
+    """(lang, limit, low), a row a language and null: the greatest logarithm of a perplexity, the least variety."""
+    some = scored.filter("n > 0")
+    surprise, variety = (cut(some.groupBy("lang", F.floor(v / BIN).alias("bin"), "trusted").agg(F.count("*").alias("c"))) for v in (-F.col("logp") / F.col("n"), F.col("variety")))
+    every = quantiles(surprise, ["lang"], quantile).select("lang", F.col("bin").alias("every"))
+    upper = quantiles(surprise.filter("trusted"), ["lang"], quantile).select(F.col("lang").alias("l1"), F.col("bin").alias("upper"), "all")
+    # of the language's own trusted documents and of all, which count as few documents together
+    known = variety.filter("trusted").select("lang", "bin", F.col("c").cast("double").alias("c"))
+    total = known.agg(F.sum("c").alias("total"))
+    prior = known.groupBy("bin").agg(F.sum("c").alias("c")).crossJoin(F.broadcast(total)).select("bin", (F.col("c") * few / F.col("total")).alias("c"))
+    both = known.unionByName(every.select("lang").crossJoin(F.broadcast(prior)))
+    lower = quantiles(both, ["lang"], repeats).select(F.col("lang").alias("l2"), (F.col("bin") * BIN).alias("low"))
+    t = every.join(upper, F.col("lang").eqNullSafe(F.col("l1")), "left").join(lower, F.col("lang").eqNullSafe(F.col("l2")), "left")
+    part = few / (F.coalesce("all", F.lit(0)) + few) if few else F.when(F.col("all").isNull(), 1.0).otherwise(0.0)
+    own = F.coalesce("upper", "every")
+    t = t.select("lang", F.col("all").isNull().alias("new"), ((own + part * F.greatest(F.lit(0), F.col("every") - own) + 1) * BIN).alias("limit"), "low")
+    t = cut(t)
+    shared = t.filter("new or lang is null").agg(F.max("limit").alias("shared"), F.max("new").alias("any"))
+    return t.crossJoin(F.broadcast(shared)).select("lang", F.when(F.col("any") & (F.col("new") | F.col("lang").isNull()), F.col("shared")).otherwise(F.col("limit")).alias("limit"), "low")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -239,11 +250,13 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, few:
     src = src.join(good, F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text_key", F.col("good").isNotNull().alias("trusted"), half.alias("half"), "text")
     table = cut(log_probabilities(cut(count_grams(src))))
     scored = cut(score(src, table, most))
-    by_lang, pooled, varied = thresholds(scored, quantile, repeats, few)
     log_ppl = F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))
-    limit = F.coalesce("limit", F.lit(pooled).cast("double"), F.lit(float("inf")))
-    least = F.coalesce("low", F.lit(varied).cast("double"), F.lit(0.0))
-    out = scored.join(by_lang, "lang", "left")
+    by_lang = thresholds(scored, quantile, repeats, few).withColumnRenamed("lang", "of")
+    # without any trusted text there is no model
+    if not scored.filter("trusted and n > 0").limit(1).count():
+        by_lang = by_lang.limit(0)
+    limit, least = F.coalesce("limit", F.lit(float("inf"))), F.coalesce("low", F.lit(0.0))
+    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
     return out.select(
         "doc_id", "lang", "text_key", "n", F.exp(log_ppl).alias("perplexity"), F.exp(limit).alias("threshold"), "variety", least.alias("least"), F.coalesce((log_ppl <= limit) & (F.col("variety") >= least), F.lit(False)).alias("kept")
     )

@@ -267,6 +267,23 @@ def test_repeated_good_words_go(spark):
         assert kept.isdisjoint(range(200, 220)) and len(kept) >= 190
 
 
+def test_languages_with_little_trusted_text_keep_their_documents(spark):
+    rnd = random.Random(10)
+    rows, letters = [], {"aa": "abcdefgh", "bb": "stuvwxyz"}
+    vocab = {g: ["".join(rnd.choice(x) for _ in range(rnd.randint(3, 6))) for _ in range(2000)] for g, x in letters.items()}
+    for i in range(400):
+        lang = "bb" if i % 2 else "aa"
+        rows.append((i, " ".join(rnd.choice(vocab[lang]) for _ in range(rnd.randint(40, 80))), lang, "s", 0))
+    rows += [(400 + i, "%%%$ #&&& **" * 30, "aa", "s", 0) for i in range(3)]
+    docs, lost = spark.createDataFrame(rows, DOC), []
+    for m in (0, 1, 20, 49, 50, 100):
+        labs = spark.createDataFrame([(i, 1, 0) for i in range(400) if i % 4 == 0 or (i % 4 == 1 and i < 4 * m)], "doc_id long, quality int, toxic int")
+        got = {r["doc_id"]: r["kept"] for r in qu.quality(docs, labs).collect()}
+        lost.append(sum(not got[i] for i in range(1, 400, 2)))
+        assert not any(got[i] for i in range(400, 403))
+    assert max(lost) <= 6, lost  # of 200
+
+
 # pages
 
 PAGE = """<html><head><title>T</title><script>if (a<b) document.write("<p>no</p>")</script></head><body>
