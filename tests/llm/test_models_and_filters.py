@@ -313,6 +313,11 @@ def test_extract_page(spark, field):
     assert he.extract(spark.createDataFrame([], "page_id long, url string, html string"), field).count() == 0
 
 
+def test_self_closed_svg_swallows_no_text():
+    page = '<article><p>One.<svg class="i"/> Two.</p><p>Three. <svg a="/>"><title>no</title></svg>Four.</p><SVG/><p>Five.</p></article>'
+    assert [b[0] for b in he.blocks(page)] == ["One. Two.", "Three. Four.", "Five."]
+
+
 def test_field_on_unseen_pages(field):
     right = total = 0
     for seed in range(50_000, 50_060):
