@@ -4,16 +4,14 @@ A line is the set of its words, A-Z as a-z; two lines match when the Jaccard ind
 ``percent`` hundredths or more. Lines are in order of document id, then of the text's hash, then of their
 place in the text; a line goes if any earlier line matches it, whether that one stays or not.
 
-1. Words are counted over all lines, and ordered rare first (see ``jaccard_join.Order``; here every word
-   is counted).
-2. A set's prefix is its first n - ceil(t n) + 1 words in that order; matching sets share a word of both
-   prefixes. Each prefix word that other lines have sends a narrow row (word, set, n, place, signature).
-   A word in very many sets is salted, so that each pair of its parts meets in a group of bounded size.
-3. Inside a word's rows the length filter (sizes within t), the positional filter (what the places leave
-   to be shared) and the signature filter (see ``parities``) leave candidates. A group gives a spanning forest of them, not pairs.
-4. Sets in one component of candidates are compared in tasks of bounded size, exactly, oldest first,
-   until the earliest match is found.
-5. Lines join the earliest match of their set; those after it go.
+1. Words are counted over all lines and ordered rare first; prefix, length, positional and signature filters
+   leave candidates, as edges whose components hold all matching pairs (``candidates``).
+2. The sets of a component that fit a task (``MOST`` sets, ``WORDS`` words) are compared there, exactly,
+   oldest first, until the earliest match is found.
+3. A larger component goes by rounds: its oldest sets, twice as many each round, are compared with all sets
+   that have no match yet, in tasks of parts of both. As older sets come first, a match found is the earliest,
+   so sets that copy one template are done after the first round, which is in proportion to their number.
+4. Lines join the earliest match of their set; those after it go.
 
 Lines without words never match. Null and empty texts have no line to lose. Rows that share id and text are
 one document: the same lines go. A null id comes after all others. Extra columns aren't read or, by
@@ -29,22 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .candidates import HOT, PAIRED, Sets, candidate_edges, cut_if_any, grouped, keys, needed, order_of, parities, prefix_rows, width, words_of
 from .common import connected_components, cut, read
-from .jaccard_join import Order, bloom_of, in_bloom, order_of, tasks_of
-from .words import by_level, chunks, mix, sets, word_hashes
+from .words import chunks, sets, word_hashes
 
 PERCENT = 80
-#: Most sets compared in a task, and rows of a word from which it is salted, in parts of that many.
-MOST, HOT = 4096, 4096
-#: Words of the corpus for each bucket of prefix words; about a fifth of them are in prefixes.
-BUCKET = 250_000
-#: Bytes of text whose rows are packed at once, and prefix rows of a bucket from which copies are taken out on the way.
-PACK, ROWS = 1 << 23, 200_000
-#: Rows of whole words that are joined at once.
-RUN = 16_384
+#: Most sets, and words of these, that are compared in one task.
+MOST, WORDS = 4096, 1 << 21
+PLACE = ("last", "id", "text_key", "line")
 
 
-class Lines:
+class Lines(Sets):
     """The lines with words of a run of texts: their row, place in the text, and sets of word hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
@@ -58,341 +51,144 @@ class Lines:
         full = np.flatnonzero(np.diff(at))
         first = np.searchsorted(row, np.arange(len(offsets)))
         self.row, self.place = row[full], (np.arange(len(starts)) - first[row])[full]
-        self.words, self.at = words, np.append(at[full], len(words))
+        super().__init__(words, np.append(at[full], len(words)))
 
-    @property
-    def sizes(self) -> np.ndarray:
-        return np.diff(self.at)
 
-    def ids(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A 64-bit hash of each set and the two words of its signature of 128 bits."""
-
-        def total(x: np.ndarray, op) -> np.ndarray:
-            return op.reduceat(x, self.at[:-1]) if len(self.at) > 1 else np.zeros(0, np.uint64)
-
-        h = mix(total(mix(self.words + np.uint64(0x632BE59BD9B4E019)), np.add) + self.sizes.astype(np.uint64))
-        bit = (self.words >> np.uint64(53)) & np.uint64(127)
-        one = np.uint64(1) << (bit & np.uint64(63))
-        return h, total(np.where(bit < 64, one, np.uint64(0)), np.bitwise_xor), total(np.where(bit < 64, np.uint64(0), one), np.bitwise_xor)
-
-    def wide(self, i: int) -> bytes:
-        """The signature of set ``i`` beyond 128 bits; none for small sets."""
-        bits = width(int(self.at[i + 1] - self.at[i]))
-        return b"" if bits == 128 else parities(self.words[self.at[i] : self.at[i + 1]], bits).tobytes()
-
-
-def width(n: int) -> int:
-    """Bits of the signature of a set of ``n`` words: 128 up to 128 words, then 512, from 512 words on 2048."""
-    return 128 if n <= 128 else 512 if n <= 512 else 2048
-
-
-def parities(words: np.ndarray, bits: int) -> np.ndarray:
-    """For each of ``bits`` classes of words whether the set has an odd number of them, packed in 64-bit words.
-
-    Two sets differ in at least as many words as their signatures in bits. Halving a signature by exclusive
-    or of its halves gives the one of half the bits.
-    """
-    n = np.bincount(((words >> np.uint64(53)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((n & 1).astype(bool), bitorder="little").view(np.uint64)
-
-
-def _keys(h: np.ndarray, s: np.ndarray) -> pa.Array:
-    """16-byte keys: the set's hash and the first half of its signature."""
-    return _binary(np.column_stack([h, s]).tobytes(), 16 * np.arange(len(h) + 1))
-
-
-def _binary(raw: bytes, ends: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
-
-
-def _unkeyed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)  # of fixed length each
-    return raw[:, 0].copy(), raw[:, 1].copy()
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
     for batch in batches:
-        for first, end, data, offsets in chunks(batch.column(0)):
-            yield batch.slice(first, end - first), Lines(data, offsets)
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``PACK`` bytes of text, however long a batch's texts are."""
-    for batch in batches:
-        for first, end, _, _ in chunks(batch.column(0), PACK):
-            yield batch.slice(first, end - first)
-
-
-def _needed(a, b, t: int):
-    return -(-t * (a + b) // (100 + t))
+        for _, _, data, offsets in chunks(batch.column(0)):
+            yield Lines(data, offsets)
 
 
 def _occurrences(src: DataFrame) -> DataFrame:
-    def find(batches):
-        for rows, ls in _lines(batches):
-            own = rows.take(pa.array(ls.row))
-            h, s, _ = ls.ids()
-            yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(ls.place.astype(np.int32)), _keys(h, s), pa.array(ls.sizes.astype(np.int32))], ["id", "text_key", "line", "set", "n"])
-
-    return src.mapInArrow(find, "id long, text_key long, line int, set binary, n int")
-
+    """(id, text_key, line, set, n), a row a line with words."""
 
-def _prefix_rows(src: DataFrame, order: Order, percent: int, hot: int) -> DataFrame:
-    """(bucket, fixed, more): rows of the prefix words of a bucket, packed, one blob a run of texts and bucket.
-
-    Five numbers a row: word, set, signature (two), and shape, the set's size and the word's place in it; then
-    the wider signatures of those that have one. There are as many buckets as the words seen make ``BUCKET`` each.
-    """
-    buckets = max(64, order.total // BUCKET)
-    shared = src.sparkSession.sparkContext.broadcast(order)
-
-    def rows(batches):
-        o = shared.value
-        for batch in _slices(batches):
-            parts = []
-            for _, ls in _lines(iter([batch])):
-                n = ls.sizes
-                level = o.level(ls.words)
-                by, place = by_level(level, ls.at)
-                pick = (place < np.repeat(n - -(-percent * n // 100) + 1, n)) & (level[by] > 0)
-                by, place = by[pick], place[pick]
-                h, s1, s2 = ls.ids()
-                more = np.array([ls.wide(i) if k > 128 else b"" for i, k in enumerate(n.tolist())] or [b""], object)
-                of = np.repeat(np.arange(len(n)), n)[by]
-                word, set_, sig1, sig2 = ls.words[by], h[of], s1[of], s2[of]
-                shape = (n[of] << 32) | place
-                # a hot word's sets are dealt to parts; a row goes to its part's group with each part
-                count = np.where(level[by] >= hot, level[by], 1)
-                many = -(-count // hot)
-                part = (set_ % many.astype(np.uint64)).astype(np.int64)
-                again = np.repeat(np.arange(len(by)), many)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(many) - many, many)
-                a, b = np.minimum(part[again], other), np.maximum(part[again], other)
-                key = np.where(many[again] > 1, mix(word[again] ^ mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))), word[again])
-                parts.append((key, set_[again], sig1[again], sig2[again], shape[again], more[of[again]]))
-            if not parts:
-                continue
-            key, set_, sig1, sig2, shape, more = (np.concatenate(c) for c in zip(*parts, strict=True))
-            # copies of a line in this run send one row a word
-            new = np.unique(mix(key) ^ set_, return_index=True)[1]
-            bucket = (key[new] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            bucket, new = bucket[by], new[by]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            fixed = np.column_stack([key[new], set_[new], sig1[new], sig2[new], shape[new].view(np.uint64)])
-            more = more[new].tolist()
-            ends = np.cumsum([0, *map(len, more)])[np.append(first, len(new))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), _binary(fixed.tobytes(), 40 * np.append(first, len(new))), _binary(b"".join(more), ends)], ["bucket", "fixed", "more"]
-            )
-
-    return src.select("text").mapInArrow(rows, "bucket long, fixed binary, more binary")
-
-
-def _wider(more: list[bytes], bits: int) -> np.ndarray:
-    """Signatures of ``bits`` bits of the sets that have as many, zeros for the others."""
-    out = np.zeros((len(more), bits // 64), np.uint64)
-    for k in {8 * len(m) for m in more if 8 * len(m) >= bits}:
-        own = [i for i, m in enumerate(more) if 8 * len(m) == k]
-        out[own] = np.bitwise_xor.reduce(np.frombuffer(b"".join(more[i] for i in own), np.uint64).reshape(len(own), k // bits, bits // 64), axis=1)
-    return out
-
-
-def forest(key: np.ndarray, s1: np.ndarray, s2: np.ndarray, shape: np.ndarray, more: list[bytes], t: int) -> list[tuple[int, int]]:
-    """Index pairs that span the candidates of each word; rows are sorted by word, then by size."""
-    n, place = shape >> 32, shape & 0xFFFFFFFF
-    large = np.array([len(m) * 8 for m in more])
-    wider = [(bits, _wider(more, bits)) for bits in (512, 2048) if (large >= bits).any()]
-    up, label = list(range(len(key))), np.arange(len(key))
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out, i, d = [], np.arange(len(key)), 1
-    while True:
-        i = i[i + d < len(key)]
-        j = i + d
-        i = i[(key[i] == key[j]) & (100 * n[i] >= t * n[j])]  # the sizes ahead only grow
-        if not len(i):
-            return out
-        j = i + d
-        need = _needed(n[i], n[j], t)
-        could = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1
-        apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-        hit = np.flatnonzero((could >= need) & (apart <= n[i] + n[j] - 2 * need) & (label[i] != label[j]))
-        for bits, sig in wider:
-            both = (large[i[hit]] >= bits) & (large[j[hit]] >= bits)
-            apart = np.bitwise_count(sig[i[hit]] ^ sig[j[hit]]).sum(axis=1, dtype=np.int64)
-            hit = hit[~both | (apart <= (n[i] + n[j] - 2 * need)[hit])]
-        if len(hit):
-            for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    up[max(ra, rb)] = min(ra, rb)
-                    out.append((a, b))
-            label = np.array(up)
-            while True:
-                further = label[label]
-                if (further == label).all():
-                    break
-                label = further
-        d += 1
-
-
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges between sets whose components hold all matching pairs."""
-
-    def unpacked(fixed, more):
-        table = np.frombuffer(fixed, np.uint64).reshape(-1, 5)
-        if not more:
-            return table, [b""] * len(table)
-        size = np.array([0, 64, 256])[np.searchsorted([128, 512], table[:, 4].view(np.int64) >> 32)]
-        return table, [more[e - n : e] for e, n in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
-
-    def once(tables, wide):
-        """The rows by word, size, place and set, without copies."""
-        table = np.concatenate(tables)
-        key, h, s1, _, shape = (table[:, k].copy() for k in range(5))
-        by = np.lexsort((s1, h, shape, key))
-        new = np.ones(len(by), bool)
-        k, g, s = key[by], h[by], s1[by]
-        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-        by = by[new]
-        return table[by], [wide[i] for i in by.tolist()]
-
-    def buckets(batches):
-        """Rows and wider signatures of each bucket; its blobs follow each other. Copies go as they gather."""
-        now, tables, wide, n, kept = None, [], [], 0, 0
-        for batch in batches:
-            for bucket, f, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if bucket != now and tables:
-                    yield once(tables, wide)
-                    tables, wide, n, kept = [], [], 0, 0
-                now = bucket
-                table, more = unpacked(f, m)
-                tables.append(table)
-                wide += more
-                n += len(table)
-                if n > 2 * kept + ROWS:
-                    table, wide = once(tables, wide)
-                    tables, n, kept = [table], len(table), len(table)
-        if tables:
-            yield once(tables, wide)
-
-    def join(batches):
-        for table, wide in buckets(batches):
-            key, h, s1, s2, shape = (table[:, k].copy() for k in range(5))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            first = first[np.unique(first // RUN, return_index=True)[1]]
-            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
-                run = slice(low, high)
-                pairs = forest(key[run], s1[run], s2[run], shape[run].view(np.int64), wide[run], percent)
-                if not pairs:
-                    continue
-                a, b = (low + np.array(x) for x in zip(*pairs, strict=True))
-                yield pa.RecordBatch.from_arrays([_keys(h[a], s1[a]), _keys(h[b], s1[b])], ["a", "b"])
-
-    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(join, "a binary, b binary").filter("a <> b").distinct()
-
-
-def _place(prefix: str = "") -> Column:
-    return F.struct(F.col(f"{prefix}id").isNull().alias("last"), F.coalesce(F.col(f"{prefix}id"), F.lit(0)).alias("id"), F.col(f"{prefix}text_key").alias("text_key"), F.col(f"{prefix}line").alias("line"))
-
-
-def _words_of(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, words) of the wanted sets, each once; a filter of fixed size spares most other lines the shuffle."""
-
-    def own_hash(batches):
+    def find(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_unkeyed(batch.column(0))[0].view(np.int64))], ["h"])
+            for first, end, data, offsets in chunks(batch.column(0)):
+                ls = Lines(data, offsets)
+                h, s, _ = ls.ids()
+                own = [batch.column(k).slice(first, end - first).take(pa.array(ls.row)) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ls.place.astype(np.int32)), keys(h, s), pa.array(ls.sizes.astype(np.int32))], ["id", "text_key", "line", "set", "n"])
 
-    shared = src.sparkSession.sparkContext.broadcast(bloom_of(wanted.mapInArrow(own_hash, "h long")))
+    return src.select("text", "id", "text_key").mapInArrow(find, "id long, text_key long, line int, set binary, n int")
 
-    def bring(batches):
-        for batch in _slices(batches):
-            seen: dict[bytes, bytes] = {}
-            for _, ls in _lines(iter([batch])):
-                h, s, _ = ls.ids()
-                keep = np.flatnonzero(in_bloom(shared.value, h))
-                for k, i in zip(_keys(h[keep], s[keep]).to_pylist(), keep.tolist(), strict=True):
-                    if k not in seen:
-                        seen[k] = ls.words[ls.at[i] : ls.at[i + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["set", "words"])
 
-    return src.select("text").mapInArrow(bring, "set binary, words binary").join(wanted.distinct(), "set", "left_semi").dropDuplicates(["set"])
+def _place() -> Column:
+    return F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", F.lit(0)).alias("id"), "text_key", "line")
 
 
-def earliest(words: list[np.ndarray], t: int) -> list[int | None]:
-    """For each set, in order of age, the index of the oldest before it that matches."""
+def earliest(words: list[np.ndarray], t: int, old: np.ndarray | None = None, new: np.ndarray | None = None) -> list[int | None]:
+    """For each set, in order of age, the index of the oldest before it that matches.
+
+    With ``old`` and ``new``, only sets of ``new`` get one, and only sets of ``old`` are matched.
+    """
     n = np.array([len(w) for w in words])
     packed = np.array([parities(w, width(int(n.max()))) for w in words])
     out: list[int | None] = [None]
     for i in range(1, len(words)):
-        need = _needed(n[:i], n[i], t)
-        apart = np.bitwise_count(packed[:i] ^ packed[i]).sum(axis=1)
         hit = None
-        for j in np.flatnonzero((apart <= n[:i] + n[i] - 2 * need) & (np.minimum(n[:i], n[i]) >= need)).tolist():
-            if len(np.intersect1d(words[i], words[j], assume_unique=True)) >= need[j]:
-                hit = j
-                break
+        if new is None or new[i]:
+            need = needed(n[:i], n[i], t)
+            apart = np.bitwise_count(packed[:i] ^ packed[i]).sum(axis=1)
+            could = (apart <= n[:i] + n[i] - 2 * need) & (np.minimum(n[:i], n[i]) >= need)
+            for j in np.flatnonzero(could if old is None else could & old[:i]).tolist():
+                if len(np.intersect1d(words[i], words[j], assume_unique=True)) >= need[j]:
+                    hit = j
+                    break
         out.append(hit)
     return out
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"set": pa.binary(), "last": pa.bool_(), "id": pa.int64(), "text_key": pa.int64(), "line": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
-
+def _compared(tasks: DataFrame, percent: int) -> DataFrame:
+    """(set, last, id, text_key, line): the place of the oldest match that a task finds for a set.
 
-def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, removed): the places, from 0, of the lines that go, of documents that lose some."""
-    text = F.col(text_col).cast("string")
-    src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
-
-    def sets_of(batches):
-        for rows, ls in _lines(batches):
-            yield rows, ls.words, ls.at
+    ``tasks``: (task, old, new, set, place, words); a set is matched with those that ``old`` marks if ``new``
+    marks it.
+    """
+    kinds = {"set": pa.binary(), "last": pa.bool_(), "id": pa.int64(), "text_key": pa.int64(), "line": pa.int32()}
 
-    order = order_of(src.select("text"), sets_of, one_in=1)
-    found = cut(_occurrences(src))
-    known = found.groupBy("set").agg(F.min(_place()).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"))
-    near = connected_components(_candidates(_prefix_rows(src, order, percent, hot), percent))
-    near = cut(near.join(known, F.col("node") == F.col("set")).select("set", F.col("n").cast("long").alias("n"), "root", "first"))
-    tasks = tasks_of(near.select("set", "n", "root"), percent, most)
-    ready = tasks.join(near.select("set", "first.*"), "set").join(_words_of(src, near.select("set")), "set")
-
-    def groups(batches):
-        """The rows of each task, without its name; they follow each other."""
-        now, rows = None, []
-        for batch in batches:
-            for task, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if task != now and rows:
-                    yield rows
-                    rows = []
-                now = task
-                rows.append(row)
-        if rows:
-            yield rows
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     def compare(batches):
         out = []
-        for rows in groups(batches):
-            hits = earliest([np.frombuffer(row[-1], np.uint64) for row in rows], percent)
-            out += [(row[0], *rows[j][1:5]) for row, j in zip(rows, hits, strict=True) if j is not None]
+        for _, group in grouped(batches):
+            rows = list(group)
+            old, new = (np.array([r[k] for r in rows]) for k in (0, 1))
+            hits = earliest([np.frombuffer(r[-1], np.uint64) for r in rows], percent, old, new)
+            out += [(r[2], *rows[j][3:7]) for r, j in zip(rows, hits, strict=True) if j is not None]
             if len(out) >= 10_000:
-                yield _found(out)
+                yield packed(out)
                 out = []
         if out:
-            yield _found(out)
+            yield packed(out)
+
+    by_task = tasks.select("task", "old", "new", "set", *PLACE, "words").repartition("task").sortWithinPartitions("task", *PLACE)
+    found = by_task.mapInArrow(compare, "set binary, last boolean, id long, text_key long, line int")
+    return found.groupBy("set").agg(F.min(F.struct(*PLACE)).alias("match"))
+
+
+def _parts(most: int, words: int) -> Column:
+    """The number of parts of a component's rows, so that two of them fit a task."""
+    return F.greatest(F.lit(1), F.ceil(2 * F.col("sets") / most), F.ceil(2 * F.col("total") / words))
+
+
+def _rounds(big: DataFrame, percent: int, most: int, words: int) -> DataFrame:
+    """(set, match) of the sets of components beyond a task: (root, set, n, place, words)."""
+    age = F.when(F.col("last"), F.lit((1 << 63) - 1)).otherwise(F.col("id"))
+    big = cut(big.withColumn("age", age))
+    largest = big.groupBy("root").count().agg(F.max("count")).first()[0]
+    shares = [min(1.0, most * 2**k / largest) for k in range(64) if k == 0 or most * 2 ** (k - 1) < largest]
+    limits = big.groupBy("root").agg(F.percentile_approx("age", F.array(*map(F.lit, shares)), F.lit(10_000)).alias("limits"))
+    big = big.join(limits, "root")
+    waiting, matched, salt = big, None, F.xxhash64("set")
+    for k in range(len(shares)):
+        upto = F.element_at("limits", k + 1) if k + 1 < len(shares) else F.lit((1 << 63) - 1)
+        old = big.filter(F.col("age") <= upto)
+        if k:
+            old = old.filter(F.col("age") > F.element_at("limits", k))
+        sides = []
+        for side, name in ((old, "o"), (waiting, "w")):
+            count = side.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+            count = count.select("root", _parts(most, words).cast("long").alias(f"{name}_parts"))
+            sides.append((side, count))
+        both = sides[0][1].join(sides[1][1], "root")
+        own = [side.join(both, "root").withColumn(f"{name}", F.pmod(salt, F.col(f"{name}_parts"))) for (side, _), name in zip(sides, "ow", strict=True)]
+        other = [F.explode(F.sequence(F.lit(0).cast("long"), F.col("w_parts") - 1)).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_parts") - 1)).alias("o")]
+        tasks = None
+        for rows, spread, name in ((own[0], other[0], "o"), (own[1], other[1], "w")):
+            rows = rows.select("root", "set", *PLACE, "words", name, spread).withColumn("task", F.xxhash64("root", "o", "w"))
+            rows = rows.select("task", F.lit(name == "o").alias("old"), F.lit(name == "w").alias("new"), "set", *PLACE, "words")
+            tasks = rows if tasks is None else tasks.unionByName(rows)
+        found = cut(_compared(tasks, percent))
+        matched = found if matched is None else matched.unionByName(found)
+        if k + 1 < len(shares):
+            waiting = cut_if_any(waiting.join(found.select("set"), "set", "left_anti"))
+            if waiting is None:
+                break
+    return matched.groupBy("set").agg(F.min("match").alias("match"))
+
 
-    place = ("last", "id", "text_key", "line")
-    by_task = ready.select("task", "set", *place, "words").repartition("task").sortWithinPartitions("task", *place)
-    matched = by_task.mapInArrow(compare, "set binary, last boolean, id long, text_key long, line int")
-    matched = matched.groupBy("set").agg(F.min(F.struct("last", "id", "text_key", "line")).alias("match"))
+def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED, words: int = WORDS) -> DataFrame:
+    """(id, text_key, removed): the places, from 0, of the lines that go, of documents that lose some."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
+    order = order_of(src.select("text"), _lines)
+    found = cut(_occurrences(src))
+    near = connected_components(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent))
+    # sets that occur once and are like no other have no part in what follows
+    known = found.groupBy("set").agg(F.min(_place()).alias("first"), F.count("*").alias("times"), F.first("n").cast("long").alias("n"))
+    known = cut(known.join(near, F.col("set") == F.col("node"), "left").filter("times > 1 or root is not null").select("set", "first", "times", "n", "root"))
+    near = known.filter("root is not null").select("root", "set", "n", "first.*")
+    sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
+    ready = near.join(words_of(src, _lines, near), "set").join(sizes, "root")
+    fits = (F.col("sets") <= most) & (F.col("total") <= words)
+    matched = _compared(ready.filter(fits).select(F.xxhash64("root").alias("task"), F.lit(True).alias("old"), F.lit(True).alias("new"), "set", *PLACE, "words"), percent)
+    if sizes.filter(~fits).limit(1).count():
+        ready = cut(ready)
+        matched = _compared(ready.filter(fits).select(F.xxhash64("root").alias("task"), F.lit(True).alias("old"), F.lit(True).alias("new"), "set", *PLACE, "words"), percent)
+        matched = matched.unionByName(_rounds(ready.filter(~fits).drop("sets", "total"), percent, most, words))
     cuts = known.join(matched, "set", "left").filter((F.col("times") > 1) | F.col("match").isNotNull()).select("set", F.coalesce("match", "first").alias("upto"))
     gone = found.join(cut(cuts), "set").filter(_place() > F.col("upto"))
     return gone.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
@@ -407,6 +203,7 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed): lines of each document, and the places, from 0, of those that go."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     gone = later_lines(docs)
     lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.size(F.split("text", "\n", -1))).otherwise(0).alias("n_lines"))

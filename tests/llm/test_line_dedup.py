@@ -26,8 +26,8 @@ def brute(rows, t, key):
     return out
 
 
-@pytest.mark.parametrize("seed,t,most,hot", [(1, 80, 4096, 4096), (2, 80, 6, 5), (3, 60, 4, 3)])
-def test_against_brute_force(spark, seed, t, most, hot):
+@pytest.mark.parametrize("seed,t,most,hot,paired", [(1, 80, 4096, 4096, 32), (2, 80, 6, 5, 2), (3, 60, 4, 3, 3), (4, 60, 4096, 2, 1), (5, 45, 4, 3, 2)])
+def test_against_brute_force(spark, seed, t, most, hot, paired):
     rnd = random.Random(seed)
     vocab = [f"w{i}" for i in range(40)]
     base = [[rnd.choice(vocab) for _ in range(rnd.choice([1, 2, 4, 10, 30]))] for _ in range(25)]
@@ -43,7 +43,7 @@ def test_against_brute_force(spark, seed, t, most, hot):
     rows += [(100, None), (101, ""), (102, "\n\n"), (None, rows[3][1]), (5, rows[5][1]), (4, "W1 w2\nw2 W1\n\u00e9 x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit(1)).repartition(3)
     key = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
-    got = [(r["doc_id"], r["text"]) for r in remove_lines(docs, t, most=most, hot=hot).collect()]
+    got = [(r["doc_id"], r["text"]) for r in remove_lines(docs, t, most=most, hot=hot, paired=paired).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, brute(rows, t, key)))
 
 
