@@ -1,24 +1,21 @@
 """Similarity self-join of documents on the Jaccard index of word n-gram sets, with prefix trees.
 
-1. Every document's set of distinct n-gram hashes is reduced to a 128-bit hash; documents with one set
-   are one class, so copies are joined once.
-2. How many documents hold an n-gram orders all n-grams: those of one document first (they can't match
+1. How many documents hold an n-gram orders all n-grams: those of one document first (they can't match
    anything), those of many last. Spark counts, over all documents, the n-grams whose hash is 0 modulo
-   ``ONE_IN``; the others come between the rare and the frequent ones. As the prefixes of step 3 are
-   shorter than the part that is counted, most documents' prefixes hold nothing else. What the tasks
-   get has a fixed size whatever the input: a Bloom filter of ``BLOOM_BITS`` bits of the counted n-grams
-   that occur more than once, and the counts of the ``HEAVY`` most frequent ones. Any total order gives
-   the same result, so an n-gram that isn't counted or a filter that has filled up only costs time.
-3. Two sets with a Jaccard index of t or more share one of the first n - ceil(t n) + 1 n-grams in that
-   order (n of them in the set). These prefixes, without the n-grams of one document, link classes to
-   the least class that has the n-gram. The components of this graph, with a row a class and prefix
-   n-gram, hold all similar pairs.
-4. The sets of a component that fit one task (``MOST`` sets) are stored in a trie, most frequent n-gram
-   first, so that near copies share long paths. A set walks down the trie with the number of n-grams
-   missed so far; a subtree ends when the n-grams missed exceed what the sizes still allow, or when all
-   sets under it are in the walking set's own class already. A larger component is cut, by size of
-   set, into runs; each pair of runs whose sizes are close enough is a task of its own.
-5. Components of the links found are the classes of documents.
+   ``ONE_IN``; the others come between the rare and the frequent ones. As the prefixes are shorter than
+   the part that is counted, most documents' prefixes hold nothing else.
+2. Documents with one set are one class, named by a 128-bit hash of the set, so copies are joined once.
+3. Prefix, length, positional and signature filters leave candidates, as edges whose components hold all
+   similar pairs (``candidates``); nearly all of these edges are links.
+4. The sets of a component that fit one task (``MOST`` sets, ``GRAMS`` n-grams) are stored in a trie in the
+   global order, frequent n-grams first, so that near copies share long paths. A set walks down the trie with
+   the number of n-grams missed so far; a subtree ends when the n-grams missed exceed what the sizes still
+   allow, or when all sets under it are in the walking set's own class already.
+5. A larger component is cut at random into parts of half that size, which are joined alone; then one set of
+   each class that this gives is joined with the others' in the same way. Now most sets share one class, and
+   sets of one class need no further comparison. What is left are pairs of parts of different classes, and
+   of sizes that are close enough; each is a task of its own.
+6. Components of the links found are the classes of documents.
 
 No pair list of a group is emitted: each task gives a spanning forest of its links, or all links if asked.
 
@@ -29,114 +26,34 @@ smallest id of its class, and is null only if all ids are. Extra columns aren't
 
 from __future__ import annotations
 
-import hashlib
 import math
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .candidates import HOT, PAIRED, Order, Sets, candidate_edges, cut_if_any, grouped, keys, needed, order_of, prefix_rows, words_of
 from .common import connected_components, cut, read
-from .words import by_level, chunks, mix, ngrams, sets, word_hashes
+from .words import chunks, ngrams, sets, word_hashes
 
-#: Fixed sizes of what tasks are sent, and the most sets of a task.
-BLOOM_BITS, HEAVY, MOST = 1 << 26, 100_000, 4096
-#: One in so many n-grams is counted to order them all.
-ONE_IN = 3
+#: Most sets of a task, and n-grams of these; one in so many n-grams is counted to order them all.
+MOST, GRAMS, ONE_IN = 4096, 1 << 21, 3
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(ids, sorted distinct n-gram hashes, row bounds) for runs of rows."""
-    for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
-        for first, end, data, offsets in chunks(text):
-            hashes, bounds, _ = word_hashes(data, offsets)
-            grams, at, _ = ngrams(hashes, bounds, n)
-            yield ids.slice(first, end - first), *sets(grams, at)
+def _sets_of(n: int):
+    """Sets of the distinct n-grams of each row; the text is column 0."""
 
-
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.view(np.int64)))
-
-
-def _set_hashes(grams: np.ndarray, at: np.ndarray) -> list[bytes | None]:
-    return [hashlib.blake2b(grams[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    m = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    return [(m & np.uint64(bits - 1)).astype(np.int64), ((m >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
-
-
-def _counted(h: np.ndarray, one_in: int) -> np.ndarray:
-    return h % np.uint64(one_in) == 0
-
-
-def bloom_of(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of the 64-bit column 0 of ``keys``, ``bits`` bits whatever the number of keys."""
-
-    def words(batches):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[Sets]:
         for batch in batches:
-            at = np.unique(np.concatenate(_positions(batch.column(0).to_numpy().view(np.uint64), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
-
-    bloom = np.zeros(bits >> 6, np.int64)
-    for part in keys.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        bloom[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return bloom.view(np.uint8)
-
-
-def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _positions(h, 8 * len(bloom))
-    return (bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1
-
-
-class Order:
-    """The order of n-grams as tasks see it: ``level`` 0 for one document only, 1 for rare, 2 for not counted, more for frequent."""
-
-    def __init__(self, bloom: np.ndarray, heavy: np.ndarray, count: np.ndarray, one_in: int, total: int):
-        self.bloom, self.heavy, self.count, self.one_in = bloom, heavy, count, one_in
-        self.total = total  # tokens of sets that are in other sets too
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), 2, np.int64)
-        known = np.flatnonzero(_counted(h, self.one_in))
-        h = h[known]
-        out[known] = in_bloom(self.bloom, h)
-        if len(self.heavy):
-            i = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
-            same = self.heavy[i] == h
-            out[known[same]] = self.count[i[same]]
-        return out
-
-
-def order_of(src: DataFrame, sets_of: Callable, one_in: int = ONE_IN, bits: int = BLOOM_BITS, heavy: int = HEAVY) -> Order:
-    """Counts in how many sets each token is, and gathers the fixed-size summary of it.
-
-    ``sets_of`` takes batches of ``src`` and gives (ids, sorted distinct tokens, bounds of the sets).
-    """
+            for _, _, data, offsets in chunks(batch.column(0)):
+                hashes, bounds, _ = word_hashes(data, offsets)
+                grams, at, _ = ngrams(hashes, bounds, n)
+                yield Sets(*sets(grams, at))
 
-    def tokens(batches):
-        for _, g, _ in sets_of(batches):
-            once, counts = np.unique(g[_counted(g, one_in)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(once.view(np.int64)), pa.array(counts.astype(np.int64))], ["g", "n"])
-
-    counted = cut(src.mapInArrow(tokens, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1"))
-    bloom = bloom_of(counted.select("g"), bits)
-    top = counted.filter("n > 2").orderBy(F.desc("n"), "g").limit(heavy).toArrow()
-    g, c = top.column("g").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by = np.argsort(g)
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    return Order(bloom, g[by], c[by].astype(np.int64), one_in, one_in * total)
-
-
-def _needed(a: int, b: int, t: int) -> int:
-    """Least intersection of sets of ``a`` and ``b`` n-grams with 100 * intersection >= t * union."""
-    return -(-t * (a + b) // (100 + t))
+    return of
 
 
 class _Node:
@@ -213,7 +130,7 @@ class Trie:
             if low > high or (not every and self._group(node) == self.find(key)):
                 continue
             # n-grams of the stored sets that may still be missing in this one
-            missed, spare = depth - hit, high - _needed(n, high, t)
+            missed, spare = depth - hit, high - needed(n, high, t)
             for r in node.path:
                 if r not in members:
                     missed += 1
@@ -224,30 +141,36 @@ class Trie:
             depth += len(node.path)
             hit = depth - missed
             rest = n - bisect_right(path, node.path[-1]) if node.path else n
-            if hit + min(rest, high - depth) < _needed(n, low, t):
+            if hit + min(rest, high - depth) < needed(n, low, t):
                 continue
-            if node.ends >= 0 and low <= depth <= high and hit >= _needed(n, depth, t) and (every or self.find(node.ends) != self.find(key)):
+            if node.ends >= 0 and low <= depth <= high and hit >= needed(n, depth, t) and (every or self.find(node.ends) != self.find(key)):
                 found.append(node.ends)
                 self.union(key, node.ends)
             stack.extend((c, depth, hit) for c in node.children.values())
         return found
 
 
-def join_sets(keys: list, arrays: list[np.ndarray], t: int, every: bool, second: np.ndarray | None = None) -> list[tuple]:
+def join_sets(keys: list, arrays: list[np.ndarray], t: int, every: bool = False, second: np.ndarray | None = None, level=None, classes: list | None = None) -> list[tuple]:
     """Links (key, key) of sorted sets; with ``second`` (true for sets of a second run) only across the runs.
 
-    Ranks are frequent first, so that similar sets share the start of their paths.
+    ``level`` gives the places of n-grams in the global order; paths start with the last of it. Sets that
+    share a value of ``classes`` are known to be in one class.
     """
     flat = np.concatenate(arrays)
-    values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    values, inverse = np.unique(flat, return_inverse=True)
     rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -counts))] = np.arange(len(values))
+    rank[np.lexsort((values, -(level(values) if level else np.zeros(len(values), np.int64))))] = np.arange(len(values))
     ranks, out, at = rank[inverse], [], 0
     paths = []
     for a in arrays:
         paths.append(np.sort(ranks[at : at + len(a)]))
         at += len(a)
     trie = Trie(len(keys))
+    known: dict = {}
+    for i, c in enumerate(classes or []):
+        if c in known:
+            trie.union(i, known[c])
+        known.setdefault(c, i)
     by_size = sorted(range(len(keys)), key=lambda i: (len(paths[i]), i))
     if second is not None:
         by_size = [i for i in by_size if not second[i]] + [i for i in by_size if second[i]]
@@ -260,105 +183,116 @@ def join_sets(keys: list, arrays: list[np.ndarray], t: int, every: bool, second:
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, every: bool = False, order: Order | None = None) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_shingles, component_id) a row a document, (a, b) links between classes by their set hash).
+def _joined(tasks: DataFrame, order, percent: int, every: bool) -> DataFrame:
+    """(a, b): the links that tasks find. ``tasks``: (task, second, across, class, set, words)."""
+
+    def join(batches):
+        for _, group in grouped(batches):
+            rows = list(group)
+            second = np.array([r[0] for r in rows]) if rows[0][1] else None
+            found = join_sets([r[3] for r in rows], [np.frombuffer(r[4], np.uint64) for r in rows], percent, every, second, order.value.level, [r[2] for r in rows] if not every else None)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    by_task = tasks.select("task", "second", "across", "class", "set", "words").repartition("task").sortWithinPartitions("task")
+    return by_task.mapInArrow(join, "a binary, b binary")
+
+
+def _alone(sized: DataFrame, name) -> DataFrame:
+    """Tasks of whole groups of rows of (set, class, words): ``name`` is the group."""
+    return sized.select(name.alias("task"), F.lit(False).alias("second"), F.lit(False).alias("across"), "class", "set", "words")
+
+
+def _split(rows: DataFrame, by: list[str], most: int, grams: int) -> DataFrame:
+    """``rows`` with ``part``: a random cut of each group into parts of about half a task."""
+    size = rows.groupBy(*by).agg(F.count("*").alias("__sets"), F.sum("n").alias("__n"))
+    size = size.select(*[F.col(c).alias(f"__{c}") for c in by], F.greatest(F.lit(1), F.ceil(2 * F.col("__sets") / most), F.ceil(2 * F.col("__n") / grams)).alias("parts"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return rows.join(size, on).drop(*[f"__{c}" for c in by]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+
+
+def _large(big: DataFrame, order, percent: int, most: int, grams: int, every: bool) -> DataFrame:
+    """(a, b): links of the components beyond a task. ``big``: (root, set, n, words)."""
+    big, links, label = cut(big), None, F.col("set")
+    if not every:
+        parts = _split(big.withColumn("class", F.col("set")), ["root"], most, grams)
+        links = cut(_joined(_alone(parts, F.concat_ws("/", F.hex("root"), "part")), order, percent, False))
+        one = connected_components(links)
+        # one set of each class: the class is named by one of its sets
+        classes = big.select("root", "set").join(one.select("node", F.col("root").alias("class")), F.col("set") == F.col("node"), "left").select("root", F.coalesce("class", "set").alias("set")).distinct()
+        firsts = big.join(classes.select("set"), "set", "left_semi").withColumn("class", F.col("set"))
+        parts = _split(firsts, ["root"], most, grams)
+        more = cut(_joined(_alone(parts, F.concat_ws("/", F.hex("root"), "part")), order, percent, False))
+        links = links.unionByName(more)
+        one = connected_components(links).select("node", F.col("root").alias("class"))
+        big = cut(big.join(one, F.col("set") == F.col("node"), "left").withColumn("class", F.coalesce("class", "set")).drop("node"))
+    else:
+        big = big.withColumn("class", F.col("set"))
+    # a class that fills parts of its own has them for itself; the others of a component share theirs
+    step = math.log(100 / percent) * 1.0001  # no rounding may part two sizes that go together
+    big = big.withColumn("cell", F.floor(F.log(F.col("n").cast("double")) / step))
+    wide = big.groupBy("root", "class").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).filter((F.col("sets") >= most // 2) | (F.col("total") >= grams // 2)).select(F.col("root").alias("r"), F.col("class").alias("whole"))
+    big = big.join(wide, (F.col("root") == F.col("r")) & (F.col("class") == F.col("whole")), "left").drop("r")
+    big = cut(_split(big, ["root", "whole", "cell"], most, grams))
+    runs = big.select("root", "whole", "cell", "part").distinct().withColumn("run", F.xxhash64("root", "whole", "cell", "part"))
+    other = runs.select("root", F.col("whole").alias("whole2"), F.col("cell").alias("cell2"), F.col("run").alias("run2"))
+    # next cells only: sizes two cells apart differ by more than the Jaccard index allows
+    pairs = runs.withColumn("cell2", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).join(other, ["root", "cell2"])
+    pairs = pairs.filter(((F.col("cell") < F.col("cell2")) | (F.col("run") < F.col("run2"))) & ~F.coalesce(F.col("whole") == F.col("whole2"), F.lit(False)))
+    both = pairs.select(F.xxhash64("run", "run2").alias("task"), F.explode(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("second")), F.struct(F.col("run2").alias("run"), F.lit(True).alias("second")))).alias("x"))
+    rows = big.withColumn("run", F.xxhash64("root", "whole", "cell", "part"))
+    across = rows.join(both.select("task", "x.*"), "run").select("task", "second", F.lit(True).alias("across"), "class", "set", "words")
+    # what shares a part is joined there, unless it is one class
+    own = _alone(rows.filter("whole is null"), F.col("run"))
+    last = _joined(across.unionByName(own), order, percent, every)
+    return last if links is None else links.unionByName(last)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, every: bool = False, order: Order | None = None, grams: int = GRAMS, hot: int = HOT, paired: int = PAIRED, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, n_shingles, component_id, class) a row a document, (a, b) links between classes by their set's name).
 
     Documents link when the Jaccard index of their n-gram sets is ``percent`` hundredths or more.
-    ``component_id`` is the smallest id that links reach. With ``every``, the second frame has all links
-    between different sets, else a spanning forest of them.
+    ``component_id`` is the smallest id that links reach; ``class`` names the component, null for an empty set.
+    With ``every``, the second frame has all links between different sets, else a spanning forest of them.
+    Columns of ``keep`` are in the first frame too.
     """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = order or order_of(src, lambda batches: _sets_of(batches, n))
-    shared = spark.sparkContext.broadcast(order)
+    spark, sets_of = docs.sparkSession, _sets_of(n)
+    src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
+    order = order or order_of(src.select("text"), sets_of, ONE_IN)
 
-    def prefixes(batches):
-        o = shared.value
-        for ids, g, at in _sets_of(batches, n):
-            sizes = np.diff(at)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            level = o.level(g)
-            by, place = by_level(level, at)
-            take = sizes - -(-percent * sizes // 100) + 1
-            pick = by[place < np.repeat(take, sizes)]
-            pick = pick[level[pick] > 0]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes), pa.array(_set_hashes(g, at), pa.binary()), _lists(g[pick], np.bincount(row[pick], minlength=len(sizes)))],
-                ["id", "n", "set", "prefix"],
-            )
-
-    rows = cut(src.mapInArrow(prefixes, "id long, n long, set binary, prefix array<long>"))
-    prefix = rows.filter("size(prefix) > 0").select("set", F.explode("prefix").alias("g")).distinct()
-    least = prefix.groupBy("g").agg(F.min("set").alias("first"), F.count("*").alias("sets")).filter("sets > 1")
-    near = connected_components(prefix.join(least, "g").filter("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b")))
-
-    # one document of each class that is in a component brings the set itself
-    near = near.join(rows.groupBy("set").agg(F.min("n").alias("n")), F.col("node") == F.col("set")).select("set", "n", "root")
-    sized = cut(tasks_of(near, percent, most))
-    wanted = rows.join(sized.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("id").alias("id"))
-    sets_ = _fetch(src, wanted, n)
-    tasks = sized.join(sets_, "set").select("task", "second", "across", "set", "grams")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-        across = bool(pdf["across"].iloc[0])
-        found = join_sets(list(pdf["set"]), arrays, percent, every, pdf["second"].to_numpy() if across else None)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    links = cut(tasks.groupBy("task").applyInPandas(verify, "a binary, b binary"))
-    comp = connected_components(links)
+    def name(batches):
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(0)):
+                own = next(sets_of(iter([batch.slice(first, end - first)])))
+                h, s, _ = own.ids()
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[1:]), pa.array(own.sizes), keys(h, s)], ["id", "kept", "n", "set"])
+
+    rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", "long").add("set", "binary")))
+    near = connected_components(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent))
+    near = cut(near.join(rows.groupBy("set").agg(F.min("n").alias("n")), F.col("node") == F.col("set")).select("root", "set", "n"))
+    sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
+    ready = near.join(words_of(src, sets_of, near), "set").join(sizes, "root")
+    fits = (F.col("sets") <= most) & (F.col("total") <= grams)
+    shared = spark.sparkContext.broadcast(order)
+    large = sizes.filter(~fits).limit(1).count()
+    if large:
+        ready = cut(ready)
+    links = _joined(_alone(ready.filter(fits).withColumn("class", F.col("set")), F.hex("root")), shared, percent, every)
+    links = cut(links.unionByName(_large(ready.filter(~fits).select("root", "set", "n", "words"), shared, percent, most, grams, every)) if large else links)
     classes = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("low"))
-    labelled = classes.join(comp, F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("root", "set").alias("root"))
+    labelled = classes.join(connected_components(links), F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("root", "set").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    answer = cut(labelled.join(lowest, "root").select("set", "component_id"))
+    answer = cut(labelled.join(lowest, "root").select("set", "component_id", F.col("root").alias("class")))
     out = rows.join(answer, "set", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class")).alias("class"), *[F.col(f"kept.`{c}`").alias(c) for c in keep]
     )
     return out, links
 
 
-def tasks_of(near: DataFrame, percent: int, most: int) -> DataFrame:
-    """(task, second, across, set): which task compares which sets. ``near``: (set, n, root).
-
-    A component of at most ``most`` sets is one task. A larger one is cut into runs: cells of sizes (a run's
-    largest size is at most 1/t of its least), each split by hash into parts of about ``most`` / 2 sets; a
-    task for every part, and one for every two parts whose cells are the same or next to each other.
-    """
-    total = near.groupBy("root").agg(F.count("*").alias("sets"))
-    near = near.join(total, "root")
-    small = near.filter(F.col("sets") <= most).select(F.concat(F.lit("c"), F.hex("root")).alias("task"), F.lit(False).alias("second"), F.lit(False).alias("across"), "set")
-    step = math.log(100 / percent) * 1.0001  # no rounding may part two sizes that go together
-    big = near.filter(F.col("sets") > most).withColumn("cell", F.floor(F.log(F.col("n").cast("double")) / step))
-    parts = big.groupBy("root", "cell").agg(F.ceil(F.count("*") / (most // 2)).alias("parts"))
-    big = big.join(parts, ["root", "cell"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
-    own = F.concat_ws("/", F.hex("root"), "cell", "part")
-    alone = big.select(F.concat(F.lit("r"), own).alias("task"), F.lit(False).alias("second"), F.lit(False).alias("across"), "set")
-    runs = parts.select("root", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    other = runs.select(F.col("root").alias("root2"), F.col("cell").alias("cell2"), F.col("part").alias("part2"))
-    # next cells only: sizes two cells apart differ by more than the Jaccard index allows
-    pairs = runs.withColumn("cell2", F.explode(F.array(F.col("cell"), F.col("cell") + 1))).join(other.withColumnRenamed("root2", "root"), ["root", "cell2"])
-    pairs = pairs.filter((F.col("cell") < F.col("cell2")) | (F.col("part") < F.col("part2")))
-    pairs = pairs.select("root", F.concat(F.lit("p"), F.concat_ws("/", F.hex("root"), "cell", "part", "cell2", "part2")).alias("task"), F.explode(F.array(
-        F.struct(F.col("cell").alias("cell"), F.col("part").alias("part"), F.lit(False).alias("second")),
-        F.struct(F.col("cell2").alias("cell"), F.col("part2").alias("part"), F.lit(True).alias("second")),
-    )).alias("run")).select("root", "task", "run.*")
-    across = big.join(pairs, ["root", "cell", "part"]).select("task", "second", F.lit(True).alias("across"), "set")
-    return small.unionByName(alone).unionByName(across)
-
-
-def _fetch(src: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(set, grams) of the wanted (set, id): the n-gram sets of the documents with these ids, each set once."""
-
-    def bring(batches):
-        for _, g, at in _sets_of(batches, n):
-            hashes = _set_hashes(g, at)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array([g[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["set", "grams"])
-
-    texts = src.join(wanted.select(F.col("id").alias("want")).distinct(), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    got = texts.mapInArrow(bring, "set binary, grams binary")
-    return got.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
-
-
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)[0]
-
+    """(doc_id, n_shingles, component_id): three words, 0.9."""
+    return jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)[0].drop("class")

@@ -51,12 +51,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,t,most", [(1, 3, 90, 4096), (2, 3, 70, 8), (3, 5, 80, 6), (4, 1, 60, 10)])
-def test_against_brute_force(spark, seed, n, t, most):
+@pytest.mark.parametrize("seed,n,t,most,hot,paired", [(1, 3, 90, 4096, 4096, 32), (2, 3, 70, 8, 4, 2), (3, 5, 80, 6, 2, 1), (4, 1, 60, 10, 3, 3), (5, 2, 75, 3, 4, 32)])
+def test_against_brute_force(spark, seed, n, t, most, hot, paired):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit(1)).withColumn("n", F.lit(2)).repartition(5)
-    out, links = jaccard_components(docs, n, t, most=most)
-    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, brute(rows, n, t)))
+    out, links = jaccard_components(docs, n, t, most=most, hot=hot, paired=paired)
+    assert sorted(map(repr, map(tuple, out.drop("class").collect()))) == sorted(map(repr, brute(rows, n, t)))
 
 
 def test_all_links_of_different_sets(spark):
