@@ -1,20 +1,27 @@
 """URL filter: host words by unigram Viterbi, multinomial naive Bayes over host and path tokens, and rules.
 
 A host's labels are cut at everything but letters and digits, and each run of letters is split into the
-most probable words under a unigram model: the words of the labelled URLs with a fixed count, and the path
-tokens of all pages with theirs. A word that neither holds gets a probability that falls tenfold with each
-letter. Naive Bayes, with add-one smoothing and equal priors, is trained on the labelled URLs; tokens it hasn't
-seen don't count. A tie allows. A rule names a host suffix and the start of a path; the longest rule that
-fits a URL decides before the classifier.
-
-A null URL, or one without ``://``, has an empty host and path. Each row is judged by itself: repeated rows
-repeat, extra columns aren't read, an empty table gives no rows. Only the ``WORDS`` most frequent path tokens, a
-table of bounded size, go to the tasks.
+most probable words under a unigram model. Its words are those of the labelled URLs and of a public
+tokenizer's vocabulary (``VOCABULARY``, a parameter; None does without), whose ranks give frequencies by
+Zipf's law; of its shortest words only those of ``SHORT`` count, as the others are mostly pieces of words. A
+word that isn't known gets a probability that falls tenfold with each letter, whatever its length. The table
+has a fixed size: nothing is counted over the pages, and each page is judged by itself.
+
+The tables hold no labelled URLs. Naive Bayes, with add-one smoothing and a share ``PRIOR`` of blocked URLs, is
+trained on URLs made by ``labelled_urls``: words of one topic in host and path, mixed with words that URLs of
+all kinds have. Topics name what is blocked or allowed, not sites; words that both kinds of sites use are in
+topics of both. Tokens it hasn't seen don't count. A tie allows. A rule names a host suffix and the start of a
+path; the longest rule that fits a URL decides before the classifier.
+
+A null URL, or one without ``://``, has an empty host and path. Repeated rows repeat, extra columns aren't
+read, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import random
 import re
 from functools import lru_cache
 
@@ -24,33 +31,46 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Hosts and paths judged by hand, the training set of the classifier.
 BLOCKED = """
-casino-win.test/play/slots best-casino.test/bonus/free-spins online-poker.test/win/jackpot free-bets.test/odds/today
-sport-betting.test/bet/now royal-vegas-slots.test/jackpot lucky-roulette.test/spin/win cheap-pills.test/buy/viagra
-online-pharmacy-discount.test/cialis/order buy-viagra.test/cheap weight-loss-pills.test/miracle/diet replica-watches.test/sale/rolex
-adult-x.test/porn/videos free-porn-tube.test/xxx hot-sex-cams.test/live/nude adult-dating.test/girls xxx-videos.test/sex/free
-escort-girls.test/adult spam-farm.test/links/seo link-farm.test/backlinks buy-backlinks.test/cheap/seo click-farm.test/traffic
-ads-track.test/pixel/click ad-server.test/banner/track track-click.test/affiliate popup-ads.test/redirect affiliate-tracker.test/offer
-payday-loans.test/cash/fast quick-cash-loan.test/apply crypto-doubler.test/invest/win get-rich-quick.test/money earn-money-fast.test/offer
-warez-crack.test/keygen/serial free-torrent-crack.test/download malware-download.test/exe phish-login.test/verify/account
-lottery-winner.test/claim/prize free-prize.test/claim/gift scam-offer.test/deal/win fake-pharma.test/pills/cheap
+casino casinos slots slot roulette jackpot poker blackjack baccarat bingo bet bets betting bookmaker wager odds gambling gamble vegas spins lottery win winner winnings lucky bonus
+pills pill viagra cialis pharmacy tramadol xanax steroids potency enlargement slimming detox weight loss miracle cure cheap discount generic prescription order
+adult porn porno xxx sex sexy nude naked escort escorts cam cams webcam erotic fetish hookup dating girls strip hot mature amateur x
+spam backlinks backlink seo link links farm traffic bulk mailer followers likes clicks bot bots autopost cloak doorway
+ads ad adserver advert adverts banner banners popup popups tracker tracking track pixel pixels affiliate affiliates click sponsored redirect offer offers promo
+payday loan loans cash quick instant money rich earn profit forex crypto bitcoin doubler guaranteed investment income scheme debt
+warez crack cracks cracked keygen serial torrent torrents nulled malware virus exe hack hacks cheats exploit free download downloads unlock
+phish phishing verify account suspended scam scams fake replica replicas counterfeit rolex claim prize gift giveaway urgent winner free survey
 """
 ALLOWED = """
-city-library.test/books/history science-news.test/articles/physics garden-notes.test/plants/roses university-press.test/research/papers
-open-data.test/docs/guide daily-news.test/world/politics health-institute.test/research/heart museum.test/art/exhibition
-cooking-recipes.test/food/soup travel-diary.test/europe/mountains music-school.test/lessons/piano software-docs.test/api/reference
-history-archive.test/letters/war weather-service.test/forecast/week public-transport.test/routes/map local-council.test/services/waste
-math-forum.test/algebra/questions language-course.test/grammar/verbs book-review.test/novels/summer bird-watching.test/species/owl
-nature-park.test/trails/visit open-source.test/projects/code law-review.test/cases/court film-club.test/reviews/drama
-school-board.test/meetings/agenda astronomy.test/stars/planets poetry.test/poems/spring economics-blog.test/markets/trade
-medicine-journal.test/studies/trial hospital.test/patients/care engineering.test/bridges/design chess-club.test/games/opening
-photo-gallery.test/landscape/sea football-club.test/season/results parents-guide.test/children/sleep kitchen.test/bread/baking
-the-times.test/opinion/letters encyclopedia.test/wiki/article farmers-market.test/local/fruit bicycle-tours.test/routes/river
+news daily times post herald journal world politics opinion weather report press today local city
+science physics chemistry biology research institute laboratory university college academy papers study astronomy stars
+library books book novel poetry literature history archive museum art gallery exhibition culture heritage
+health hospital clinic medicine doctor nurse patients heart care pill pharmacy drug trial diet weight nutrition therapist
+garden plants flowers farm farmers farming forest nature park wildlife birds river sea island ocean
+cooking recipes food kitchen bread soup wine winery coffee tea restaurant menu hot cheap eats
+travel tourism hotel hotels flights cheap discount tours trips mountains beach map guide express transport railway
+school teachers students lessons course courses language grammar math children parents family girls boys education
+software code developers docs api reference open source project projects data download downloads free account verify tutorial link links
+sports football chess bicycle running club league season results team win winner match track race
+music film movies cinema theatre photo camera video festival band song piano
+government council county services public law court election tax parliament police safety
+business economics market markets trade bank credit loan loans money saving savings investment finance insurance jobs careers company offer offers
+community forum blog wiki help support charity church volunteers events gift donate survey
+games puzzle toys craft knitting sewing pets dogs cats horses fashion clothes home house design architecture
+engineering bridges energy climate water traffic cars electric bot robots machines technology
 """
+#: Words that URLs of all kinds have.
+COMMON = "www m blog shop web site online page pages index html php article articles post category tag en de fr es id item view about contact my the best top new all for and of to in on my get buy your".split()
+#: Words of up to three letters that split runs of letters.
+SHORT = frozenset(
+    "a i an as at be by do go he if in is it me my no of on or so to up us we all and any are art bad bar bed bet big bit box boy bus buy can car cat cup cut day dog eat end eye far fit for fun get gym "
+    "hot how ice job key kid law low man map men net new not now off old one our out own pay pet pub red run sea see sex sky sun tax tea the toy try two van war way web who why win you zoo".split()
+)
 #: (host suffix, start of path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-WORDS, KNOWN = 50_000, 1000
+#: Share of blocked URLs, URLs made of each kind, how often a trained word counts as the vocabulary's most frequent one does.
+PRIOR, URLS, KNOWN = 0.2, 6000, 0.2
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _token = re.compile(r"[a-z]+|[0-9]+")
 
@@ -73,23 +93,54 @@ def rule_for(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, C
     return name, verdict
 
 
+def labelled_urls(seed: int = 5, urls: int = URLS) -> dict[str, list[list[str]]]:
+    """The tokens of made URLs of both kinds: the training set."""
+    r, out = random.Random(seed), {}
+    for verdict, text in (("block", BLOCKED), ("allow", ALLOWED)):
+        topics = [line.split() for line in text.split("\n") if line]
+        out[verdict] = []
+        for k in range(urls):
+            topic = topics[k % len(topics)]
+            own = r.choices(topic, k=r.randint(1, 3)) + (r.choices(topic, k=r.randint(0, 2)) if r.random() < 0.6 else [])
+            out[verdict].append(own + r.choices(COMMON, k=r.randint(1, 4)))
+    return out
+
+
+def frequencies(vocabulary: str | None = VOCABULARY) -> dict[str, float]:
+    """Weights of words: those of a vocabulary in rank order by Zipf's law, and the words of the labelled URLs."""
+    out: dict[str, float] = {}
+    if vocabulary:
+        with open(vocabulary, "rb") as f:
+            words = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+        rank = 0
+        for w in words:
+            if w[:1] == b" " and w[1:].isalpha() and w.isascii():
+                w = w[1:].decode().lower()
+                if len(w) > 3 or w in SHORT:
+                    rank += 1
+                    out.setdefault(w, 1 / rank)
+    for w in {*SHORT, *COMMON, *BLOCKED.split(), *ALLOWED.split()}:
+        out[w] = max(out.get(w, 0.0), KNOWN / 100)
+    return out
+
+
 class Unigrams:
     """Splits a run of letters into the most probable words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.logp = {w: math.log(c / total) for w, c in counts.items()}
-        self.total, self.longest = math.log(total), max(map(len, counts), default=1)
-
-    def _unknown(self, length: int) -> float:
-        return math.log(10) * (1 - length) - self.total
+    def __init__(self, weights: dict[str, float]):
+        total = sum(weights.values()) or 1.0
+        self.logp = {w: math.log(c / total) for w, c in weights.items()}
+        self.unknown, self.longest = min(self.logp.values(), default=0.0), max(map(len, weights), default=1)
 
     def split(self, run: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
+        # an unknown word from the best place to cut so far: its logarithm falls by the same amount with each letter
+        fall, start_score, start_at = math.log(10), 0.0, 0
         for end in range(1, len(run) + 1):
+            if best[-1][0] + fall * (end - 1) > start_score + 1e-9:
+                start_score, start_at = best[-1][0] + fall * (end - 1), end - 1
             options = [(best[start][0] + self.logp[w], start) for start in range(max(0, end - self.longest), end) if (w := run[start:end]) in self.logp]
-            # an unknown word: the whole stretch since any cut
-            options += [(best[start][0] + self._unknown(end - start), start) for start in range(max(0, end - 24), end)]
+            options.append((start_score - fall * (end - 1) + self.unknown, start_at))
             best.append(max(options))
         out, end = [], len(run)
         while end:
@@ -101,20 +152,18 @@ class Unigrams:
 class Judge:
     """Naive Bayes over the tokens of host and path."""
 
-    def __init__(self, path_counts: dict[str, int], blocked: str = BLOCKED, allowed: str = ALLOWED):
-        labelled = {v: [t for u in text.split() for t in _token.findall(u) if t != "test"] for v, text in (("block", blocked), ("allow", allowed))}
-        counts = dict(path_counts)
-        for tokens in labelled.values():
-            for t in set(tokens):
-                counts[t] = counts.get(t, 0) + KNOWN
-        self.words = Unigrams({w: c for w, c in counts.items() if w.isalpha()})
-        vocabulary = set().union(*labelled.values())
-        n = {v: {w: 1 for w in vocabulary} for v in labelled}
-        for v, tokens in labelled.items():
-            for t in tokens:
-                n[v][t] += 1
+    def __init__(self, weights: dict[str, float], labelled: dict[str, list[list[str]]] | None = None, prior: float = PRIOR):
+        labelled = labelled or labelled_urls()
+        self.words = Unigrams(weights)
+        vocabulary = {t for urls in labelled.values() for tokens in urls for t in tokens}
+        n = {v: dict.fromkeys(vocabulary, 1) for v in labelled}
+        for v, urls in labelled.items():
+            for tokens in urls:
+                for t in tokens:
+                    n[v][t] += 1
         totals = {v: sum(c.values()) for v, c in n.items()}
         self.odds = {w: math.log(n["block"][w] / totals["block"]) - math.log(n["allow"][w] / totals["allow"]) for w in vocabulary}
+        self.prior = math.log(prior / (1 - prior))
         self.of_host = lru_cache(100_000)(self._of_host)
 
     def _of_host(self, host: str) -> tuple[tuple[str, ...], float]:
@@ -124,15 +173,13 @@ class Judge:
     def judge(self, host: str, path: str) -> tuple[tuple[str, ...], float]:
         """(host words, log odds of block)."""
         words, odds = self.of_host(host)
-        return words, odds + sum(self.odds.get(t, 0.0) for t in _token.findall(path.lower()))
+        return words, self.prior + odds + sum(self.odds.get(t, 0.0) for t in _token.findall(path.lower()))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", vocabulary: str | None = VOCABULARY) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_words, block_odds), a row a page."""
     src = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    tokens = src.select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    top = tokens.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(WORDS).collect()
-    shared = pages.sparkSession.sparkContext.broadcast({r["w"]: r["n"] for r in top})
+    shared = pages.sparkSession.sparkContext.broadcast(frequencies(vocabulary))
 
     def judged(batches):
         judge = Judge(shared.value)
@@ -143,8 +190,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
                 ["page_id", "host", "path", "host_words", "block_odds"],
             )
 
-    kind = src.schema["page_id"].dataType.simpleString()
-    out = src.mapInArrow(judged, f"page_id {kind}, host string, path string, host_words array<string>, block_odds double")
+    out = src.mapInArrow(judged, src.schema.add("host_words", "array<string>").add("block_odds", "double"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "host_words", "block_odds")
@@ -152,3 +198,22 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages")).drop("host_words")
+
+
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, ruled): the part of ``op8_url_filter`` that SQL can say."""
+    url = F.col("url")
+    src = read(spark, sf_dir, "pages").select("page_id", host(url).alias("host"), path(url).alias("path"))
+    rule, verdict = rule_for(F.col("host"), F.col("path"))
+    return src.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+
+
+LLM_URL_RULES_SQL = r"""
+WITH r(suffix, start, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_replace(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '^$', '') AS path FROM u),
+f AS (SELECT page_id, suffix || start AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix || start) DESC) AS k
+      FROM p JOIN r ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start))
+SELECT p.page_id, host, path, rule, verdict AS ruled FROM p LEFT JOIN f ON p.page_id = f.page_id AND k = 1
+"""
