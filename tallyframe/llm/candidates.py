@@ -33,7 +33,7 @@ from .common import cut
 from .words import by_level, chunks, mix
 
 #: Fixed sizes of what tasks are sent.
-BLOOM_BITS, HEAVY = 1 << 26, 200_000
+BLOOM_BITS, HEAVY, SLOTS = 1 << 26, 200_000, 1 << 20
 #: Parts of the Bloom filter, each filled by one reducer, and tokens that a task gathers before it sends them.
 REGIONS, GATHER = 1024, 1 << 21
 #: Sets of a token from which it is cut into parts, and how many times that for two tokens to be the key.
@@ -193,22 +193,31 @@ class Order:
     def __init__(self, bloom: np.ndarray, heavy: np.ndarray, count: np.ndarray, one_in: int, total: int):
         self.bloom, self.heavy, self.count, self.one_in = bloom, heavy, count, one_in
         self.total = total  # tokens of sets that are in other sets too
+        # a slot by the lower bits holds the most frequent token that has these; others are searched for
+        slot = (heavy & np.uint64(SLOTS - 1)).astype(np.int64)
+        by = np.argsort(count, kind="stable")
+        self.slot = np.full(SLOTS, -1, np.int32)
+        self.slot[slot[by]] = by
 
     def level(self, h: np.ndarray) -> np.ndarray:
         if self.one_in > 1:
             known = np.flatnonzero(h % np.uint64(self.one_in) == 0)
-            out, m = np.full(len(h), 2, np.int64), _scatter(h[known])
-        else:
-            known, out, m = slice(None), np.empty(len(h), np.int64), _scatter(h)
-        level = in_bloom(self.bloom, m).astype(np.int64)
-        if len(self.heavy):
-            maybe = np.flatnonzero(level)
-            m = m[maybe]
-            i = np.minimum(np.searchsorted(self.heavy, m), len(self.heavy) - 1)
-            same = self.heavy[i] == m
-            level[maybe[same]] = self.count[i[same]]
-        out[known] = level
-        return out
+            out = np.full(len(h), 2, np.int64)
+            out[known] = self._level(_scatter(h[known]))
+            return out
+        return self._level(_scatter(h))
+
+    def _level(self, m: np.ndarray) -> np.ndarray:
+        if not len(self.heavy):
+            return in_bloom(self.bloom, m).astype(np.int64)
+        i = self.slot[(m & np.uint64(SLOTS - 1)).astype(np.int64)]
+        level = np.where(self.heavy[i] == m, self.count[i], 0)
+        rest = np.flatnonzero(level == 0)
+        rest = rest[in_bloom(self.bloom, m[rest]).astype(bool)]
+        m = m[rest]
+        i = np.minimum(np.searchsorted(self.heavy, m), len(self.heavy) - 1)
+        level[rest] = np.where(self.heavy[i] == m, self.count[i], 1)
+        return level
 
 
 def order_of(src: DataFrame, sets_of: SetsOf, one_in: int = 1, bits: int = BLOOM_BITS, heavy: int = HEAVY) -> Order:

@@ -117,15 +117,19 @@ def ngrams(hashes: np.ndarray, bounds: np.ndarray, n: int, whole: bool = True) -
 
 def sets(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each row, and their row bounds."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    # one sort by row and the upper bits of the hash, if these tell all hashes of a row apart
-    key = (row.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
-    order = np.argsort(key)
-    key, g = key[order], grams[order]
-    if len(bounds) > 1 << 20 or ((key[1:] == key[:-1]) & (g[1:] != g[:-1])).any():
+    rows, n = len(bounds) - 1, len(grams)
+    if not n:
+        return grams, np.zeros(rows + 1, np.int64)
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    # one sort by row and the upper bits of the hash, with the place below, if these tell all hashes of a row apart
+    low, high = n.bit_length(), 64 - rows.bit_length()
+    key = np.sort((row.astype(np.uint64) << np.uint64(high)) | (grams >> np.uint64(64 - high) >> np.uint64(low) << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+    g, upper = grams[(key & np.uint64((1 << low) - 1)).astype(np.int64)], key >> np.uint64(low)
+    if ((upper[1:] == upper[:-1]) & (g[1:] != g[:-1])).any():
         order = np.lexsort((grams, row))
-        g = grams[order]
-    r = row[order]
+        g, r = grams[order], row[order]
+    else:
+        r = (key >> np.uint64(high)).astype(np.int64)
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
     g, r = g[keep], r[keep]
@@ -142,4 +146,5 @@ def by_level(level: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     level = np.minimum(level, (1 << 24) - 1)
     if len(sizes) >= 1 << 19 or (len(sizes) and sizes.max() >= 1 << 20):
         return np.lexsort((place, level, row)), place
-    return np.argsort((row << 44) | (level << 20) | place), place
+    key = np.sort((row << 44) | (level << 20) | place)
+    return bounds[:-1][row] + (key & ((1 << 20) - 1)), place
