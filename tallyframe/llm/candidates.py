@@ -113,11 +113,6 @@ def binary(raw: bytes, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
 
 
-def hashes_of(column: pa.Array) -> np.ndarray:
-    """The hashes in names of sets."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)[:, 0].copy()  # of fixed length each
-
-
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``PACK`` bytes of text, however long a batch's texts are."""
     for batch in batches:
@@ -173,20 +168,25 @@ def in_bloom(bloom: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (bloom[a >> 3] >> (a & 7).astype(np.uint8)) & (bloom[b >> 3] >> (b & 7).astype(np.uint8)) & 1
 
 
-def bloom_of(names: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A Bloom filter of the hashes in column 0, names of sets; ``bits`` bits whatever their number."""
+def bloom_of(hashes: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A Bloom filter of the 64-bit column 0 of ``hashes``; ``bits`` bits whatever their number."""
 
     def words(batches):
         for batch in batches:
-            at = np.unique(np.concatenate(_places(_scatter(hashes_of(batch.column(0))), bits)))
+            at = np.unique(np.concatenate(_places(_scatter(batch.column(0).to_numpy().view(np.uint64)), bits)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bit"])
 
     bloom = np.zeros(bits >> 6, np.int64)
-    for part in names.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+    for part in hashes.mapInArrow(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bloom[part.column(0).to_numpy()] = part.column(1).to_numpy()
     return bloom.view(np.uint8)
 
 
+def in_bloom_of(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter."""
+    return in_bloom(bloom, _scatter(h)).astype(bool)
+
+
 class Order:
     """The order of tokens as tasks see it: ``level`` 0 for one set only, 1 for rare, 2 for not counted, more for frequent."""
 
@@ -464,7 +464,10 @@ def forest(rows: Rows, t: int) -> list[tuple[int, int]]:
 
 
 def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges between sets, by name, whose components hold all matching pairs."""
+    """(a, b): edges between sets, by hash, whose components hold all matching pairs.
+
+    Sets that share a hash count as one here, which only puts their components together.
+    """
 
     def merged(blobs) -> Rows:
         """All rows of a bucket without copies; these go as the rows gather."""
@@ -480,35 +483,17 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     def join(batches):
         for _, blobs in grouped(batches):
             own = merged(blobs)
-            key, h, s1 = own.table[:, 0], own.table[:, 1].copy(), own.table[:, 2].copy()
+            key, h = own.table[:, 0], own.table[:, 1].copy().view(np.int64)
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             first = first[np.unique(first // RUN, return_index=True)[1]]
             for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
                 pairs = forest(Rows(own.table[low:high], own.start[low:high], own.more), percent)
                 if pairs:
                     a, b = (low + np.array(x) for x in zip(*pairs, strict=True))
-                    yield pa.RecordBatch.from_arrays([keys(h[a], s1[a]), keys(h[b], s1[b])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], ["a", "b"])
 
     by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return by_bucket.mapInArrow(join, "a binary, b binary").filter("a <> b").distinct()
-
-
-def words_of(src: DataFrame, sets_of: SetsOf, wanted: DataFrame) -> DataFrame:
-    """(set, words) of the wanted sets, each once; a filter of fixed size spares most other sets the shuffle."""
-    shared = src.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("set")))
-
-    def bring(batches):
-        for batch in slices(batches):
-            seen: dict[bytes, bytes] = {}
-            for sets in sets_of(iter([batch])):
-                h, s, _ = sets.ids()
-                keep = np.flatnonzero(in_bloom(shared.value, _scatter(h)).astype(bool) & (sets.sizes > 0))
-                for k, i in zip(keys(h[keep], s[keep]).to_pylist(), keep.tolist(), strict=True):
-                    if k not in seen:
-                        seen[k] = sets.one(i).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["set", "words"])
-
-    return src.select("text").mapInArrow(bring, "set binary, words binary").join(wanted.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
+    return by_bucket.mapInArrow(join, "a long, b long").filter("a <> b").distinct()
 
 
 def cut_if_any(df: DataFrame) -> DataFrame | None:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .candidates import HOT, PAIRED, Order, Sets, candidate_edges, cut_if_any, grouped, keys, needed, order_of, prefix_rows, words_of
+from .candidates import HOT, PAIRED, Order, Sets, bloom_of, candidate_edges, grouped, in_bloom_of, keys, needed, order_of, prefix_rows, slices
 from .common import connected_components, cut, read
 from .words import chunks, ngrams, sets, word_hashes
 
@@ -252,6 +252,24 @@ def _large(big: DataFrame, order, percent: int, most: int, grams: int, every: bo
     return last if links is None else links.unionByName(last)
 
 
+def _words_of(src: DataFrame, sets_of, wanted: DataFrame) -> DataFrame:
+    """(set, words) of the wanted sets, each once; a filter of fixed size spares most other sets the shuffle."""
+    shared = src.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("h")))
+
+    def bring(batches):
+        for batch in slices(batches):
+            seen: dict[bytes, bytes] = {}
+            for own in sets_of(iter([batch])):
+                h, s, _ = own.ids()
+                keep = np.flatnonzero(in_bloom_of(shared.value, h) & (own.sizes > 0))
+                for k, i in zip(keys(h[keep], s[keep]).to_pylist(), keep.tolist(), strict=True):
+                    if k not in seen:
+                        seen[k] = own.one(i).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], ["set", "words"])
+
+    return src.select("text").mapInArrow(bring, "set binary, words binary").join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, every: bool = False, order: Order | None = None, grams: int = GRAMS, hot: int = HOT, paired: int = PAIRED, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n_shingles, component_id, class) a row a document, (a, b) links between classes by their set's name).
 
@@ -269,13 +287,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             for first, end, data, offsets in chunks(batch.column(0)):
                 own = next(sets_of(iter([batch.slice(first, end - first)])))
                 h, s, _ = own.ids()
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[1:]), pa.array(own.sizes), keys(h, s)], ["id", "kept", "n", "set"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[1:]), pa.array(own.sizes), keys(h, s), pa.array(h.view(np.int64))], ["id", "kept", "n", "set", "h"])
 
-    rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", "long").add("set", "binary")))
+    rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", "long").add("set", "binary").add("h", "long")))
     near = connected_components(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent))
-    near = cut(near.join(rows.groupBy("set").agg(F.min("n").alias("n")), F.col("node") == F.col("set")).select("root", "set", "n"))
+    near = cut(near.join(rows.groupBy("h", "set").agg(F.min("n").alias("n")), F.col("node") == F.col("h")).select("root", "h", "set", "n"))
     sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
-    ready = near.join(words_of(src, sets_of, near), "set").join(sizes, "root")
+    ready = near.drop("h").join(_words_of(src, sets_of, near), "set").join(sizes, "root")
     fits = (F.col("sets") <= most) & (F.col("total") <= grams)
     shared = spark.sparkContext.broadcast(order)
     large = sizes.filter(~fits).limit(1).count()

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .candidates import HOT, PAIRED, Sets, candidate_edges, cut_if_any, grouped, keys, needed, order_of, parities, prefix_rows, width, words_of
+from .candidates import HOT, PAIRED, Sets, bloom_of, candidate_edges, cut_if_any, grouped, in_bloom_of, needed, order_of, parities, prefix_rows, slices, width
 from .common import connected_components, cut, read
 from .words import chunks, sets, word_hashes
 
 PERCENT = 80
 #: Most sets, and words of these, that are compared in one task.
 MOST, WORDS = 4096, 1 << 21
-PLACE = ("last", "id", "text_key", "line")
+NAME, PLACE = ("h", "s"), ("last", "id", "text_key", "line")
 
 
 class Lines(Sets):
@@ -54,24 +54,44 @@ class Lines(Sets):
         super().__init__(words, np.append(at[full], len(words)))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[Sets]:
+    """All words, to count them: a word that a line repeats counts as often, which the order may."""
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column(0)):
+            yield Sets(*word_hashes(data, offsets)[:2])
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column(0)):
             yield Lines(data, offsets)
 
 
-def _occurrences(src: DataFrame) -> DataFrame:
-    """(id, text_key, line, set, n), a row a line with words."""
+def _occurrences(src: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, text_key, line, h, s, n, words), a row a line with words.
+
+    h and s name its set. Of the sets of ``near``, one line of each run of texts has the words too; a filter of
+    fixed size, which may let others pass, tells them.
+    """
+    shared = src.sparkSession.sparkContext.broadcast(bloom_of(near.select("node")))
 
     def find(batches):
-        for batch in batches:
+        for batch in slices(batches):
+            seen: set[tuple[int, int]] = set()
             for first, end, data, offsets in chunks(batch.column(0)):
                 ls = Lines(data, offsets)
                 h, s, _ = ls.ids()
+                words: list[bytes | None] = [None] * len(h)
+                for i in np.flatnonzero(in_bloom_of(shared.value, h)).tolist():
+                    name = (int(h[i]), int(s[i]))
+                    if name not in seen:
+                        seen.add(name)
+                        words[i] = ls.one(i).tobytes()
                 own = [batch.column(k).slice(first, end - first).take(pa.array(ls.row)) for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(ls.place.astype(np.int32)), keys(h, s), pa.array(ls.sizes.astype(np.int32))], ["id", "text_key", "line", "set", "n"])
+                names = [pa.array(x.view(np.int64)) for x in (h, s)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ls.place.astype(np.int32)), *names, pa.array(ls.sizes), pa.array(words, pa.binary())], ["id", "text_key", "line", "h", "s", "n", "words"])
 
-    return src.select("text", "id", "text_key").mapInArrow(find, "id long, text_key long, line int, set binary, n int")
+    return src.select("text", "id", "text_key").mapInArrow(find, "id long, text_key long, line int, h long, s long, n long, words binary")
 
 
 def _place() -> Column:
@@ -101,12 +121,12 @@ def earliest(words: list[np.ndarray], t: int, old: np.ndarray | None = None, new
 
 
 def _compared(tasks: DataFrame, percent: int) -> DataFrame:
-    """(set, last, id, text_key, line): the place of the oldest match that a task finds for a set.
+    """(h, s, match): the place of the oldest match that tasks find for a set.
 
-    ``tasks``: (task, old, new, set, place, words); a set is matched with those that ``old`` marks if ``new``
+    ``tasks``: (task, old, new, h, s, place, words); a set is matched with those that ``old`` marks if ``new``
     marks it.
     """
-    kinds = {"set": pa.binary(), "last": pa.bool_(), "id": pa.int64(), "text_key": pa.int64(), "line": pa.int32()}
+    kinds = {"h": pa.int64(), "s": pa.int64(), "last": pa.bool_(), "id": pa.int64(), "text_key": pa.int64(), "line": pa.int32()}
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
@@ -117,16 +137,16 @@ def _compared(tasks: DataFrame, percent: int) -> DataFrame:
             rows = list(group)
             old, new = (np.array([r[k] for r in rows]) for k in (0, 1))
             hits = earliest([np.frombuffer(r[-1], np.uint64) for r in rows], percent, old, new)
-            out += [(r[2], *rows[j][3:7]) for r, j in zip(rows, hits, strict=True) if j is not None]
+            out += [(r[2], r[3], *rows[j][4:8]) for r, j in zip(rows, hits, strict=True) if j is not None]
             if len(out) >= 10_000:
                 yield packed(out)
                 out = []
         if out:
             yield packed(out)
 
-    by_task = tasks.select("task", "old", "new", "set", *PLACE, "words").repartition("task").sortWithinPartitions("task", *PLACE)
-    found = by_task.mapInArrow(compare, "set binary, last boolean, id long, text_key long, line int")
-    return found.groupBy("set").agg(F.min(F.struct(*PLACE)).alias("match"))
+    by_task = tasks.select("task", "old", "new", *NAME, *PLACE, "words").repartition("task").sortWithinPartitions("task", *PLACE)
+    found = by_task.mapInArrow(compare, "h long, s long, last boolean, id long, text_key long, line int")
+    return found.groupBy(*NAME).agg(F.min(F.struct(*PLACE)).alias("match"))
 
 
 def _parts(most: int, words: int) -> Column:
@@ -135,14 +155,14 @@ def _parts(most: int, words: int) -> Column:
 
 
 def _rounds(big: DataFrame, percent: int, most: int, words: int) -> DataFrame:
-    """(set, match) of the sets of components beyond a task: (root, set, n, place, words)."""
+    """(h, s, match) of the sets of components beyond a task: (root, h, s, n, place, words)."""
     age = F.when(F.col("last"), F.lit((1 << 63) - 1)).otherwise(F.col("id"))
     big = cut(big.withColumn("age", age))
     largest = big.groupBy("root").count().agg(F.max("count")).first()[0]
     shares = [min(1.0, most * 2**k / largest) for k in range(64) if k == 0 or most * 2 ** (k - 1) < largest]
     limits = big.groupBy("root").agg(F.percentile_approx("age", F.array(*map(F.lit, shares)), F.lit(10_000)).alias("limits"))
     big = big.join(limits, "root")
-    waiting, matched, salt = big, None, F.xxhash64("set")
+    waiting, matched, salt = big, None, F.xxhash64(*NAME)
     for k in range(len(shares)):
         upto = F.element_at("limits", k + 1) if k + 1 < len(shares) else F.lit((1 << 63) - 1)
         old = big.filter(F.col("age") <= upto)
@@ -158,39 +178,44 @@ def _rounds(big: DataFrame, percent: int, most: int, words: int) -> DataFrame:
         other = [F.explode(F.sequence(F.lit(0).cast("long"), F.col("w_parts") - 1)).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_parts") - 1)).alias("o")]
         tasks = None
         for rows, spread, name in ((own[0], other[0], "o"), (own[1], other[1], "w")):
-            rows = rows.select("root", "set", *PLACE, "words", name, spread).withColumn("task", F.xxhash64("root", "o", "w"))
-            rows = rows.select("task", F.lit(name == "o").alias("old"), F.lit(name == "w").alias("new"), "set", *PLACE, "words")
+            rows = rows.select("root", *NAME, *PLACE, "words", name, spread).withColumn("task", F.xxhash64("root", "o", "w"))
+            rows = rows.select("task", F.lit(name == "o").alias("old"), F.lit(name == "w").alias("new"), *NAME, *PLACE, "words")
             tasks = rows if tasks is None else tasks.unionByName(rows)
         found = cut(_compared(tasks, percent))
         matched = found if matched is None else matched.unionByName(found)
         if k + 1 < len(shares):
-            waiting = cut_if_any(waiting.join(found.select("set"), "set", "left_anti"))
+            waiting = cut_if_any(waiting.join(found.select(*NAME), list(NAME), "left_anti"))
             if waiting is None:
                 break
-    return matched.groupBy("set").agg(F.min("match").alias("match"))
+    return matched.groupBy(*NAME).agg(F.min("match").alias("match"))
 
 
 def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED, words: int = WORDS) -> DataFrame:
     """(id, text_key, removed): the places, from 0, of the lines that go, of documents that lose some."""
     text = F.col(text_col).cast("string")
     src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
-    order = order_of(src.select("text"), _lines)
-    found = cut(_occurrences(src))
+    order = order_of(src.select("text"), _words)
     near = connected_components(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent))
+    found = cut(_occurrences(src, near))
     # sets that occur once and are like no other have no part in what follows
-    known = found.groupBy("set").agg(F.min(_place()).alias("first"), F.count("*").alias("times"), F.first("n").cast("long").alias("n"))
-    known = cut(known.join(near, F.col("set") == F.col("node"), "left").filter("times > 1 or root is not null").select("set", "first", "times", "n", "root"))
-    near = known.filter("root is not null").select("root", "set", "n", "first.*")
+    known = found.groupBy(*NAME).agg(F.count("*").alias("times"), F.min("n").alias("n")).join(near, F.col("h") == F.col("node"), "left")
+    known = known.filter("times > 1 or root is not null").drop("node")
+    lines = cut(found.drop("words", "n").join(known, list(NAME)))
+    known = cut(lines.groupBy(*NAME, "root", "n").agg(F.min(_place()).alias("first")))
+    near = known.filter("root is not null").select("root", *NAME, "n", "first.*")
     sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
-    ready = near.join(words_of(src, _lines, near), "set").join(sizes, "root")
+    words_ = found.filter("words is not null").select(*NAME, "words").dropDuplicates(list(NAME))
+    ready = near.join(words_, list(NAME)).join(sizes, "root")
     fits = (F.col("sets") <= most) & (F.col("total") <= words)
-    matched = _compared(ready.filter(fits).select(F.xxhash64("root").alias("task"), F.lit(True).alias("old"), F.lit(True).alias("new"), "set", *PLACE, "words"), percent)
-    if sizes.filter(~fits).limit(1).count():
+    large = sizes.filter(~fits).limit(1).count()
+    if large:
         ready = cut(ready)
-        matched = _compared(ready.filter(fits).select(F.xxhash64("root").alias("task"), F.lit(True).alias("old"), F.lit(True).alias("new"), "set", *PLACE, "words"), percent)
+    small = ready.filter(fits).select(F.col("root").alias("task"), F.lit(True).alias("old"), F.lit(True).alias("new"), *NAME, *PLACE, "words")
+    matched = _compared(small, percent)
+    if large:
         matched = matched.unionByName(_rounds(ready.filter(~fits).drop("sets", "total"), percent, most, words))
-    cuts = known.join(matched, "set", "left").filter((F.col("times") > 1) | F.col("match").isNotNull()).select("set", F.coalesce("match", "first").alias("upto"))
-    gone = found.join(cut(cuts), "set").filter(_place() > F.col("upto"))
+    cuts = known.select(*NAME, "first").join(matched, list(NAME), "left").select(*NAME, F.coalesce("match", "first").alias("upto"))
+    gone = lines.join(cut(cuts), list(NAME)).filter(_place() > F.col("upto"))
     return gone.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -206,7 +231,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): lines of each document, and the places, from 0, of those that go."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     gone = later_lines(docs)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.size(F.split("text", "\n", -1))).otherwise(0).alias("n_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.when(F.coalesce(F.col("text"), F.lit("")) != "", breaks + 1).otherwise(0).alias("n_lines"))
     out = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
