@@ -43,7 +43,7 @@ BUCKET = 250_000
 #: Bytes of text whose rows are packed at once, and prefix rows of a bucket from which copies are taken out on the way.
 PACK, ROWS = 1 << 23, 200_000
 #: Rows of whole groups that are joined at once.
-RUN = 16_384
+RUN = 1 << 16
 
 
 class Sets:
@@ -85,13 +85,13 @@ def needed(a, b, t: int):
 
 
 def width(n: int) -> int:
-    """Bits of the signature of a set of ``n`` tokens: 128 up to 128 tokens, then 512, beyond 512 tokens 2048."""
-    return 128 if n <= 128 else 512 if n <= 512 else 2048
+    """Bits of the signature of a set of ``n`` tokens: the power of two from ``n`` on, between 64 and 2048."""
+    return min(max(64, 1 << (n - 1).bit_length()), 2048)
 
 
 def extra(n: np.ndarray) -> np.ndarray:
-    """64-bit words of a signature wider than 128 bits."""
-    return np.array([0, 8, 32])[np.searchsorted([128, 512], n)]
+    """64-bit words of a signature wider than 64 bits."""
+    return np.array([0, 2, 4, 8, 16, 32])[np.searchsorted([64, 128, 256, 512, 1024], n)]
 
 
 def parities(words: np.ndarray, bits: int) -> np.ndarray:
@@ -285,23 +285,26 @@ def order_of(src: DataFrame, sets_of: SetsOf, one_in: int = 1, bits: int = BLOOM
     return Order(bloom, top[by], count_[by], one_in, one_in * total)
 
 
-# Prefix rows: (key, set hash, signature, signature, size << 32 | place) and, for larger sets, a wider signature
+# Prefix rows: key, set hash, signature of 64 bits, size << 32 | place; for sets of over 64 tokens a wider signature
 
 
 class Rows:
-    """Prefix rows; ``start`` says where in ``more`` a row's wider signature begins, if it has one."""
+    """Prefix rows, column by column; ``start`` says where in ``more`` a row's wider signature begins, if it has one."""
 
-    def __init__(self, table: np.ndarray, start: np.ndarray, more: np.ndarray):
-        self.table, self.start, self.more = table, start, more
+    def __init__(self, key: np.ndarray, h: np.ndarray, sign: np.ndarray, shape: np.ndarray, start: np.ndarray, more: np.ndarray):
+        self.key, self.h, self.sign, self.shape, self.start, self.more = key, h, sign, shape, start, more
+
+    def __len__(self) -> int:
+        return len(self.key)
 
     @property
     def n(self) -> np.ndarray:
-        return (self.table[:, 4] >> np.uint64(32)).astype(np.int64)
+        return (self.shape >> np.uint64(32)).astype(np.int64)
 
     def wide(self, rows: np.ndarray, bits: int) -> np.ndarray:
         """The signatures of ``rows``, which have as many bits or more, in ``bits`` bits."""
         out, size = np.zeros((len(rows), bits // 64), np.uint64), extra(self.n[rows])
-        for k in (8, 32):
+        for k in (2, 4, 8, 16, 32):
             own = np.flatnonzero(size == k)
             if len(own):
                 whole = self.more[self.start[rows[own]][:, None] + np.arange(k)]
@@ -310,40 +313,45 @@ class Rows:
 
     def take(self, by: np.ndarray) -> Rows:
         """These rows in this order, with no more signatures than they need."""
-        table = self.table[by]
-        size = extra(Rows(table, by, self.more).n)
+        shape, old = self.shape[by], self.start[by]
+        size = extra((shape >> np.uint64(32)).astype(np.int64))
         start = np.cumsum(size) - size
         more = np.empty(int(size.sum()), np.uint64)
-        for k in (8, 32):
+        for k in (2, 4, 8, 16, 32):
             own = np.flatnonzero(size == k)
             if len(own):
-                more[start[own][:, None] + np.arange(k)] = self.more[self.start[by[own]][:, None] + np.arange(k)]
-        return Rows(table, start, more)
+                more[start[own][:, None] + np.arange(k)] = self.more[old[own][:, None] + np.arange(k)]
+        return Rows(self.key[by], self.h[by], self.sign[by], shape, start, more)
+
+    def between(self, low: int, high: int) -> Rows:
+        return Rows(*(c[low:high] for c in (self.key, self.h, self.sign, self.shape, self.start)), self.more)
 
     @staticmethod
     def joined(parts: list[Rows]) -> Rows:
         if len(parts) == 1:
             return parts[0]
         shift = np.cumsum([0, *(len(p.more) for p in parts)])
-        return Rows(np.concatenate([p.table for p in parts]), np.concatenate([p.start + s for p, s in zip(parts, shift, strict=False)]), np.concatenate([p.more for p in parts]))
+        columns = [np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "h", "sign", "shape")]
+        return Rows(*columns, np.concatenate([p.start + s for p, s in zip(parts, shift, strict=False)]), np.concatenate([p.more for p in parts]))
 
-    def packed(self) -> tuple[bytes, bytes]:
-        return self.table.tobytes(), self.more.tobytes()
+    def packed(self, low: int, high: int) -> bytes:
+        """Rows ``low`` to ``high``, whose wider signatures follow each other."""
+        end = self.start[high] if high < len(self) else len(self.more)
+        return b"".join(c.tobytes() for c in (self.key[low:high], self.h[low:high], self.sign[low:high], self.shape[low:high], self.more[self.start[low] : end]))
 
     @staticmethod
-    def unpacked(fixed: bytes, more: bytes) -> Rows:
-        rows = Rows(np.frombuffer(fixed, np.uint64).reshape(-1, 5), np.zeros(0, np.int64), np.frombuffer(more, np.uint64))
-        size = extra(rows.n)
-        rows.start = np.cumsum(size) - size
-        return rows
+    def unpacked(n: int, blob: bytes) -> Rows:
+        whole = np.frombuffer(blob, np.uint64)
+        key, h, sign, shape = (whole[k * n : (k + 1) * n] for k in range(4))
+        size = extra((shape >> np.uint64(32)).astype(np.int64))
+        return Rows(key, h, sign, shape, np.cumsum(size) - size, whole[4 * n :])
 
     def once(self) -> Rows:
         """The rows by key, size, place and set, without copies."""
-        key, h, s1, _, shape = (self.table[:, k].copy() for k in range(5))
-        by = np.lexsort((h, shape, key))
-        k, g, s = key[by], h[by], s1[by]
+        by = np.lexsort((self.h, self.shape, self.key))
+        k, g = self.key[by], self.h[by]
         new = np.ones(len(by), bool)
-        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+        new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
         return self.take(by[new])
 
 
@@ -384,16 +392,16 @@ def prefixes(sets: Sets, order: Order, percent: int, hot: int, paired: int) -> R
     key = np.where(many[again] > 1, mix(key[again] ^ mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))), key[again])
     of, place = of[again], place[again]
     start, more, at = np.full(len(n), -1, np.int64), [np.zeros(0, np.uint64)], 0
-    for i in np.unique(of[n[of] > 128]).tolist():
+    for i in np.unique(of[n[of] > 64]).tolist():
         more.append(parities(sets.one(i), width(int(n[i]))))
         start[i] = at
         at += len(more[-1])
     shape = (n[of].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)
-    return Rows(np.column_stack([key, h[of], s1[of], s2[of], shape]), start[of], np.concatenate(more))
+    return Rows(key, h[of], (s1 ^ s2)[of], shape, start[of], np.concatenate(more))
 
 
 def prefix_rows(src: DataFrame, sets_of: SetsOf, order: Order, percent: int, hot: int = HOT, paired: int = PAIRED) -> DataFrame:
-    """(bucket, fixed, more): the prefix rows of a bucket, packed, one row a run of texts and bucket."""
+    """(bucket, n, rows): n prefix rows of a bucket, packed, one row a run of texts and bucket."""
     buckets = max(64, order.total // BUCKET)
     shared = src.sparkSession.sparkContext.broadcast(order)
 
@@ -404,32 +412,22 @@ def prefix_rows(src: DataFrame, sets_of: SetsOf, order: Order, percent: int, hot
                 continue
             own = Rows.joined(parts)
             # copies of a set in this run send one row a key
-            new = np.unique(mix(own.table[:, 0]) ^ own.table[:, 1], return_index=True)[1]
-            bucket = (own.table[new, 0] % np.uint64(buckets)).astype(np.int64)
+            new = np.unique(mix(own.key) ^ own.h, return_index=True)[1]
+            bucket = (own.key[new] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             bucket, own = bucket[by], own.take(new[by])
-            if not len(bucket):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            fixed, more = own.packed()
-            ends = np.append(own.start, len(own.more))[np.append(first, len(bucket))]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), binary(fixed, 40 * np.append(first, len(bucket))), binary(more, 8 * ends)], ["bucket", "fixed", "more"])
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            ends = np.append(first, len(bucket)).tolist()
+            blobs = [own.packed(low, high) for low, high in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(np.diff(ends)), pa.array(blobs, pa.binary())], ["bucket", "n", "rows"])
 
-    return src.select("text").mapInArrow(rows, "bucket long, fixed binary, more binary")
+    return src.select("text").mapInArrow(rows, "bucket long, n long, rows binary")
 
 
 def forest(rows: Rows, t: int) -> list[tuple[int, int]]:
     """Index pairs that span the candidates of each key; rows are sorted by key, then by size."""
-    key, s1, s2, n = rows.table[:, 0].copy(), rows.table[:, 2].copy(), rows.table[:, 3].copy(), rows.n
-    place = (rows.table[:, 4] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    up, label = list(range(len(key))), np.arange(len(key))
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+    key, sign, n, place = rows.key, rows.sign, rows.n, (rows.shape & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    label, moved = np.arange(len(key)), np.arange(len(key))
     out, i, d = [], np.arange(len(key)), 1
     while True:
         i = i[i + d < len(key)]
@@ -440,26 +438,29 @@ def forest(rows: Rows, t: int) -> list[tuple[int, int]]:
         j = i + d
         need = needed(n[i], n[j], t)
         could = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
-        apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+        apart = np.bitwise_count(sign[i] ^ sign[j])
         hit = np.flatnonzero((could >= need) & (apart <= n[i] + n[j] - 2 * need) & (label[i] != label[j]))
-        for bits in (512, 2048):
-            both = np.flatnonzero((n[i[hit]] > bits // 4) & (n[j[hit]] > bits // 4))
+        for bits in (128, 256, 512, 1024, 2048):
+            both = np.flatnonzero(np.minimum(n[i[hit]], n[j[hit]]) > bits // 2)
             if len(both):
                 own = hit[both]
                 apart = np.bitwise_count(rows.wide(i[own], bits) ^ rows.wide(j[own], bits)).sum(axis=1, dtype=np.int64)
                 hit = np.delete(hit, both[apart > (n[i] + n[j] - 2 * need)[own]])
         if len(hit):
-            for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                ra, rb = find(a), find(b)
-                if ra != rb:
-                    up[max(ra, rb)] = min(ra, rb)
+            under: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in under:  # noqa: B023
+                    x = under[x]  # noqa: B023
+                return x
+
+            for a, b, x, y in zip(i[hit].tolist(), j[hit].tolist(), label[i[hit]].tolist(), label[j[hit]].tolist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    under[max(x, y)] = min(x, y)
                     out.append((a, b))
-            label = np.array(up)
-            while True:
-                further = label[label]
-                if (further == label).all():
-                    break
-                label = further
+            moved[list(under)] = [top(x) for x in under]
+            label = moved[label]
         d += 1
 
 
@@ -472,22 +473,22 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
     def merged(blobs) -> Rows:
         """All rows of a bucket without copies; these go as the rows gather."""
         parts, n, kept = [], 0, 0
-        for fixed, more in blobs:
-            parts.append(Rows.unpacked(fixed, more))
-            n += len(parts[-1].table)
+        for count, blob in blobs:
+            parts.append(Rows.unpacked(count, blob))
+            n += count
             if n > 2 * kept + ROWS:
                 parts = [Rows.joined(parts).once()]
-                n = kept = len(parts[0].table)
+                n = kept = len(parts[0])
         return Rows.joined(parts).once()
 
     def join(batches):
         for _, blobs in grouped(batches):
             own = merged(blobs)
-            key, h = own.table[:, 0], own.table[:, 1].copy().view(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            h = own.h.view(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], own.key[1:] != own.key[:-1]]))
             first = first[np.unique(first // RUN, return_index=True)[1]]
-            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
-                pairs = forest(Rows(own.table[low:high], own.start[low:high], own.more), percent)
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+                pairs = forest(own.between(low, high), percent)
                 if pairs:
                     a, b = (low + np.array(x) for x in zip(*pairs, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], ["a", "b"])

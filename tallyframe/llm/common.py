@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +17,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder, which all executors share.
+
+    That is ``spark.checkpoint.dir`` or what ``setCheckpointDir`` has set. With neither, a session whose
+    executors are in the driver's own process (``local[n]``) gets a folder under ``spark.local.dir``; any other
+    one is refused, as its executors don't see the driver's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.local.dir', '/tmp')}/checkpoint-{uuid.uuid4().hex}")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
 
@@ -34,6 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
+
+    It learns of them only when the driver's heap is collected, which a driver that holds little does seldom.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

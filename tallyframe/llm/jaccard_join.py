@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .candidates import HOT, PAIRED, Order, Sets, bloom_of, candidate_edges, grouped, in_bloom_of, keys, needed, order_of, prefix_rows, slices
-from .common import connected_components, cut, read
+from .common import connected_components, cut, read, release
 from .words import chunks, ngrams, sets, word_hashes
 
 #: Most sets of a task, and n-grams of these; one in so many n-grams is counted to order them all.
@@ -271,12 +271,13 @@ def _words_of(src: DataFrame, sets_of, wanted: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, every: bool = False, order: Order | None = None, grams: int = GRAMS, hot: int = HOT, paired: int = PAIRED, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n_shingles, component_id, class) a row a document, (a, b) links between classes by their set's name).
+    """((doc_id, n_shingles, component_id, is_first) a row a document, (a, b) links between classes by their set's name).
 
     Documents link when the Jaccard index of their n-gram sets is ``percent`` hundredths or more.
-    ``component_id`` is the smallest id that links reach; ``class`` names the component, null for an empty set.
-    With ``every``, the second frame has all links between different sets, else a spanning forest of them.
-    Columns of ``keep`` are in the first frame too.
+    ``component_id`` is the smallest id that links reach. ``is_first`` marks the rows of a component with the
+    smallest id, null last, and of these with the smallest columns of ``keep``, which are in the first frame too;
+    a row with an empty set is alone. With ``every``, the second frame has all links between different sets, else
+    a spanning forest of them.
     """
     spark, sets_of = docs.sparkSession, _sets_of(n)
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in keep]).alias("kept"))
@@ -291,6 +292,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", "long").add("set", "binary").add("h", "long")))
     near = connected_components(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent))
+    release(spark)
     near = cut(near.join(rows.groupBy("h", "set").agg(F.min("n").alias("n")), F.col("node") == F.col("h")).select("root", "h", "set", "n"))
     sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
     ready = near.drop("h").join(_words_of(src, sets_of, near), "set").join(sizes, "root")
@@ -301,16 +303,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         ready = cut(ready)
     links = _joined(_alone(ready.filter(fits).withColumn("class", F.col("set")), F.hex("root")), shared, percent, every)
     links = cut(links.unionByName(_large(ready.filter(~fits).select("root", "set", "n", "words"), shared, percent, most, grams, every)) if large else links)
-    classes = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("low"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "kept")
+    classes = rows.filter("n > 0").groupBy("set").agg(F.min(place).alias("low"))
     labelled = classes.join(connected_components(links), F.col("set") == F.col("node"), "left").select("set", "low", F.coalesce("root", "set").alias("root"))
-    lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    answer = cut(labelled.join(lowest, "root").select("set", "component_id", F.col("root").alias("class")))
+    lowest = labelled.groupBy("root").agg(F.min("low").alias("first"))
+    answer = cut(labelled.join(lowest, "root").select("set", "first"))
+    full = F.col("n") > 0
     out = rows.join(answer, "set", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class")).alias("class"), *[F.col(f"kept.`{c}`").alias(c) for c in keep]
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(full, F.col("first.id")).otherwise(F.col("id")).alias("component_id"),
+        (~full | ((F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.kept") == F.col("kept")))).alias("is_first"), *[F.col(f"kept.`{c}`").alias(c) for c in keep]
     )
     return out, links
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_shingles, component_id): three words, 0.9."""
-    return jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)[0].drop("class")
+    return jaccard_components(read(spark, sf_dir, "documents"), n=3, percent=90)[0].drop("is_first")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .candidates import HOT, PAIRED, Sets, bloom_of, candidate_edges, cut_if_any, grouped, in_bloom_of, needed, order_of, parities, prefix_rows, slices, width
-from .common import connected_components, cut, read
+from .common import connected_components, cut, read, release
 from .words import chunks, sets, word_hashes
 
 PERCENT = 80
@@ -196,11 +196,13 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot:
     src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
     order = order_of(src.select("text"), _words)
     near = connected_components(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent))
+    release(docs.sparkSession)
     found = cut(_occurrences(src, near))
     # sets that occur once and are like no other have no part in what follows
     known = found.groupBy(*NAME).agg(F.count("*").alias("times"), F.min("n").alias("n")).join(near, F.col("h") == F.col("node"), "left")
     known = known.filter("times > 1 or root is not null").drop("node")
     lines = cut(found.drop("words", "n").join(known, list(NAME)))
+    release(docs.sparkSession)
     known = cut(lines.groupBy(*NAME, "root", "n").agg(F.min(_place()).alias("first")))
     near = known.filter("root is not null").select("root", *NAME, "n", "first.*")
     sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))

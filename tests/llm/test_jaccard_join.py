@@ -56,7 +56,7 @@ def test_against_brute_force(spark, seed, n, t, most, hot, paired):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit(1)).withColumn("n", F.lit(2)).repartition(5)
     out, links = jaccard_components(docs, n, t, most=most, hot=hot, paired=paired)
-    assert sorted(map(repr, map(tuple, out.drop("class").collect()))) == sorted(map(repr, brute(rows, n, t)))
+    assert sorted(map(repr, map(tuple, out.drop("is_first").collect()))) == sorted(map(repr, brute(rows, n, t)))
 
 
 def test_all_links_of_different_sets(spark):

@@ -59,7 +59,7 @@ def test_contaminated(spark):
             want.add((i, k))
         rows.append((i, rnd.choice([" ", "\n"]).join(t).upper()))
     rows += [(100, None), (101, ""), (None, " ".join(items[0])), (102, "a short ONE b"), (0, rows[0][1])]
-    want |= {(None, 0), (102, 6)}
+    want |= {(None, 0)}  # an item of two words is no passage
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(0))
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
     for block in (de.BLOCK, 50):
