@@ -26,7 +26,8 @@ needs no model, the trusted documents of all languages count as ``few`` more of
 
 Null and empty texts have no perplexity and don't stay. Without any trusted text there is no model: all
 documents with text stay. A document is trusted if it has labels and all of them say quality 1 and toxic 0;
-a null id is never trusted. Characters beyond U+FFFF count as U+FFFF. Extra columns aren't read.
+a null id is never trusted. Characters beyond U+FFFF share 2,048 numbers that no other character has. Extra
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ ORDER, QUANTILE, FEW, BIN = 4, 0.995, 50, 0.001
 SPAN, REPEATS = 32, 0.005
 #: Models: of all trusted text, without its first half, without its second half.
 VARIANTS = 3
-#: Rows of the n-gram table up to which it is broadcast (20 bytes each), and of labels (8 bytes each).
+#: Rows of the n-gram table up to which it is broadcast (20 bytes each), and of labels (8 bytes each; languages up to a twentieth).
 TABLE, LABELS = 4_000_000, 2_000_000
 
 
@@ -57,7 +58,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         for first, end, data, offsets in chunks(batch.column(0)):
             points, bounds = code_points(data, offsets)
             # 0 is the mark before the start, 1 that after the end
-            points = np.clip(points, 2, 0xFFFF).astype(np.uint64)
+            points = np.where(points > 0xFFFF, 0xD800 + (points & 0x7FF), np.maximum(points, 2)).astype(np.uint64)
             line, at = padded(points, bounds, ORDER - 1, 1)
             line[at[1:] - 1] = 1
             grams = line[: len(line) - ORDER + 1].copy()
@@ -157,7 +158,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
             below = F.col("below")
         p = F.when(F.col("total").isNull(), below).otherwise(F.coalesce("left", F.lit(0.0)) / F.col("total") + F.col("off") / F.col("total") * below)
         lower = cut(w.select("v", "g", p.alias("p")))
-    each = [F.max(F.when(F.col("v") == v, F.log("p"))) for v in range(VARIANTS)]
+    each = [F.max(F.when(F.col("v") == v, F.log("p").cast("float"))) for v in range(VARIANTS)]
     return lower.groupBy("g").agg(F.array(*each).alias("logp"))
 
 
@@ -193,11 +194,11 @@ def score(docs: DataFrame, table: DataFrame, most: int = TABLE) -> DataFrame:
             g, row = g[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(g) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(g)))
-            own = rows.take(pa.array(row[first]))
-            yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(varieties(rows.column(0))[row[first]]), pa.array(np.diff(at)[row[first]]), pa.array(g[first].view(np.int64)), pa.array(n)], ["half", *keys, "variety", "n", "g", "times"])
+            own = [c.take(pa.array(row[first])) for c in rows.columns[1:]]  # not the text
+            yield pa.RecordBatch.from_arrays([*own, pa.array(varieties(rows.column(0))[row[first]]), pa.array(np.diff(at)[row[first]]), pa.array(g[first].view(np.int64)), pa.array(n)], ["half", *keys, "variety", "n", "g", "times"])
 
     asked = docs.select("text", "half", *keys).mapInArrow(ask, f"half long, {names}, variety double, n long, g long, times long")
-    value = F.element_at("logp", (F.col("half") + 1).cast("int"))
+    value = F.element_at("logp", (F.col("half") + 1).cast("int")).cast("double")
     sums = asked.join(table, "g").groupBy(*keys, "variety", "n").agg(F.sum("times").alias("all"), F.sum(F.col("times") * value).alias("logp"))
     # equal rows have been summed as one; each gets its share
     equal = (F.col("all") / F.col("n")).cast("int")
@@ -250,12 +251,16 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, few:
     src = src.join(good, F.col("doc_id") == F.col("good"), "left").select("doc_id", "lang", "text_key", F.col("good").isNotNull().alias("trusted"), half.alias("half"), "text")
     table = cut(log_probabilities(cut(count_grams(src))))
     scored = cut(score(src, table, most))
+    scored = scored.withColumn("logp", F.round("logp", 6))  # sums in any order agree
     log_ppl = F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))
     by_lang = thresholds(scored, quantile, repeats, few).withColumnRenamed("lang", "of")
     # without any trusted text there is no model
     if not scored.filter("trusted and n > 0").limit(1).count():
         by_lang = by_lang.limit(0)
     limit, least = F.coalesce("limit", F.lit(float("inf"))), F.coalesce("low", F.lit(0.0))
+    by_lang = cut(by_lang)
+    if by_lang.count() <= LABELS // 20:
+        by_lang = F.broadcast(by_lang)
     out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
     return out.select(
         "doc_id", "lang", "text_key", "n", F.exp(log_ppl).alias("perplexity"), F.exp(limit).alias("threshold"), "variety", least.alias("least"), F.coalesce((log_ppl <= limit) & (F.col("variety") >= least), F.lit(False)).alias("kept")
