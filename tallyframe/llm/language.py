@@ -1,11 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Texts are lower-cased; everything but letters is one gap between words. N-grams of 1 to ``LONGEST``
-characters are hashed to ``BUCKETS`` features, weighted by (1 + log tf) * idf and scaled to length 1.
+characters are hashed to ``BUCKETS`` features, weighted by (1 + log tf) * idf and scaled to length 1. From 64
+languages on there are fewer features, so that features times languages, the size of the training's state,
+stay within ``STATE``; no language is left out, and more than ``LANGUAGES`` raise an error.
 Document frequencies are counted over every document that may be learnt from. The weights are trained by
 follow-the-regularised-leader with an elastic-net penalty on a bounded sample, at most about ``PER_LANG``
-documents a language (their ids' hashes decide): ``SHARDS`` tasks run over their part from one state, the
-states are averaged, ``EPOCHS`` times. A fifth of the sample is kept out of that and sets the temperature
+documents a language (their ids' hashes decide): ``SHARDS`` tasks (one for 16 languages, if that is more) run over their part from one state, the
+states are averaged, block by block of features, ``EPOCHS`` times. A fifth of the sample is kept out of that and sets the temperature
 that the scores are divided by, the one of ``HEATS`` with the least log loss.
 
 Only id and label pick the documents to learn from; predictions take the text alone. A null or empty text,
@@ -30,8 +32,8 @@ from .words import chunks, mix
 LONGEST, BUCKETS, PER_LANG, SHARDS, EPOCHS = 3, 1 << 16, 1000, 4, 3
 ALPHA, BETA, L1, L2 = 0.5, 0.1, 0.02, 0.01
 HEATS = np.geomspace(0.02, 20, 121)
-#: Most languages that are told apart; the state of the training has 16 * BUCKETS bytes for each.
-LANGUAGES = 200
+#: Cells of the training's state (16 bytes each), the blocks it is averaged in, and most languages.
+STATE, BLOCKS, LANGUAGES = BUCKETS << 6, 64, 16_384
 
 _tables: list[np.ndarray] = []
 
@@ -48,7 +50,12 @@ def _lower() -> np.ndarray:
     return _tables[0]
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+def buckets_for(langs: int) -> int:
+    """Features for so many languages: a power of two."""
+    return min(BUCKETS, 1 << (STATE // max(langs, 1)).bit_length() - 1)
+
+
+def _features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
     """(features, counts) of each row, None for a row without letters."""
     points, bounds = code_points(data, offsets)
     low = _lower()[points]
@@ -61,7 +68,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     grams, h = [], np.zeros(len(line) - LONGEST, np.uint64)
     for k in range(LONGEST):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + line[k : len(h) + k] + np.uint64(1))
-        grams.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
+        grams.append((h & np.uint64(buckets - 1)).astype(np.int64))
     for r in range(len(at) - 1):
         if letters[r + 1] == letters[r]:
             yield None
@@ -71,7 +78,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         if len(own) < 2000:
             yield np.unique(own, return_counts=True)
         else:
-            n = np.bincount(own, minlength=BUCKETS)
+            n = np.bincount(own, minlength=buckets)
             f = np.flatnonzero(n)
             yield f, n[f]
 
@@ -113,16 +120,19 @@ class Model:
 def train(learn: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """A model of (id, text, lang), null texts and languages left out beforehand."""
     spark = learn.sparkSession
-    counts = {r["lang"]: r["c"] for r in learn.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["c"] for r in learn.groupBy("lang").agg(F.count("*").alias("c")).limit(LANGUAGES + 1).collect()}
     langs = sorted(counts)
     if not langs:
         return None
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    buckets = buckets_for(len(langs))
 
     def seen(batches):
-        df, docs = np.zeros(BUCKETS, np.int64), 0
+        df, docs = np.zeros(buckets, np.int64), 0
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
-                for got in _features(data, offsets):
+                for got in _features(data, offsets, buckets):
                     if got is not None:
                         df[got[0]] += 1
                         docs += 1
@@ -132,38 +142,44 @@ def train(learn: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     df = learn.select("text").mapInArrow(seen, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     f, n = df.column("f").to_numpy(), df.column("n").to_numpy().astype(float)
     docs = n[f == -1].sum()
-    idf = np.full(BUCKETS, np.log(1 + docs) + 1)
+    idf = np.full(buckets, np.log(1 + docs) + 1)
     idf[f[f >= 0]] = np.log((1 + docs) / (1 + n[f >= 0])) + 1
 
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / counts[lang]))])
+    share = spark.createDataFrame([(lang, i, min(1.0, per_lang / counts[lang])) for i, lang in enumerate(langs)], "of string, y long, share double")
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    sample = learn.filter(F.col("lang").isin(langs)).filter(draw < share[F.col("lang")])
-    sample = sample.withColumn("turn", F.xxhash64("id", F.lit("turn"))).select("text", "lang", "turn")
-    code = {lang: i for i, lang in enumerate(langs)}
+    sample = learn.join(F.broadcast(share), F.col("lang") == F.col("of")).filter(draw < F.col("share"))  # at most LANGUAGES rows
+    sample = sample.select("text", "y", F.xxhash64("id", F.lit("turn")).alias("turn"))
 
     def vectors(batches):
         for batch in batches:
             for first, end, data, offsets in chunks(batch.column(0)):
                 own = batch.slice(first, end - first)
-                for y, turn, got in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), _features(data, offsets), strict=True):
+                for y, turn, got in zip(own.column(1).to_pylist(), own.column(2).to_pylist(), _features(data, offsets, buckets), strict=True):
                     if got is not None:
                         x = _vector(*got, idf).astype(np.float32)
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((code[y], pa.int64()), (turn, pa.int64()), (got[0].astype(np.int32).tobytes(), pa.binary()), (x.tobytes(), pa.binary()))], ["y", "turn", "f", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((y, pa.int64()), (turn, pa.int64()), (got[0].astype(np.int32).tobytes(), pa.binary()), (x.tobytes(), pa.binary()))], ["y", "turn", "f", "x"])
 
     vecs = cut(sample.mapInArrow(vectors, "y long, turn long, f binary, x binary"))
-    fit = vecs.filter(F.pmod("turn", F.lit(5)) > 0).withColumn("shard", F.pmod(F.xxhash64("turn", F.lit("shard")), F.lit(SHARDS)))
-    z, n = np.zeros((BUCKETS, len(langs))), np.zeros((BUCKETS, len(langs)))
+    fit = vecs.filter(F.pmod("turn", F.lit(5)) > 0).withColumn("shard", F.pmod(F.xxhash64("turn", F.lit("shard")), F.lit(max(SHARDS, len(langs) // 16))))
+    z, n = np.zeros((buckets, len(langs))), np.zeros((buckets, len(langs)))
+    size = buckets // BLOCKS
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], **{k: [np.mean([np.frombuffer(x, float) for x in pdf[k]], axis=0).tobytes()] for k in ("z", "n")}})
+
     for _ in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             rows = [(r.y, np.frombuffer(r.f, np.int32), np.frombuffer(r.x, np.float32).astype(float)) for r in pdf.sort_values("turn").itertuples()]
-            z, n = ftrl(rows, *state.value)
-            return pd.DataFrame({"z": [z.tobytes()], "n": [n.tobytes()]})
-
-        parts = fit.groupBy("shard").applyInPandas(one, "z binary, n binary").collect()  # SHARDS states at most
-        if parts:
-            z, n = (np.mean([np.frombuffer(p[k], float).reshape(z.shape) for p in parts], axis=0) for k in ("z", "n"))
+            after = ftrl(rows, *state.value)
+            return pd.DataFrame([(b, *(a[b * size : (b + 1) * size].tobytes() for a in after)) for b in range(BLOCKS)], columns=["block", "z", "n"])
+
+        kinds = "block long, z binary, n binary"
+        z, n = z.copy(), n.copy()
+        for r in fit.groupBy("shard").applyInPandas(one, kinds).groupBy("block").applyInPandas(mean, kinds).collect():  # one state
+            for k, a in (("z", z), ("n", n)):
+                a[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r[k], float).reshape(size, -1)
     weights = _weights(z, n)
     shared = spark.sparkContext.broadcast(weights)
 
@@ -193,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for first, end, data, offsets in chunks(batch.column(0)):
                 langs, scores = [], []
-                for got in _features(data, offsets):
+                for got in _features(data, offsets, len(m.idf)):
                     if got is None:
                         langs.append("und")
                         scores.append(0.0)
