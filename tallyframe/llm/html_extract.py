@@ -1,8 +1,9 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the page.
 
-A page is read tag by tag. Block tags cut its text into leaf blocks; head, script, style, comments and other
-markup that shows no text of its own are left out. A block is described by the tags around it with the words
-of their class, id and role, by its own tag, and by its text (length, share of link text, punctuation,
+A page is read tag by tag in one forward pass, with HTML's rules for quotes, comments and raw elements. Block
+tags cut its text into leaf blocks; head, script, style, comments and other markup that shows no text of its
+own are left out. A block is described by the ``AROUND`` nearest tags around it with the words of their class,
+id and role, by its own tag, and by its text (length, share of link text, punctuation,
 telling words), all hashed to ``FEATURES`` features. Two labels, main text or not, have weights for these and
 for following each other; Viterbi decoding gives the labels. The field is trained on labelled pages: pages
 built, with their labels, from the layouts of ``labelled_page``. ``SHARDS`` tasks climb the likelihood of
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -32,8 +34,9 @@ from .common import cut, read
 
 FEATURES, PAGES, SHARDS, ROUNDS, EPOCHS, RATE, DECAY = 1 << 14, 1000, 4, 3, 4, 0.5, 1e-5
 
-_piece = re.compile(r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_attr = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_name = re.compile(r"[a-zA-Z][^\s/>]*")
+_attr = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(\"?)|'([^']*)('?)|([^\s>]*)))?")
+_gap = re.compile(r"[\s/]*")
 _word = re.compile(r"[a-z]+")
 
 #: Tags inside a line of text; any other tag ends a block.
@@ -42,57 +45,104 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 HIDDEN = frozenset("head select button".split())
+#: Elements whose content is no markup or no text of the page, up to their end tag.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style noscript template textarea title svg iframe".split()}
+#: Tags around a block that describe it.
+AROUND = 64
+
+
+def tags(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
+    """(text before, tag, is an end tag, is empty, its class, id and role) of each tag; a last one for the rest of the text.
+
+    Each character is looked at a bounded number of times. As in browsers, a quote counts only after an equals
+    sign, and a comment or tag that isn't finished takes the rest of the page.
+    """
+    at, start, n = 0, 0, len(page)
+    text: list[str] = []
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            text.append(page[start:])
+            yield "".join(text), "", False, False, ""
+            return
+        mark = page[lt + 1 : lt + 2]
+        closing = mark == "/"
+        name = _name.match(page, lt + 1 + closing)
+        if not name and not (mark and mark in "!?/"):
+            at = lt + 1  # a "<" of the text
+            continue
+        text.append(page[start:lt])
+        if not name:
+            stop = "-->" if page.startswith("<!--", lt) else ">"
+            end = page.find(stop, lt + 4 if len(stop) > 1 else lt)
+            at = start = end + len(stop) if end >= 0 else n
+            continue
+        tag, at, names = name[0].lower(), name.end(), []
+        while True:
+            at = _gap.match(page, at).end()
+            if at >= n or page[at] == ">":
+                break
+            a = _attr.match(page, at)
+            at = a.end()
+            if a[2] is not None and not a[3] or a[4] is not None and not a[5]:
+                at = n  # a quote that isn't closed
+            elif a[1].lower() in ("class", "id", "role"):
+                names.append((a[2] or a[4] or a[6] or "").lower())
+        if at >= n:
+            yield "".join(text), "", False, False, ""
+            return
+        empty, at = page[at - 1] == "/", at + 1
+        if tag in RAW and not closing and not (tag == "svg" and empty):
+            end = RAW[tag].search(page, at)
+            at = page.find(">", end.end()) + 1 if end else n
+            start = at = at or n
+            continue
+        start = at
+        yield "".join(text), tag, closing, empty, " ".join(names)
+        text = []
 
 
 def blocks(page: str) -> list[tuple[str, list[str], float]]:
-    """(text, descriptions of the tags around, innermost last, share of link text) of each leaf block."""
+    """(text, descriptions of the nearest tags around, innermost last, share of link text) of each leaf block."""
     out: list[tuple[str, list[str], float]] = []
     stack: list[tuple[str, str]] = []
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    linked = [0, 0]  # depth of links, characters in them
-    at = 0
+    link, linked = False, 0  # inside a link, characters in links
 
     def end_block() -> None:
+        nonlocal linked
         words = " ".join(html.unescape("".join(text)).split())
-        if words and not any(t in HIDDEN for t, _ in stack):
-            out.append((words, [d for _, d in stack], min(1.0, linked[1] / len(words))))
+        if words and not any(open_[t] for t in HIDDEN):
+            out.append((words, [d for _, d in stack[-AROUND:]], min(1.0, linked / len(words))))
         text.clear()
-        linked[1] = 0
-
-    def add(piece: str) -> None:
-        text.append(piece)
-        if linked[0]:
-            linked[1] += len(piece.strip())
-
-    for m in _piece.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"] and m["tag"].lower()
-        if not tag:
-            continue
+        linked = 0
+
+    for before, tag, closing, empty, names in tags(page):
+        text.append(before)
+        if link:
+            linked += len(before.strip())
         if tag in INLINE:
             if tag == "a":
-                linked[0] = 0 if m["close"] else 1
+                link = not closing
             elif tag == "br":
                 text.append(" ")
             continue
         end_block()
-        if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+        if closing:
+            while open_[tag]:
+                last, _ = stack.pop()
+                open_[last] -= 1
+                if last == tag:
                     break
         elif tag == "body":
             stack[:] = [s for s in stack if s[0] != "head"]
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+            open_["head"] = 0
+        elif tag and tag not in VOID and not empty:
             if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
-                stack.pop()
-            names = " ".join("".join(a[1:]) for a in _attr.findall(m["attrs"])).lower()
+                open_[stack.pop()[0]] -= 1
             stack.append((tag, f"{tag} {names}"))
-    last = page[at:]
-    add(last[: last.rindex("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", last) else last)  # a tag that was cut off
-    end_block()
+            open_[tag] += 1
     return out
 
 
@@ -204,7 +254,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
             if kind < 0.7:
                 out.append(f"<p>{keep(text())}</p>")
             elif kind < 0.76:
-                out.append(f"<p>{keep('<b>' + text() + '<br>' if r.random() < 0.5 else sentence(1, 3))}{pick(['</p>', ''])}")
+                out.append(f"<p>{keep('<em>' + sentence() + '</em> ' + text() if r.random() < 0.5 else sentence(1, 3))}{pick(['</p>', ''])}")
             elif kind < 0.82:
                 out.append(f"<h2>{keep(words(1, 6).capitalize())}</h2>")
             elif kind < 0.88:
@@ -245,7 +295,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     if r.random() < 0.2:
         lows, tops = lows[1:], [*tops, lows[0]]
     inner = "".join(tops) + "<!-- note -->" + article + "".join(lows)
-    page = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>{inner}</body></html>"
+    page = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{inner}</body></html>"
     return page, main
 
 
