@@ -2,8 +2,8 @@
 
 The item is aligned with a document's words: ``MATCH`` for equal words, ``-MISS`` for different ones and for
 each word left out or put in. The score is the best local alignment over that of the whole item with itself;
-from ``least`` on the document counts as contaminated by the item. Less than ``FLOOR`` equal words, or than
-all words of a shorter item, is never enough.
+from ``least`` on the document counts as contaminated by the item. Less than ``FLOOR`` equal words is never
+enough: an item of fewer words, a "yes" say, is no passage and matches nothing.
 
 No such pair is lost before it is scored. An alignment that is good enough bounds from below how many of the
 item's words it matches, and from above how many words of the document it spans. So however the copy was
@@ -47,7 +47,7 @@ class Items:
         self.own = [np.searchsorted(self.known, w) for w in self.words]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         #: Scores needed, and the most words of a document that an alignment with such a score spans.
-        self.need = np.maximum(least * MATCH * self.lengths, MATCH * np.minimum(floor, self.lengths))
+        self.need = np.maximum(least * MATCH * self.lengths, MATCH * floor)
         self.span = self.lengths + np.floor((MATCH * self.lengths - self.need) / MISS + 1e-9).astype(np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True

@@ -7,8 +7,8 @@ one row a task over the shuffle; the rows then find their class by a join of nar
 partitions adaptive execution splits.
 
 Null text counts as empty. A null id loses against any other id with as long a text; a class of null ids
-only has a null ``keep_id`` and keeps one row of it. Rows that share id and text are one document and get
-the same answer. Columns other than the two named are not read.
+only has a null ``keep_id``. Rows that share id and text are one document and get the same answer, so of
+repeated rows, and of null ids in such a class, all have ``kept``. Columns other than the two named are not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ epoch, each epoch in the order of its own pseudorandom permutation (swap-or-not,
 and slot and block are joined by the block's index. The last slot of a source takes only the words that
 are still wanted of its block.
 
-Words are numbered by two levels of prefix sums, inside one of ``BUCKETS`` hash buckets of a source and
-over the buckets, so no task sorts a whole source. Tables of one row a source, or a source and bucket or
+Words are numbered by two levels of prefix sums, inside a hash bucket of a source and over the buckets, so no
+task sorts a whole source. There are ``BUCKETS`` or more, at most about ``PER_BUCKET`` documents each. Tables of one row a source, or a source and bucket or
 output shard, are the only ones summed over.
 
 Null texts and texts without words have size 0 and nothing is taken of them; a null source is a source of
@@ -26,7 +26,9 @@ from .common import WORD, cut, read, word_count
 
 #: Production parameters.
 BLOCK, SHARD, WEIGHTS, MOST, SEED = 128, 4096, (5, 2, 1), 3, 17
-BUCKETS, CELLS, ROUNDS = 1024, 4096, 16
+CELLS, ROUNDS = 4096, 16
+#: Fewest hash buckets of a source, and documents for each bucket.
+BUCKETS, PER_BUCKET = 1024, 16_384
 
 
 def _swap_or_not(x: Column, n: Column, key: Column, rounds: Column) -> Column:
@@ -75,13 +77,14 @@ class Mix:
         self.block, self.shard, self.seed = block, shard, seed
         self.spark = docs.sparkSession
         text = F.col(text_col).cast("string")
+        buckets = max(BUCKETS, 1 << (docs.count() // PER_BUCKET).bit_length())
         self.rows = docs.select(
             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             word_count(text).alias("size"),
             F.xxhash64(text).alias("tie"),
-        ).withColumn("bucket", F.pmod(F.xxhash64("id", "tie"), F.lit(BUCKETS)).cast("int"))
+        ).withColumn("bucket", F.pmod(F.xxhash64("id", "tie"), F.lit(buckets)).cast("int"))
         buckets = cut(self.rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
         sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
         want = targets(sizes, weights, most).withColumn("want", F.least(F.floor(F.col("target") + 0.5), most * F.col("source_size")))
