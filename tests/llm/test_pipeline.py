@@ -57,3 +57,15 @@ def test_empty_tables(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [])
     out = cp.run(spark, str(tmp_path))
     assert out.count() == 0 and "shard" in out.columns
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    rnd = random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{rnd.randrange(500)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a, "en", "s", 1), (2, a + " end", "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1), (3, c, "en", "s", 1), (3, c, "de", None, 1), (None, d, "en", "s", 1), (None, d + " x", "en", "s", 1), (None, b, "en", "s", 1)]
+    rows += [(4, None, "en", "s", None), (4, None, "en", "s", None), (5, "", None, None, 0)]
+    got = cp.near_duplicates_stage(spark, spark.createDataFrame(rows, DOC), "").collect()
+    kept = [rows[0], rows[2], (3, c, "de", None, 1), *rows[9:]]
+    ends = [r for r in map(tuple, got) if r[0] is None]
+    assert len(ends) == 1 and ends[0] in rows[6:8]
+    assert sorted(map(repr, (tuple(r) for r in got if r["doc_id"] is not None))) == sorted(map(repr, kept))
