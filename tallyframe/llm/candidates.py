@@ -13,8 +13,8 @@ and the counts of about the ``HEAVY`` most frequent ones. A filter that has fill
    the token with a later one: sets that differ and match share at least two tokens, and if the first is that
    frequent, so is the second; both are among the first n - ceil(t n) + 2. Such keys are far rarer, and need
    parts only for each ``PAIRED`` times ``hot`` sets.
-3. Inside a group the length filter (sizes within t), the positional filter (what the places leave to be
-   shared) and the signature filter (``parities``) leave candidates; the group gives a forest that spans
+3. Inside a group the length filter (sizes within t), the positional filter (what is left of both sets from
+   the first token they share on) and the signature filter (``parities``) leave candidates; the group gives a forest that spans
    them (``forest``), not pairs. The components of these edges hold all matching pairs. As the signature
    bounds the tokens in which two sets differ, edges between sets that don't match are few, so components
    stay about as large as those of the matches.
@@ -42,8 +42,8 @@ HOT, PAIRED = 4096, 32
 BUCKET = 250_000
 #: Bytes of text whose rows are packed at once, and prefix rows of a bucket from which copies are taken out on the way.
 PACK, ROWS = 1 << 23, 200_000
-#: Rows of whole groups that are joined at once.
-RUN = 1 << 16
+#: Rows of whole groups that are joined at once, and edges that a task gathers before it sends a forest of them.
+RUN, EDGES = 1 << 16, 1 << 19
 
 
 class Sets:
@@ -428,7 +428,8 @@ def forest(rows: Rows, t: int) -> list[tuple[int, int]]:
     """Index pairs that span the candidates of each key; rows are sorted by key, then by size."""
     key, sign, n, place = rows.key, rows.sign, rows.n, (rows.shape & np.uint64(0xFFFFFFFF)).astype(np.int64)
     label, moved = np.arange(len(key)), np.arange(len(key))
-    out, i, d = [], np.arange(len(key)), 1
+    # the first token that two sets share leaves as many as they need in both; in the smaller set these are more
+    out, i, d = [], np.flatnonzero(n - place >= needed(n, n, t)), 1
     while True:
         i = i[i + d < len(key)]
         j = i + d
@@ -437,7 +438,7 @@ def forest(rows: Rows, t: int) -> list[tuple[int, int]]:
             return out
         j = i + d
         need = needed(n[i], n[j], t)
-        could = np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j])
+        could = np.minimum(n[i] - place[i], n[j] - place[j])
         apart = np.bitwise_count(sign[i] ^ sign[j])
         hit = np.flatnonzero((could >= need) & (apart <= n[i] + n[j] - 2 * need) & (label[i] != label[j]))
         for bits in (128, 256, 512, 1024, 2048):
@@ -481,7 +482,24 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
                 n = kept = len(parts[0])
         return Rows.joined(parts).once()
 
+    def spanning(edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Edges from each set to the least that these edges reach."""
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        a, b = (np.concatenate(c) for c in zip(*edges, strict=True))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        return pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], ["a", "b"])
+
     def join(batches):
+        edges, n = [], 0
         for _, blobs in grouped(batches):
             own = merged(blobs)
             h = own.h.view(np.int64)
@@ -491,7 +509,13 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
                 pairs = forest(own.between(low, high), percent)
                 if pairs:
                     a, b = (low + np.array(x) for x in zip(*pairs, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], ["a", "b"])
+                    edges.append((h[a], h[b]))
+                    n += len(a)
+            if n >= EDGES:
+                yield spanning(edges)
+                edges, n = [], 0
+        if edges:
+            yield spanning(edges)
 
     by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
     return by_bucket.mapInArrow(join, "a long, b long").filter("a <> b").distinct()
