@@ -28,6 +28,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
@@ -190,7 +191,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
                 ["page_id", "host", "path", "host_words", "block_odds"],
             )
 
-    out = src.mapInArrow(judged, src.schema.add("host_words", "array<string>").add("block_odds", "double"))
+    out = src.mapInArrow(judged, src.schema.add("host_words", T.ArrayType(T.StringType())).add("block_odds", T.DoubleType()))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "host_words", "block_odds")
