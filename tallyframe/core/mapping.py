@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows up to which a category table is gathered and broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their text, up to which a category table is gathered and broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 POLICIES = ("value", "return_nan", "error", "indicator")
 
@@ -33,15 +33,30 @@ def clean(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c
 
 
+def fetched(table: DataFrame, most: int | None = None) -> list[Row] | None:
+    """The rows of a small table, in its order; None if it has over ``BROADCAST_ROWS`` rows or ``BROADCAST_BYTES`` of text.
+
+    One job: the rows are packed where they are counted, and come to the driver only if they are few.
+    """
+    most = BROADCAST_ROWS if most is None else most
+    size = F.lit(64)
+    for f in table.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(quoted(f.name)), F.lit(0))
+    some = table.limit(most + 1)
+    packed = some.agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.collect_list(F.struct(*map(quoted, table.columns))).alias("rows"))
+    few = (F.col("n") <= most) & (F.coalesce("bytes", F.lit(0)) <= 64 * most + BROADCAST_BYTES)
+    return packed.select(F.when(few, F.col("rows")).alias("rows")).first()["rows"]
+
+
 def settle(table: DataFrame) -> tuple[DataFrame, bool]:
     """A category table computed once, and whether it is small enough to be broadcast.
 
-    A table of up to ``BROADCAST_ROWS`` rows becomes a local relation. A larger one is kept in the shared
-    checkpoint folder where there is one, else it is computed again by each use.
+    A small table becomes a local relation. A larger one is kept in the shared checkpoint folder where there is
+    one, else it is computed again by each use.
     """
-    spark = table.sparkSession
-    rows = table.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS:
+    spark, rows = table.sparkSession, fetched(table)
+    if rows is not None:
         return spark.createDataFrame(rows, table.schema), True
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return table.checkpoint(), False

@@ -43,3 +43,11 @@ def repair_age(age: Column, year: int) -> Column:
     """Ages given as years of birth turned into ages; what is beyond 15 to 100 becomes null."""
     fixed = F.when(age.between(1900, year), F.lit(year) - age).otherwise(age)
     return F.when(fixed.between(15, 100), fixed)
+
+
+def ladder(rules: list[tuple[Column, object]], other: object) -> Column:
+    """The value of the first rule that holds, else ``other``; a null test doesn't hold."""
+    out = F.lit(other)
+    for test, value in reversed(rules):
+        out = F.when(test, F.lit(value)).otherwise(out)
+    return out

@@ -27,6 +27,15 @@ def binary(df: DataFrame, y: Column, p: Column, cut: float = 0.5) -> DataFrame:
     )
 
 
+def focal_loss(y: Column, raw: Column, alpha: float, gamma: float) -> dict[str, Column]:
+    """loss, grad and hess of the focal loss of a raw score, with class weights ``alpha`` and 1 - ``alpha``; derivatives in closed form."""
+    p = 1 / (1 + F.exp(-raw))
+    pt, weight, sign = F.when(y == 1, p).otherwise(1 - p), F.when(y == 1, F.lit(alpha)).otherwise(1 - alpha), F.when(y == 1, 1.0).otherwise(-1.0)
+    away, log = F.pow(1 - pt, F.lit(gamma)), F.ln(pt)
+    inner = gamma * pt * log - (1 - pt)
+    return {"loss": -weight * away * log, "grad": sign * weight * away * inner, "hess": weight * pt * away * ((1 - pt) * (gamma * log + gamma + 1) - gamma * inner)}
+
+
 def auc(df: DataFrame, y: Column, p: Column) -> DataFrame:
     """One row: the exact area under the ROC curve, from ranks with ties at their mean.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core.mapping import quoted
+from ..core.order import quantiles
 
 
 def _n(x: Column) -> Column:
@@ -47,7 +48,7 @@ def mean_absolute_deviation(df: DataFrame, keys: list[str], col: str, out: str)
 def value_counts(df: DataFrame, col: str, normalize: bool = False, dropna: bool = True) -> DataFrame:
     src = df.filter(quoted(col).isNotNull()) if dropna else df
     t = src.groupBy(quoted(col).alias("value")).agg(F.count("*").alias("n"))
-    return t.withColumn("n", F.col("n") / F.sum("n").over(Window.partitionBy())) if normalize else t
+    return t.withColumn("n", F.col("n") / F.lit(src.count())) if normalize else t
 
 
 def mode(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
@@ -113,8 +114,7 @@ def cumulative_importance(importances: DataFrame, share: float = 0.93) -> DataFr
 def psi(train: DataFrame, test: DataFrame, col: str, bins: int = 5, null: float = -998.0) -> DataFrame:
     """One row (psi): stability of ``col``; edges are quantiles of ``train``, its nulls counted as ``null``."""
     x = F.coalesce(quoted(col).cast("double"), F.lit(null))
-    edges = train.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
+    edges = sorted(set(quantiles(train, x, [i / bins for i in range(1, bins)]) or []))
     part = F.lit(0)
     for e in edges:  # right-closed bins
         part = part + (x > F.lit(e)).cast("int")
@@ -130,11 +130,26 @@ def psi(train: DataFrame, test: DataFrame, col: str, bins: int = 5, null: float
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, count, mean, std, min, q1, median, q3, max), a row a numeric column; exact quartiles, one aggregation."""
-    stats = {"count": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda x: F.min(x).cast("double"), "q1": BUNDLE["q1"], "median": F.median, "q3": BUNDLE["q3"], "max": lambda x: F.max(x).cast("double")}
+    """(column, count, mean, std, min, q1, median, q3, max), a row a numeric column; exact quartiles."""
+    stats = {"count": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda x: F.min(x).cast("double"), "max": lambda x: F.max(x).cast("double")}
     one = df.agg(*[f(quoted(c)).alias(f"{c}:{n}") for c in cols for n, f in stats.items()])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}:{n}`").cast("double").alias(n) for n in stats]) for c in cols])
-    return one.select(F.inline(cells))
+    quartiles = {c: quantiles(df, quoted(c), [0.25, 0.5, 0.75]) or [None] * 3 for c in cols}
+
+    def cell(c: str) -> Column:
+        q = [F.lit(v).cast("double").alias(n) for n, v in zip(("q1", "median", "q3"), quartiles[c], strict=True)]
+        s = [F.col(f"`{c}:{n}`").cast("double").alias(n) for n in stats]
+        return F.struct(F.lit(c).alias("column"), *s[:4], *q, s[4])
+
+    return one.select(F.inline(F.array(*map(cell, cols))))
+
+
+def describe_text(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, count, unique, top, freq), a row a text column; of the most frequent values the first in order."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in cols])
+    counts = df.select(F.explode(pairs).alias("p")).filter("p.value is not null").groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
+    return counts.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count("*").alias("unique"), F.min_by("value", F.struct(-F.col("n"), "value")).alias("top"), F.max("n").alias("freq")
+    )
 
 
 def shrink_types(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..core.mapping import POLICIES, categorical_columns, check_no_nulls, clean, look_up, quoted, settle
+from ..core.order import numbered
 
 #: Sentinel codes.
 UNKNOWN, MISSING = -1, -2
@@ -90,10 +91,9 @@ class OrdinalEncoder(Encoder):
         for c in self.active:
             if c in self.mapping:
                 kind = df.schema[c].dataType.simpleString()
-                table = df.sparkSession.createDataFrame(list(self.mapping[c].items()), f"cat {kind}, code int")
+                self.tables[c], self.small[c] = df.sparkSession.createDataFrame(list(self.mapping[c].items()), f"cat {kind}, code int"), True
             else:
-                table = first_codes(df, c, self.order_col)
-            self.tables[c], self.small[c] = settle(table)
+                self.tables[c], self.small[c] = first_codes(df, c, self.order_col)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out = df
@@ -120,26 +120,24 @@ class OrdinalEncoder(Encoder):
         return out.select(*map(quoted, df.columns))
 
 
-def first_codes(df: DataFrame, col: str, order_col: str | None) -> DataFrame:
-    """(cat, code): the distinct values of ``col``, null included, numbered by first appearance.
-
-    The numbering sorts one row a category, not the table.
-    """
+def first_codes(df: DataFrame, col: str, order_col: str | None, most: int | None = None) -> tuple[DataFrame, bool]:
+    """(cat, code) and whether it is small: the distinct values of ``col``, null included, numbered by first appearance."""
     if order_col is None:
         raise ValueError("codes by first appearance need an order_col")
     first = df.select(clean(df, col).alias("cat"), quoted(order_col).alias("at")).groupBy("cat").agg(F.min("at").alias("at"))
-    return first.selectExpr("cat", "cast(row_number() over (order by at, cat) as int) as code")
+    table, small = numbered(first, ["at", "cat"], "code", most=most)
+    return table.select("cat", "code"), small
 
 
-def sorted_codes(df: DataFrame, col: str) -> DataFrame:
-    """(cat, code): 0-based codes in the order of the values, null as -1."""
+def sorted_codes(df: DataFrame, col: str) -> tuple[DataFrame, bool]:
+    """(cat, code) and whether it is small: 0-based codes of the values in their order; null has none."""
     values = df.select(clean(df, col).alias("cat")).distinct()
-    return values.selectExpr("cat", "case when cat is null then -1 else cast(row_number() over (order by cat nulls last) as int) - 1 end as code")
+    return numbered(values.filter("cat is not null"), ["cat"], "code", 0)
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    table, small = settle(sorted_codes(df, col))
-    return look_up(df, clean(df, col), table.withColumnRenamed("code", "__code"), small, ["__code"]).withColumnRenamed("__code", out)
+    table, small = sorted_codes(df, col)
+    return look_up(df, clean(df, col), table.withColumnRenamed("code", "__code"), small, ["__code"]).withColumn(out, F.coalesce("__code", F.lit(-1))).drop("__code")
 
 
 class _Coded(Encoder):
@@ -154,17 +152,30 @@ class _Coded(Encoder):
     def _fit(self, df: DataFrame) -> None:
         self.cats: dict[str, list] = {}
         for c in self.active:
-            rows = first_codes(df, c, self.order_col).orderBy("code").limit(self.max_categories + 1).collect()
-            if len(rows) > self.max_categories:
+            table, small = first_codes(df, c, self.order_col, self.max_categories)
+            if not small:
                 raise ValueError(f"{c} has over {self.max_categories} categories")
-            self.cats[c] = [r["cat"] for r in rows]
+            self.cats[c] = [r["cat"] for r in table.orderBy("code").collect()]
+
+    def rows_of(self, c: str) -> dict[str, list]:
+        """What a category's row of the joined table has besides its code, by name and in code order."""
+        return {}
+
+    def with_codes(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``__code_<col>``, the 1-based code or 0, and what ``rows_of`` adds; one join a column."""
+        for c in self.active:
+            extra = self.rows_of(c)
+            kind = df.schema[c].dataType.simpleString()
+            rows = [(v, i + 1, *(x[i] for x in extra.values())) for i, v in enumerate(self.cats[c])]
+            table = df.sparkSession.createDataFrame(rows, f"cat {kind}, code int" + "".join(f", {n} array<double>" for n in extra))
+            names = [f"__{n}_{c}" for n in ("code", *extra)]
+            table = table.select("cat", *[quoted(n).alias(m) for n, m in zip(("code", *extra), names, strict=True)])
+            df = look_up(df, clean(df, c), table, True, [f"`{n}`" for n in names]).withColumn(names[0], F.coalesce(quoted(names[0]), F.lit(0)))
+        return df
 
     def code(self, df: DataFrame, c: str) -> Column:
         """The 1-based code; 0 for what has none."""
-        pairs = [F.lit(x) for i, v in enumerate(self.cats[c]) if v is not None for x in (v, i + 1)]
-        null = self.cats[c].index(None) + 1 if None in self.cats[c] else 0
-        found = F.create_map(*pairs)[clean(df, c)] if pairs else F.lit(None).cast("int")
-        return F.when(clean(df, c).isNull(), F.lit(null)).otherwise(F.coalesce(found, F.lit(0)))
+        return quoted(f"__code_{c}")
 
     def blank(self, df: DataFrame, c: str) -> Column:
         """Whether policy ``return_nan`` blanks the row."""
@@ -183,10 +194,10 @@ class _Coded(Encoder):
         return code
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        cells = []
+        coded, cells = self.with_codes(df), []
         for c in df.columns:
             cells += self._cells(df, c) if c in self.active else [quoted(c)]
-        return df.select(*cells)
+        return coded.select(*cells)
 
     def _cells(self, df: DataFrame, c: str) -> list[Column]:
         raise NotImplementedError
@@ -336,7 +347,7 @@ def polynomial(n: int) -> np.ndarray:
     x = np.arange(n) - (n - 1) / 2
     q, _ = np.linalg.qr(np.vander(x, n, increasing=True))
     q = q * np.where(q[-1] < 0, -1, 1)
-    return q[:, 1:]
+    return np.where(np.abs(q) < 1e-12, 0.0, q)[:, 1:]
 
 
 class ContrastEncoder(_Coded):
@@ -353,6 +364,13 @@ class ContrastEncoder(_Coded):
     def made(self, col: str) -> list[str]:
         return [f"{col}_{j}" for j in range(max(0, self._level_count(col) - 1))]
 
+    def matrix_of(self, c: str) -> list[list[float]]:
+        n = self._level_count(c)
+        return type(self).matrix(n).astype(float).tolist() if n > 1 else [[] for _ in range(n)]
+
+    def rows_of(self, c: str) -> dict[str, list]:
+        return {"row": self.matrix_of(c)[: len(self.cats[c])]}
+
     def _columns(self) -> list[str]:
         return ["intercept", *super()._columns()]
 
@@ -369,12 +387,11 @@ class ContrastEncoder(_Coded):
             code = F.when(isnull, k).otherwise(code)
         if self.handle_unknown == "indicator":
             code = F.when(~isnull & (code == 0), k + 1).otherwise(code)
-        m, blank = type(self).matrix(n), self.blank(df, c)
-        cells = []
-        for j, name in enumerate(self.made(c)):
-            values = F.array(*[F.lit(float(v)) for v in [0.0, *m[:, j]]])
-            cells.append(F.when(~blank, F.element_at(values, code + 1)).alias(name))
-        return cells
+        # rows of the matrix for the categories come with the join; only those of the indicators are literals
+        blank, row = self.blank(df, c), quoted(f"__row_{c}")
+        extra = [F.when(code == len(self.cats[c]) + 1 + i, F.array(*map(F.lit, r))) for i, r in enumerate(self.matrix_of(c)[len(self.cats[c]) :])]
+        row = F.when(code >= 0, F.coalesce(row, *extra))  # the code is looked at, as it may raise
+        return [F.when(~blank, F.coalesce(F.element_at(row, j + 1), F.lit(0.0))).alias(name) for j, name in enumerate(self.made(c))]
 
 
 class HelmertEncoder(ContrastEncoder):
@@ -505,12 +522,10 @@ def same_set_codes(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
     a = train.select(quoted(col).alias("cat")).distinct().withColumn("a", F.lit(1))
     b = test.select(quoted(col).alias("cat")).distinct().withColumn("b", F.lit(1))
     both = a.join(b, "cat", "full_outer").withColumn("part", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 0).when(F.col("a").isNotNull(), 1).otherwise(2))
-    return both.selectExpr("cat", "cast(row_number() over (order by part, cat) as int) - 1 as code")
+    return numbered(both.select("part", "cat"), ["part", "cat"], "code", 0)[0].select("cat", "code")
 
 
 def fold_rare(df: DataFrame, col: str, least: int, other: str = "OTHER") -> DataFrame:
     """``col`` with the categories of fewer than ``least`` rows replaced."""
     counts, small = settle(df.groupBy(quoted(col).alias("cat")).agg(F.count("*").alias("__n")).filter(F.col("__n") < least))
     return look_up(df, quoted(col), counts, small, ["__n"]).withColumn(col, F.when(F.col("__n").isNotNull(), F.lit(other)).otherwise(quoted(col))).drop("__n")
-
-

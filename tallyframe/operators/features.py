@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.mapping import quoted
+from ..core.order import numbered, quantiles
 from ..functions.stats import BUNDLE
 
 DAY_US = 86_400_000_000
@@ -90,6 +91,61 @@ def horizontal_stats(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
     }).drop("__a", "__n")
 
 
+def horizontal_moments(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
+    """skew, kurt (both bias-corrected), q1, q3 and cv (std over mean) across columns of a row; nulls are left out."""
+    a = F.array_sort(F.filter(F.array(*[quoted(c).cast("double") for c in cols]), lambda x: x.isNotNull()))
+    df = df.withColumn("__a", a).withColumn("__n", F.size("__a").cast("double"))
+    n, m = F.col("__n"), F.col("__m")
+
+    def power(k: int) -> Column:
+        return F.aggregate("__a", F.lit(0.0), lambda s, x: s + F.pow(x - F.col("__m"), F.lit(float(k))))
+
+    df = df.withColumn("__m", F.try_divide(F.aggregate("__a", F.lit(0.0), lambda s, x: s + x), n))
+    df = df.withColumns({f"__p{k}": power(k) for k in (2, 3, 4)})
+    p2, p3, p4 = (F.col(f"__p{k}") for k in (2, 3, 4))
+    g1, g2 = F.try_divide(p3 / n, F.pow(p2 / n, F.lit(1.5))), F.try_divide(p4 / n, F.pow(p2 / n, F.lit(2.0))) - 3
+
+    def quantile(q: float) -> Column:
+        at = q * (n - 1)
+        low, high = F.floor(at).cast("int") + 1, F.ceil(at).cast("int") + 1
+        return F.when(n > 0, F.element_at("__a", low) + (at - F.floor(at)) * (F.element_at("__a", high) - F.element_at("__a", low)))
+
+    return df.withColumns({
+        f"{prefix}skew": F.when(n >= 3, F.when(p2 == 0, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))),
+        f"{prefix}kurt": F.when(n >= 4, F.when(p2 == 0, 0.0).otherwise(((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))),
+        f"{prefix}q1": quantile(0.25), f"{prefix}q3": quantile(0.75), f"{prefix}cv": F.when(n > 1, F.try_divide(F.sqrt(p2 / (n - 1)), m)),
+    }).drop("__a", "__n", "__m", "__p2", "__p3", "__p4")
+
+
+def date_difference_stats(df: DataFrame, keys: list[str], day: str, col: str, prefix: str) -> DataFrame:
+    """abs_mean, std, max and min of the differences of the key's daily sums between neighbouring dates.
+
+    Dates are those that the table has; a key has a difference where it has both of two neighbours, and null
+    statistics if it has none.
+    """
+    daily = df.groupBy(*map(quoted, keys), F.to_date(quoted(day)).alias("__d")).agg(F.sum(quoted(col)).alias("__v"))
+    dates, small = numbered(daily.select("__d").distinct(), ["__d"], "__i")
+    at = daily.join(F.broadcast(dates) if small else dates, "__d").drop("__d")
+    before = at.select(*map(quoted, keys), (F.col("__i") + 1).alias("__i"), F.col("__v").alias("__p"))
+    diff = F.col("__v") - F.col("__p")
+    both = at.join(before, [*keys, "__i"], "left")
+    return both.groupBy(*map(quoted, keys)).agg(F.avg(F.abs(diff)).alias(f"{prefix}abs_mean"), F.stddev_samp(diff).alias(f"{prefix}std"), F.max(diff).alias(f"{prefix}max"), F.min(diff).alias(f"{prefix}min"))
+
+
+def activity_span(df: DataFrame, keys: list[str], day: str, anchor: Column) -> DataFrame:
+    """first_days and last_days (from the key's first and last day to ``anchor``), run_days between them, active_days."""
+    d = F.to_date(quoted(day))
+    return df.groupBy(*map(quoted, keys)).agg(
+        F.datediff(anchor, F.min(d)).alias("first_days"), F.datediff(anchor, F.max(d)).alias("last_days"), F.datediff(F.max(d), F.min(d)).alias("run_days"), F.count_distinct(d).alias("active_days")
+    )
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ``order``; of rows that are equal in it, the least in all columns. No key's rows are sorted."""
+    least = F.min(F.struct(*[quoted(o).alias(f"__o{i}") for i, o in enumerate(order)], F.struct(*map(quoted, df.columns)).alias("row"))).alias("least")
+    return df.groupBy(*[quoted(k).alias(f"__{k}") for k in keys]).agg(least).select("least.row.*")
+
+
 def rolling_time(df: DataFrame, keys: list[str], ts: str, col: str, span_us: int, stats: list[str], prefix: str, min_periods: int = 1) -> DataFrame:
     """Statistics over [t - span, t): rows of the current time are left out."""
     w = Window.partitionBy(*map(quoted, keys)).orderBy("__t").rangeBetween(-span_us, -1)
@@ -122,14 +178,18 @@ def attempts(df: DataFrame, keys: list[str], order: list[str], out: str, cap: in
 def history_by_slot(df: DataFrame, slot: str, day: str, col: str, stats: list[str], prefix: str, same_day: bool = False, days: int | None = None) -> DataFrame:
     """Statistics of a slot (an hour, say) over earlier days, by (slot, day); ``days`` bounds how many.
 
-    With ``same_day`` the day itself counts. Rows are first summed by slot and day where the statistics allow it.
+    With ``same_day`` the day itself counts. Rows are first summed by slot and day where the statistics allow it;
+    median, std, skew and nunique look at all rows of a slot in one task.
     """
     if set(stats) <= {"min", "max", "sum", "count", "mean"}:
         base = df.groupBy(quoted(slot), quoted(day)).agg(F.min(quoted(col)).alias("mi"), F.max(quoted(col)).alias("ma"), F.sum(quoted(col)).alias("s"), F.count(quoted(col)).alias("c"))
         w = Window.partitionBy(quoted(slot)).orderBy(F.datediff(quoted(day), F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1)
         f = {"min": F.min("mi").over(w), "max": F.max("ma").over(w), "sum": F.sum("s").over(w), "count": F.coalesce(F.sum("c").over(w), F.lit(0)), "mean": F.sum("s").over(w) / F.sum("c").over(w)}
         return base.select(slot, day, *[f[s].alias(f"{prefix}{s}") for s in stats])
-    raise ValueError("these statistics need all rows: use expanding or rolling_time")
+    order = F.datediff(quoted(day), F.lit("1970-01-01"))
+    w = Window.partitionBy(quoted(slot)).orderBy(order).rangeBetween(Window.unboundedPreceding if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1)
+    rows = df.select(quoted(slot).alias(slot), quoted(day).alias(day), *[_windowed(s, quoted(col), w).alias(f"{prefix}{s}") for s in stats])
+    return rows.groupBy(quoted(slot), quoted(day)).agg(*[F.first(f"{prefix}{s}").alias(f"{prefix}{s}") for s in stats])  # equal in all rows of a day
 
 
 def decayed_mean(df: DataFrame, keys: list[str], col: str, age: Column, rates: list[float], prefix: str) -> DataFrame:
@@ -138,6 +198,15 @@ def decayed_mean(df: DataFrame, keys: list[str], col: str, age: Column, rates: l
     return a.groupBy(*map(quoted, keys)).agg(*[(F.sum(quoted(col) * F.pow(F.lit(r), F.col("__age"))) / F.sum(F.when(quoted(col).isNotNull(), F.pow(F.lit(r), F.col("__age"))))).alias(f"{prefix}{i}") for i, r in enumerate(rates)])
 
 
+def double_decayed_mean(df: DataFrame, keys: list[str], col: str, age: Column, rates: list[float], prefix: str) -> DataFrame:
+    """Sums whose weights are multiplied up along the grid of rates: v * (r0 ... ri)^age over ri^age, one column a rate."""
+    a, aggs, product = df.withColumn("__age", age), [], 1.0
+    for i, r in enumerate(rates):
+        product *= r
+        aggs.append((F.sum(quoted(col) * F.pow(F.lit(product), F.col("__age"))) / F.sum(F.when(quoted(col).isNotNull(), F.pow(F.lit(r), F.col("__age"))))).alias(f"{prefix}{i}"))
+    return a.groupBy(*map(quoted, keys)).agg(*aggs)
+
+
 def position_weighted_mean(df: DataFrame, keys: list[str], order: list[str], col: str, out: str, power: int = 5) -> DataFrame:
     """Mean with weights ((position + 1) / length) ** power."""
     w = Window.partitionBy(*map(quoted, keys))
@@ -230,7 +299,7 @@ def cut_edges(df: DataFrame, col: str, edges: list[float], out: str) -> DataFram
 
 def cut_quantiles(df: DataFrame, col: str, k: int, out: str) -> DataFrame:
     """Equal-frequency bins 1 to k by exact quantiles, the lowest edge included; equal edges are an error."""
-    edges = df.agg(F.percentile(quoted(col), F.array(*[F.lit(i / k) for i in range(k + 1)])).alias("e")).first()["e"]
+    edges = quantiles(df, quoted(col), [i / k for i in range(k + 1)])
     if edges and len(set(edges)) < len(edges):
         raise ValueError("quantile edges are not unique")
     return cut_edges(df, col, (edges or [])[1:-1], "__b").withColumn(out, F.when(quoted(col).isNotNull(), F.col("__b") + 1)).drop("__b")
@@ -282,13 +351,16 @@ def range_filter(df: DataFrame, col: str, other: DataFrame) -> DataFrame:
 
 def scale_tails(df: DataFrame, col: str, low: float = 0.005, high: float = 0.995, down: float = 0.77, up: float = 1.1) -> DataFrame:
     """Values up to the low quantile times ``down``, from the high one on times ``up``."""
-    q = df.agg(F.percentile(quoted(col), F.array(F.lit(low), F.lit(high))).alias("q")).first()["q"]
+    q = quantiles(df, quoted(col), [low, high]) or [None, None]
     return df.withColumn(col, F.when(quoted(col) <= q[0], quoted(col) * down).when(quoted(col) >= q[1], quoted(col) * up).otherwise(quoted(col)))
 
 
 def scale(df: DataFrame, cols: list[str], how: str = "standard", ddof: int = 1) -> DataFrame:
-    """standard (mean, std), minmax, or robust (median, interquartile range) scaling, the figures from one aggregation."""
-    f = {"standard": (F.avg, F.stddev_samp if ddof else F.stddev_pop), "minmax": (F.min, lambda x: F.max(x) - F.min(x)), "robust": (F.median, lambda x: F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25)))}[how]
+    """standard (mean, std), minmax, or robust (median, interquartile range) scaling; the figures of the first two are one aggregation."""
+    if how == "robust":
+        q = {c: quantiles(df, quoted(c), [0.25, 0.5, 0.75]) or [None] * 3 for c in cols}
+        return df.withColumns({c: F.try_divide(quoted(c) - F.lit(q[c][1]), F.lit(q[c][2]) - F.lit(q[c][0])) for c in cols})
+    f = {"standard": (F.avg, F.stddev_samp if ddof else F.stddev_pop), "minmax": (F.min, lambda x: F.max(x) - F.min(x))}[how]
     r = df.agg(*[g(quoted(c)).cast("double").alias(f"{k}:{c}") for c in cols for k, g in zip("ab", f, strict=True)]).first()
     return df.withColumns({c: F.try_divide(quoted(c) - F.lit(r[f"a:{c}"]), F.lit(r[f"b:{c}"])) for c in cols})
 

@@ -54,3 +54,10 @@ def count_ratio(df: DataFrame, keys: list[str], within: list[str], out: str) ->
 def flag(test: Column) -> Column:
     """1 where the test holds, else 0; null counts as not."""
     return F.coalesce(test, F.lit(False)).cast("int")
+
+
+def assemble(base: DataFrame, blocks: list[DataFrame], on: list[str]) -> DataFrame:
+    """``base`` with the columns of feature blocks, joined by key; a block has a row a key at most."""
+    for b in blocks:
+        base = base.join(b, on, "left")
+    return base

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.mapping import categorical_columns, check_no_nulls, clean, look_up, quoted, settle
+from ..core.mapping import categorical_columns, check_no_nulls, clean, fetched, look_up, quoted, settle
 
 SUMS = ("s", "c", "v")
 
@@ -234,30 +234,37 @@ class JamesSteinEncoder(TargetBase):
         var = 1 / (s + half) + 1 / (positive - s + half) + 1 / (f + half) + 1 / (negative - f + half)
         one = table.select(mu.alias("mu"), var.alias("var"))
 
-        def gap(sigma2: float) -> tuple[float, float]:
-            w = 1 / (sigma2 + F.col("var"))
-            r = one.agg(F.sum(w).alias("w"), F.sum(w * F.col("mu")).alias("m"), F.sum(w * F.col("mu") * F.col("mu")).alias("q")).first()
-            mean = r["m"] / r["w"]
-            return r["q"] - mean * r["m"] - (k - 1), mean
-
-        rows = one.limit(100_001).collect()
-        if len(rows) <= 100_000:  # a table that is small anyway is summed here
+        def gaps(sigma2: list[float]) -> list[tuple[float, float]]:
+            """(what is left of the equation, the mean) at each candidate, in one job."""
+            aggs = []
+            for i, x in enumerate(sigma2):
+                w = 1 / (x + F.col("var"))
+                aggs += [F.sum(w).alias(f"w{i}"), F.sum(w * F.col("mu")).alias(f"m{i}"), F.sum(w * F.col("mu") * F.col("mu")).alias(f"q{i}")]
+            r = one.agg(*aggs).first()
+            return [(r[f"q{i}"] - r[f"m{i}"] ** 2 / r[f"w{i}"] - (k - 1), r[f"m{i}"] / r[f"w{i}"]) for i in range(len(sigma2))]
+
+        rows = fetched(one)
+        if rows is not None:  # a table that is small anyway is summed here
             m, v = np.array([r["mu"] for r in rows]), np.array([r["var"] for r in rows])
 
-            def gap(sigma2: float) -> tuple[float, float]:  # noqa: F811
-                w = 1 / (sigma2 + v)
-                mean = float((w * m).sum() / w.sum())
-                return float((w * (m - mean) ** 2).sum() - (k - 1)), mean
-
-        low, high = 0.0, 1.0
-        if gap(0.0)[0] > 0:
-            while gap(high)[0] > 0 and high < 1e6:
-                high *= 2
-            for _ in range(60):
-                mid = (low + high) / 2
-                low, high = (mid, high) if gap(mid)[0] > 0 else (low, mid)
+            def gaps(sigma2: list[float]) -> list[tuple[float, float]]:  # noqa: F811
+                out = []
+                for x in sigma2:
+                    w = 1 / (x + v)
+                    mean = float((w * m).sum() / w.sum())
+                    out.append((float((w * (m - mean) ** 2).sum() - (k - 1)), mean))
+                return out
+
+        low, high = 0.0, 0.0
+        if gaps([0.0])[0][0] > 0:
+            ends = [2.0**i for i in range(21)]
+            high = next((e for e, (g, _) in zip(ends, gaps(ends), strict=True) if g <= 0), ends[-1])
+            for _ in range(12):  # each round cuts the stretch into 32
+                grid = [low + (high - low) * i / 32 for i in range(1, 32)]
+                over = sum(g > 0 for g, _ in gaps(grid))
+                low, high = [low, *grid, high][over : over + 2]
         sigma2 = low
-        mean = gap(sigma2)[1]
+        mean = gaps([sigma2])[0][1]
         b = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - 3) * var / ((k - 1) * (sigma2 + var))))
         return mean + (1 - b) * (mu - mean)
 
@@ -310,18 +317,22 @@ def logistic_weight(k: float = 2, f: float = 1) -> Callable[[Column, Column, Col
     return value
 
 
-def test_mean_over_folds(train: DataFrame, col: str, label_col: str, fold_col: str, value: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """(cat, value): the mean over the folds of what a category gets without that fold."""
+def test_mean_over_folds(train: DataFrame, col: str, label_col: str, fold_col: str, value: Callable[[Column, Column, Column], Column], max_folds: int = 1000) -> DataFrame:
+    """(cat, value): the mean over the folds of what a category gets without that fold; null is a fold."""
     y = quoted(label_col).cast("double")
     cells = train.groupBy(clean(train, col).alias("cat"), quoted(fold_col).alias("fold")).agg(F.sum(y).alias("s"), F.count("*").alias("c"))
     folds = train.groupBy(quoted(fold_col).alias("fold")).agg(F.sum(y).alias("fs"), F.count("*").alias("fc"))
     totals = train.agg(F.sum(y).alias("s"), F.count("*").alias("c")).first()
     cats = cells.groupBy("cat").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
     folds = folds.select("fold", F.try_divide(F.lit(totals["s"]) - F.col("fs"), F.lit(totals["c"]) - F.col("fc")).alias("prior"))
-    ids = F.array(*[F.struct(F.lit(r["fold"]).alias("fold"), F.lit(r["prior"]).alias("prior")) for r in folds.orderBy("fold").limit(1000).collect()])
+    found = folds.orderBy("fold").limit(max_folds + 1).collect()
+    if len(found) > max_folds:
+        raise ValueError(f"over {max_folds} folds")
+    kind = train.schema[fold_col].dataType
+    ids = F.array(*[F.struct(F.lit(r["fold"]).cast(kind).alias("fold"), F.lit(r["prior"]).alias("prior")) for r in found])
     grid = cats.withColumn("f", F.explode(ids)).select("cat", "ts", "tc", "f.fold", "f.prior")
     own = cells.withColumnRenamed("cat", "__cat").withColumnRenamed("fold", "__fold")
-    rest = grid.join(own, F.col("cat").eqNullSafe(F.col("__cat")) & (F.col("fold") == F.col("__fold")), "left")
+    rest = grid.join(own, F.col("cat").eqNullSafe(F.col("__cat")) & F.col("fold").eqNullSafe(F.col("__fold")), "left")
     s, c = F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tc") - F.coalesce("c", F.lit(0))
     return rest.groupBy("cat").agg(F.avg(F.when(c > 0, value(s, c, F.col("prior"))).otherwise(F.col("prior"))).alias("value"))
 
@@ -329,21 +340,83 @@ def test_mean_over_folds(train: DataFrame, col: str, label_col: str, fold_col: s
 test_mean_over_folds.__test__ = False
 
 
+#: Statistics that follow from a part's count, sum, square sum, least and largest value.
+_OF_PARTS: dict[Callable, Callable[[], Column]] = {
+    F.max: lambda: F.max("hi"), F.min: lambda: F.min("lo"), F.sum: lambda: F.sum("s"), F.count: lambda: F.sum("n"), F.avg: lambda: F.try_divide(F.sum("s"), F.sum("n")),
+    F.stddev_samp: lambda: F.when(F.sum("n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.sum("m2") + F.sum(F.when(F.col("n") > 0, F.col("s") * F.col("s") / F.col("n"))) - F.sum("s") * F.sum("s") / F.sum("n")) / (F.sum("n") - 1))),
+}
+
+
+def _without_fold(df: DataFrame, col: str, label_col: str, fold_col: str, n_folds: int, stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(__cat, __fold, a column a statistic): statistics of the target over a category's rows outside the fold.
+
+    What can be told from parts is: figures by category and fold go to the folds they aren't in. Other
+    statistics, medians say, need the rows there.
+    """
+    y = quoted(label_col).cast("double")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col("__own")))
+    rows = df.select(clean(df, col).alias("__cat"), quoted(fold_col).alias("__own"), y.alias("__y"))
+    parts = {n: _OF_PARTS[f]() for n, f in stats.items() if f in _OF_PARTS}
+    whole = {n: f(F.col("__y")) for n, f in stats.items() if f not in _OF_PARTS}
+    out = None
+    if parts:
+        cells = rows.groupBy("__cat", "__own").agg(F.count("__y").alias("n"), F.sum("__y").alias("s"), (F.var_pop("__y") * F.count("__y")).alias("m2"), F.min("__y").alias("lo"), F.max("__y").alias("hi"))
+        out = cells.withColumn("__fold", others).groupBy("__cat", "__fold").agg(*[e.alias(n) for n, e in parts.items()])
+    if whole:
+        by_row = rows.withColumn("__fold", others).groupBy("__cat", "__fold").agg(*[e.alias(n) for n, e in whole.items()])
+        if out is None:
+            return by_row
+        by_row = by_row.withColumnsRenamed({"__cat": "__c", "__fold": "__f"})
+        out = out.join(by_row, F.col("__cat").eqNullSafe(F.col("__c")) & (F.col("__fold") == F.col("__f"))).drop("__c", "__f")
+    return out
+
+
 def target_statistic(df: DataFrame, col: str, label_col: str, fold_col: str, n_folds: int, stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """``<col>_<stat>``: a statistic of the target over the category's rows in all folds but the row's own.
 
-    Statistics that can't be subtracted are aggregated over each fold's complement: every row goes to the
-    folds it isn't in, after which one aggregation gives them all. Where the category has no such row, the
-    statistic over all rows is taken.
+    Where the category has no such row, the statistic over all rows is taken.
     """
     y = quoted(label_col).cast("double")
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != quoted(fold_col)))
-    cells = df.select(clean(df, col).alias("__cat"), y.alias("__y"), others.alias("__fold")).groupBy("__cat", "__fold").agg(*[f(F.col("__y")).alias(f"{col}_{n}") for n, f in stats.items()])
+    cells = _without_fold(df, col, label_col, fold_col, n_folds, {f"{col}_{n}": f for n, f in stats.items()})
     whole = df.agg(*[f(y).alias(n) for n, f in stats.items()]).first()
     out = df.join(cells, clean(df, col).eqNullSafe(F.col("__cat")) & (quoted(fold_col) == F.col("__fold")), "left").drop("__cat", "__fold")
     return out.withColumns({f"{col}_{n}": F.coalesce(f"{col}_{n}", F.lit(whole[n])) for n in stats})
 
 
+def test_target_statistic(train: DataFrame, col: str, label_col: str, fold_col: str, n_folds: int, stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(cat, a column a statistic): what a test row of the category gets, the mean over the folds of the statistic without the fold.
+
+    A fold without which the category has no row counts with the statistic over all rows.
+    """
+    y = quoted(label_col).cast("double")
+    whole = train.agg(*[f(y).alias(n) for n, f in stats.items()]).first()
+    cells = _without_fold(train, col, label_col, fold_col, n_folds, stats)
+    return cells.groupBy(F.col("__cat").alias("cat")).agg(*[((F.sum(F.coalesce(n, F.lit(whole[n]))) + (n_folds - F.count("*")) * F.lit(whole[n])) / n_folds).alias(n) for n in stats])
+
+
+test_target_statistic.__test__ = False
+
+
+def nested_cv(train: DataFrame, fold_col: str, make: Callable[[], TargetBase], tests: tuple[DataFrame, ...] = (), max_folds: int = 100) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(``train`` with each row encoded without its fold, each table of ``tests`` encoded from all of ``train``).
+
+    ``make`` gives a new encoder, of any kind with ``fit`` and ``transform``. It is fitted once a fold, so use
+    ``out_of_fold`` for what sums can tell. Null is a fold. Tests need the columns of ``train``.
+    """
+    folds = [r[0] for r in train.select(quoted(fold_col)).distinct().orderBy(quoted(fold_col)).limit(max_folds + 1).collect()]
+    if len(folds) > max_folds:
+        raise ValueError(f"over {max_folds} folds")
+    parts = []
+    for k in folds:
+        own = quoted(fold_col).eqNullSafe(F.lit(k).cast(train.schema[fold_col].dataType))
+        parts.append(make().fit(train.filter(~own)).transform(train.filter(own)))
+    out = parts[0] if parts else train
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    full = make().fit(train) if tests else None
+    return out, tuple(full.transform(t) for t in tests)
+
+
 def expanding_mean(df: DataFrame, col: str, label_col: str, order_col: str, out: str) -> DataFrame:
     """The mean of the target over the category's earlier rows; the prior where there is none."""
     before = Window.partitionBy(quoted(col)).orderBy(quoted(order_col)).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions import metrics, stats
-from ..functions.calendar import calendar, recency_weight
+from ..functions.calendar import calendar, packed_hour, recency_weight
 from ..operators import encoders as en
 from ..operators import features as fe
 from ..operators import joins as jo
-from ..operators import splits
+from ..operators import selection, splits
 from ..operators import target as ta
 from ..streaming.knowledge import batch_features
 
@@ -264,7 +264,7 @@ def enc_js_beta(spark, d):
     return rounded(ta.JamesSteinEncoder("y", model="beta").fit_transform(orders(spark, d)))
 
 
-@query()
+@query("WITH RECURSIVE o AS (SELECT o_orderkey, o_orderpriority AS cat, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders), t AS (SELECT sum(y)::DOUBLE AS ts, count(*)::DOUBLE AS n FROM o), g AS (SELECT cat, sum(y)::DOUBLE AS s, count(*) - sum(y)::DOUBLE AS f FROM o GROUP BY 1), m AS (SELECT cat, ln((s + 0.5) * (n - ts - f + 0.5) / ((ts - s + 0.5) * (f + 0.5))) AS mu, 1 / (s + 0.5) + 1 / (ts - s + 0.5) + 1 / (f + 0.5) + 1 / (n - ts - f + 0.5) AS v FROM g, t), k AS (SELECT count(*) AS k FROM m), b AS (SELECT 0 AS i, 0::DOUBLE AS low, (1 << 20)::DOUBLE AS high UNION ALL SELECT i + 1, CASE WHEN (SELECT sum(mu * mu / ((low + high) / 2 + v)) - sum(mu / ((low + high) / 2 + v)) ** 2 / sum(1 / ((low + high) / 2 + v)) - count(*) + 1 FROM m) > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN (SELECT sum(mu * mu / ((low + high) / 2 + v)) - sum(mu / ((low + high) / 2 + v)) ** 2 / sum(1 / ((low + high) / 2 + v)) - count(*) + 1 FROM m) > 0 THEN high ELSE (low + high) / 2 END FROM b WHERE i < 90), x AS (SELECT low AS sig FROM b WHERE i = 90), z AS (SELECT sum(mu / (sig + v)) / sum(1 / (sig + v)) AS mean FROM m, x) SELECT o_orderkey, round(mean + (1 - greatest(0, least(1, (k - 3) * v / ((k - 1) * (sig + v))))) * (mu - mean), 6) AS o_orderpriority, y FROM o JOIN m USING (cat), k, x, z")
 def enc_js_binary(spark, d):
     return rounded(ta.JamesSteinEncoder("y", model="binary").fit_transform(orders(spark, d)))
 
@@ -736,3 +736,173 @@ def feat_count_ratio(spark, d):
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
 def stat_crosstab(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count().na.fill(0)
+
+
+# out-of-fold wrapper, fold averages
+
+@query("WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS fold, o_orderpriority AS cat, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders), f AS (SELECT DISTINCT fold FROM o), g AS (SELECT f.fold, cat, sum(y) AS s, count(*) AS c FROM o JOIN f ON o.fold <> f.fold GROUP BY 1, 2), t AS (SELECT fold, sum(s) AS ts, sum(c) AS n FROM g GROUP BY 1) SELECT o_orderkey, round(CASE WHEN coalesce(c, 1) = 1 THEN 0 ELSE ln(((s + 1) / (ts + 2)) / ((c - s + 1) / (n - ts + 2))) END, 6) AS o_orderpriority FROM o JOIN t USING (fold) LEFT JOIN g USING (fold, cat)")
+def enc_oof_woe(spark, d):
+    o = splits.modulo_fold(orders(spark, d), "o_orderkey", 5)
+    return rounded(ta.nested_cv(o, "fold", lambda: ta.WOEEncoder("y", ["o_orderpriority"]))[0].select("o_orderkey", "o_orderpriority"))
+
+
+@query(ORD + ", t AS (SELECT cat, (s + prior) / (c + 1) AS v FROM g, p) SELECT o_orderkey, o_orderkey % 7 AS part, round(v, 6) AS o_orderpriority FROM o JOIN t ON o_orderpriority = cat WHERE o_orderkey % 7 < 2".replace(") , t", "), t"))
+def enc_oof_tests(spark, d):
+    o = orders(spark, d)
+    tests = tuple(o.filter(F.col("o_orderkey") % 7 == k) for k in (0, 1))
+    a, b = ta.nested_cv(splits.modulo_fold(o, "o_orderkey", 2), "fold", lambda: ta.MEstimateEncoder("y", ["o_orderpriority"]), tuple(splits.modulo_fold(t, "o_orderkey", 2) for t in tests))[1]
+    return rounded(a.unionByName(b).select("o_orderkey", (F.col("o_orderkey") % 7).alias("part"), "o_orderpriority"))
+
+
+@query("WITH o AS (SELECT o_orderkey % 4 AS fold, o_custkey AS cat, o_totalprice AS y FROM orders), f AS (SELECT unnest([0, 1, 2, 3]) AS fold), s AS (SELECT f.fold, cat, max(y) AS mx, avg(y) AS av, median(y) AS md, stddev_samp(y) AS sd FROM o JOIN f ON o.fold <> f.fold GROUP BY 1, 2), w AS (SELECT max(y) AS gmx, avg(y) AS gav, median(y) AS gmd, stddev_samp(y) AS gsd FROM o), c AS (SELECT DISTINCT cat FROM s) SELECT cat, round(avg(coalesce(mx, gmx)), 6) AS \"max\", round(avg(coalesce(av, gav)), 6) AS \"mean\", round(avg(coalesce(md, gmd)), 6) AS \"median\", round(avg(coalesce(sd, gsd)), 6) AS \"std\" FROM c CROSS JOIN f LEFT JOIN s USING (cat, fold), w GROUP BY cat")
+def enc_target_stats_test(spark, d):
+    o = splits.modulo_fold(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 4)
+    out = ta.test_target_statistic(o, "o_custkey", "o_totalprice", "fold", 4, {"max": F.max, "mean": F.avg, "median": F.median, "std": F.stddev_samp})
+    return out.select("cat", *[r6(c).alias(c) for c in ("max", "mean", "median", "std")])
+
+
+# statistics across columns and dates
+
+LINES = "SELECT l_orderkey, l_linenumber, [l_quantity, l_discount * 100, l_tax * 100, l_linenumber::DOUBLE, l_suppkey % 10] AS a FROM lineitem"
+
+
+@query(f"WITH x AS ({LINES}) SELECT l_orderkey, l_linenumber, round(CASE WHEN list_aggregate(a, 'var_pop') = 0 THEN 0 ELSE list_aggregate(a, 'skewness') END, 4) AS h_skew, round(CASE WHEN list_aggregate(a, 'var_pop') = 0 THEN 0 ELSE list_aggregate(a, 'kurtosis') END, 4) AS h_kurt, round(list_aggregate(a, 'quantile_cont', 0.25), 4) AS h_q1, round(list_aggregate(a, 'quantile_cont', 0.75), 4) AS h_q3, round(list_aggregate(a, 'stddev_samp') / nullif(list_aggregate(a, 'avg'), 0), 4) AS h_cv FROM x")
+def feat_horizontal_moments(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_discount") * 100).alias("b"), (F.col("l_tax") * 100).alias("c"), (F.col("l_suppkey") % 10).alias("e"))
+    out = fe.horizontal_moments(li, ["l_quantity", "b", "c", "l_linenumber", "e"], "h_")
+    return out.select("l_orderkey", "l_linenumber", *[F.round(f"h_{c}", 4).alias(f"h_{c}") for c in ("skew", "kurt", "q1", "q3", "cv")])
+
+
+@query("WITH x AS (SELECT user_id, ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1, 2), n AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT day FROM x)), y AS (SELECT user_id, i, v FROM x JOIN n USING (day)), z AS (SELECT a.user_id, a.v - b.v AS diff FROM y a LEFT JOIN y b ON a.user_id = b.user_id AND a.i = b.i + 1) SELECT user_id, round(avg(abs(diff)), 6) AS d_abs_mean, round(stddev_samp(diff), 6) AS d_std, round(max(diff), 6) AS d_max, round(min(diff), 6) AS d_min FROM z GROUP BY 1")
+def feat_date_diff_stats(spark, d):
+    return rounded(fe.date_difference_stats(table(spark, d, "events"), ["user_id"], "ts", "value", "d_"))
+
+
+@query("SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, DATE '1998-12-31')::INT AS first_days, date_diff('day', max(o_orderdate)::DATE, DATE '1998-12-31')::INT AS last_days, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INT AS run_days, count(DISTINCT o_orderdate::DATE) AS active_days FROM orders GROUP BY 1")
+def feat_activity_span(spark, d):
+    return fe.activity_span(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", F.lit("1998-12-31").cast("date"))
+
+
+@query("WITH x AS (SELECT o_custkey, o_totalprice AS v, date_diff('day', o_orderdate::DATE, DATE '1998-12-31') / 100.0 AS age FROM orders) SELECT o_custkey, round(sum(v * 0.9 ** age) / sum(0.9 ** age), 4) AS w0, round(sum(v * (0.9::DOUBLE * 0.95) ** age) / sum(0.95 ** age), 4) AS w1, round(sum(v * (0.9::DOUBLE * 0.95 * 0.99) ** age) / sum(0.99 ** age), 4) AS w2 FROM x GROUP BY 1")
+def feat_double_decay(spark, d):
+    age = F.datediff(F.lit("1998-12-31").cast("date"), F.to_date("o_orderdate")) / 100
+    out = fe.double_decayed_mean(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", age, [0.9, 0.95, 0.99], "w")
+    return out.select("o_custkey", *[F.round(f"w{i}", 4).alias(f"w{i}") for i in range(3)])
+
+
+@query("WITH x AS (SELECT event_type, ts::DATE AS day, value FROM events), k AS (SELECT DISTINCT event_type, day FROM x) SELECT k.event_type, k.day, round(median(value), 6) AS h_median, round(stddev_samp(value), 6) AS h_std FROM k LEFT JOIN x ON x.event_type = k.event_type AND x.day < k.day GROUP BY 1, 2")
+def feat_history_all_rows(spark, d):
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    return rounded(fe.history_by_slot(e, "event_type", "day", "value", ["median", "std"], "h_"))
+
+
+@query("SELECT p_partkey, round((p_retailprice - (SELECT median(p_retailprice) FROM part)) / (SELECT quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) FROM part), 6) AS p_retailprice FROM part")
+def feat_scale_robust(spark, d):
+    return rounded(fe.scale(table(spark, d, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"], "robust"))
+
+
+@query("SELECT o_orderkey, round(((1 + o_totalprice) ** 0.25 - 1) / 0.25, 4) AS p25, round(ln(1 + o_totalprice), 4) AS p0 FROM orders")
+def feat_boxcox(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.round(fe.boxcox1p(F.col("o_totalprice"), 0.25), 4).alias("p25"), F.round(fe.boxcox1p(F.col("o_totalprice"), 0.0), 4).alias("p0"))
+
+
+@query("WITH g AS (SELECT unnest([-0.5, 0.25, 0.5, 1.0, 2.0]) AS lam), l AS (SELECT lam, (lam - 1) * sum(ln(1 + o_totalprice)) - count(*) / 2 * ln(var_pop(((1 + o_totalprice) ** lam - 1) / lam)) AS ll FROM orders, g GROUP BY 1) SELECT lam::DOUBLE AS lam FROM l ORDER BY ll DESC LIMIT 1")
+def stat_boxcox_lambda(spark, d):
+    lam = fe.boxcox_lambda(table(spark, d, "orders"), "o_totalprice", [-0.5, 0.25, 0.5, 1.0, 2.0])
+    return spark.range(1).select(F.lit(lam).alias("lam"))
+
+
+@query("WITH u AS (SELECT column_name AS \"column\", v FROM (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS v FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders) WHERE v IS NOT NULL), c AS (SELECT \"column\", v, count(*) AS n FROM u GROUP BY 1, 2) SELECT \"column\", sum(n)::BIGINT AS count, count(*) AS \"unique\", first(v ORDER BY n DESC, v) AS top, max(n) AS freq FROM c GROUP BY 1")
+def stat_describe_text(spark, d):
+    return stats.describe_text(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_orderpriority, round(sum((o_totalprice - m) ** 3) / count(*) / (sum((o_totalprice - m) ** 2) / count(*)) ** 1.5, 5) AS skew FROM orders JOIN (SELECT o_orderpriority AS p, avg(o_totalprice) AS m FROM orders GROUP BY 1) ON p = o_orderpriority GROUP BY 1")
+def stat_population_skew(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.skewness("o_totalprice"), 5).alias("skew"))
+
+
+@query("SELECT p_partkey::BIGINT AS p_partkey, p_size::TINYINT AS p_size FROM part")
+def stat_shrink_types(spark, d):
+    p = stats.shrink_types(table(spark, d, "part").select("p_partkey", "p_size"))
+    return p.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_size")
+
+
+# first rows, joins, packing
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
+def feat_first_in_group(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return fe.keep_first(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+def join_right(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"], "right").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT s_suppkey, dow FROM supplier CROSS JOIN (SELECT unnest(range(7))::INT AS dow)")
+def join_grid(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("dow"))
+
+
+@query("WITH a AS (SELECT o_custkey AS k, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n_lines, round(avg(l_quantity), 6) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), e AS (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY 1) SELECT c_custkey, n_name, n_orders, spent, n_lines, quantity, n_events FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN a ON a.k = c_custkey LEFT JOIN b ON b.k = c_custkey LEFT JOIN e ON e.k = c_custkey")
+def join_feature_blocks(spark, d):
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    a = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    b = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_lines"), r6(F.avg("l_quantity")).alias("quantity"))
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("n_events"))
+    base = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    return jo.assemble(base, [a, b, e], ["c_custkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'large' WHEN o_orderpriority LIKE '1%' THEN 'urgent' WHEN o_totalprice < 20000 THEN 'small' ELSE 'other' END AS kind FROM orders")
+def feat_rule_ladder(spark, d):
+    rules = [(((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 200000)), "large"), (F.col("o_orderpriority").like("1%"), "urgent"), (F.col("o_totalprice") < 20000, "small")]
+    return table(spark, d, "orders").select("o_orderkey", ar.ladder(rules, "other").alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_returnflag = 'R')::INT)::VARCHAR || ',' || ((l_linestatus = 'O')::INT)::VARCHAR || ',' || ((l_quantity > 25)::INT)::VARCHAR AS labels FROM lineitem")
+def feat_pack_columns(spark, d):
+    li = table(spark, d, "lineitem")
+    packed = F.array((F.col("l_returnflag") == "R").cast("int"), (F.col("l_linestatus") == "O").cast("int"), (F.col("l_quantity") > 25).cast("int"))
+    return li.select("l_orderkey", "l_linenumber", F.array_join(packed, ",").alias("labels"))
+
+
+@query("SELECT o_custkey, " + ", ".join(f"count(*) FILTER (WHERE o_orderkey % 5 = {k})::INT AS b{k}" for k in range(4)) + " FROM orders GROUP BY 1")
+def arr_bincount(spark, d):
+    a = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list((F.col("o_orderkey") % 5).cast("int")).alias("a"))
+    return a.select("o_custkey", *[F.get(ar.bincount(F.col("a"), 4), F.lit(k)).alias(f"b{k}") for k in range(4)])
+
+
+@query("SELECT event_id, date_trunc('hour', ts) AS at FROM events")
+def cal_packed_hour(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", packed_hour(F.date_format(F.col("ts").cast("timestamp"), "yyMMddHH")).cast("timestamp_ntz").alias("at"))
+
+
+# scores
+
+@query("SELECT l_orderkey, l_linenumber, array_to_string(list_transform(list_sort([{'s': -l_quantity, 'n': 'quantity'}, {'s': -(l_partkey % 50)::DOUBLE, 'n': 'size'}, {'s': -(l_tax * 500), 'n': 'tax'}])[1:2], lambda x: x.n), ',') AS best FROM lineitem")
+def metric_top_k(spark, d):
+    best = metrics.top_k({"quantity": F.col("l_quantity").cast("double"), "size": (F.col("l_partkey") % 50).cast("double"), "tax": (F.col("l_tax") * 500).cast("double")}, 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(best, ",").alias("best"))
+
+
+@query("WITH x AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o_totalprice / 100000 - 1.5 AS r FROM orders), p AS (SELECT y, CASE WHEN y = 1 THEN 1 / (1 + exp(-r)) ELSE 1 - 1 / (1 + exp(-r)) END AS pt, CASE WHEN y = 1 THEN 0.3 ELSE 0.7 END AS a, CASE WHEN y = 1 THEN 1 ELSE -1 END AS s FROM x) SELECT round(avg(-a * (1 - pt) ** 2 * ln(pt)), 6) AS loss, round(avg(s * a * (1 - pt) ** 2 * (2 * pt * ln(pt) - (1 - pt))), 6) AS grad, round(avg(a * pt * (1 - pt) ** 2 * ((1 - pt) * (2 * ln(pt) + 3) - 2 * (2 * pt * ln(pt) - (1 - pt)))), 6) AS hess FROM p")
+def metric_focal(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 100000 - 1.5).alias("r"))
+    return o.agg(*[r6(F.avg(c)).alias(n) for n, c in metrics.focal_loss(F.col("y"), F.col("r"), 0.3, 2.0).items()])
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS fold, o_orderpriority AS cat, o_totalprice AS y FROM orders) SELECT o_orderkey, round((SELECT avg(y) FROM o b WHERE b.fold <> o.fold AND b.cat = o.cat), 4) AS pred FROM o")
+def ens_stacking(spark, d):
+    o = splits.modulo_fold(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey", 4)
+
+    def means(train):
+        by_class = train.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("pred"))
+        return lambda test: test.join(by_class, "o_orderpriority", "left")
+
+    return selection.out_of_fold_predictions(o, "fold", 4, means).select("o_orderkey", F.round("pred", 4).alias("pred"))
