@@ -292,8 +292,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[1:]), pa.array(own.sizes), keys(h, s), pa.array(h.view(np.int64))], ["id", "kept", "n", "set", "h"])
 
     rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", T.LongType()).add("set", T.BinaryType()).add("h", T.LongType())))
-    near = connected_components(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent))
+    edges = cut(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent))
     release(spark)
+    near = connected_components(edges)
     near = cut(near.join(rows.groupBy("h", "set").agg(F.min("n").alias("n")), F.col("node") == F.col("h")).select("root", "h", "set", "n"))
     sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
     ready = near.drop("h").join(_words_of(src, sets_of, near), "set").join(sizes, "root")

@@ -195,8 +195,9 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot:
     text = F.col(text_col).cast("string")
     src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
     order = order_of(src.select("text"), _words)
-    near = connected_components(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent))
+    edges = cut(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent))
     release(docs.sparkSession)
+    near = connected_components(edges)
     found = cut(_occurrences(src, near))
     # sets that occur once and are like no other have no part in what follows
     known = found.groupBy(*NAME).agg(F.count("*").alias("times"), F.min("n").alias("n")).join(near, F.col("h") == F.col("node"), "left")

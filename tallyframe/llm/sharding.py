@@ -8,8 +8,10 @@ Spark counts those cells, the driver walks over at most ``steps * ring`` counts
 and the resulting segments (a cell, a range of ranks in it, a shard, a first slot) are joined back. The
 segment table is broadcast; it has at most ``steps * ring + n_shards`` rows.
 
-Waves spread the rows of one hot id over ``steps`` tasks. Nulls: a null id is a key like any other, a
-null text has no bytes. Rows equal in everything are interchangeable. An empty table gives no rows.
+Waves spread the rows of one hot id over ``steps`` tasks. Rows that share id and text share a cell; where one
+has over ``HOT`` rows and ``TIMES`` times the mean, the rows are first materialised and then cut by their place
+into ``PARTS`` cells of their own. Nulls: a null id is a key like any other, a null text has no bytes. Rows
+equal in everything are interchangeable. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Production parameters: points of the ring, points of a shard on it, waves.
 RING, VNODES, STEPS = 4096, 64, 64
+#: When a cell is cut, by rows and by times the mean, and into how many parts: at most RING * STEPS * PARTS / TIMES more cells.
+HOT, TIMES, PARTS = 65_536, 64, 64
 
 
 def ring_owners(n_shards: int, vnodes: int = VNODES, ring: int = RING) -> list[int]:
@@ -51,7 +55,7 @@ def capacities(total: int, n_shards: int, epsilon: float) -> list[int]:
 
 
 def place(cells: np.ndarray, owners: list[int], caps: list[int]) -> np.ndarray:
-    """Segments (wave, position, first rank, end rank, shard, first slot) of cells (wave, position, rows), in order."""
+    """Segments (wave, position, part, first rank, end rank, shard, first slot) of cells (wave, position, part, rows), in order."""
     load = [0] * len(caps)
     open_ = [c > 0 for c in caps]
 
@@ -63,14 +67,14 @@ def place(cells: np.ndarray, owners: list[int], caps: list[int]) -> np.ndarray:
         return out
 
     now = forward()
-    segments = np.zeros((len(cells) + len(caps), 6), np.int64)
+    segments = np.zeros((len(cells) + len(caps), 7), np.int64)
     n = 0
-    for step, pos, rows in cells:
+    for step, pos, part, rows in cells:
         rank = 0
         while rank < rows:
             s = now[pos]
             take = min(int(rows) - rank, caps[s] - load[s])
-            segments[n] = step, pos, rank, rank + take, s, load[s]
+            segments[n] = step, pos, part, rank, rank + take, s, load[s]
             n += 1
             load[s] += take
             rank += take
@@ -80,7 +84,7 @@ def place(cells: np.ndarray, owners: list[int], caps: list[int]) -> np.ndarray:
     return segments[:n]
 
 
-def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, ring: int = RING, steps: int = STEPS, keep: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, ring: int = RING, steps: int = STEPS, keep: list[str] | None = None, hot: int = HOT, times: int = TIMES) -> DataFrame:
     """All rows and columns (or those of ``keep``) of ``docs``, as struct ``row``, with size, text_crc32, shard and slot.
 
     ``epsilon`` is how far over the mean a shard may be filled; at 0 the shards' row counts are at most
@@ -96,19 +100,31 @@ def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str
         F.pmod(F.xxhash64(key, text, F.lit("wave")), F.lit(steps)).alias("step"),
         F.xxhash64(key, text, F.lit("turn")).alias("turn"),
     )
-    counted = keyed.groupBy("step", "pos").count().toArrow()
-    cells = np.column_stack([counted.column(c).to_numpy() for c in ("step", "pos", "count")]).astype(np.int64).reshape(-1, 3)
-    cells = cells[np.lexsort((cells[:, 1], cells[:, 0]))]
-    segments = place(cells, ring_owners(n_shards, vnodes, ring), capacities(int(cells[:, 2].sum()), n_shards, epsilon))
-    names = ("step", "pos", "first", "end", "shard", "slot")
-    table = spark.createDataFrame(pa.table({n: segments[:, k] for k, n in enumerate(names)}))
-    table = table.select(F.col("step").alias("of_step"), F.col("pos").alias("of_pos"), "first", "end", F.col("shard").cast("int").alias("shard"), F.col("slot").alias("first_slot"))
-    turn = Window.partitionBy("step", "pos").orderBy("turn", "text_crc32", "size")
+    cells = _counted(keyed.withColumn("part", F.lit(0).cast("long")))
+    large = cells[cells[:, 3] > max(hot, times * cells[:, 3].mean() if len(cells) else 0)] if len(cells) else cells
+    if len(large):
+        where = [F.lit(int(step * ring + pos)) for step, pos, _, _ in large]
+        keyed = cut(keyed)  # so that places, and with them the parts, are the same in every job
+        keyed = keyed.withColumn("part", F.when((F.col("step") * ring + F.col("pos")).isin(*where), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).otherwise(0))
+        cells = _counted(keyed)
+    else:
+        keyed = keyed.withColumn("part", F.lit(0).cast("long"))
+    segments = place(cells, ring_owners(n_shards, vnodes, ring), capacities(int(cells[:, 3].sum()), n_shards, epsilon))
+    names = ("of_step", "of_pos", "of_part", "first", "end", "shard", "first_slot")
+    table = spark.createDataFrame(pa.table({n: segments[:, k] for k, n in enumerate(names)})).withColumn("shard", F.col("shard").cast("int"))
+    turn = Window.partitionBy("step", "pos", "part").orderBy("turn", "text_crc32", "size")
     ranked = keyed.withColumn("rank", (F.row_number().over(turn) - 1).cast("long"))
-    own = (F.col("step") == F.col("of_step")) & (F.col("pos") == F.col("of_pos")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
+    own = (F.col("step") == F.col("of_step")) & (F.col("pos") == F.col("of_pos")) & (F.col("part") == F.col("of_part")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     return ranked.join(F.broadcast(table), own).select("row", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("first")).alias("slot"))
 
 
+def _counted(keyed: DataFrame) -> np.ndarray:
+    """(wave, position, part, rows) of each cell, in order."""
+    counted = keyed.groupBy("step", "pos", "part").count().toArrow()
+    cells = np.column_stack([counted.column(c).to_numpy() for c in ("step", "pos", "part", "count")]).astype(np.int64).reshape(-1, 4)
+    return cells[np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0]))]
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shard(docs, keep=["doc_id"])

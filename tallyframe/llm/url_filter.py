@@ -131,7 +131,7 @@ class Unigrams:
     def __init__(self, weights: dict[str, float]):
         total = sum(weights.values()) or 1.0
         self.logp = {w: math.log(c / total) for w, c in weights.items()}
-        self.unknown, self.longest = min(self.logp.values(), default=0.0), max(map(len, weights), default=1)
+        self.unknown, self.longest = min(self.logp.values(), default=0.0) - 2 * math.log(10), max(map(len, weights), default=1)
 
     def split(self, run: str) -> list[str]:
         best: list[tuple[float, int]] = [(0.0, 0)]
@@ -191,7 +191,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
                 ["page_id", "host", "path", "host_words", "block_odds"],
             )
 
-    out = src.mapInArrow(judged, src.schema.add("host_words", T.ArrayType(T.StringType())).add("block_odds", T.DoubleType()))
+    out = src.mapInArrow(judged, T.StructType([*src.schema, T.StructField("host_words", T.ArrayType(T.StringType())), T.StructField("block_odds", T.DoubleType())]))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("block_odds") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "host_words", "block_odds")

@@ -152,3 +152,12 @@ def test_one_more_shard_moves_few(spark):
 
 def test_sharding_of_nothing(spark):
     assert shard(docs(spark, [])).count() == 0 and len(ring_owners(16)) == RING
+
+
+def test_equal_rows_are_dealt_to_parts(spark):
+    rows = [(None, None, None, None, None)] * 3000 + [(i, f"t{i}", "en", "s", 1) for i in range(200)]
+    got = shard(docs(spark, rows).repartition(5), 7, hot=50, times=2).collect()
+    assert len(got) == 3200 and Counter(r["row"]["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    counts = Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert all({r["slot"] for r in got if r["shard"] == s} == set(range(n)) for s, n in counts.items())
