@@ -12,6 +12,8 @@ from .mapping import fetched
 
 #: Buckets of a large table's order, and rows up to which exact quantiles are one aggregation.
 BUCKETS, ROWS = 256, 1_000_000
+#: Rows of one key from which running sums are taken in two levels.
+HOT = 1_000_000
 
 
 def numbered(table: DataFrame, by: list[str], out: str, first: int = 1, most: int | None = None) -> tuple[DataFrame, bool]:
@@ -84,3 +86,31 @@ def quantiles(df: DataFrame, x: Column, shares: list[float], rows: int = ROWS) -
     places = sorted({p for a in at for p in (math.floor(a), math.ceil(a))})
     value = dict(zip(places, order_statistics(some, F.col("x"), places, rows), strict=True))
     return [value[math.floor(a)] + (a - math.floor(a)) * (value[math.ceil(a)] - value[math.floor(a)]) for a in at]
+
+
+def sums_before(df: DataFrame, key: Column, order: str, values: dict[str, Column], largest: int, hot: int | None = None) -> DataFrame:
+    """``df`` with sums of ``values`` over the key's rows before each row in ``order``, 0 where there are none.
+
+    A key's rows meet in one task, unless ``largest``, the most rows of a key, is over ``hot`` (``HOT``) and the
+    order is a number or a time: then they are dealt to buckets of the order, summed inside each, and the sums of
+    the buckets before are joined to them. Rows of equal place are in any order.
+    """
+    kind = df.schema[order].dataType
+    at = F.col(f"`{order}`")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        at = F.unix_micros(at.cast("timestamp"))
+    keyed = df.withColumn("__k", key).withColumns({f"__v{i}": v.cast("double") for i, v in enumerate(values.values())})
+    names = {f"__v{i}": n for i, n in enumerate(values)}
+    if largest <= (HOT if hot is None else hot) or not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        before = Window.partitionBy("__k").orderBy(F.col(f"`{order}`")).rowsBetween(Window.unboundedPreceding, -1)
+        return keyed.withColumns({n: F.coalesce(F.sum(v).over(before), F.lit(0.0)) for v, n in names.items()}).drop("__k", *names)
+    edges = df.agg(F.percentile_approx(at.cast("double"), F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), 10_000).alias("e")).first()["e"] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < at.cast("double")))
+    keyed = keyed.withColumn("__b", bucket)
+    earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy("__k", "__b").agg(*[F.sum(v).alias(v) for v in names])
+    starts = sums.select(F.col("__k").alias("__k2"), F.col("__b").alias("__b2"), *[F.coalesce(F.sum(v).over(earlier), F.lit(0.0)).alias(f"{v}s") for v in names])
+    inside = Window.partitionBy("__k", "__b").orderBy(F.col(f"`{order}`")).rowsBetween(Window.unboundedPreceding, -1)
+    both = keyed.join(starts, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__b") == F.col("__b2")))
+    both = both.withColumns({n: F.col(f"{v}s") + F.coalesce(F.sum(v).over(inside), F.lit(0.0)) for v, n in names.items()})
+    return both.drop("__k", "__b", "__k2", "__b2", *names, *[f"{v}s" for v in names])

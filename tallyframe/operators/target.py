@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.mapping import categorical_columns, check_no_nulls, clean, fetched, look_up, quoted, settle
+from ..core.order import sums_before
 
 SUMS = ("s", "c", "v")
 
@@ -124,31 +125,27 @@ class LeaveOneOutEncoder(TargetBase):
 class CatBoostEncoder(TargetBase):
     """Ordered target statistics: training rows see the rows of their category before them in ``order_col``.
 
-    A category's rows meet in one task for this; order statistics have no other way but a sort by category.
+    See ``sums_before`` for categories with very many rows.
     """
 
-    def __init__(self, label_col, order_col: str, cols=None, a: float = 1.0, **how):
+    def __init__(self, label_col, order_col: str, cols=None, a: float = 1.0, hot: int | None = None, **how):
         super().__init__(label_col, cols, **how)
-        self.order_col, self.a = order_col, a
+        self.order_col, self.a, self.hot = order_col, a, hot
 
     def _value(self, col, table):
         return F.when(F.col("c") > 1, (F.col("s") + self.prior) / (F.col("c") + self.a)).otherwise(F.lit(self.prior))
 
-    def _train_value(self, col):
-        before = Window.partitionBy("__key0").orderBy(quoted(self.order_col)).rowsBetween(Window.unboundedPreceding, -1)
-        y = quoted(self.label_col).cast("double")
-        return (F.coalesce(F.sum(y).over(before), F.lit(0.0)) + self.prior) / (F.count(F.lit(1)).over(before) + self.a)
-
     def transform(self, df: DataFrame, training: bool = False) -> DataFrame:
         if not training:
             return super().transform(df)
         if self.tables is None:
             raise ValueError("the encoder has to be fitted before it transforms")
-        out = df
+        out, y = df, quoted(self.label_col)
         for k, c in enumerate(self.active):
-            value = self._train_value(c) * (1 + self.sigma * F.randn(self.seed + k) if self.sigma else F.lit(1.0))
-            out = out.withColumn("__key0", clean(df, c)).withColumn(f"__new{k}", value)
-        out = out.drop("__key0")
+            largest = self.tables[c][0].agg(F.max("c")).first()[0] or 0
+            out = sums_before(out, clean(df, c), self.order_col, {"__s": y, "__c": F.lit(1)}, largest, self.hot)
+            value = (F.col("__s") + self.prior) / (F.col("__c") + self.a) * (1 + self.sigma * F.randn(self.seed + k) if self.sigma else F.lit(1.0))
+            out = out.withColumn(f"__new{k}", value).drop("__s", "__c")
         return out.select(*[quoted(f"__new{self.active.index(c)}").alias(c) if c in self.active else quoted(c) for c in df.columns])
 
 
@@ -417,8 +414,10 @@ def nested_cv(train: DataFrame, fold_col: str, make: Callable[[], TargetBase], t
     return out, tuple(full.transform(t) for t in tests)
 
 
-def expanding_mean(df: DataFrame, col: str, label_col: str, order_col: str, out: str) -> DataFrame:
-    """The mean of the target over the category's earlier rows; the prior where there is none."""
-    before = Window.partitionBy(quoted(col)).orderBy(quoted(order_col)).rowsBetween(Window.unboundedPreceding, -1)
-    prior = df.agg(F.avg(quoted(label_col)).alias("p")).first()["p"]
-    return df.withColumn(out, F.coalesce(F.avg(quoted(label_col).cast("double")).over(before), F.lit(prior)))
+def expanding_mean(df: DataFrame, col: str, label_col: str, order_col: str, out: str, hot: int | None = None) -> DataFrame:
+    """The mean of the target over the category's earlier rows; the prior where there is none. See ``sums_before``."""
+    y = quoted(label_col).cast("double")
+    cells = df.groupBy(quoted(col)).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.count(y).alias("c"))
+    whole = cells.agg(F.max("n").alias("largest"), F.try_divide(F.sum("s"), F.sum("c")).alias("prior")).first()
+    both = sums_before(df, quoted(col), order_col, {"__s": F.coalesce(y, F.lit(0.0)), "__c": y.isNotNull().cast("int")}, whole["largest"] or 0, hot)
+    return both.withColumn(out, F.coalesce(F.try_divide(F.col("__s"), F.col("__c")), F.lit(whole["prior"]))).drop("__s", "__c")

@@ -97,3 +97,18 @@ def test_noise_is_seeded_and_on_training_rows_only(spark):
     plain = [r["x"] for r in enc.transform(df).orderBy("i").collect()]
     ratio = np.array(a) / np.array(plain)
     assert a == b and len(set(plain)) <= 3 and abs(ratio.mean() - 1) < 0.03 and 0.08 < ratio.std() < 0.12
+
+
+@pytest.mark.parametrize("hot", [10, 10_000])
+def test_running_sums_in_two_levels(spark, hot):
+    rnd = random.Random(5)
+    rows = [(i, "hot" if rnd.random() < 0.6 else rnd.choice([None, "a", "b"]), rnd.choice([0.0, 1.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, x string, y double").repartition(6)
+    seen, want, prior = {}, {}, sum(r[2] for r in rows) / len(rows)
+    for i, x, y in rows:
+        s, c = seen.get(x, (0.0, 0))
+        want[i] = (s / c if c else prior, (s + prior) / (c + 1))
+        seen[x] = (s + y, c + 1)
+    mean = {r["i"]: r["m"] for r in ta.expanding_mean(df, "x", "y", "i", "m", hot).collect()}
+    ordered = {r["i"]: r["x"] for r in ta.CatBoostEncoder("y", "i", ["x"], hot=hot).fit_transform(df).collect()}
+    assert mean == pytest.approx({i: w[0] for i, w in want.items()}) and ordered == pytest.approx({i: w[1] for i, w in want.items()})
