@@ -187,10 +187,9 @@ def enc_label_sorted(spark, d):
     return en.label_encode(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", "code").drop("p_type")
 
 
-@query("WITH a AS (SELECT DISTINCT p_brand AS cat FROM part WHERE p_size < 3), b AS (SELECT DISTINCT p_brand AS cat FROM part WHERE p_size > 48), u AS (SELECT cat FROM a UNION SELECT cat FROM b), k AS (SELECT cat, CASE WHEN cat IN (SELECT cat FROM a) AND cat IN (SELECT cat FROM b) THEN 0 WHEN cat IN (SELECT cat FROM a) THEN 1 ELSE 2 END AS part FROM u) SELECT cat, (row_number() OVER (ORDER BY part, cat) - 1)::INT AS code FROM k")
+@query("WITH a AS (SELECT DISTINCT o_custkey AS cat FROM orders), b AS (SELECT DISTINCT user_id AS cat FROM events), u AS (SELECT cat FROM a UNION SELECT cat FROM b), k AS (SELECT cat, CASE WHEN cat IN (SELECT cat FROM a) AND cat IN (SELECT cat FROM b) THEN 0 WHEN cat IN (SELECT cat FROM a) THEN 1 ELSE 2 END AS part FROM u) SELECT cat, (row_number() OVER (ORDER BY part, cat) - 1)::INT AS code FROM k")
 def enc_same_set(spark, d):
-    p = table(spark, d, "part")
-    return en.same_set_codes(p.filter("p_size < 3"), p.filter("p_size > 48"), "p_brand")
+    return en.same_set_codes(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "events").select(F.col("user_id").alias("id")), "id")
 
 
 @query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_type) < 16 THEN 'OTHER' ELSE p_type END AS p_type FROM part")
@@ -722,10 +721,9 @@ def join_shifted_dimension(spark, d):
     return jo.shifted_dimension(f, f, "day", "flag", [-1, 1])
 
 
-@query("WITH a AS (SELECT DISTINCT p_type AS v FROM part WHERE p_size < 3), b AS (SELECT DISTINCT p_type AS v FROM part WHERE p_size > 48) SELECT CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'first' ELSE 'second' END AS part, count(*) AS n FROM a FULL JOIN b ON a.v = b.v GROUP BY 1")
+@query("WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders), b AS (SELECT DISTINCT user_id AS v FROM events), u AS (SELECT a.v AS x, b.v AS y FROM a FULL JOIN b ON a.v = b.v) SELECT CASE WHEN x IS NULL THEN 'second' WHEN y IS NULL THEN 'first' ELSE 'both' END AS part, count(*) AS n FROM u GROUP BY 1")
 def stat_membership(spark, d):
-    p = table(spark, d, "part")
-    return jo.membership_audit(p.filter("p_size < 3"), p.filter("p_size > 48"), "p_type")
+    return jo.membership_audit(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "events").select(F.col("user_id").alias("id")), "id")
 
 
 @query(EV + "SELECT user_id, day, count(*) AS share_n, round(count(*) / (sum(count(*)) OVER (PARTITION BY user_id))::DOUBLE, 6) AS share FROM e GROUP BY 1, 2")
