@@ -46,6 +46,8 @@ from .words import buffers, chunks, mix, word_hashes
 ORDER, QUANTILE, FEW, BIN = 4, 0.995, 50, 0.001
 #: Words looked at for repetition, and the share of trusted documents that may be below the threshold of variety.
 SPAN, REPEATS = 32, 0.005
+#: Bytes of text whose n-grams are counted or looked up at once.
+RUN = 1 << 20
 #: Models: of all trusted text, without its first half, without its second half.
 VARIANTS = 3
 #: Rows of the n-gram table up to which it is broadcast (20 bytes each), and of labels (8 bytes each; languages up to a twentieth).
@@ -55,7 +57,7 @@ TABLE, LABELS = 4_000_000, 2_000_000
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their n-grams as 64-bit numbers of 16 bits a character, row bounds); the text is column 0."""
     for batch in batches:
-        for first, end, data, offsets in chunks(batch.column(0)):
+        for first, end, data, offsets in chunks(batch.column(0), RUN):
             points, bounds = code_points(data, offsets)
             # 0 is the mark before the start, 1 that after the end
             points = np.where(points > 0xFFFF, 0xD800 + (points & 0x7FF), np.maximum(points, 2)).astype(np.uint64)
