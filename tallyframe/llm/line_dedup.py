@@ -231,11 +231,41 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed): lines of each document, and the places, from 0, of those that go."""
+    """(doc_id, n_lines, n_removed, removed): lines of each document, and the places, from 0, of those that go, joined by commas."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     gone = later_lines(docs)
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.when(F.coalesce(F.col("text"), F.lit("")) != "", breaks + 1).otherwise(0).alias("n_lines"))
     out = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+
+
+#: For ids that are unique and not null.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE coalesce(text, '') <> ''
+), l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t FROM d
+), w AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS ws FROM l
+), s AS (
+  SELECT ws, len(ws) AS n, min({'d': doc_id, 'l': line}) AS first FROM w WHERE len(ws) > 0 GROUP BY ws
+), x AS (
+  SELECT ws, n, first, unnest(ws) AS word FROM s
+), c AS (
+  SELECT word, count(*) AS c FROM x GROUP BY 1
+), p AS (
+  SELECT ws, n, first, word FROM x JOIN c USING (word) QUALIFY row_number() OVER (PARTITION BY ws ORDER BY c, word) <= n - (80 * n + 99) // 100 + 1
+), k AS (
+  SELECT DISTINCT a.first AS own, b.first AS other, a.ws AS u, b.ws AS v FROM p a JOIN p b ON a.word = b.word AND b.first < a.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), m AS (
+  SELECT own, min(other) AS upto FROM k WHERE 100 * len(list_intersect(u, v)) >= 80 * (len(u) + len(v) - len(list_intersect(u, v))) GROUP BY 1
+), g AS (
+  SELECT doc_id, line FROM w JOIN s ON w.ws = s.ws LEFT JOIN m ON m.own = s.first WHERE {'d': doc_id, 'l': line} > coalesce(m.upto, s.first)
+), r AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(line, ',' ORDER BY line) AS removed FROM g GROUP BY 1
+)
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN r USING (doc_id)
+"""
