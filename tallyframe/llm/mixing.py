@@ -206,3 +206,27 @@ class Mix:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return Mix(docs).taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sid, source, source_size, target): the part of ``op3_mixing`` that SQL can say."""
+    docs = read(spark, sf_dir, "documents")
+    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    return targets(sizes).select("sid", "source", "source_size", F.round("target", 4).alias("target"))
+
+
+LLM_MIX_TARGETS_SQL = r"""
+WITH s AS (
+  SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY 1
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s
+), w AS (
+  SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS w, 3 * source_size::DOUBLE AS cap FROM o
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, max(level) FILTER (cap > w * level) OVER () AS rest FROM l
+)
+SELECT sid, source, source_size, round(CASE WHEN cap <= w * level THEN cap ELSE least(cap, w * rest) END, 4) AS target FROM f
+"""

@@ -215,7 +215,7 @@ def test_op10(spark, tables):
     assert all(not r["kept"] or r["perplexity"] <= r["threshold"] for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op6_jaccard_join", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["llm_mix_targets", "op4_line_dedup", "op6_jaccard_join", "op9_exact_dedup"])
 def test_against_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
