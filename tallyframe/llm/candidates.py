@@ -38,8 +38,8 @@ BLOOM_BITS, HEAVY, SLOTS = 1 << 26, 200_000, 1 << 20
 REGIONS, GATHER = 1024, 1 << 21
 #: Sets of a token from which it is cut into parts, and how many times that for two tokens to be the key.
 HOT, PAIRED = 4096, 32
-#: Tokens of the corpus for each bucket of prefix rows; about a fifth of them are in prefixes.
-BUCKET = 250_000
+#: Tokens of the corpus for each bucket of prefix rows, about a fifth of them are in prefixes; and buckets of a task.
+BUCKET, PER_TASK = 250_000, 32
 #: Bytes of text whose rows are packed at once, and prefix rows of a bucket from which copies are taken out on the way.
 PACK, ROWS = 1 << 23, 200_000
 #: Rows of whole groups that are joined at once, and edges that a task gathers before it sends a forest of them.
@@ -400,9 +400,13 @@ def prefixes(sets: Sets, order: Order, percent: int, hot: int, paired: int) -> R
     return Rows(key, h[of], (s1 ^ s2)[of], shape, start[of], np.concatenate(more))
 
 
+def bucket_count(order: Order) -> int:
+    return max(64, order.total // BUCKET)
+
+
 def prefix_rows(src: DataFrame, sets_of: SetsOf, order: Order, percent: int, hot: int = HOT, paired: int = PAIRED) -> DataFrame:
     """(bucket, n, rows): n prefix rows of a bucket, packed, one row a run of texts and bucket."""
-    buckets = max(64, order.total // BUCKET)
+    buckets = bucket_count(order)
     shared = src.sparkSession.sparkContext.broadcast(order)
 
     def rows(batches):
@@ -465,10 +469,11 @@ def forest(rows: Rows, t: int) -> list[tuple[int, int]]:
         d += 1
 
 
-def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(a, b): edges between sets, by hash, whose components hold all matching pairs.
 
-    Sets that share a hash count as one here, which only puts their components together.
+    Sets that share a hash count as one here, which only puts their components together. A task gets about
+    ``PER_TASK`` of the ``buckets`` at most, whatever number of partitions the session has set.
     """
 
     def merged(blobs) -> Rows:
@@ -517,7 +522,9 @@ def candidate_edges(rows: DataFrame, percent: int) -> DataFrame:
         if edges:
             yield spanning(edges)
 
-    by_bucket = rows.repartition("bucket").sortWithinPartitions("bucket")
+    tasks = buckets // PER_TASK
+    few = tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_bucket = (rows.repartition("bucket") if few else rows.repartition(tasks, "bucket")).sortWithinPartitions("bucket")
     return by_bucket.mapInArrow(join, "a long, b long").filter("a <> b").distinct()
 
 

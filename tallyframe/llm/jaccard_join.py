@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .candidates import HOT, PAIRED, Order, Sets, bloom_of, candidate_edges, grouped, in_bloom_of, keys, needed, order_of, prefix_rows, slices
+from .candidates import HOT, PAIRED, Order, Sets, bloom_of, bucket_count, candidate_edges, grouped, in_bloom_of, keys, needed, order_of, prefix_rows, slices
 from .common import connected_components, cut, read, release
 from .words import chunks, ngrams, sets, word_hashes
 
@@ -292,7 +292,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns[1:]), pa.array(own.sizes), keys(h, s), pa.array(h.view(np.int64))], ["id", "kept", "n", "set", "h"])
 
     rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", T.LongType()).add("set", T.BinaryType()).add("h", T.LongType())))
-    edges = cut(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent))
+    edges = cut(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent, bucket_count(order)))
     release(spark)
     near = connected_components(edges)
     near = cut(near.join(rows.groupBy("h", "set").agg(F.min("n").alias("n")), F.col("node") == F.col("h")).select("root", "h", "set", "n"))

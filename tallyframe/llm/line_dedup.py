@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .candidates import HOT, PAIRED, Sets, bloom_of, candidate_edges, cut_if_any, grouped, in_bloom_of, needed, order_of, parities, prefix_rows, slices, width
+from .candidates import HOT, PAIRED, Sets, bloom_of, bucket_count, candidate_edges, cut_if_any, grouped, in_bloom_of, needed, order_of, parities, prefix_rows, slices, width
 from .common import connected_components, cut, read, release
 from .words import chunks, sets, word_hashes
 
@@ -195,7 +195,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot:
     text = F.col(text_col).cast("string")
     src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
     order = order_of(src.select("text"), _words)
-    edges = cut(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent))
+    edges = cut(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent, bucket_count(order)))
     release(docs.sparkSession)
     near = connected_components(edges)
     found = cut(_occurrences(src, near))
