@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more.
 
-    It learns of them only when the driver's heap is collected, which a driver that holds little does seldom.
+    It learns of them only when the driver's heap is collected, which a driver that holds little does seldom; Python
+    lets go of its plans first.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

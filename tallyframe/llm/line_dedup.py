@@ -38,7 +38,7 @@ NAME, PLACE = ("h", "s"), ("last", "id", "text_key", "line")
 
 
 class Lines(Sets):
-    """The lines with words of a run of texts: their row, place in the text, and sets of word hashes."""
+    """The lines with words of a run of texts: their row, place in the text, and sets of word hashes; and each text's lines."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         breaks = np.flatnonzero(data == 10)
@@ -51,6 +51,8 @@ class Lines(Sets):
         full = np.flatnonzero(np.diff(at))
         first = np.searchsorted(row, np.arange(len(offsets)))
         self.row, self.place = row[full], (np.arange(len(starts)) - first[row])[full]
+        #: Lines of each text; an empty one has none.
+        self.counts = np.where(np.diff(offsets) > 0, np.diff(first), 0)
         super().__init__(words, np.append(at[full], len(words)))
 
 
@@ -68,9 +70,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
 
 
 def _occurrences(src: DataFrame, near: DataFrame) -> DataFrame:
-    """(id, text_key, line, h, s, n, words), a row a line with words.
+    """(id, text_key, line, h, s, n, words), a row a line with words; and a row a text, with line -1 and n its lines.
 
-    h and s name its set. Of the sets of ``near``, one line of each run of texts has the words too; a filter of
+    h and s name a line's set. Of the sets of ``near``, one line of each run of texts has the words too; a filter of
     fixed size, which may let others pass, tells them.
     """
     shared = src.sparkSession.sparkContext.broadcast(bloom_of(near.select("node")))
@@ -89,7 +91,10 @@ def _occurrences(src: DataFrame, near: DataFrame) -> DataFrame:
                         words[i] = ls.one(i).tobytes()
                 own = [batch.column(k).slice(first, end - first).take(pa.array(ls.row)) for k in (1, 2)]
                 names = [pa.array(x.view(np.int64)) for x in (h, s)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(ls.place.astype(np.int32)), *names, pa.array(ls.sizes), pa.array(words, pa.binary())], ["id", "text_key", "line", "h", "s", "n", "words"])
+                columns = ["id", "text_key", "line", "h", "s", "n", "words"]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ls.place.astype(np.int32)), *names, pa.array(ls.sizes), pa.array(words, pa.binary())], columns)
+                texts, zero = [batch.column(k).slice(first, end - first) for k in (1, 2)], pa.array(np.zeros(end - first, np.int64))
+                yield pa.RecordBatch.from_arrays([*texts, pa.array(np.full(end - first, -1, np.int32)), zero, zero, pa.array(ls.counts), pa.nulls(end - first, pa.binary())], columns)
 
     return src.select("text", "id", "text_key").mapInArrow(find, "id long, text_key long, line int, h long, s long, n long, words binary")
 
@@ -190,15 +195,21 @@ def _rounds(big: DataFrame, percent: int, most: int, words: int) -> DataFrame:
     return matched.groupBy(*NAME).agg(F.min("match").alias("match"))
 
 
-def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED, words: int = WORDS) -> DataFrame:
+def later_lines(docs: DataFrame, percent: int = PERCENT, **how) -> DataFrame:
     """(id, text_key, removed): the places, from 0, of the lines that go, of documents that lose some."""
+    return _later(docs, percent, **how)[0]
+
+
+def _later(docs: DataFrame, percent: int, most: int = MOST, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """What ``later_lines`` gives, and (id, text_key, n_lines), a row a document."""
     text = F.col(text_col).cast("string")
     src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
     order = order_of(src.select("text"), _words)
     edges = cut(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent, bucket_count(order)))
     release(docs.sparkSession)
     near = connected_components(edges)
-    found = cut(_occurrences(src, near))
+    every = cut(_occurrences(src, near))
+    found = every.filter("line >= 0")
     # sets that occur once and are like no other have no part in what follows
     known = found.groupBy(*NAME).agg(F.count("*").alias("times"), F.min("n").alias("n")).join(near, F.col("h") == F.col("node"), "left")
     known = known.filter("times > 1 or root is not null").drop("node")
@@ -219,7 +230,8 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, most: int = MOST, hot:
         matched = matched.unionByName(_rounds(ready.filter(~fits).drop("sets", "total"), percent, most, words))
     cuts = known.select(*NAME, "first").join(matched, list(NAME), "left").select(*NAME, F.coalesce("match", "first").alias("upto"))
     gone = lines.join(cut(cuts), list(NAME)).filter(_place() > F.col("upto"))
-    return gone.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = gone.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return gone, every.filter("line < 0").select("id", "text_key", F.col("n").cast("int").alias("n_lines"))
 
 
 def remove_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -232,13 +244,11 @@ def remove_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id"
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): lines of each document, and the places, from 0, of those that go, joined by commas."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = later_lines(docs)
-    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("key"), F.when(F.coalesce(F.col("text"), F.lit("")) != "", breaks + 1).otherwise(0).alias("n_lines"))
-    out = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left")
+    gone, docs = _later(read(spark, sf_dir, "documents"), PERCENT)
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "removed")
+    out = docs.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size(removed).alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
 #: For ids that are unique and not null.
