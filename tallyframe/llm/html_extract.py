@@ -92,10 +92,11 @@ def tags(page: str) -> Iterator[tuple[str, str, bool, bool, str]]:
             yield "".join(text), "", False, False, ""
             return
         empty, at = page[at - 1] == "/", at + 1
-        if tag in RAW and not closing and not (tag == "svg" and empty):
-            end = RAW[tag].search(page, at)
-            at = page.find(">", end.end()) + 1 if end else n
-            start = at = at or n
+        if tag in RAW and not closing:
+            if not (tag == "svg" and empty):
+                end = RAW[tag].search(page, at)
+                at = (page.find(">", end.end()) + 1 if end else n) or n
+            start = at
             continue
         start = at
         yield "".join(text), tag, closing, empty, " ".join(names)

@@ -100,7 +100,7 @@ def test_edited_copies_are_found(spark):
     for d, text in rows:
         for k, item in enumerate(items):
             best = _sw(item, text.split())
-            if best >= max(de.LEAST * de.MATCH * len(item), de.MATCH * min(de.FLOOR, len(item))):
+            if best >= max(de.LEAST * de.MATCH * len(item), de.MATCH * de.FLOOR):
                 want[d, k] = best / (de.MATCH * len(item))
     assert edited <= want.keys()
     for how in ({}, {"hits": 1}, {"hits": 100, "block": 50}):
