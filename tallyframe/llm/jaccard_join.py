@@ -293,8 +293,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     rows = cut(src.mapInArrow(name, src.drop("text").schema.add("n", T.LongType()).add("set", T.BinaryType()).add("h", T.LongType())))
     edges = cut(candidate_edges(prefix_rows(src, sets_of, order, percent, hot, paired), percent, bucket_count(order)))
-    release(spark)
     near = connected_components(edges)
+    del edges  # its plan holds the shuffle of the prefix rows
+    release(spark)
     near = cut(near.join(rows.groupBy("h", "set").agg(F.min("n").alias("n")), F.col("node") == F.col("h")).select("root", "h", "set", "n"))
     sizes = cut(near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total")))
     ready = near.drop("h").join(_words_of(src, sets_of, near), "set").join(sizes, "root")

@@ -206,8 +206,9 @@ def _later(docs: DataFrame, percent: int, most: int = MOST, hot: int = HOT, id_c
     src = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
     order = order_of(src.select("text"), _words)
     edges = cut(candidate_edges(prefix_rows(src, _lines, order, percent, hot, paired), percent, bucket_count(order)))
-    release(docs.sparkSession)
     near = connected_components(edges)
+    del edges  # its plan holds the shuffle of the prefix rows
+    release(docs.sparkSession)
     every = cut(_occurrences(src, near))
     found = every.filter("line >= 0")
     # sets that occur once and are like no other have no part in what follows
