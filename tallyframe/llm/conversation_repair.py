@@ -343,3 +343,73 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     nothing = {c: F.lit(0).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {"audit": F.lit(""), "repaired_sha256": F.lit(hashlib.sha256().hexdigest())}
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select("conv_id", *[F.coalesce(c, v).alias(c) for c, v in nothing.items()])
+
+
+def _least(*values: str) -> str:
+    return f"list_min([{', '.join(values)}])"
+
+
+def _edit(value: str, cost: object, edit: str, out: str = "''") -> str:
+    """``value`` (cost, audit, text) after one more edit."""
+    return f"{{'c': {value}.c + {cost}, 'a': {value}.a || '{edit}', 'o': {value}.o || {out}}}"
+
+
+def _when(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} ELSE far END"
+
+
+_USER, _ASSISTANT, _SAME, _AS_USER, _AS_ASSISTANT = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+_PUT_USER = _least("vu", *[_edit(v, 2, "I", _USER) for v in ("v0", "vs", "va")])
+_PUT_ASSISTANT = _least("va", _edit("pu", 2, "I", _ASSISTANT))
+
+
+def _stay(initial: str, states: tuple[str, ...], out: str) -> list[str]:
+    """The turn kept or with another role, from each of the states."""
+    return [_when(f"alive AND initial = '{initial}'", _edit(v, "cut", "K", _SAME)) for v in states] + [_when("alive", _edit(v, "2 + cut", "R", out)) for v in states]
+
+
+_NEW_SYSTEM = _least(_edit("vs", 3, "D"), _when("alive AND initial = 's'", _edit("v0", "cut", "K", _SAME)))
+_NEW_USER = _least(_edit("pu", 3, "D"), *_stay("u", ("v0", "vs", "pa"), _AS_USER))
+_NEW_ASSISTANT = _least(_edit("pa", 3, "D"), *_stay("a", ("pu",), _AS_ASSISTANT))
+
+#: The same costs from the first turn to the last, with the least audit and the text so far of each state.
+OP11_SQL = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS t(n))
+), src AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), hashed AS (
+  SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(k)), lambda i: ('0x' || substr(hex(encode(k)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS what FROM src, crc
+), damaged AS (
+  SELECT conv, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE what <> 0
+), numbered AS (
+  SELECT conv, turn, role, text, substr(role, 1, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare,
+         row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged
+), again AS (
+  SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again FROM numbered
+), told AS MATERIALIZED (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before FROM again
+), figures AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM told GROUP BY conv
+), best AS (
+  SELECT DISTINCT conv, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': ''}} AS v0, {{'c': 1000000000, 'a': '', 'o': ''}} AS vs, {{'c': 1000000000, 'a': '', 'o': ''}} AS vu, {{'c': 1000000000, 'a': '', 'o': ''}} AS va FROM told
+  UNION ALL
+  SELECT conv, i, {_edit("v0", 3, "D")}, {_NEW_SYSTEM}, {_NEW_USER}, {_NEW_ASSISTANT}
+  FROM (
+    SELECT *, {_PUT_ASSISTANT} AS pa FROM (
+      SELECT best.conv, told.i, v0, vs, vu, va, {_PUT_USER} AS pu, role, text, initial, fault NOT IN ('blank', 'duplicate') AS alive, (fault = 'truncated')::INT AS cut, {{'c': 1000000000, 'a': '', 'o': ''}} AS far
+      FROM best JOIN told ON told.conv = best.conv AND told.i = best.i + 1
+    )
+  )
+), ended AS (
+  SELECT conv, gaps, blank, duplicate, truncated, illegal, {_least("v0", _PUT_ASSISTANT)} AS v FROM (SELECT *, {_PUT_USER} AS pu FROM best JOIN figures USING (conv) WHERE i = n)
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v.c, 0)::BIGINT AS cost, coalesce(v.a, '') AS audit, sha256(coalesce(substr(v.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM src) LEFT JOIN ended USING (conv)
+"""

@@ -199,3 +199,39 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words
 
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS t(n))
+), texts AS (
+  SELECT row_number() OVER () AS r, doc_id, false AS target, text FROM documents UNION ALL SELECT NULL, NULL, true, text FROM benchmark
+), words AS MATERIALIZED (
+  SELECT r, doc_id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), f AS MATERIALIZED (
+  SELECT r, target, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), kinds AS (
+  SELECT f, list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT DISTINCT f FROM f)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM kinds, crc
+), own AS MATERIALIZED (
+  SELECT r, target, bucket FROM f JOIN hashed USING (f)
+), n AS (
+  SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM own GROUP BY bucket
+), total AS (
+  SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM n
+), gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS gain FROM n, total
+), weighed AS (
+  SELECT r, count(*) AS n_features, sum(gain) AS g FROM own JOIN gain USING (bucket) WHERE NOT target GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce((g - ((g % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM words LEFT JOIN weighed USING (r) WHERE NOT target
+), final AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (words >= 20) OVER () AS able FROM final
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM drawn
+"""

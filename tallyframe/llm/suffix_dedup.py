@@ -437,3 +437,29 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS MATERIALIZED (
+  SELECT r, k, p, unhex(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT r, k, h, unnest(range(length(h) // 2 - 49)) AS p FROM d)
+), f AS (
+  SELECT s, min(k) AS first FROM w GROUP BY s HAVING min(k) < max(k)
+), m AS (
+  SELECT r, p, p + 50 AS e FROM w JOIN f USING (s) WHERE k > first
+), g AS (
+  SELECT r, p, e, coalesce(p > max(e) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM m
+), i AS (
+  SELECT r, p, e, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS n FROM g
+), span AS (
+  SELECT r, n, min(p) AS a, max(e) AS b FROM i GROUP BY r, n
+), part AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM span
+), gone AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM part JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
