@@ -28,6 +28,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ SMALL, LARGE, HOT, BATCH = 4 << 20, 256 << 20, 65_536, 16_384
 _PIECE = 1 << 15
 _PLACE = np.uint64((1 << 20) - 1)
 _LATE = (1 << 63) - 1
+#: Stands for the anchor of a string that is sent by itself.
+_ALONE = 255
 
 CHUNK = "chunk long, ids binary, nulls binary, sizes binary, text binary, segments binary"
 
@@ -121,8 +124,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
 
 
-def _zip(x: bytes | np.ndarray) -> bytes:
-    return pa.compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+def _zip(x: np.ndarray, level: int = 1) -> bytes:
+    return pa.Codec("zstd", level).compress(np.ascontiguousarray(x).tobytes(), asbytes=True)
 
 
 def _unzip(x: bytes, size: int) -> np.ndarray:
@@ -139,18 +142,20 @@ class Chunk:
         self.data = _unzip(row["text"], int(self.offsets[-1]))
         n = int(np.frombuffer(row["segments"][:8], np.int64)[0])
         packed = _unzip(row["segments"][8:], 6 * n)
-        self.start = np.cumsum(packed[: 4 * n].view(np.uint32).astype(np.int64))
-        self.count, anchor = packed[4 * n : 5 * n].astype(np.int64), packed[5 * n :].astype(np.int64)
+        self.count, self.anchor = packed[4 * n : 5 * n].astype(np.int64), packed[5 * n :].astype(np.int64)
+        gap = packed[: 4 * n].view(np.uint32).astype(np.int64)
+        self.start = np.cumsum(gap + np.concatenate([[0], self.count[:-1]])[:n])
         self.words = _words(self.data) if len(self.data) >= 8 else np.zeros(0, np.uint64)
-        self.key = mix(_grams(self.words, anchor_bytes(length), self.start + anchor)) if n else np.zeros(0, np.uint64)
+        self.key = mix(_grams(self.words, anchor_bytes(length), self.start + self.anchor)) if n else np.zeros(0, np.uint64)
         self.doc = self.ids[np.searchsorted(self.offsets, self.start, "right") - 1]
 
     @staticmethod
     def row(number: int, ids: list[np.ndarray], nulls: list[np.ndarray], sizes: list[np.ndarray], texts: list[np.ndarray], length: int) -> tuple:
         data, size = np.concatenate([np.zeros(0, np.uint8), *texts]), np.concatenate([np.zeros(0, np.int64), *sizes])
         start, count, anchor = segments(data, np.concatenate([[0], np.cumsum(size)]), length)
-        packed = np.concatenate([np.diff(start, prepend=0).astype(np.uint32).view(np.uint8), count.astype(np.uint8), anchor.astype(np.uint8)])
-        return number, np.concatenate(ids).tobytes(), np.concatenate(nulls).tobytes(), size.tobytes(), _zip(data), np.int64(len(start)).tobytes() + _zip(packed)
+        gap = np.diff(start, prepend=0) - np.concatenate([[0], count[:-1]])[: len(start)]  # mostly none
+        packed = np.concatenate([gap.astype(np.uint32).view(np.uint8), count.astype(np.uint8), anchor.astype(np.uint8)])
+        return number, np.concatenate(ids).tobytes(), np.concatenate(nulls).tobytes(), size.tobytes(), _zip(data, 6), np.int64(len(start)).tobytes() + _zip(packed)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors in order, their occurrences (up to 127, plus 128 if documents of two ids have it), and each segment's place among them."""
@@ -172,7 +177,7 @@ class Chunk:
         n = self.count[hot]
         of = np.repeat(hot, n)
         at = self.start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        return Entries(self, np.concatenate([self.start[one], at]), np.concatenate([self.count[one], np.ones(len(of), np.int64)]), np.concatenate([self.doc[one], self.doc[of]]), self.key[one])
+        return Entries(self, np.concatenate([self.start[one], at]), np.concatenate([self.count[one], np.ones(len(of), np.int64)]), np.concatenate([self.doc[one], self.doc[of]]), self.key[one], np.concatenate([self.anchor[one], np.full(len(of), _ALONE)]))
 
 
 def content_hash(words: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
@@ -183,7 +188,7 @@ def content_hash(words: np.ndarray, start: np.ndarray, size: np.ndarray, most: i
 class Entries:
     """Occurrences of what a chunk sends; ``first`` are the distinct ones, in the order of their keys, each with its smallest id."""
 
-    def __init__(self, chunk: Chunk, start: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray):
+    def __init__(self, chunk: Chunk, start: np.ndarray, count: np.ndarray, doc: np.ndarray, key: np.ndarray, anchor: np.ndarray):
         size = count + chunk.length - 1
         content = content_hash(chunk.words, start, size, 2 * chunk.length - anchor_bytes(chunk.length)) if len(start) else np.zeros(0, np.uint64)
         key = np.concatenate([key, content[len(key) :]])
@@ -193,7 +198,7 @@ class Entries:
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         self.order, self.first = order, order[new]
         self.which = np.cumsum(new) - 1  # of the occurrences in order
-        self.start, self.count, self.doc, self.key, self.size = start, count, doc, key, size
+        self.start, self.count, self.doc, self.key, self.anchor, self.size = start, count, doc, key, anchor, size
 
     def marked(self, bits: np.ndarray, length: int, n_bytes: int) -> np.ndarray:
         """Which bytes go, from the region's bits of each distinct entry; an occurrence in a later document than the first goes whole."""
@@ -250,11 +255,16 @@ class SuffixFamily:
         self.levels.append((rank, strings, docs))
 
 
-def region_bits(key: np.ndarray, count: np.ndarray, doc: np.ndarray, text: np.ndarray, length: int, batch: int = BATCH) -> np.ndarray:
-    """For each entry of a region a bit for each of its strings: whether a smaller id has it. ``text`` holds the entries' bytes in a row."""
-    size = count + length - 1
+def region_bits(anchor: np.ndarray, count: np.ndarray, doc: np.ndarray, text: np.ndarray, length: int, batch: int = BATCH) -> np.ndarray:
+    """For each entry of a region a bit for each of its strings: whether a smaller id has it.
+
+    ``anchor`` is the place of the anchor in each, or ``_ALONE``; ``text`` holds the entries' bytes in a row.
+    """
+    size, words, k = count + length - 1, _words(text), anchor_bytes(length)
     start = np.cumsum(size) - size
-    content = content_hash(_words(text), start, size, 2 * length - anchor_bytes(length))
+    content = content_hash(words, start, size, 2 * length - k)
+    alone = anchor == _ALONE
+    key = np.where(alone, content, mix(_grams(words, k, start + np.where(alone, 0, anchor))))
     order = np.lexsort((doc, content, key))
     k, c, d = key[order], content[order], doc[order]
     new_key = np.ones(len(k), bool)
@@ -265,7 +275,7 @@ def region_bits(key: np.ndarray, count: np.ndarray, doc: np.ndarray, text: np.nd
     first = order[new]  # of equal segments one with the smallest id
     variants = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))
     several = first[np.repeat(variants, variants) > 1]
-    bits = np.zeros(len(key), np.uint64)
+    bits = np.zeros(len(anchor), np.uint64)
     several = several[np.argsort(doc[several], kind="stable")]
     family, ends = SuffixFamily(length), np.cumsum(count[several])
     a = 0
@@ -291,18 +301,30 @@ def _slices(key: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray]:
     return some, np.append(at[some], len(key))
 
 
+def _short(key: np.ndarray) -> np.ndarray:
+    """The lower 40 bits, which with the region, told by the upper ones, tell anchors apart; two that are taken for one only make work."""
+    return np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5]).view(np.dtype(("V", 5))).ravel()
+
+
 def _cells(x: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary column of runs of an array."""
     x = np.ascontiguousarray(x)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x.view(np.uint8))])
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def _joined(column: pa.ChunkedArray, kind: type | np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """The values of all rows of a binary column, and how many each has."""
     data, offsets = buffers(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Releases used shuffles and gives Spark's cleaner, which works beside, time to remove their files."""
+    for _ in range(2):
+        release(spark)
+        time.sleep(1)
+
+
 def _packed(docs: DataFrame, id_col: str, text_col: str, length: int, size: int) -> DataFrame:
     """Chunks of documents of about ``size`` bytes of text; a longer text is one."""
 
@@ -354,11 +376,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for row in b.to_pylist():
                 key, seen, _ = Chunk(row, length).anchors()
                 region, bounds = _slices(key, regions)
-                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.full(len(region), row["chunk"])), _cells(key, bounds), _cells(seen, bounds)], ["region", "chunk", "keys", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(np.full(len(region), row["chunk"])), _cells(_short(key), bounds), _cells(seen, bounds)], ["region", "chunk", "keys", "seen"])
 
     def twice(packets: pa.Table) -> pa.Table:
         """Of each anchor sent: 0 if one document has it, 1 if more may, 2 if its strings have to go one by one."""
-        key, sizes = _joined(packets.column("keys"), np.uint64)
+        short, sizes = _joined(packets.column("keys"), np.dtype(("V", 5)))
+        key = np.zeros((len(short), 8), np.uint8)
+        key[:, :5] = short.view(np.uint8).reshape(-1, 5)
+        key = key.view(np.uint64).ravel()
         seen, _ = _joined(packets.column("seen"), np.uint8)
         order = np.argsort(key)
         k = key[order]
@@ -374,7 +399,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     reply = "chunk long, turn int, region long, n long, reply binary"
     states = cut(chunks.mapInArrow(send_anchors, "region long, chunk long, keys binary, seen binary").groupBy("region").applyInArrow(twice, reply))
-    release(spark)
+    _let_go(spark)
 
     def replies(right: pa.Table, turn: int, kind: type) -> np.ndarray:
         rows = sorted((r for r in right.to_pylist() if r["turn"] == turn), key=lambda r: r["region"])
@@ -393,23 +418,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         text = chunk.data[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(e.start[f], size)]
         at = ends[bounds]
         return pa.table({
-            "region": pa.array(region), "chunk": pa.array(np.full(len(region), chunk.number)), "keys": _cells(e.key[f], bounds), "counts": _cells(e.count[f].astype(np.uint8), bounds), "docs": _cells(e.doc[f], bounds),
+            "region": pa.array(region), "chunk": pa.array(np.full(len(region), chunk.number)), "anchors": _cells(e.anchor[f].astype(np.uint8), bounds), "counts": _cells(e.count[f].astype(np.uint8), bounds), "docs": _cells(e.doc[f], bounds),
             "n_bytes": pa.array(np.diff(at)), "text": pa.array([_zip(text[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
         })
 
     def compare(packets: pa.Table) -> pa.Table:
-        key, sizes = _joined(packets.column("keys"), np.uint64)
+        anchor, sizes = _joined(packets.column("anchors"), np.uint8)
         count = _joined(packets.column("counts"), np.uint8)[0].astype(np.int64)
         doc = _joined(packets.column("docs"), np.int64)[0]
         text = np.concatenate([_unzip(t.as_py(), n.as_py()) for t, n in zip(packets.column("text"), packets.column("n_bytes"), strict=True)])
-        bits, ends = region_bits(key, count, doc, text, length, batch), np.cumsum(sizes)
+        bits, ends = region_bits(anchor.astype(np.int64), count, doc, text, length, batch), np.cumsum(sizes)
         return pa.table({"chunk": packets.column("chunk"), "turn": pa.array(np.full(len(sizes), 2, np.int32)), "region": packets.column("region"), "n": pa.array(sizes), "reply": pa.array([_zip(bits[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
 
     by_chunk = chunks.groupBy("chunk").cogroup(states.groupBy("chunk"))
-    packets = by_chunk.applyInArrow(send_segments, "region long, chunk long, keys binary, counts binary, docs binary, n_bytes long, text binary")
+    packets = by_chunk.applyInArrow(send_segments, "region long, chunk long, anchors binary, counts binary, docs binary, n_bytes long, text binary")
     bits = cut(packets.groupBy("region").applyInArrow(compare, reply))
     del by_chunk, packets
-    release(spark)
+    _let_go(spark)
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk, e = again(left, right)
