@@ -30,6 +30,8 @@ from .common import cut, read
 from .words import buffers, chunks
 
 BUCKETS, SHARE, LEAST_WORDS, SEED = 10_000, 25, 20, 7
+#: Bytes of text whose features are packed to one row.
+PACK = 1 << 16
 #: Bytes of a word up to which checksums are taken of all words at once.
 SHORT = 64
 
@@ -106,7 +108,7 @@ def streams(docs: DataFrame, id_col: str, text_col: str, n_buckets: int) -> Data
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, nulls = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(0).is_null())
-            for a, b, data, offsets in chunks(batch.column(1)):
+            for a, b, data, offsets in chunks(batch.column(1), PACK):
                 buckets, words = stream(data, offsets, n_buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[a:b], nulls[a:b], words, buckets)], ["ids", "nulls", "words", "buckets"])
 
