@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .mapping import fetched
+from .mapping import fetched, quoted
 
 #: Buckets of a large table's order, and rows up to which exact quantiles are one aggregation.
 BUCKETS, ROWS = 256, 1_000_000
@@ -42,6 +44,39 @@ def numbered(table: DataFrame, by: list[str], out: str, first: int = 1, most: in
     return dealt.withColumn(out, (start + place + (first - 1)).cast("int")).drop("__bucket"), False
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder and cut from its plan.
+
+    The folder is ``spark.checkpoint.dir`` or what ``setCheckpointDir`` has set. A local session with neither gets
+    one under ``spark.local.dir``; a cluster is refused, as its executors don't see the driver's folders.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.local.dir', '/tmp')}/checkpoint-{uuid.uuid4().hex}")
+    return df.checkpoint()
+
+
+def placed(df: DataFrame, by: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``, the place from 0 of each row in the order of ``by`` (nulls first) over the whole table.
+
+    Rows are dealt to ranges of the order and sorted there; the sizes of the ranges, a row each, are added up. Rows
+    equal in the order are split over ranges too, so no range is larger for them. The places are kept, as another
+    run would deal ties otherwise.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*map(quoted, by), F.col("__tie")]
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("__tie")
+    dealt = kept(dealt.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")))
+    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}  # a row a range
+    ends = dict(zip(sorted(sizes), accumulate(sizes[p] for p in sorted(sizes)), strict=True))
+    starts = spark.createDataFrame([(p, ends[p] - n) for p, n in sizes.items()], "__of int, __before long")
+    return dealt.join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__of", "__before", "__at")
+
+
 def order_statistics(df: DataFrame, x: Column, places: list[int], rows: int = ROWS) -> list[float]:
     """The values at ``places`` (from 0) of the sorted column, which has no nulls; each round narrows where they are."""
     if not places:

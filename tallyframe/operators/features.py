@@ -1,7 +1,7 @@
 """Feature operators: windows over rows and time, decayed means, anchors, pivots, fills, crosses, joins.
 
-Row order is always an explicit column. Windows are partitioned; where the input has one long series,
-give a key of the series, else the rows meet in one task.
+Row order is always an explicit column. Windows are partitioned by their keys; for one long series without a key,
+or for hot keys, see ``windows``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..core.mapping import quoted
 from ..core.order import numbered, quantiles
 from ..functions.stats import BUNDLE
+from .windows import framed, time_windows
 
 DAY_US = 86_400_000_000
 
@@ -23,19 +24,6 @@ def micros(ts: str) -> Column:
     return F.unix_micros(quoted(ts).cast("timestamp"))
 
 
-def _windowed(stat: str, x: Column, w) -> Column:
-    """A statistic over a window; exact quantiles and bias-corrected moments included."""
-    n = F.count(x).over(w).cast("double")
-    if stat == "median":
-        return F.percentile(x, F.lit(0.5)).over(w)
-    if stat == "nunique":
-        return F.size(F.collect_set(x).over(w))
-    if stat == "skew":
-        g = F.skewness(x).over(w) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-        return F.when(n < 3, None).when(F.var_pop(x).over(w) == 0, 0.0).otherwise(g)
-    return {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum, "count": F.count, "std": F.stddev_samp}[stat](x).over(w)
-
-
 def transform_stats(df: DataFrame, keys: list[str], col: str, stats: list[str], prefix: str) -> DataFrame:
     """Group statistics on every row, by one aggregation that is joined back."""
     g = df.groupBy(*[quoted(k).alias(f"__{k}") for k in keys]).agg(*[BUNDLE[s](quoted(col)).alias(f"{prefix}{s}") for s in stats])
@@ -148,18 +136,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def rolling_time(df: DataFrame, keys: list[str], ts: str, col: str, span_us: int, stats: list[str], prefix: str, min_periods: int = 1) -> DataFrame:
     """Statistics over [t - span, t): rows of the current time are left out."""
-    w = Window.partitionBy(*map(quoted, keys)).orderBy("__t").rangeBetween(-span_us, -1)
-    df = df.withColumn("__t", micros(ts))
-    enough = F.count(quoted(col)).over(w) >= min_periods
-    made = {f"{prefix}{s}": F.when(enough, _windowed(s, quoted(col), w)) if s != "count" else _windowed(s, quoted(col), w) for s in stats}
-    return df.withColumns(made).drop("__t")
+    return time_windows(df, ts, col, span_us, stats, prefix, keys, min_periods)
 
 
 def expanding(df: DataFrame, keys: list[str], order: list[str], col: str, stats: list[str], prefix: str, min_periods: int = 1) -> DataFrame:
     """Statistics over the rows of the key so far, the current one included."""
-    w = Window.partitionBy(*map(quoted, keys)).orderBy(*map(quoted, order)).rowsBetween(Window.unboundedPreceding, 0)
-    enough = F.count(quoted(col)).over(w) >= min_periods
-    return df.withColumns({f"{prefix}{s}": F.when(enough, _windowed(s, quoted(col), w)) for s in stats})
+    return framed(df, keys, order, col, stats, prefix, None, 0, True, min_periods)
 
 
 def running_accuracy(df: DataFrame, keys: list[str], order: list[str], label: str, prefix: str = "") -> DataFrame:
@@ -186,9 +168,8 @@ def history_by_slot(df: DataFrame, slot: str, day: str, col: str, stats: list[st
         w = Window.partitionBy(quoted(slot)).orderBy(F.datediff(quoted(day), F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1)
         f = {"min": F.min("mi").over(w), "max": F.max("ma").over(w), "sum": F.sum("s").over(w), "count": F.coalesce(F.sum("c").over(w), F.lit(0)), "mean": F.sum("s").over(w) / F.sum("c").over(w)}
         return base.select(slot, day, *[f[s].alias(f"{prefix}{s}") for s in stats])
-    order = F.datediff(quoted(day), F.lit("1970-01-01"))
-    w = Window.partitionBy(quoted(slot)).orderBy(order).rangeBetween(Window.unboundedPreceding if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1)
-    rows = df.select(quoted(slot).alias(slot), quoted(day).alias(day), *[_windowed(s, quoted(col), w).alias(f"{prefix}{s}") for s in stats])
+    rows = df.select(quoted(slot).alias(slot), quoted(day).alias(day), quoted(col).alias(col)).withColumn("__d", F.datediff(quoted(day), F.lit("1970-01-01")))
+    rows = framed(rows, [slot], ["__d"], col, stats, prefix, None if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1, False)
     return rows.groupBy(quoted(slot), quoted(day)).agg(*[F.first(f"{prefix}{s}").alias(f"{prefix}{s}") for s in stats])  # equal in all rows of a day
 
 

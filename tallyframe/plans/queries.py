@@ -18,6 +18,8 @@ from ..operators import features as fe
 from ..operators import joins as jo
 from ..operators import selection, splits
 from ..operators import target as ta
+from ..operators import windows as wi
+from ..streaming.delayed import batch_features as delayed_batch_features
 from ..streaming.knowledge import batch_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -904,3 +906,54 @@ def ens_stacking(spark, d):
         return lambda test: test.join(by_class, "o_orderpriority", "left")
 
     return selection.out_of_fold_predictions(o, "fold", 4, means).select("o_orderkey", F.round("pred", 4).alias("pred"))
+
+
+# windows over the whole table as one series
+
+SERIES = ["ts", "event_id"]
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS s_mean, round(median(value) OVER w, 6) AS s_median, max(value) OVER w AS s_max, min(value) OVER w AS s_min, round(stddev_samp(value) OVER w, 6) AS s_std, count(value) OVER w AS s_count FROM events WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 5400000000 PRECEDING AND 1 PRECEDING)")
+def feat_series_time_windows(spark, d):
+    e = events(spark, d).select("event_id", "ts", "value")
+    return rounded(wi.time_windows(e, "ts", "value", 90 * 60_000_000, ["mean", "median", "max", "min", "std", "count"], "s_").drop("ts", "value"))
+
+
+@query("SELECT event_id, CASE WHEN count(value) OVER w >= 5 THEN round(median(value) OVER w, 6) END AS w_median, CASE WHEN count(value) OVER w >= 5 THEN count(DISTINCT floor(value)) OVER w END AS w_nunique, CASE WHEN count(value) OVER w >= 5 THEN max(value) OVER w END AS w_max FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def feat_series_row_windows(spark, d):
+    e = events(spark, d).select("event_id", "ts", "value").withColumn("whole", F.floor("value"))
+    out = wi.row_windows(e, SERIES, "value", 50, ["median", "max"], "w_", 5, rows=4096)
+    return rounded(wi.row_windows(out, SERIES, "whole", 50, ["nunique"], "w_", 5, rows=4096).select("event_id", "w_median", "w_nunique", "w_max"))
+
+
+@query("SELECT event_id, lag(value, 1) OVER w AS lag1, round(value - lag(value, 1) OVER w, 6) AS diff1, lag(value, 60) OVER w AS lag60, lead(value, 2) OVER w AS lead2 FROM events WINDOW w AS (ORDER BY ts, event_id)")
+def feat_series_shift(spark, d):
+    e = events(spark, d).select("event_id", "ts", "value")
+    return rounded(wi.shifted(e, SERIES, {"lag1": ("value", 1), "lag60": ("value", 60), "lead2": ("value", -2)}, rows=4096).select("event_id", "lag1", (F.col("value") - F.col("lag1")).alias("diff1"), "lag60", "lead2"))
+
+
+@query("SELECT event_id, count(value) OVER w AS x_count, round(ln(avg(value) OVER w), 6) AS x_log_mean, round(stddev_samp(value) OVER w, 6) AS x_std, min(value) OVER w AS x_min, max(value) OVER w AS x_max, count(DISTINCT value) OVER w AS x_nunique FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def feat_series_expanding(spark, d):
+    e = events(spark, d).select("event_id", "ts", "value")
+    out = wi.running(e, SERIES, "value", ["count", "mean", "std", "min", "max", "nunique"], "x_", rows=4096)
+    # the logarithm, as means of cents may end in a 5 that rounding would have to decide on
+    return out.select("event_id", "x_count", r6(F.ln("x_mean")).alias("x_log_mean"), r6("x_std").alias("x_std"), "x_min", "x_max", "x_nunique")
+
+
+@query("WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 0 THEN value END AS v, CASE WHEN event_id % 11 = 3 THEN event_type END AS t FROM events) SELECT event_id, first_value(v IGNORE NULLS) OVER w AS value, first_value(t IGNORE NULLS) OVER w AS event_type FROM e WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+def feat_series_bfill(spark, d):
+    e = events(spark, d).select("event_id", "ts", F.when(F.col("event_id") % 7 == 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 11 == 3, F.col("event_type")).alias("event_type"))
+    return wi.filled_back(e, SERIES, ["value", "event_type"], rows=4096).drop("ts")
+
+
+@query(EV + "SELECT event_id, round(median(value) OVER w, 6) AS k_median, count(DISTINCT user_id) OVER w AS k_nunique FROM e WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 7200000000 PRECEDING AND 1 PRECEDING)")
+def feat_rolling_order_statistics(spark, d):
+    e = events(spark, d)
+    out = wi.time_windows(e, "ts", "value", 120 * 60_000_000, ["median"], "k_", ["event_type"])
+    return rounded(wi.time_windows(out, "ts", "user_id", 120 * 60_000_000, ["nunique"], "k_", ["event_type"], 0).select("event_id", "k_median", "k_nunique"))
+
+
+@query("WITH e AS (SELECT event_id, user_id, event_type, event_id // 500 AS round, (value > 50)::INT::DOUBLE AS y FROM events) SELECT user_id AS key, event_type AS item, event_id AS seq, coalesce(sum(y) OVER w, 0)::DOUBLE AS sum, count(y) OVER w AS count, round(coalesce(avg(y) OVER w, 0.68), 6) AS mean, least(count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4)::INT AS attempts FROM e WINDOW w AS (PARTITION BY user_id ORDER BY round RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def feat_delayed_labels(spark, d):
+    e = events(spark, d).withColumn("y", (F.col("value") > 50).cast("int")).withColumn("round", F.floor(F.col("event_id") / 500))
+    return rounded(delayed_batch_features(e, "user_id", "event_type", "event_id", "round", "y"))

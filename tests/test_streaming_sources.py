@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from tallyframe.operators import features as fe
 from tallyframe.operators import selection, splits
 from tallyframe.operators.resample import fourier, resample
 from tallyframe.sources import files
+from tallyframe.streaming import delayed
 from tallyframe.streaming.knowledge import batch_features, stream_features
 
 
@@ -22,6 +25,52 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(repr, map(tuple, want)))
 
 
+def test_labels_come_a_batch_later_and_after_a_restart(spark, tmp_path):
+    rows = [(i, i % 4, None if i % 9 == 0 else "ab"[i % 2], None if i % 11 == 5 else float(i % 3 == 0), i // 12, datetime(2024, 1, 1, 0, i // 12)) for i in range(60)]
+    schema = "seq long, user long, item string, y double, round long, at timestamp"
+    whole = spark.createDataFrame(rows, schema)
+
+    def put(k):
+        whole.filter(f"round = {k}").coalesce(1).write.parquet(str(tmp_path / f"q/{k}"))
+        whole.filter(f"round = {k - 1}").coalesce(1).write.parquet(str(tmp_path / f"a/{k}"))  # what was asked before is answered now
+
+    def run():
+        src = {s: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / s)) for s in "qa"}
+        out = delayed.stream_features(src["q"], src["a"], "user", "item", "seq", "y", "at")
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+
+    for part in (range(2), range(2, 5)):  # the second run takes the state of the first
+        for k in part:
+            put(k)
+        run()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = delayed.batch_features(whole, "user", "item", "seq", "round", "y").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+    assert {r["mean"] for r in got if r["seq"] < 12} == {delayed.PRIOR}
+
+
+def test_answers_in_the_batch_of_their_question_and_expired_ones(spark, tmp_path):
+    schema = "seq long, user long, item string, y double, at timestamp"
+    day = [datetime(2024, 1, 1 + 10 * k) for k in range(4)]
+    ask = [[(0, 1, "a", 0.0, day[0]), (1, 1, "a", 0.0, day[0])], [(2, 1, "a", 0.0, day[1])], [(9, 2, "a", 0.0, day[2])], [(3, 1, "a", 0.0, day[3])]]
+    tell = [[(0, 1, None, 1.0, day[0]), (7, 1, None, 1.0, day[0])], [(8, 3, None, 1.0, day[1])], [(8, 3, None, 1.0, day[2])], [(1, 1, None, 1.0, day[3]), (1, 1, None, 1.0, day[3])]]
+    for s, parts in (("q", ask), ("a", tell)):
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"{s}/{k}"))
+
+    def run(name, days):
+        src = {s: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / s)) for s in "qa"}
+        out = delayed.stream_features(src["q"], src["a"], "user", "item", "seq", "y", "at", expire_ms=days * 86_400_000)
+        assert out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(100)
+        return {r["seq"]: (r["sum"], r["count"], r["attempts"]) for r in spark.table(name).collect()}
+
+    # the answer to 0 came with it and counts a batch later, that to 1 once, that to 7 never
+    want = {0: (0.0, 0, 0), 1: (0.0, 0, 1), 2: (1.0, 1, 2), 9: (0.0, 0, 0), 3: (2.0, 2, 3)}
+    assert run("told", 100) == want
+    assert run("expired", 5) == want | {3: (1.0, 1, 3)}  # question 1 was forgotten before its answer came
+
+
 def test_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string")
     files.write_csv(df, str(tmp_path / "csv"))
