@@ -29,6 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Documents without text go. A null id is never trusted, null is a language of its own, null sources and
     n_chars are kept. Rows are judged by id, text and language; equal rows stay or go together.
     """
+    docs = docs.select(*COLUMNS)
     bad = quality(docs, read(spark, sf_dir, "labels")).filter(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text"), F.col("lang").alias("bad_lang")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text")) & F.col("lang").eqNullSafe(F.col("bad_lang"))
     return docs.join(bad, same, "left_anti").select(*COLUMNS)
