@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core.mapping import quoted
-from ..core.order import quantiles
+from ..core.order import kept, quantiles
+from .gram import correlation_pairs
 
 
 def _n(x: Column) -> Column:
@@ -76,21 +77,21 @@ def drop_dominant(df: DataFrame, cols: list[str], over: float = 0.9994) -> DataF
 
 
 def unique_row_flag(df: DataFrame, cols: list[str], out: str) -> DataFrame:
-    """Whether a row has a value in one of ``cols`` that no other row has there."""
-    flag = F.lit(False)
-    for c in cols:
-        counts = df.groupBy(quoted(c).alias(f"__v_{c}")).agg(F.count("*").alias(f"__n_{c}")).filter(F.col(f"__n_{c}") == 1)
-        df = df.join(counts, quoted(c) == F.col(f"__v_{c}"), "left")
-        flag = flag | F.col(f"__n_{c}").isNotNull()
-    return df.withColumn(out, flag).drop(*[f"__{k}_{c}" for c in cols for k in "vn"])
+    """Whether a row has a value in one of ``cols`` that no other row has there.
+
+    Columns and values of all rows are counted in one aggregation, which keeps a value's row; the rows found are
+    joined once, however many columns there are. Values are told by their text.
+    """
+    rows = kept(df.withColumn("__row", F.monotonically_increasing_id()))
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), quoted(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    values = rows.select("__row", F.inline(F.filter(pairs, lambda p: p["v"].isNotNull())))
+    alone = values.groupBy("c", "v").agg(F.count("*").alias("n"), F.min("__row").alias("__one")).filter("n = 1").select("__one").distinct()
+    return rows.join(alone, F.col("__row") == F.col("__one"), "left").withColumn(out, F.col("__one").isNotNull()).drop("__row", "__one")
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, r) of every two columns, in one aggregation."""
-    pairs = [(a, b) for i, b in enumerate(cols) for a in cols[:i]]
-    one = df.agg(*[F.corr(quoted(a), quoted(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(cells))
+    """(a, b, r) of every two columns; see ``gram``."""
+    return correlation_pairs(df, cols).select("a", "b", "r")
 
 
 def drop_correlated(df: DataFrame, cols: list[str], over: float = 0.95) -> list[str]:

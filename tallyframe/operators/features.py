@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..core.mapping import quoted
 from ..core.order import numbered, quantiles
 from ..functions.stats import BUNDLE
+from .anchors import STATS, anchor_statistics
 from .windows import framed, time_windows
 
 DAY_US = 86_400_000_000
@@ -198,10 +199,12 @@ def position_weighted_mean(df: DataFrame, keys: list[str], order: list[str], col
 def anchor_windows(df: DataFrame, anchors: DataFrame, keys: list[str], day: str, col: str, spans: list[int], stats: list[str], closed: str = "left") -> DataFrame:
     """Statistics of the ``spans`` days before each anchor date, all anchors and spans in one aggregation.
 
-    ``closed``: ``left`` takes [anchor - span, anchor), ``neither`` (anchor - span, anchor). Every row is sent to
-    the anchors of the longest span it falls in, found by arithmetic if they are evenly spaced, else by a join on
-    the day; ``anchors`` has the column ``anchor``.
+    ``closed``: ``left`` takes [anchor - span, anchor), ``neither`` (anchor - span, anchor). Sums, counts, means,
+    spreads and extremes come from days (see ``anchors``); with any other statistic every row is sent to the anchors
+    of the longest span it falls in. ``anchors`` has the column ``anchor``.
     """
+    if set(stats) <= set(STATS):
+        return anchor_statistics(df, anchors, keys, day, col, spans, stats, closed)
     most = max(spans)
     days = anchors.select("anchor", F.explode(F.sequence(F.date_sub("anchor", most), F.date_sub("anchor", 1))).alias("__day"))
     j = df.join(days, F.to_date(quoted(day)) == F.col("__day"))

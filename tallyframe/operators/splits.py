@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.mapping import quoted
+from ..core.order import placed, sums_before
+
+#: Users or groups of a bucket of running sums, and largest groups that are dealt one by one.
+BUCKET, HEAD = 1 << 20, 10_000
 
 
 def key_hash(keys: list[str], seed: int = 0) -> Column:
@@ -69,3 +75,83 @@ def user_split(df: DataFrame, user: str, order: list[str], last: int, new_users:
     w = Window.partitionBy(quoted(user)).orderBy(*[quoted(o).desc() for o in order])
     fresh = F.pmod(key_hash([user], seed), F.lit(1000)) < int(1000 * new_users)
     return df.withColumn("is_valid", fresh | (F.row_number().over(w) <= last))
+
+
+def _before(table: DataFrame, place: str, value: Column, out: str, bucket: int = BUCKET) -> DataFrame:
+    """``table`` with the sum of ``value`` over the rows of lower ``place`` (dense, from 0), in two levels."""
+    t = table.withColumn("__b", F.floor(F.col(place) / bucket)).withColumn("__v", value)
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = t.groupBy("__b").agg(F.sum("__v").alias("__s"))
+    starts = starts.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"))
+    inside = Window.partitionBy("__b").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    both = t.join(starts, F.col("__b") == F.col("__c"))
+    return both.withColumn(out, F.col("__s") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).drop("__b", "__c", "__s", "__v")
+
+
+def quota_split(df: DataFrame, user: str, order: str, train_rows: int, valid_rows: int, new_users: float = 0.25, seed: int = 0, turn: Column | None = None, fresh: Column | None = None, offset: Column | None = None, bucket: int = BUCKET, hot: int | None = None) -> DataFrame:
+    """``part``: train, valid or null, by quotas of rows that users fill in random order.
+
+    While the validation rows of the users before are short of ``valid_rows``, a user is new (all rows are valid;
+    ``new_users`` of them are) or is cut at a random offset, the rows before it train and the others valid. After that
+    users train. Users after the one that takes the training rows over ``train_rows`` get no part. ``turn``,
+    ``fresh`` and ``offset`` (an expression of the user and ``n``, its rows) replace the hashes that decide.
+
+    Only users, one row each, are put in order, by ranges; sums over them have two levels. Null is a user.
+    """
+    turn = key_hash([user], seed) if turn is None else turn
+    fresh = F.pmod(key_hash([user], seed + 1), F.lit(1000)) < int(1000 * new_users) if fresh is None else fresh
+    offset = F.pmod(key_hash([user], seed + 2), F.col("n")) if offset is None else offset
+    users = df.groupBy(quoted(user)).agg(F.count("*").alias("n"))
+    users = users.select(quoted(user), "n", turn.alias("__turn"), F.when(fresh, F.lit(0)).otherwise(offset).cast("long").alias("__offset"))
+    users = _before(placed(users, ["__turn", user], "__p"), "__p", F.col("n") - F.col("__offset"), "__valid", bucket)
+    users = users.withColumn("__first", F.when(F.col("__valid") < valid_rows, F.col("__offset")).otherwise(F.col("n")))
+    users = _before(users, "__p", F.col("__first"), "__train", bucket).filter(F.col("__train") <= train_rows)
+    largest = users.agg(F.max("n")).first()[0] or 0
+    told = users.select(quoted(user).alias("__user"), "__first")
+    rows = sums_before(df, quoted(user), order, {"__i": F.lit(1)}, largest, hot)
+    both = rows.join(told, quoted(user).eqNullSafe(F.col("__user")), "left")
+    return both.withColumn("part", F.when(F.col("__i") < F.col("__first"), "train").when(F.col("__first").isNotNull(), "valid")).drop("__i", "__user", "__first")
+
+
+def balanced_group_fold(df: DataFrame, group: str, k: int, seed: int = 0, head: int = HEAD, out: str = "fold", bucket: int = BUCKET) -> DataFrame:
+    """Folds of about equal size that split no group; null is a group.
+
+    The ``head`` largest groups go one after the other, largest first, to the fold with the fewest rows. The others
+    fill what room is then left up to a common level, in the order of their hashes: running sums over groups, in two
+    levels, say which fold's room a group starts in. So folds are within the largest group of the tail of each other.
+    """
+    name = quoted(group)
+    sizes = df.groupBy(name.alias("__g")).agg(F.count("*").alias("__n"))
+    top = sizes.orderBy(F.desc("__n"), F.asc_nulls_first("__g")).limit(head).collect()
+    loads = [(0, f) for f in range(k)]
+    fold = []
+    for g, n in top:
+        load, f = heapq.heappop(loads)
+        heapq.heappush(loads, (load + n, f))
+        fold.append((g, f))
+    kind = df.schema[group].dataType.simpleString()
+    own = df.sparkSession.createDataFrame(fold, f"__g {kind}, __f int")
+    if len(top) == head:
+        by_fold = {f: load for load, f in loads}
+        tail = sizes.join(F.broadcast(own), sizes["__g"].eqNullSafe(own["__g"]), "left_anti")
+        left = tail.agg(F.sum("__n")).first()[0] or 0
+        order = sorted(by_fold, key=lambda f: (by_fold[f], f))
+        level, room = 0.0, left
+        for i, f in enumerate(order, 1):  # the level up to which the i emptiest folds can be filled
+            level = (left + sum(by_fold[x] for x in order[:i])) / i
+            if i == k or level <= by_fold[order[i]]:
+                break
+        ends, room = [], 0.0
+        for f in range(k):
+            room += max(0.0, level - by_fold[f])
+            ends.append(room)
+        at = _before(placed(tail.withColumn("__h", F.xxhash64("__g", F.lit(seed))), ["__h", "__g"], "__p"), "__p", F.col("__n"), "__at", bucket)
+        last = max((f for f in range(k) if by_fold[f] < level), default=0)
+        pick = F.lit(last)
+        for f in reversed(range(k)):
+            if by_fold[f] < level:
+                pick = F.when(F.col("__at") < ends[f] - 1e-6, f).otherwise(pick)
+        own = own.unionByName(at.select("__g", pick.cast("int").alias("__f")))
+    else:
+        own = F.broadcast(own)
+    return df.join(own, name.eqNullSafe(F.col("__g")), "left").withColumn(out, F.col("__f")).drop("__g", "__f")

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
-from ..functions import metrics, stats
+from ..functions import gram, metrics, stats
 from ..functions.calendar import calendar, packed_hour, recency_weight
 from ..operators import encoders as en
 from ..operators import features as fe
 from ..operators import joins as jo
 from ..operators import selection, splits
 from ..operators import target as ta
+from ..operators import wide
 from ..operators import windows as wi
 from ..streaming.delayed import batch_features as delayed_batch_features
 from ..streaming.knowledge import batch_features
@@ -957,3 +958,87 @@ def feat_rolling_order_statistics(spark, d):
 def feat_delayed_labels(spark, d):
     e = events(spark, d).withColumn("y", (F.col("value") > 50).cast("int")).withColumn("round", F.floor(F.col("event_id") / 500))
     return rounded(delayed_batch_features(e, "user_id", "event_type", "event_id", "round", "y"))
+
+
+SPANS = (1000, 56, 28, 14)
+
+
+@query(EV + ", m AS (SELECT max(day) AS last FROM e), a AS (SELECT (last - k * 7)::DATE AS anchor FROM m, (SELECT unnest(range(58))::INT AS k)) SELECT anchor, event_type, " + ", ".join(f"round(sum(value) FILTER (anchor - day <= {s}), 6) AS value_sum_{s}, count(value) FILTER (anchor - day <= {s}) AS value_count_{s}, round(stddev_samp(value) FILTER (anchor - day <= {s}), 6) AS value_std_{s}, min(value) FILTER (anchor - day <= {s}) AS value_min_{s}, max(value) FILTER (anchor - day <= {s}) AS value_max_{s}" for s in SPANS) + " FROM a JOIN e ON day < anchor AND anchor - day <= 1000 GROUP BY 1, 2")
+def feat_anchor_grid(spark, d):
+    e = events(spark, d)
+    anchors = e.agg(F.max("day").alias("last")).select(F.explode(F.array(*[F.date_sub("last", 7 * k) for k in range(58)])).alias("anchor"))
+    return rounded(fe.anchor_windows(e, anchors, ["event_type"], "day", "value", list(SPANS), ["sum", "count", "std", "min", "max"]))
+
+
+WIDE = {f"c{i}": f"(l_orderkey * {i + 3} + l_partkey * {2 * i + 1} + l_suppkey * l_linenumber) % {11 + i}" for i in range(60)}
+
+
+@query("WITH w AS (SELECT " + ", ".join(f"({x})::DOUBLE AS {c}" for c, x in WIDE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT 'c{i}' AS a, unnest([{', '.join(repr(f'c{j}') for j in range(i + 1, 60))}]) AS b, unnest([{', '.join(f'round(corr(c{i}, c{j}), 6)' for j in range(i + 1, 60))}]) AS r FROM w" for i in range(59)))
+def stat_corr_wide(spark, d):
+    wide = table(spark, d, "lineitem").select(*[F.expr(x).cast("double").alias(c) for c, x in WIDE.items()])
+    return rounded(gram.correlation_pairs(wide, list(WIDE)).select("a", "b", "r"))
+
+
+CANDIDATES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+SUBSETS = "WITH s AS (SELECT " + ", ".join(f"pow(corr(l_extendedprice, {c}), 2) AS q_{c}, corr(l_extendedprice, {c}) AS y_{c}" for c in CANDIDATES) + ", " + ", ".join(f"corr({a}, {b}) AS x_{a}_{b}" for i, b in enumerate(CANDIDATES) for a in CANDIDATES[:i]) + " FROM lineitem), one AS (" + " UNION ALL ".join(f"SELECT '{c}' AS a, q_{c} AS r2 FROM s" for c in CANDIDATES) + "), two AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, (y_{a} * y_{a} + y_{b} * y_{b} - 2 * y_{a} * y_{b} * x_{a}_{b}) / (1 - x_{a}_{b} * x_{a}_{b}) AS r2 FROM s" for i, b in enumerate(CANDIDATES) for a in CANDIDATES[:i]) + ") "
+
+
+def _regressions(spark, d, cols=CANDIDATES):
+    return gram.Regressions(table(spark, d, "lineitem"), list(cols), "l_extendedprice")
+
+
+@query(SUBSETS + ", f AS (SELECT * FROM one ORDER BY r2 DESC LIMIT 1), p AS (SELECT CASE WHEN two.a = f.a THEN two.b ELSE two.a END AS a, two.r2 FROM two, f WHERE f.a IN (two.a, two.b) ORDER BY two.r2 DESC LIMIT 1) SELECT 1::BIGINT AS step, a AS \"column\", round(r2, 6) AS r2 FROM f UNION ALL SELECT 2, a, round(r2, 6) FROM p")
+def sel_forward(spark, d):
+    return spark.createDataFrame([(k, c, round(r, 6)) for k, (c, r) in enumerate(_regressions(spark, d).forward(2), 1)], "step long, column string, r2 double")
+
+
+@query(SUBSETS + ", p AS (SELECT * FROM two WHERE 'l_linenumber' NOT IN (a, b) ORDER BY r2 DESC LIMIT 1), q AS (SELECT one.* FROM one, p WHERE one.a IN (p.a, p.b) ORDER BY one.r2 DESC LIMIT 1) SELECT 1::BIGINT AS step, c AS \"column\", round(p.r2, 6) AS r2 FROM p, (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS c) WHERE c NOT IN (p.a, p.b) UNION ALL SELECT 2, CASE WHEN q.a = p.a THEN p.b ELSE p.a END, round(q.r2, 6) FROM p, q")
+def sel_backward(spark, d):
+    return spark.createDataFrame([(k, c, round(r, 6)) for k, (c, r) in enumerate(_regressions(spark, d, CANDIDATES[:3]).backward(1), 1)], "step long, column string, r2 double")
+
+
+@query(SUBSETS + "SELECT a, b, round(r2, 6) AS r2 FROM two ORDER BY r2 DESC LIMIT 1")
+def sel_exhaustive(spark, d):
+    (a, b), r2 = _regressions(spark, d).exhaustive(2)
+    return spark.createDataFrame([(a, b, round(r2, 6))], "a string, b string, r2 double")
+
+
+@query("WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), o AS (SELECT user_id, n, CASE WHEN user_id * 31 % 1000 < 250 THEN 0 ELSE user_id * 17 % n END AS cut, row_number() OVER (ORDER BY user_id * 7919 % 10007, user_id) AS p FROM u), v AS (SELECT *, coalesce(sum(n - cut) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS valid FROM o), f AS (SELECT *, CASE WHEN valid < 2000 THEN cut ELSE n END AS first FROM v), t AS (SELECT *, coalesce(sum(first) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS train FROM f), e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT event_id, CASE WHEN i < first THEN 'train' WHEN first IS NOT NULL THEN 'valid' END AS part FROM e LEFT JOIN t ON t.user_id = e.user_id AND train <= 6000")
+def split_quota(spark, d):
+    u = F.col("user_id")
+    out = splits.quota_split(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 6000, 2000, turn=u * 7919 % 10007, fresh=u * 31 % 1000 < 250, offset=u * 17 % F.col("n"))
+    return out.select("event_id", "part")
+
+
+@query("WITH RECURSIVE g AS (SELECT l_suppkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS i FROM lineitem GROUP BY 1), r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, -1 AS fold UNION ALL SELECT g.i, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + n ELSE x END), list_position(loads, list_min(loads)) - 1 FROM r JOIN g ON g.i = r.i + 1) SELECT l_orderkey, l_linenumber, r.fold::INT AS fold FROM lineitem JOIN g USING (l_suppkey) JOIN r USING (i)")
+def split_balanced_groups(spark, d):
+    return splits.balanced_group_fold(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), "l_suppkey", 5).select("l_orderkey", "l_linenumber", "fold")
+
+
+KINDS_WIDE = {f"k{i}": f"(l_partkey * {i + 1} + l_suppkey * {i}) % {i + 3}" for i in range(50)}
+
+
+def _kinds(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *[F.expr(f"concat('v', cast({x} as string))").alias(c) for c, x in KINDS_WIDE.items()])
+
+
+def _by_column(df, cols, **aggs):
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
+    return df.select("row", F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("rows"), F.sum("row").alias("row_sum"))
+
+
+K_WIDE = "WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS row, (l_returnflag = 'R')::INT AS y, " + ", ".join(f"'v' || ({x}) AS {c}" for c, x in KINDS_WIDE.items()) + " FROM lineitem), u AS (UNPIVOT w ON " + ", ".join(KINDS_WIDE) + " INTO NAME \"column\" VALUE v)"
+
+
+@query(K_WIDE + ", f AS (SELECT \"column\", v, min(row) AS first FROM u GROUP BY 1, 2), k AS (SELECT \"column\", v, row_number() OVER (PARTITION BY \"column\" ORDER BY first, v) AS value FROM f) SELECT \"column\", value, count(*) AS rows, sum(row)::BIGINT AS row_sum FROM u JOIN k USING (\"column\", v) GROUP BY 1, 2")
+def enc_wide_ordinal(spark, d):
+    w, cols = _kinds(spark, d), list(KINDS_WIDE)
+    return _by_column(wide.looked_up(w, cols, wide.ordinal(w, cols, "row"), "code", -1), cols)
+
+
+@query(K_WIDE + ", p AS (SELECT avg(y) AS prior FROM w), k AS (SELECT \"column\", v, (sum(y) + any_value(prior) * 5) / (count(y) + 5) AS value FROM u, p GROUP BY 1, 2) SELECT \"column\", round(value, 6) AS value, count(*) AS rows, sum(row)::BIGINT AS row_sum FROM u JOIN k USING (\"column\", v) GROUP BY 1, 2")
+def enc_wide_target(spark, d):
+    w, cols = _kinds(spark, d), list(KINDS_WIDE)
+    out = wide.looked_up(w, cols, wide.means(w, cols, "y", 5.0), "value")
+    return _by_column(out.select("row", *[F.round(c, 6).alias(c) for c in cols]), cols)
