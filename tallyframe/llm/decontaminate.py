@@ -1,19 +1,23 @@
-"""Benchmark decontamination: rare words of a test item find documents, Smith-Waterman scores the pairs.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman scores the pairs.
+
+``matches`` takes the runs of ``SEED`` words of the items as seeds. A first pass over the documents counts how often
+each seed is in them; an item keeps those with up to ``RARE`` occurrences and in any case its ``ALWAYS`` rarest that
+occur. A second pass picks the documents that have a kept seed (tasks get a Bloom filter of fixed size; what it lets
+pass for nothing is dropped by the join), and their seeds join the items' by a shuffle. So after the two passes the
+work goes with the seeds that meet, not with documents times items. A pair is aligned where its seeds are.
 
 The item is aligned with a document's words: ``MATCH`` for equal words, ``-MISS`` for different ones and for
 each word left out or put in. The score is the best local alignment over that of the whole item with itself;
-from ``least`` on the document counts as contaminated by the item. Less than ``FLOOR`` equal words is never
-enough: an item of fewer words, a "yes" say, is no passage and matches nothing.
-
-No such pair is lost before it is scored. An alignment that is good enough bounds from below how many of the
-item's words it matches, and from above how many words of the document it spans. So however the copy was
-edited, of the item's rarest words all but the number that may be unmatched are in such a span; taking
-``HITS`` words more, at least that many are. Spans with these are kept if adding ``MATCH`` for each word that
-the item has anywhere and ``-MISS`` for each other one, which no alignment exceeds, can reach what is needed.
-Only the rest is aligned. How often words occur is counted over all documents, but decides only the work.
+from ``least`` on, and with ``FLOOR`` equal words, the document counts as contaminated by the item. An item of fewer
+words, a "yes" say, is no passage: it matches documents that consist of it.
 
-The test items are taken in blocks of about ``BLOCK`` words, so that what a task gets of them is bounded
-whatever the benchmark's size; all documents pass twice a block.
+A pair without a kept seed is lost: a copy edited every third word or more often, or one of which only very common
+runs are left. ``contaminated`` is the exact way. It loses no pair: an alignment that is good enough bounds from below
+how many of the item's words it matches, and from above how many words of the document it spans. So of the item's
+rarest words all but the number that may be unmatched are in such a span; taking ``HITS`` words more, at least that
+many are. Spans with these are kept if adding ``MATCH`` for each word that the item has anywhere and ``-MISS`` for
+each other one, which no alignment exceeds, can reach what is needed. It takes the items in blocks of about ``BLOCK``
+words, all documents pass twice a block, and items under ``FLOOR`` words match nothing in it.
 
 Words are compared by a hash, A-Z as a-z. Null and empty texts and items match nothing. Equal rows of one
 document or item give one row. A null id is an id. Extra columns aren't read. An empty table gives no rows.
@@ -25,13 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, word_count
-from .words import chunks, word_hashes
+from .candidates import bloom_of, in_bloom_of
+from .common import cut, read, word_count
+from .words import chunks, ngrams, word_hashes
 
 FLOOR, HITS, MATCH, MISS, LEAST, BLOCK = 4, 4, 2, 1, 0.5, 1_000_000
+#: Words of a seed, occurrences up to which a seed is kept, an item's rarest seeds that are kept in any case, and seeds that a task counts before it hands them on.
+SEED, RARE, ALWAYS, HELD = 3, 1000, 8, 1 << 20
+FOUND = "doc_id long, item_id long, text_key long, score double, first_word long, end_word long"
 
 
 class Items:
@@ -201,16 +209,133 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, fl
         scored = _score(src, items)
         found = scored if found is None else found.unionByName(scored)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, text_key long, score double, first_word long, end_word long")
+        return docs.sparkSession.createDataFrame([], FOUND)
+    return found.dropDuplicates(["doc_id", "item_id", "text_key"])
+
+
+def _item_seeds(tests: DataFrame, seed: int) -> DataFrame:
+    """(key, item_id, words, seeds) of test items (key, item_id, text)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(2)):
+                hashes, bounds, _ = word_hashes(data, offsets)
+                grams, at, _ = ngrams(hashes, bounds, seed)
+                rows = batch.slice(first, end - first)
+                words = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                seeds = [np.unique(grams[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(words, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], ["key", "item_id", "words", "seeds"])
+
+    return tests.select("key", "item_id", "text").mapInArrow(split, "key long, item_id long, words binary, seeds array<long>")
+
+
+def _seed_counts(src: DataFrame, seed: int, bloom: np.ndarray) -> DataFrame:
+    """(seed, n): how often the documents have each run of words that may be a seed."""
+    shared = src.sparkSession.sparkContext.broadcast(bloom)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            value, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times.astype(np.int64))], ["seed", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                grams = ngrams(*word_hashes(data, offsets)[:2], seed)[0]
+                held.append(grams[in_bloom_of(shared.value, grams)])
+                n += len(held[-1])
+                if n >= HELD:
+                    yield out()
+                    held, n = [], 0
+        yield out()
+
+    return src.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+
+
+def _hit_documents(src: DataFrame, seed: int, bloom: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, words, seeds, at) of the documents with a run of words that may be a kept seed."""
+    shared = src.sparkSession.sparkContext.broadcast(bloom)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in chunks(batch.column(2)):
+                hashes, bounds, _ = word_hashes(data, offsets)
+                grams, at, word = ngrams(hashes, bounds, seed)
+                hit = np.flatnonzero(in_bloom_of(shared.value, grams))
+                cuts = np.searchsorted(hit, at)
+                own = np.flatnonzero(np.diff(cuts))
+                rows = batch.slice(first, end - first).take(pa.array(own))
+                words = [hashes[bounds[r] : bounds[r + 1]].tobytes() for r in own]
+                parts = [hit[cuts[r] : cuts[r + 1]] for r in own]
+                columns = [rows.column(0), rows.column(1), pa.array(words, pa.binary()), pa.array([grams[h].view(np.int64) for h in parts], pa.list_(pa.int64())), pa.array([word[h] - bounds[r] for h, r in zip(parts, own, strict=True)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "words", "seeds", "at"])
+
+    return src.select("id", "text_key", "text").mapInArrow(pick, "doc_id long, text_key long, words binary, seeds array<long>, at array<long>")
+
+
+def best_stretch(item: np.ndarray, words: np.ndarray, at: np.ndarray, seed: int, least: float, floor: int) -> tuple[float, int, int] | None:
+    """(score, first word, end) of the best alignment of ``item`` round the places ``at`` of seeds; None if it isn't good enough."""
+    if len(item) < floor:
+        return (1.0, 0, len(words)) if len(item) == len(words) and (item == words).all() else None
+    need = max(least * MATCH * len(item), MATCH * floor)
+    span = len(item) + int((MATCH * len(item) - need) / MISS + 1e-9)
+    at = np.sort(at)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] - span > at[:-1] + span + seed]))
+    best = (need - 1e-9, 0, 0)
+    for first, last in zip(at[new], at[np.append(new[1:], len(at)) - 1], strict=True):
+        low, high = max(0, int(first) - span), min(len(words), int(last) + span + seed)
+        near = words[low:high]
+        total = np.cumsum(np.where(np.isin(near, item), MATCH, -MISS))
+        if (total - np.minimum.accumulate(np.concatenate([[0], total[:-1]]))).max() < best[0]:
+            continue  # not even with the words in any order
+        got, stop = align(item, near)
+        if got > best[0]:
+            back = align(item[::-1], near[:stop][::-1])[1]
+            best = (got, low + stop - back, low + stop)
+    return (best[0] / (MATCH * len(item)), best[1], best[2]) if best[2] else None
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, floor: int = FLOOR, seed: int = SEED, rare: int = RARE, always: int = ALWAYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, text_key, score, first_word, end_word) of documents that share a kept seed with a test item and align with it.
+
+    The columns are those of ``contaminated``.
+    """
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    items = cut(_item_seeds(tests.select(F.xxhash64("item_id", "text").alias("key"), "item_id", F.coalesce("text", F.lit("")).alias("text")), seed))
+    seeds = items.select("key", F.explode("seeds").alias("seed"))
+    counts = _seed_counts(src, seed, bloom_of(seeds.select("seed").distinct()))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "seed"))
+    kept = cut(seeds.join(counts, "seed").withColumn("rank", rank).filter((F.col("rank") <= always) | (F.col("n") <= rare)).select("seed", "key"))
+    hits = cut(_hit_documents(src, seed, bloom_of(kept.select("seed").distinct())).withColumn("ref", F.monotonically_increasing_id()))
+    met = hits.select("ref", F.inline(F.arrays_zip("seeds", "at"))).withColumnRenamed("seeds", "seed").join(kept, "seed")
+    pairs = met.groupBy("ref", "key").agg(F.collect_list("at").alias("at")).join(items.select("key", "item_id", "words"), "key")  # places in one document
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            doc = left.to_pylist()[0]
+            words = np.frombuffer(doc["words"], np.uint64)
+            for r in right.to_pylist():
+                best = best_stretch(np.frombuffer(r["words"], np.uint64), words, np.array(r["at"]), seed, least, floor)
+                if best:
+                    out.append((doc["doc_id"], r["item_id"], doc["text_key"], *best))
+        kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
+
+    found = hits.select("ref", "doc_id", "text_key", "words").groupBy("ref").cogroup(pairs.select(F.col("ref").alias("of"), "item_id", "words", "at").groupBy("of")).applyInArrow(score, FOUND)
     return found.dropDuplicates(["doc_id", "item_id", "text_key"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False, **how) -> DataFrame:
+    """``docs`` without the documents that hold a test item, found by ``matches`` or, if ``exact``, by ``contaminated``."""
+    bad = (contaminated if exact else matches)(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct()
     same = docs[id_col].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("bad_text"))
     return docs.join(bad, same, "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")

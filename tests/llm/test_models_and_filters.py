@@ -107,6 +107,39 @@ def test_edited_copies_are_found(spark):
         assert {(r["doc_id"], r["item_id"]): r["score"] for r in de.contaminated(docs, bench, **how).collect()} == pytest.approx(want)
 
 
+def test_seeds_find_edited_copies(spark):
+    """Recall of rare seeds against brute force, and the same scores; short items match texts that consist of them."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 40
+    items = [[rnd.choice(vocab) for _ in range(rnd.choice([5, 12, 30, 60]))] for _ in range(12)] + [["short", "one"], ["yes"]]
+    rows = [(i, [rnd.choice(vocab) for _ in range(rnd.choice([0, 5, 60]))]) for i in range(60)]
+    for k in range(12):
+        for every in (4, 5, 6, 7):
+            for edit in (lambda w: ["other"], lambda w: ["other", w], lambda w: []):
+                copy = [x for j, w in enumerate(items[k]) for x in (edit(w) if j % every == every - 1 else [w])]
+                rows.append((len(rows), [rnd.choice(vocab) for _ in range(20)] + copy + [rnd.choice(vocab) for _ in range(20)]))
+    rows += [(900, ["Short", "ONE"]), (901, ["a", "short", "one"]), (902, ["yes"]), (903, [])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows] + [(None, None), (902, "yes")], "doc_id long, text string").withColumn("words", F.lit(0)).withColumn("ref", F.lit("x"))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
+    want = {(900, 12): 1.0, (902, 13): 1.0}
+    for d, w in rows:
+        for k, item in enumerate(items[:12]):
+            best = _sw(item, [x.lower() for x in w])
+            if best >= max(de.LEAST * de.MATCH * len(item), de.MATCH * de.FLOOR):
+                want[d, k] = best / (de.MATCH * len(item))
+    for how in ({}, {"rare": 1}):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in de.matches(docs, bench, **how).collect()}
+        assert got.keys() <= want.keys() and all(got[p] == pytest.approx(want[p]) for p in got)
+        assert len(got) >= 0.9 * len(want) and {(900, 12), (902, 13)} <= got.keys()
+        if not how:  # all seeds are kept: every pair that shares three words in a row is found
+            runs = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in items]
+            texts = {d: [x.lower() for x in w] for d, w in rows}
+            shared = {(d, k) for d, k in want if k < 12 and any(tuple(texts[d][j : j + 3]) in runs[k] for j in range(len(texts[d]) - 2))}
+            assert got.keys() == shared | {(900, 12), (902, 13)}
+    found = {(r["doc_id"], r["item_id"]) for r in de.contaminated(docs, bench).collect()}
+    assert found == want.keys() - {(900, 12), (902, 13)}
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
@@ -114,6 +147,7 @@ def test_decontaminate_empty(spark):
     assert de.contaminated(none, bench).count() == 0
     assert de.contaminated(some, bench.limit(0)).count() == 0
     assert de.decontaminate(some, bench.limit(0)).count() == 1
+    assert de.matches(none, bench).count() == 0 and de.matches(some, bench.limit(0)).count() == 0 and de.decontaminate(some, bench, exact=True).count() == 0
 
 
 # language identification

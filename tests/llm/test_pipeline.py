@@ -69,3 +69,13 @@ def test_near_duplicates_by_id_and_text(spark):
     ends = [r for r in map(tuple, got) if r[0] is None]
     assert len(ends) == 1 and ends[0] in rows[6:8]
     assert sorted(map(repr, (tuple(r) for r in got if r["doc_id"] is not None))) == sorted(map(repr, kept))
+
+
+def test_quality_stage_takes_clashing_columns(spark, tmp_path):
+    rows, labels, bench = corpus()
+    write(spark, str(tmp_path), rows, labels, bench)
+    docs = cp.read(spark, str(tmp_path), "documents")
+    wide = docs.selectExpr("*", "0 AS bad_id", "'x' AS bad_text", "1 AS bad_lang", "2 AS kept")
+    got = cp.quality_stage(spark, wide, str(tmp_path))
+    assert got.columns == list(cp.COLUMNS)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, cp.quality_stage(spark, docs, str(tmp_path)).collect()))
