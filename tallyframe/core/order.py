@@ -77,6 +77,17 @@ def placed(df: DataFrame, by: list[str], out: str) -> DataFrame:
     return dealt.join(F.broadcast(starts), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__of", "__before", "__at")
 
 
+def summed_before(table: DataFrame, place: str, value: Column, out: str, bucket: int = 1 << 20) -> DataFrame:
+    """``table`` with the sum of ``value`` over the rows of lower ``place`` (dense, from 0), in two levels."""
+    t = table.withColumn("__b", F.floor(F.col(place) / bucket)).withColumn("__v", value)
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = t.groupBy("__b").agg(F.sum("__v").alias("__s"))
+    starts = starts.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"))
+    inside = Window.partitionBy("__b").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    both = t.join(starts, F.col("__b") == F.col("__c"))
+    return both.withColumn(out, F.col("__s") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).drop("__b", "__c", "__s", "__v")
+
+
 def order_statistics(df: DataFrame, x: Column, places: list[int], rows: int = ROWS) -> list[float]:
     """The values at ``places`` (from 0) of the sorted column, which has no nulls; each round narrows where they are."""
     if not places:

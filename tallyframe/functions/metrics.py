@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core.order import placed, summed_before
+
 
 def regression(df: DataFrame, y: Column, p: Column) -> DataFrame:
     """One row: rmse, rmsle, mae."""
@@ -51,6 +53,24 @@ def auc(df: DataFrame, y: Column, p: Column) -> DataFrame:
     return r.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def auc_many(df: DataFrame, y: str, scores: list[str], bucket: int = 1 << 20) -> DataFrame:
+    """(column, auc): the exact area of every score column, null where one class is missing; scores of any range.
+
+    All columns are unpivoted and grouped by score, put in the order of (column, score) by ranges, and the negatives
+    before each score are one running sum in two levels, less what the columns before have. Rows without a score or
+    label are left out of a column.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("p")) for i, c in enumerate(scores)])
+    g = df.select(F.col(y).cast("double").alias("y"), F.inline(cells)).filter("y is not null and p is not null and not isnan(p)")
+    g = g.groupBy("c", "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    at = summed_before(placed(g, ["c", "p"], "__p"), "__p", F.col("neg"), "before", bucket)
+    one = at.groupBy("c").agg(F.sum(F.col("pos") * (F.col("before") + F.col("neg") / 2)).alias("s"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("before").alias("start"))
+    auc = F.try_divide(F.col("s") - F.col("start") * F.col("pos"), F.col("pos") * F.col("neg"))
+    names = F.array(*map(F.lit, scores))
+    every = df.sparkSession.range(len(scores)).select(F.col("id").cast("int").alias("k"))
+    return every.join(F.broadcast(one), F.col("k") == F.col("c"), "left").select(names[F.col("k")].alias("column"), auc.alias("auc"))
+
+
 def f1_threshold(df: DataFrame, y: Column, p: Column, grid: list[float]) -> DataFrame:
     """(threshold, f1) of every threshold, in one aggregation."""
     one = df.agg(*[F.struct(F.sum(y * (p > t).cast("double")).alias("tp"), F.sum((p > t).cast("double")).alias("hits"), F.sum(y).alias("pos")).alias(f"c{i}") for i, t in enumerate(grid)])
@@ -82,5 +102,17 @@ def odds_product(probabilities: list[Column], factor: float = 9.0) -> Column:
     return F.exp(reduce(lambda a, b: a + b, logs)) / factor
 
 
+def gated_odds(train: DataFrame, y: str, test: DataFrame, every: DataFrame, key: str, models: list[str], least: float = 0.5, factor: float = 9.0) -> DataFrame:
+    """(key, target): for each row of ``every`` the probability from the product of odds of ``models`` in ``test``, 0 where it has no row.
+
+    Models whose area on ``train`` is under ``least`` are left out; without any the odds are 1 / ``factor``.
+    """
+    good = {r["column"] for r in auc_many(train, y, models).filter(F.col("auc") >= least).collect()}
+    chosen = [F.col(m) for m in models if m in good]
+    odds = odds_product(chosen, factor) if chosen else F.lit(1 / factor)
+    told = test.select(F.col(key), (odds / (1 + odds)).alias("target"))
+    return every.select(key).join(told, key, "left").select(key, F.coalesce("target", F.lit(0.0)).alias("target"))
+
+
 def blend(columns: list[Column], weights: list[float]) -> Column:
     return reduce(lambda a, b: a + b, [c * w for c, w in zip(columns, weights, strict=True)]) / sum(weights)

@@ -410,11 +410,15 @@ class PolynomialEncoder(ContrastEncoder):
     matrix = staticmethod(polynomial)
 
 
+#: Small categories up to which their joined names make the name of the merged group.
+MERGED_NAMES = 10_000
+
+
 class CountEncoder(Encoder):
     """Category -> its count, or its share with ``normalize``.
 
     Groups below ``min_group_size`` are merged, if there are two or more of them and not all are small, under
-    their sorted names joined by ``_``. A ``min_group_size`` below 1 is a share. ``combine_min_nan_groups``:
+    their sorted names joined by ``_``, of which there may be ``MERGED_NAMES``, or ``min_group_name``. A ``min_group_size`` below 1 is a share. ``combine_min_nan_groups``:
     True merges null if it is small, ``"force"`` always, False never. Options may be dicts by column.
     """
 
@@ -441,15 +445,18 @@ class CountEncoder(Encoder):
                 nan = self.option("nan", c)
                 merge_null = F.lit(True) if nan == "force" else (F.col("n") < least) if nan else F.lit(False)
                 small = F.when(F.col("cat").isNull(), merge_null).otherwise(F.col("n") < least)
-                # one row of figures over the categories, joined to all of them
+                # one row of figures over the categories
                 t = t.withColumn("small", small)
                 sizes = t.agg(
-                    F.sum(F.col("small").cast("int")).alias("k"), F.sum((F.col("cat").isNotNull() & ~F.col("small")).cast("int")).alias("large"),
-                    F.sum(F.when(F.col("small"), F.col("n"))).alias("merged"),
-                    F.array_join(F.array_sort(F.collect_list(F.when(F.col("small"), F.coalesce(F.col("cat").cast("string"), F.lit("nan"))))), "_").alias("joined"),
+                    F.sum(F.col("small").cast("int")).alias("k"), F.sum((F.col("cat").isNotNull() & ~F.col("small")).cast("int")).alias("large"), F.sum(F.when(F.col("small"), F.col("n"))).alias("merged"),
                 ).first()
-                merge = F.col("small") if (sizes["k"] or 0) >= 2 and sizes["large"] else F.lit(False)
-                t = t.select("cat", F.when(merge, F.lit(sizes["merged"]).cast("long")).otherwise(F.col("n")).alias("n"), F.when(merge, F.lit(self.option("name", c) or sizes["joined"])).alias("group"))
+                merged = (sizes["k"] or 0) >= 2 and bool(sizes["large"])
+                merge, name = F.col("small") if merged else F.lit(False), self.option("name", c)
+                if merged and not name:
+                    if sizes["k"] > MERGED_NAMES:
+                        raise ValueError(f"over {MERGED_NAMES} small categories in {c}: give min_group_name")
+                    name = "_".join(sorted(r[0] for r in t.filter("small").select(F.coalesce(F.col("cat").cast("string"), F.lit("nan"))).collect()))
+                t = t.select("cat", F.when(merge, F.lit(sizes["merged"]).cast("long")).otherwise(F.col("n")).alias("n"), F.when(merge, F.lit(name)).alias("group"))
             if self.option("normalize", c):
                 t = t.withColumn("n", F.col("n") / total)
             self.tables[c], self.small[c] = settle(t)

@@ -6,6 +6,7 @@ or for hot keys, see ``windows``.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -357,14 +358,43 @@ def boxcox_lambda(df: DataFrame, col: str, grid: list[float]) -> float:
     """The exponent of ``grid`` with the largest log-likelihood, all in one aggregation."""
     x = quoted(col)
     r = df.agg(F.count(x).alias("n"), F.sum(F.log1p(x)).alias("s"), *[F.var_pop(boxcox1p(x, g)).alias(f"v{i}") for i, g in enumerate(grid)]).first()
-    import math
-
     def ll(i: int) -> float:
         return (grid[i] - 1) * r["s"] - r["n"] / 2 * math.log(r[f"v{i}"]) if r[f"v{i}"] else -math.inf
 
     return grid[max(range(len(grid)), key=ll)]
 
 
+def boxcox_lambdas(df: DataFrame, cols: list[str], low: float = -2.0, high: float = 2.0, within: float = 1e-4, rounds: int = 10, points: int = 9) -> dict[str, float]:
+    """The exponents with the largest log-likelihood of 1 + x, of all columns at once.
+
+    Each round is one aggregation with the likelihoods of ``points`` exponents a column between its bounds; the next
+    bounds are the neighbours of the best, or further out if that is an end. Stops when all bounds are ``within``.
+    """
+
+    def spread(x: Column, lam: float) -> Column:
+        """The transformed value but for a constant, which would cost digits where powers are small."""
+        return F.pow(1 + x, F.lit(lam)) / lam if abs(lam) > 0.01 else boxcox1p(x, lam)
+
+    bounds = {c: (low, high) for c in cols}
+    best = dict.fromkeys(cols, 0.0)
+    for _ in range(rounds):
+        if all(b - a <= within for a, b in bounds.values()):
+            break
+        grids = {c: [a + (b - a) * i / (points - 1) for i in range(points)] for c, (a, b) in bounds.items()}
+        aggs = []
+        for k, c in enumerate(cols):
+            x = quoted(c).cast("double")
+            aggs += [F.count(x).alias(f"n{k}"), F.sum(F.log1p(x)).alias(f"s{k}"), *[F.var_pop(spread(x, g)).alias(f"v{k}_{i}") for i, g in enumerate(grids[c])]]
+        r = df.agg(*aggs).first()
+        for k, c in enumerate(cols):
+            ll = [(g - 1) * (r[f"s{k}"] or 0.0) - r[f"n{k}"] / 2 * math.log(r[f"v{k}_{i}"]) if r[f"v{k}_{i}"] else -math.inf for i, g in enumerate(grids[c])]
+            i = max(range(points), key=lambda j: ll[j])
+            best[c], (a, b) = grids[c][i], bounds[c]
+            step = (b - a) / (points - 1)
+            bounds[c] = (a - (b - a) / 2, b - (b - a) / 2) if i == 0 else (a + (b - a) / 2, b + (b - a) / 2) if i == points - 1 else (grids[c][i] - step, grids[c][i] + step)
+    return best
+
+
 def reservation_features(df: DataFrame, key: str, made: str, due: str, amount: str) -> DataFrame:
     """By key and due day: reservations, their sum, and the mean of the days they were made ahead."""
     ahead = F.datediff(F.to_date(quoted(due)), F.to_date(quoted(made)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.mapping import quoted
-from ..core.order import placed, sums_before
+from ..core.order import placed, summed_before, sums_before
 
 #: Users or groups of a bucket of running sums, and largest groups that are dealt one by one.
 BUCKET, HEAD = 1 << 20, 10_000
@@ -77,17 +77,6 @@ def user_split(df: DataFrame, user: str, order: list[str], last: int, new_users:
     return df.withColumn("is_valid", fresh | (F.row_number().over(w) <= last))
 
 
-def _before(table: DataFrame, place: str, value: Column, out: str, bucket: int = BUCKET) -> DataFrame:
-    """``table`` with the sum of ``value`` over the rows of lower ``place`` (dense, from 0), in two levels."""
-    t = table.withColumn("__b", F.floor(F.col(place) / bucket)).withColumn("__v", value)
-    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = t.groupBy("__b").agg(F.sum("__v").alias("__s"))
-    starts = starts.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s"))
-    inside = Window.partitionBy("__b").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    both = t.join(starts, F.col("__b") == F.col("__c"))
-    return both.withColumn(out, F.col("__s") + F.coalesce(F.sum("__v").over(inside), F.lit(0))).drop("__b", "__c", "__s", "__v")
-
-
 def quota_split(df: DataFrame, user: str, order: str, train_rows: int, valid_rows: int, new_users: float = 0.25, seed: int = 0, turn: Column | None = None, fresh: Column | None = None, offset: Column | None = None, bucket: int = BUCKET, hot: int | None = None) -> DataFrame:
     """``part``: train, valid or null, by quotas of rows that users fill in random order.
 
@@ -103,9 +92,9 @@ def quota_split(df: DataFrame, user: str, order: str, train_rows: int, valid_row
     offset = F.pmod(key_hash([user], seed + 2), F.col("n")) if offset is None else offset
     users = df.groupBy(quoted(user)).agg(F.count("*").alias("n"))
     users = users.select(quoted(user), "n", turn.alias("__turn"), F.when(fresh, F.lit(0)).otherwise(offset).cast("long").alias("__offset"))
-    users = _before(placed(users, ["__turn", user], "__p"), "__p", F.col("n") - F.col("__offset"), "__valid", bucket)
+    users = summed_before(placed(users, ["__turn", user], "__p"), "__p", F.col("n") - F.col("__offset"), "__valid", bucket)
     users = users.withColumn("__first", F.when(F.col("__valid") < valid_rows, F.col("__offset")).otherwise(F.col("n")))
-    users = _before(users, "__p", F.col("__first"), "__train", bucket).filter(F.col("__train") <= train_rows)
+    users = summed_before(users, "__p", F.col("__first"), "__train", bucket).filter(F.col("__train") <= train_rows)
     largest = users.agg(F.max("n")).first()[0] or 0
     told = users.select(quoted(user).alias("__user"), "__first")
     rows = sums_before(df, quoted(user), order, {"__i": F.lit(1)}, largest, hot)
@@ -145,7 +134,7 @@ def balanced_group_fold(df: DataFrame, group: str, k: int, seed: int = 0, head:
         for f in range(k):
             room += max(0.0, level - by_fold[f])
             ends.append(room)
-        at = _before(placed(tail.withColumn("__h", F.xxhash64("__g", F.lit(seed))), ["__h", "__g"], "__p"), "__p", F.col("__n"), "__at", bucket)
+        at = summed_before(placed(tail.withColumn("__h", F.xxhash64("__g", F.lit(seed))), ["__h", "__g"], "__p"), "__p", F.col("__n"), "__at", bucket)
         last = max((f for f in range(k) if by_fold[f] < level), default=0)
         pick = F.lit(last)
         for f in reversed(range(k)):

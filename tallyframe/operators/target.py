@@ -267,21 +267,37 @@ class JamesSteinEncoder(TargetBase):
 
 
 def multi_class(df: DataFrame, label_col: str, cols: list[str], make: Callable[[str], TargetBase], max_classes: int = 1000) -> DataFrame:
-    """Columns ``<col>_<class>`` for every class but the first, by an encoder of each; the other columns first."""
+    """Columns ``<col>_<class>`` for every class but the first, by an encoder of each; the other columns first.
+
+    One aggregation and one join a column, whatever the number of classes.
+    """
     classes = [r[0] for r in df.select(quoted(label_col)).filter(quoted(label_col).isNotNull()).distinct().orderBy(label_col).limit(max_classes + 1).collect()]
     if len(classes) > max_classes:
         raise ValueError(f"over {max_classes} classes")
+    flags = {f"__s{i}": F.sum(F.when(quoted(label_col) == F.lit(k), 1.0).otherwise(0.0)) for i, k in enumerate(classes[1:])}
+    total = df.agg(F.count("*").alias("n"), *[e.alias(n) for n, e in flags.items()]).first()
     out, rest = df, [c for c in df.columns if c not in cols]
-    made: list[str] = []
-    for k in classes[1:]:
-        flag = df.withColumn("__y", F.coalesce((quoted(label_col) == F.lit(k)).cast("int"), F.lit(0)))
-        enc = make("__y").fit(flag.select("__y", *map(quoted, cols)))
-        for c in cols:
-            table, small = enc.tables[c]
-            name = f"{c}_{k}"
-            out = look_up(out, clean(df, c), table.select("cat", F.col("value").alias("__value")), small, ["__value"])
-            out = out.withColumn(name, F.coalesce("__value", F.lit(float(enc.prior if enc.other is None else enc.other)))).drop("__value")
-            made.append(name)
+
+    def spread(s: Column, n: Column) -> Column:
+        return F.when(n > 1, (s - s * s / n) / (n - 1))
+
+    for c in cols:
+        # the sums of all classes in one aggregation, the values of all in one table
+        table, _ = settle(df.groupBy(clean(df, c).alias("cat")).agg(F.count("*").alias("c"), *[e.alias(n) for n, e in flags.items()]))
+        k, names = table.count(), {}
+        for i, of in enumerate(classes[1:]):
+            enc, s, n = make("__y"), total[f"__s{i}"], total["n"]
+            enc.active, enc.width, enc.tables, enc.k = [c], df.columns, {}, {c: k}
+            enc.prior, enc.n, enc.sum, enc.var, enc.odd = s / n, n, s, (s - s * s / n) / (n - 1) if n > 1 else None, 0
+            enc._check()
+            table = table.withColumn("s", F.col(f"__s{i}")).withColumn("v", spread(F.col(f"__s{i}"), F.col("c")))
+            alike = enc.id_like()
+            table = table.withColumn(f"__value{i}", F.lit(alike) if k == n and alike is not None else enc._value(c, table)).drop("s", "v")
+            names[f"__value{i}"] = (f"{c}_{of}", float(enc.prior if enc.other is None else enc.other))
+        table, small = settle(table.select("cat", *names))
+        out = look_up(out, clean(df, c), table, small, list(names))
+        out = out.withColumns({new: F.coalesce(v, F.lit(other)) for v, (new, other) in names.items()}).drop(*names)
+    made = [f"{c}_{k}" for k in classes[1:] for c in cols]
     return out.select(*map(quoted, rest), *map(quoted, made))
 
 
@@ -347,27 +363,51 @@ _OF_PARTS: dict[Callable, Callable[[], Column]] = {
 def _without_fold(df: DataFrame, col: str, label_col: str, fold_col: str, n_folds: int, stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(__cat, __fold, a column a statistic): statistics of the target over a category's rows outside the fold.
 
-    What can be told from parts is: figures by category and fold go to the folds they aren't in. Other
-    statistics, medians say, need the rows there.
+    What can be told from parts is: figures by category and fold go to the folds they aren't in. Medians come from the
+    category's rows in order (see ``_medians_without_fold``). Any other statistic needs the rows in each fold's rest.
     """
     y = quoted(label_col).cast("double")
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col("__own")))
     rows = df.select(clean(df, col).alias("__cat"), quoted(fold_col).alias("__own"), y.alias("__y"))
     parts = {n: _OF_PARTS[f]() for n, f in stats.items() if f in _OF_PARTS}
-    whole = {n: f(F.col("__y")) for n, f in stats.items() if f not in _OF_PARTS}
-    out = None
+    whole = {n: f(F.col("__y")) for n, f in stats.items() if f not in _OF_PARTS and f is not F.median}
+    found = []
     if parts:
         cells = rows.groupBy("__cat", "__own").agg(F.count("__y").alias("n"), F.sum("__y").alias("s"), (F.var_pop("__y") * F.count("__y")).alias("m2"), F.min("__y").alias("lo"), F.max("__y").alias("hi"))
-        out = cells.withColumn("__fold", others).groupBy("__cat", "__fold").agg(*[e.alias(n) for n, e in parts.items()])
+        found.append(cells.withColumn("__fold", others).groupBy("__cat", "__fold").agg(*[e.alias(n) for n, e in parts.items()]))
+    if medians := [n for n, f in stats.items() if f is F.median]:
+        found.append(_medians_without_fold(rows, n_folds).select("__cat", "__fold", *[F.col("__median").alias(n) for n in medians]))
     if whole:
-        by_row = rows.withColumn("__fold", others).groupBy("__cat", "__fold").agg(*[e.alias(n) for n, e in whole.items()])
-        if out is None:
-            return by_row
-        by_row = by_row.withColumnsRenamed({"__cat": "__c", "__fold": "__f"})
-        out = out.join(by_row, F.col("__cat").eqNullSafe(F.col("__c")) & (F.col("__fold") == F.col("__f"))).drop("__c", "__f")
+        found.append(rows.withColumn("__fold", others).groupBy("__cat", "__fold").agg(*[e.alias(n) for n, e in whole.items()]))
+    out = found[0]
+    for more in found[1:]:
+        more = more.withColumnsRenamed({"__cat": "__c", "__fold": "__f"})
+        out = out.join(more, F.col("__cat").eqNullSafe(F.col("__c")) & (F.col("__fold") == F.col("__f"))).drop("__c", "__f")
     return out
 
 
+def _medians_without_fold(rows: DataFrame, n_folds: int) -> DataFrame:
+    """(__cat, __fold, __median): the median of __y over the category's rows outside the fold, for folds with such a row.
+
+    A row's place among those outside a fold is its place in the category less the fold's rows up to it. So one sort of
+    a category, with a running count a fold, has the middle rows of all folds' rests; no row is copied.
+    """
+    w = Window.partitionBy("__cat")
+    some = F.col("__y").isNotNull()
+    so_far = w.orderBy(F.asc_nulls_last("__y")).rowsBetween(Window.unboundedPreceding, 0)
+    own = [(F.col("__own") == k) & some for k in range(n_folds)]
+    at = rows.withColumns({"__r": F.count("__y").over(so_far), "__n": F.count("__y").over(w), "__all": F.count("*").over(w)})
+    at = at.withColumns({f"__r{k}": F.count_if(own[k]).over(so_far) for k in range(n_folds)} | {f"__n{k}": F.count_if(own[k]).over(w) for k in range(n_folds)})
+    at = at.withColumns({f"__a{k}": F.count_if(F.col("__own") == k).over(w) for k in range(n_folds)})
+    aggs = []
+    for k in range(n_folds):
+        place, m = F.col("__r") - F.col(f"__r{k}"), F.col("__n") - F.col(f"__n{k}")
+        middle = (place == F.floor((m + 1) / 2)) | (place == F.floor((m + 2) / 2))
+        aggs += [F.avg(F.when(some & ~F.coalesce(own[k], F.lit(False)) & middle, F.col("__y"))).alias(f"__m{k}"), F.max(F.col("__all") - F.col(f"__a{k}")).alias(f"__rest{k}")]
+    cells = F.array(*[F.struct(F.lit(k).alias("__fold"), F.col(f"__m{k}").alias("__median"), F.col(f"__rest{k}").alias("__rest")) for k in range(n_folds)])
+    return at.groupBy("__cat").agg(*aggs).select("__cat", F.inline(cells)).filter("__rest > 0").drop("__rest")
+
+
 def target_statistic(df: DataFrame, col: str, label_col: str, fold_col: str, n_folds: int, stats: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """``<col>_<stat>``: a statistic of the target over the category's rows in all folds but the row's own.
 

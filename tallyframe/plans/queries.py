@@ -1042,3 +1042,32 @@ def enc_wide_target(spark, d):
     w, cols = _kinds(spark, d), list(KINDS_WIDE)
     out = wide.looked_up(w, cols, wide.means(w, cols, "y", 5.0), "value")
     return _by_column(out.select("row", *[F.round(c, 6).alias(c) for c in cols]), cols)
+
+
+MANY = {f"p{i}": (f"((o_orderkey * {i * 37 + 11} + o_custkey * {i}) % {101 + i}) * {'-' if i % 3 == 0 else ''}1.5 + CASE WHEN o_orderstatus = 'F' THEN {i % 7 - 3} ELSE 0 END") for i in range(50)}
+MANY_SQL = "WITH s AS (SELECT o_orderkey, (o_orderstatus = 'F')::INT AS y, " + ", ".join(f"({x})::DOUBLE AS {c}" for c, x in MANY.items()) + " FROM orders), u AS (UNPIVOT s ON " + ", ".join(MANY) + " INTO NAME \"column\" VALUE p), r AS (SELECT \"column\", y, rank() OVER (PARTITION BY \"column\" ORDER BY p) + (count(*) OVER (PARTITION BY \"column\", p) - 1) / 2.0 AS r FROM u), a AS (SELECT \"column\", (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auc FROM r GROUP BY 1) "
+
+
+def _many(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"), *[F.expr(f"cast({x} AS double)").alias(c) for c, x in MANY.items()])
+
+
+@query(MANY_SQL + "SELECT \"column\", round(auc, 6) AS auc FROM a")
+def metric_auc_many(spark, d):
+    return rounded(metrics.auc_many(_many(spark, d), "y", list(MANY)))
+
+
+@query(MANY_SQL + ", g AS (SELECT \"column\" FROM a WHERE auc >= 0.5), o AS (SELECT o_orderkey, exp(sum(ln(9 * q / (1 - q)))) / 9 AS odds FROM (SELECT o_orderkey, 0.05 + abs(p) / 1000 AS q FROM u SEMI JOIN g USING (\"column\") WHERE o_orderkey % 3 <> 0) GROUP BY 1) SELECT orders.o_orderkey, round(coalesce(odds / (1 + odds), 0), 6) AS target FROM orders LEFT JOIN o USING (o_orderkey)")
+def ens_gated_odds(spark, d):
+    s = _many(spark, d)
+    test = s.filter("o_orderkey % 3 <> 0").select("o_orderkey", *[(0.05 + F.abs(c) / 1000).alias(c) for c in MANY])
+    return rounded(metrics.gated_odds(s, "y", test, s, "o_orderkey", list(MANY)))
+
+
+POWERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("WITH x AS (SELECT unnest(['" + "', '".join(POWERS) + "']) AS \"column\", unnest([" + ", ".join(POWERS) + "]) AS x FROM lineitem), c AS (SELECT \"column\", lam, (lam - 1) * sum(ln(1 + x)) - count(*) / 2 * ln(var_pop(pow(1 + x, lam) / lam)) AS ll FROM x, (SELECT k / 20.0 + 0.0001 AS lam FROM range(-160, 41) AS t(k)) GROUP BY 1, 2), b AS (SELECT \"column\", arg_max(lam, ll) AS lam FROM c GROUP BY 1), f AS (SELECT \"column\", lam, (lam - 1) * sum(ln(1 + x)) - count(*) / 2 * ln(var_pop(pow(1 + x, lam) / lam)) AS ll FROM (SELECT b.\"column\", lam + k / 1000.0 AS lam FROM b, range(-60, 61) AS t(k)) JOIN x USING (\"column\") GROUP BY 1, 2) SELECT \"column\", round(arg_max(lam, ll), 1) AS lam FROM f GROUP BY 1")
+def stat_boxcox_lambdas(spark, d):
+    found = fe.boxcox_lambdas(table(spark, d, "lineitem"), list(POWERS))
+    return spark.createDataFrame([(c, round(x, 1)) for c, x in found.items()], "column string, lam double")
