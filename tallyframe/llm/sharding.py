@@ -9,8 +9,8 @@ and the resulting segments (a cell, a range of ranks in it, a shard, a first slo
 segment table is broadcast; it has at most ``steps * ring + n_shards`` rows.
 
 Waves spread the rows of one hot id over ``steps`` tasks. Rows that share id and text share a cell; where one
-has over ``HOT`` rows and ``TIMES`` times the mean, the rows are first materialised and then cut by their place
-into ``PARTS`` cells of their own. Nulls: a null id is a key like any other, a null text has no bytes. Rows
+has over ``HOT`` rows and ``TIMES`` times the mean, its rows are cut into ``PARTS`` cells by a hash of all they hold,
+equal ones dealt on from there, so another layout of the files gives the same placement. Nulls: a null id is a key like any other, a null text has no bytes. Rows
 equal in everything are interchangeable. An empty table gives no rows.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..core.order import placed
 from .common import cut, read
 
 #: Production parameters: points of the ring, points of a shard on it, waves.
@@ -104,15 +105,19 @@ def shard(docs: DataFrame, n_shards: int = 16, epsilon: float = 0.0, id_col: str
     large = cells[cells[:, 3] > max(hot, times * cells[:, 3].mean() if len(cells) else 0)] if len(cells) else cells
     if len(large):
         where = [F.lit(int(step * ring + pos)) for step, pos, _, _ in large]
-        keyed = cut(keyed)  # so that places, and with them the parts, are the same in every job
-        keyed = keyed.withColumn("part", F.when((F.col("step") * ring + F.col("pos")).isin(*where), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).otherwise(0))
+        hot_cell = (F.col("step") * ring + F.col("pos")).isin(*where)
+        # a row's part follows from what it holds; equal rows, which are interchangeable, are dealt on from there
+        own = placed(keyed.filter(hot_cell).withColumn("all", F.xxhash64("row", "turn", "text_crc32", "size")), ["all"], "place")
+        first = own.groupBy(F.col("all").alias("of_all")).agg(F.min("place").alias("first_place"))
+        own = own.join(first, F.col("all") == F.col("of_all")).withColumn("part", F.pmod(F.col("place") - F.col("first_place") + F.pmod("all", F.lit(PARTS)), F.lit(PARTS)))
+        keyed = cut(keyed.filter(~hot_cell).withColumn("part", F.lit(0).cast("long")).unionByName(own.select(*keyed.columns, "part")))
         cells = _counted(keyed)
     else:
         keyed = keyed.withColumn("part", F.lit(0).cast("long"))
     segments = place(cells, ring_owners(n_shards, vnodes, ring), capacities(int(cells[:, 3].sum()), n_shards, epsilon))
     names = ("of_step", "of_pos", "of_part", "first", "end", "shard", "first_slot")
     table = spark.createDataFrame(pa.table({n: segments[:, k] for k, n in enumerate(names)})).withColumn("shard", F.col("shard").cast("int"))
-    turn = Window.partitionBy("step", "pos", "part").orderBy("turn", "text_crc32", "size")
+    turn = Window.partitionBy("step", "pos", "part").orderBy("turn", "text_crc32", "size", F.xxhash64("row"))
     ranked = keyed.withColumn("rank", (F.row_number().over(turn) - 1).cast("long"))
     own = (F.col("step") == F.col("of_step")) & (F.col("pos") == F.col("of_pos")) & (F.col("part") == F.col("of_part")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))
     return ranked.join(F.broadcast(table), own).select("row", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("first")).alias("slot"))

@@ -161,3 +161,15 @@ def test_equal_rows_are_dealt_to_parts(spark):
     counts = Counter(r["shard"] for r in got)
     assert max(counts.values()) - min(counts.values()) <= 1
     assert all({r["slot"] for r in got if r["shard"] == s} == set(range(n)) for s, n in counts.items())
+
+
+def test_hot_cells_do_not_depend_on_the_layout(spark):
+    rows = [(7, "hot", k % 50) for k in range(600)] + [(7, "hot", 99)] * 200 + [(i, f"t{i}", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other long")
+    out = []
+    for layout in (df.coalesce(1), df.repartition(7), df.orderBy(F.rand(3))):
+        placed = shard(layout, 5, ring=16, steps=4, vnodes=4, hot=20, times=2)
+        out.append(Counter(tuple(r) for r in placed.select("row.*", "shard", "slot").collect()))
+    assert out[0] == out[1] == out[2]
+    counts = Counter(k[3] for k in out[0].elements())
+    assert max(counts.values()) - min(counts.values()) <= 1 and {k[4] for k in out[0] if k[3] == 0} == set(range(counts[0]))
