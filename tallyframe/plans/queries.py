@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
 from ..functions import gram, metrics, stats
 from ..functions.calendar import calendar, packed_hour, recency_weight
+from ..operators import columns
 from ..operators import encoders as en
 from ..operators import features as fe
 from ..operators import joins as jo
@@ -20,6 +22,7 @@ from ..operators import selection, splits
 from ..operators import target as ta
 from ..operators import wide
 from ..operators import windows as wi
+from ..sources import arff
 from ..streaming.delayed import batch_features as delayed_batch_features
 from ..streaming.knowledge import batch_features
 
@@ -1071,3 +1074,24 @@ POWERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def stat_boxcox_lambdas(spark, d):
     found = fe.boxcox_lambdas(table(spark, d, "lineitem"), list(POWERS))
     return spark.createDataFrame([(c, round(x, 1)) for c, x in found.items()], "column string, lam double")
+
+
+@query(ORD + "SELECT o.o_orderkey, y, round(CASE WHEN g.c = 1 THEN prior ELSE prior * (1 - 1 / (1 + exp(-(g.c - 1)))) + g.s / g.c * (1 / (1 + exp(-(g.c - 1)))) END, 6) AS \"mean__o_orderpriority\", g.c AS \"n__o_orderpriority\" FROM o JOIN g ON o_orderpriority IS NOT DISTINCT FROM cat, p")
+def enc_columns(spark, d):
+    both = columns.ColumnEncoders([("mean", lambda c: ta.TargetEncoder("y", c), ["o_orderpriority"]), ("n", lambda c: en.CountEncoder(c), ["o_orderpriority"])])
+    o = orders(spark, d)
+    return rounded(both.fit(o).transform(o))
+
+
+@query(ORD + "SELECT o.o_orderkey, round((g.s + prior) / (g.c + 1.0), 6) AS o_orderpriority, f.n AS o_orderstatus FROM o JOIN g ON o_orderpriority IS NOT DISTINCT FROM cat JOIN orders r USING (o_orderkey) JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1) f ON f.o_orderstatus = r.o_orderstatus, p")
+def enc_pipeline(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    stages = [columns.EncoderStage(lambda: ta.MEstimateEncoder("y", ["o_orderpriority"])), columns.EncoderStage(lambda: en.CountEncoder(["o_orderstatus"]))]
+    return rounded(Pipeline(stages=stages).fit(o).transform(o).drop("y"))
+
+
+@query("WITH p AS (SELECT p_partkey, p_name, p_size::VARCHAR AS size, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS \"Class\" FROM part), s AS (SELECT * FROM p WHERE \"Class\" IS NOT NULL), c AS (SELECT \"Class\" AS k, count(*) AS n FROM s GROUP BY 1), t AS (SELECT first(k ORDER BY n DESC, k) AS k, max(n) AS n, sum(n) AS total FROM c) SELECT p_partkey, size::DOUBLE AS size, (\"Class\" = k)::INT AS \"Class\", least(n, total - n, 10)::BIGINT AS folds FROM s, t")
+def arff_binary_task(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_size").cast("string").alias("size"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_brand")).alias("Class"))
+    task, _, folds = arff.binary_task(p)
+    return task.select("p_partkey", "size", "Class", F.lit(folds).cast("long").alias("folds"))

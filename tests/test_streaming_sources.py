@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import features as fe
 from tallyframe.operators import selection, splits
 from tallyframe.operators.resample import fourier, resample
-from tallyframe.sources import files
+from tallyframe.sources import arff, files
 from tallyframe.streaming import delayed
 from tallyframe.streaming.knowledge import batch_features, stream_features
 
@@ -121,3 +121,31 @@ def test_selection(spark):
     folds = df.withColumn("fold", (F.col("a") % 3).cast("int"))
     out = selection.out_of_fold_predictions(folds, "fold", 3, lambda train: (lambda m: lambda t: t.withColumn("p", F.lit(m)))(train.agg(F.avg("y")).first()[0]))
     assert out.count() == 200 and out.select("p").distinct().count() == 3
+
+
+def test_arff_and_binary_task(spark, tmp_path):
+    text = """% cars
+@relation 'my cars'
+@attribute 'buying price' {low, 'very high', med}
+@attribute doors numeric
+@ATTRIBUTE plate string
+@attribute class {yes,no,maybe}
+@data
+low, 2, 11, yes
+'very high',?,12.5,no
+% a note
+med,4,'it\\'s 5',yes
+low,3,?,?
+med,1,7,maybe
+"""
+    (tmp_path / "cars.arff").write_text(text)
+    df = arff.read_arff(spark, str(tmp_path / "cars.arff"))
+    assert [tuple(r) for r in df.collect()] == [("low", 2.0, "11", "yes"), ("very high", None, "12.5", "no"), ("med", 4.0, "it's 5", "yes"), ("low", 3.0, None, None), ("med", 1.0, "7", "maybe")]
+    task, target, folds = arff.binary_task(df)
+    assert target == "class" and folds == 2 and sorted(r["class"] for r in task.collect()) == [0, 0, 1, 1] and dict(task.dtypes)["plate"] == "string"
+    task, target, _ = arff.binary_task(df.drop("class").filter("plate NOT LIKE 'it%'"))
+    assert target == "plate" and {r["plate"] for r in task.collect()} == {0, 1}
+    wide = arff.binary_task(df.filter("plate NOT LIKE 'it%'"))[0]
+    assert dict(wide.dtypes)["plate"] == "double"
+    with pytest.raises(ValueError):
+        arff.binary_task(df.filter("class is null"))
