@@ -21,27 +21,16 @@ HOT = 1_000_000
 def numbered(table: DataFrame, by: list[str], out: str, first: int = 1, most: int | None = None) -> tuple[DataFrame, bool]:
     """``table`` with ``out``, the place of each row in the order of ``by`` (nulls first), and whether it is small.
 
-    A small table (see ``fetched``) is numbered on its way and becomes a local relation. The rows of a large one
-    are dealt to buckets between edges from a sample; they are numbered inside each, from the number of rows in
-    the buckets before. Which edges the sample gives decides the work only.
+    A small table (see ``fetched``) is numbered on its way and becomes a local relation. A large one is numbered by
+    ranges of the order (see ``placed``), with 64-bit places where 32 bits don't hold them.
     """
     rows = fetched(table.orderBy(*by), most)
     spark, schema = table.sparkSession, T.StructType([*table.schema, T.StructField(out, T.IntegerType())])
     if rows is not None:
         return spark.createDataFrame([(*r, i) for i, r in enumerate(rows, first)], schema), True
-    n = table.count()
-    sample = table.select(*by).sample(min(1.0, 16 * BUCKETS / n), seed=1).orderBy(*by).limit(64 * BUCKETS).collect()
-    edges = sample[:: max(1, len(sample) // BUCKETS)][1:]
-    key = F.struct(*by)
-    kinds = [table.schema[c].dataType for c in by]
-    lits = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(e, kinds, by, strict=True)]) for e in edges]
-    bucket = F.size(F.filter(F.array(*lits), lambda e: e <= key)) if lits else F.lit(0)
-    dealt = table.withColumn("__bucket", bucket)
-    sizes = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}  # at most BUCKETS + 1 rows
-    before = [sum(sizes.get(k, 0) for k in range(b)) for b in range(len(edges) + 1)]
-    start = F.element_at(F.array(*[F.lit(b) for b in before]), F.col("__bucket") + 1)
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*by))
-    return dealt.withColumn(out, (start + place + (first - 1)).cast("int")).drop("__bucket"), False
+    at = placed(table, by, "__place")
+    n = at.agg(F.max("__place")).first()[0] or 0
+    return at.withColumn(out, (F.col("__place") + first).cast("int" if n + first < 1 << 31 else "long")).drop("__place"), False
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..core.mapping import quoted
 from ..core.order import numbered, quantiles
 from ..functions.stats import BUNDLE
 from .anchors import STATS, anchor_statistics
-from .windows import framed, time_windows
+from .windows import framed, known, time_windows
 
 DAY_US = 86_400_000_000
 
@@ -170,6 +170,7 @@ def history_by_slot(df: DataFrame, slot: str, day: str, col: str, stats: list[st
         w = Window.partitionBy(quoted(slot)).orderBy(F.datediff(quoted(day), F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1)
         f = {"min": F.min("mi").over(w), "max": F.max("ma").over(w), "sum": F.sum("s").over(w), "count": F.coalesce(F.sum("c").over(w), F.lit(0)), "mean": F.sum("s").over(w) / F.sum("c").over(w)}
         return base.select(slot, day, *[f[s].alias(f"{prefix}{s}") for s in stats])
+    known(stats)
     rows = df.select(quoted(slot).alias(slot), quoted(day).alias(day), quoted(col).alias(col)).withColumn("__d", F.datediff(quoted(day), F.lit("1970-01-01")))
     rows = framed(rows, [slot], ["__d"], col, stats, prefix, None if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1, False)
     return rows.groupBy(quoted(slot), quoted(day)).agg(*[F.first(f"{prefix}{s}").alias(f"{prefix}{s}") for s in stats])  # equal in all rows of a day

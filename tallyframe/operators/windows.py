@@ -27,6 +27,13 @@ ORDERED = {"median": T.DoubleType(), "nunique": T.LongType()}
 ROWS, SPANS = 1 << 20, 4
 
 
+def known(stats: list[str]) -> None:
+    """Refuses statistics that windows don't have."""
+    for s in stats:
+        if s not in {*ORDERED, "min", "max", "mean", "sum", "count", "std", "skew", "first", "last"}:
+            raise KeyError(s)
+
+
 def _simple(stat: str, x: Column, w) -> Column:
     n = F.count(x).over(w).cast("double")
     if stat == "skew":
@@ -41,6 +48,7 @@ def framed(df: DataFrame, group: list[str], order: list[str], col: str, stats: l
     The group has a column at least. Bounds are numbers of rows or, without ``by_rows``, distances of the only order column, a number. A group is
     one task's: medians and distinct counts take n log n there, other statistics are Spark's windows.
     """
+    known(stats)
     x = clean(df, col)
     w = Window.partitionBy(*map(quoted, group)).orderBy(*map(quoted, order))
     w = w.rowsBetween(Window.unboundedPreceding if low is None else low, high) if by_rows else w.rangeBetween(Window.unboundedPreceding if low is None else low, high)
