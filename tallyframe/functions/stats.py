@@ -29,6 +29,9 @@ def kurt(x: Column) -> Column:
     return F.when(n < 4, None).when(F.coalesce(F.var_pop(x), F.lit(0.0)) == 0, 0.0).otherwise(g)
 
 
+#: Pairs of columns up to which correlations are aggregates of their own in one plan.
+FEW = 64
+
 BUNDLE = {
     "min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "sum": F.sum, "count": F.count, "std": F.stddev_samp, "skew": skew,
     "nunique": F.count_distinct, "kurt": kurt, "q1": lambda x: F.percentile(x, F.lit(0.25)), "q3": lambda x: F.percentile(x, F.lit(0.75)),
@@ -90,8 +93,13 @@ def unique_row_flag(df: DataFrame, cols: list[str], out: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, r) of every two columns; see ``gram``."""
-    return correlation_pairs(df, cols).select("a", "b", "r")
+    """(a, b, r) of every two columns, in one pass: Spark's aggregates for up to ``FEW`` pairs, else cross products (see ``gram``)."""
+    pairs = [(a, b) for i, b in enumerate(cols) for a in cols[:i]]
+    if len(pairs) > FEW:
+        return correlation_pairs(df, cols).select("a", "b", "r")
+    one = df.agg(*[F.corr(quoted(a), quoted(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(cells))
 
 
 def drop_correlated(df: DataFrame, cols: list[str], over: float = 0.95) -> list[str]:

@@ -11,6 +11,8 @@ Rows without a time get no statistics and a count of 0. NaN counts as null in me
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,8 +25,8 @@ from ..core.mapping import clean, quoted
 from ..core.order import placed
 
 ORDERED = {"median": T.DoubleType(), "nunique": T.LongType()}
-#: Rows of a bucket, and spans that a bucket of time is wide.
-ROWS, SPANS = 1 << 20, 4
+#: Rows of a bucket, spans that a bucket of time is wide, and rows of groups that a task takes at once.
+ROWS, SPANS, GATHER = 1 << 20, 4, 1 << 16
 
 
 def known(stats: list[str]) -> None:
@@ -46,47 +48,70 @@ def framed(df: DataFrame, group: list[str], order: list[str], col: str, stats: l
     """Statistics over a frame of each row in its group's order, from ``low`` (None: the first row) to ``high``.
 
     The group has a column at least. Bounds are numbers of rows or, without ``by_rows``, distances of the only order column, a number. A group is
-    one task's: medians and distinct counts take n log n there, other statistics are Spark's windows.
+    one task's, which takes those of a batch together: medians and distinct counts take n log n there, other
+    statistics are Spark's windows.
     """
     known(stats)
     x = clean(df, col)
-    w = Window.partitionBy(*map(quoted, group)).orderBy(*map(quoted, order))
-    w = w.rowsBetween(Window.unboundedPreceding if low is None else low, high) if by_rows else w.rangeBetween(Window.unboundedPreceding if low is None else low, high)
+    own = Window.partitionBy(*map(quoted, group)).orderBy(*map(quoted, order))
+    w = own.rowsBetween(Window.unboundedPreceding if low is None else low, high) if by_rows else own.rangeBetween(Window.unboundedPreceding if low is None else low, high)
     enough = F.count(x).over(w) >= min_periods
     plain, hard = [s for s in stats if s not in ORDERED], [s for s in stats if s in ORDERED]
-    out = df.withColumns({f"{prefix}{s}": _simple(s, x, w) if s == "count" else F.when(enough, _simple(s, x, w)) for s in plain})
+    made = {f"{prefix}{s}": _simple(s, x, w) if s == "count" else F.when(enough, _simple(s, x, w)) for s in plain}
     if not hard:
-        return out
-    schema = T.StructType([*out.schema, *[T.StructField(f"{prefix}{s}", ORDERED[s]) for s in hard]])
-
-    def frames(rows: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, [(o, "ascending") for o in order], null_placement="at_start")).combine_chunks()
-        n = rows.num_rows
-        place = np.arange(n)
+        return df.withColumns(made)
+    out = df.repartition(*map(quoted, group)).withColumns({**made, "__place": F.row_number().over(own)})
+    out = out.sortWithinPartitions(*map(quoted, group), "__place")
+    schema = T.StructType([*[f for f in out.schema if f.name != "__place"], *[T.StructField(f"{prefix}{s}", ORDERED[s]) for s in hard]])
+
+    def bounds(rows: pa.Table, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first row and the end of each row's frame; groups begin at ``start`` and stop at ``end``."""
+        first, stop = np.repeat(start, end - start), np.repeat(end, end - start)
         if by_rows:
-            a, b = (np.zeros(n, np.int64) if low is None else np.clip(place + low, 0, n)), np.clip(place + high + 1, 0, n)
-        else:
-            at = rows.column(order[0]).to_numpy()
-            a, b = (np.zeros(n, np.int64) if low is None else np.searchsorted(at, at + low, "left")), np.searchsorted(at, at + high, "right")
+            place = np.arange(rows.num_rows)
+            return first if low is None else np.clip(place + low, first, stop), np.clip(place + high + 1, first, stop)
+        at = rows.column(order[0]).cast(pa.int64()).fill_null(-(1 << 60)).to_numpy()
+        a, b = first.copy(), np.empty(len(at), np.int64)
+        for i, j in zip(start.tolist(), end.tolist(), strict=True):
+            if low is not None:
+                a[i:j] += np.searchsorted(at[i:j], at[i:j] + low, "left")
+            b[i:j] = i + np.searchsorted(at[i:j], at[i:j] + high, "right")
+        return a, b
+
+    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(rows.column("__place").to_numpy() == 1)
+        a, b = bounds(rows, start, np.append(start[1:], rows.num_rows))
         b = np.maximum(a, b)
         values = rows.column(col)
         if pa.types.is_floating(values.type):
             values = pc.if_else(pc.is_nan(values), pa.scalar(None, values.type), values)
-        some = values.is_valid().to_numpy()
-        counts = np.concatenate([[0], np.cumsum(some)])
+        counts = np.concatenate([[0], np.cumsum(values.is_valid().to_numpy())])
         a, b = counts[a], counts[b]
         values, enough = values.drop_null().combine_chunks(), b - a >= max(1, min_periods)
-        made = {}
-        if "median" in hard:
-            made["median"] = pa.array(medians(values.cast(pa.float64()).to_numpy(zero_copy_only=False), a, b), mask=~enough)
-        if "nunique" in hard:
-            codes = (values.dictionary_encode() if len(values) else pa.array([], pa.string()).dictionary_encode()).indices.to_numpy(zero_copy_only=False)
-            made["nunique"] = pa.array(distinct_counts(codes.astype(np.int64), a, b), mask=b - a < min_periods)
         for s in hard:
-            rows = rows.append_column(f"{prefix}{s}", made[s])
-        return rows
-
-    return out.groupBy(*map(quoted, group)).applyInArrow(frames, schema).select(*[quoted(c) for c in [*df.columns, *[f"{prefix}{s}" for s in stats]]])
+            if s == "median":
+                made = pa.array(medians(values.cast(pa.float64()).to_numpy(zero_copy_only=False), a, b), mask=~enough)
+            else:
+                codes = (values.dictionary_encode() if len(values) else pa.array([], pa.string()).dictionary_encode()).indices.to_numpy(zero_copy_only=False)
+                made = pa.array(distinct_counts(codes.astype(np.int64), a, b), mask=b - a < min_periods)
+            rows = rows.append_column(f"{prefix}{s}", made)
+        yield from rows.drop_columns("__place").combine_chunks().to_batches()
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < GATHER:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            heads = np.flatnonzero(rows.column("__place").to_numpy() == 1)
+            if heads[-1]:
+                yield from whole(rows.slice(0, heads[-1]))
+                held = rows.slice(heads[-1]).to_batches()
+        if sum(x.num_rows for x in held):
+            yield from whole(pa.Table.from_batches(held).combine_chunks())
+
+    return out.mapInArrow(frames, schema).select(*[quoted(c) for c in [*df.columns, *[f"{prefix}{s}" for s in stats]]])
 
 
 def time_windows(df: DataFrame, ts: str, col: str, span_us: int, stats: list[str], prefix: str, keys: tuple[str, ...] | list[str] = (), min_periods: int = 1, spans: int = SPANS) -> DataFrame:
