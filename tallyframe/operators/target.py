@@ -396,9 +396,10 @@ def _medians_without_fold(rows: DataFrame, n_folds: int) -> DataFrame:
     some = F.col("__y").isNotNull()
     so_far = w.orderBy(F.asc_nulls_last("__y")).rowsBetween(Window.unboundedPreceding, 0)
     own = [(F.col("__own") == k) & some for k in range(n_folds)]
-    at = rows.withColumns({"__r": F.count("__y").over(so_far), "__n": F.count("__y").over(w), "__all": F.count("*").over(w)})
-    at = at.withColumns({f"__r{k}": F.count_if(own[k]).over(so_far) for k in range(n_folds)} | {f"__n{k}": F.count_if(own[k]).over(w) for k in range(n_folds)})
-    at = at.withColumns({f"__a{k}": F.count_if(F.col("__own") == k).over(w) for k in range(n_folds)})
+    # one call, so that the functions of each window are one node of the plan
+    running = {"__r": F.count("__y").over(so_far)} | {f"__r{k}": F.count(F.when(own[k], 1)).over(so_far) for k in range(n_folds)}
+    totals = {"__n": F.count("__y"), "__all": F.count("*")} | {f"__n{k}": F.count(F.when(own[k], 1)) for k in range(n_folds)} | {f"__a{k}": F.count(F.when(F.col("__own") == k, 1)) for k in range(n_folds)}
+    at = rows.withColumns(running | {n: e.over(w) for n, e in totals.items()})
     aggs = []
     for k in range(n_folds):
         place, m = F.col("__r") - F.col(f"__r{k}"), F.col("__n") - F.col(f"__n{k}")
