@@ -1,7 +1,12 @@
-"""Order statistics of many frames of one sequence, by bits of the rank, for all frames at once."""
+"""Statistics of many frames of one sequence, for all frames at once.
+
+Order statistics go by the bits of the rank, sums and extremes by blocks of 1, 2, 4, ... rows: n log n for any width.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -60,3 +65,71 @@ def distinct_counts(codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     same = codes[order[1:]] == codes[order[:-1]]
     before[order[1:][same]] = order[:-1][same] + 1
     return count_below(before, low, np.maximum(low, high), low + 1)
+
+
+def pieces(n: int, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, frames, blocks): the blocks of 2**level rows that make up each frame ``low:high``; a frame has two a level at most."""
+    at = np.flatnonzero(high > low)
+    a, b = low[at].astype(np.int64), high[at].astype(np.int64)
+    for level in range(max(1, n).bit_length()):
+        if not len(at):
+            return
+        odd = a & 1 == 1
+        if odd.any():
+            yield level, at[odd], a[odd]
+            a = a + odd
+        odd = (b & 1 == 1) & (b > a)
+        if odd.any():
+            b = b - odd
+            yield level, at[odd], b[odd]
+        more = b > a
+        at, a, b = at[more], a[more] >> 1, b[more] >> 1
+
+
+def halved(x: np.ndarray, fill: float | int) -> tuple[np.ndarray, np.ndarray]:
+    """The left and right halves of the blocks of the next level."""
+    if len(x) % 2:
+        x = np.append(x, np.array([fill], x.dtype))
+    return x[::2], x[1::2]
+
+
+def extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray, largest: bool) -> np.ndarray:
+    """The least or largest value of each frame; 0 for an empty one."""
+    take = np.maximum if largest else np.minimum
+    out, seen, block, level = np.zeros(len(low), values.dtype), np.zeros(len(low), bool), values, 0
+    for up, at, blocks in pieces(len(values), low, high):
+        while level < up:
+            if len(block) % 2:
+                block = np.append(block, block[-1:])
+            block, level = take(block[::2], block[1::2]), level + 1
+        out[at] = np.where(seen[at], take(out[at], block[blocks]), block[blocks])
+        seen[at] = True
+    return out
+
+
+def power_sums(values: np.ndarray, low: np.ndarray, high: np.ndarray, power: int) -> list[np.ndarray]:
+    """n, sum, and sums of the powers 2 to ``power`` (3 at most) of the differences from the frame's mean.
+
+    Blocks are added in pairs, so a frame has the digits of its own rows whatever comes before it.
+    """
+
+    def joined(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        n = a[0] + b[0]
+        out = [n, a[1] + b[1]]
+        if power > 1:
+            na, nb, some = np.maximum(a[0], 1), np.maximum(b[0], 1), np.maximum(n, 1)
+            d = np.where((a[0] > 0) & (b[0] > 0), b[1] / nb - a[1] / na, 0.0)
+            out.append(a[2] + b[2] + d * d * (a[0] * b[0] / some))
+            if power > 2:
+                out.append(a[3] + b[3] + d**3 * (a[0] * b[0] * (a[0] - b[0]) / (some * some)) + 3 * d * (a[0] * b[2] - b[0] * a[2]) / some)
+        return out
+
+    block = [np.ones(len(values)), values.astype(float), *[np.zeros(len(values)) for _ in range(power - 1)]]
+    out, level = [np.zeros(len(low)) for _ in block], 0
+    for up, at, blocks in pieces(len(values), low, high):
+        while level < up:
+            halves = [halved(x, 0.0) for x in block]
+            block, level = joined([a for a, _ in halves], [b for _, b in halves]), level + 1
+        for x, y in zip(out, joined([x[at] for x in out], [x[blocks] for x in block]), strict=True):
+            x[at] = y
+    return out

@@ -4,7 +4,7 @@
 The others number the rows by ranges of the order (``core.order.placed``) and deal them to buckets of equal size:
 ``row_windows`` and ``shifted`` give each bucket the rows that its first ones look back (or ahead) to;
 ``running`` and ``filled_back`` aggregate the buckets, run over these (a row a bucket), and carry the result into
-each. Medians and distinct counts of frames come from ``core.frames``, in n log n for any width of the frames.
+each. Statistics of frames come from ``core.frames``, in n log n for any width of the frames.
 
 Rows without a time get no statistics and a count of 0. NaN counts as null in medians and distinct counts.
 """
@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core.frames import distinct_counts, medians
+from ..core.frames import distinct_counts, extremes, medians, power_sums
 from ..core.mapping import clean, quoted
 from ..core.order import placed
 
 ORDERED = {"median": T.DoubleType(), "nunique": T.LongType()}
+#: Statistics of numbers that frames with two ends get from ``core.frames``; Spark's windows look at all rows of each such frame.
+SUMMED = {"mean": T.DoubleType(), "std": T.DoubleType(), "skew": T.DoubleType(), "count": T.LongType()}
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Rows of a bucket, spans that a bucket of time is wide, and rows of groups that a task takes at once.
 ROWS, SPANS, GATHER = 1 << 20, 4, 1 << 16
 
@@ -48,21 +51,25 @@ def framed(df: DataFrame, group: list[str], order: list[str], col: str, stats: l
     """Statistics over a frame of each row in its group's order, from ``low`` (None: the first row) to ``high``.
 
     The group has a column at least. Bounds are numbers of rows or, without ``by_rows``, distances of the only order column, a number. A group is
-    one task's, which takes those of a batch together: medians and distinct counts take n log n there, other
-    statistics are Spark's windows.
+    one task's, which takes those of a batch together: medians and distinct counts take n log n there, and so do
+    other statistics of numbers, but for the first and last row, where frames have a lower end. The rest are Spark's windows.
     """
     known(stats)
+    of, own_type = df.schema[col].dataType, {}
+    if low is not None and isinstance(of, (*WHOLE, T.FloatType, T.DoubleType)):
+        own_type = SUMMED | {"min": of, "max": of, "sum": T.LongType() if isinstance(of, WHOLE) else T.DoubleType()}
+    made_here = ORDERED | own_type
     x = clean(df, col)
     own = Window.partitionBy(*map(quoted, group)).orderBy(*map(quoted, order))
     w = own.rowsBetween(Window.unboundedPreceding if low is None else low, high) if by_rows else own.rangeBetween(Window.unboundedPreceding if low is None else low, high)
     enough = F.count(x).over(w) >= min_periods
-    plain, hard = [s for s in stats if s not in ORDERED], [s for s in stats if s in ORDERED]
+    plain, hard = [s for s in stats if s not in made_here], [s for s in stats if s in made_here]
     made = {f"{prefix}{s}": _simple(s, x, w) if s == "count" else F.when(enough, _simple(s, x, w)) for s in plain}
     if not hard:
         return df.withColumns(made)
     out = df.repartition(*map(quoted, group)).withColumns({**made, "__place": F.row_number().over(own)})
     out = out.sortWithinPartitions(*map(quoted, group), "__place")
-    schema = T.StructType([*[f for f in out.schema if f.name != "__place"], *[T.StructField(f"{prefix}{s}", ORDERED[s]) for s in hard]])
+    schema = T.StructType([*[f for f in out.schema if f.name != "__place"], *[T.StructField(f"{prefix}{s}", made_here[s]) for s in hard]])
 
     def bounds(rows: pa.Table, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first row and the end of each row's frame; groups begin at ``start`` and stop at ``end``."""
@@ -78,6 +85,32 @@ def framed(df: DataFrame, group: list[str], order: list[str], col: str, stats: l
             b[i:j] = i + np.searchsorted(at[i:j], at[i:j] + high, "right")
         return a, b
 
+    def summed(values: pa.Array, a: np.ndarray, b: np.ndarray, enough: np.ndarray) -> Iterator[tuple[str, pa.Array]]:
+        """The statistics of ``own_type`` that are asked for, over ``values[a:b]``."""
+        asked = set(hard) & set(own_type)
+        yield "count", pa.array(b - a)
+        x = values.to_numpy(zero_copy_only=False)
+        for s in asked & {"min", "max"}:
+            yield s, pa.array(extremes(x, a, b, s == "max"), values.type, mask=~enough)
+        if pa.types.is_integer(values.type) and "sum" in asked:
+            total = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+            yield "sum", pa.array(total[b] - total[a], mask=~enough)
+            asked -= {"sum"}
+        power = 3 if "skew" in asked else 2 if "std" in asked else 1 if asked & {"sum", "mean"} else 0
+        if not power:
+            return
+        n, total, *spread = power_sums(x, a, b, power)
+        some = np.maximum(n, 1)
+        if "sum" in asked:
+            yield "sum", pa.array(total, mask=~enough)
+        yield "mean", pa.array(total / some, mask=~enough)
+        if power > 1:
+            yield "std", pa.array(np.sqrt(spread[0] / np.maximum(n - 1, 1)), mask=~enough | (n < 2))
+        if power > 2:
+            flat = spread[0] == 0
+            g = spread[1] / some / np.where(flat, 1.0, spread[0] / some) ** 1.5
+            yield "skew", pa.array(np.where(flat, 0.0, g * np.sqrt(n * (n - 1)) / np.maximum(n - 2, 1)), mask=~enough | (n < 3))
+
     def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(rows.column("__place").to_numpy() == 1)
         a, b = bounds(rows, start, np.append(start[1:], rows.num_rows))
@@ -88,7 +121,11 @@ def framed(df: DataFrame, group: list[str], order: list[str], col: str, stats: l
         counts = np.concatenate([[0], np.cumsum(values.is_valid().to_numpy())])
         a, b = counts[a], counts[b]
         values, enough = values.drop_null().combine_chunks(), b - a >= max(1, min_periods)
+        sums = {s: r for s, r in summed(values, a, b, enough) if s in hard}
         for s in hard:
+            if s in sums:
+                rows = rows.append_column(f"{prefix}{s}", sums[s])
+                continue
             if s == "median":
                 made = pa.array(medians(values.cast(pa.float64()).to_numpy(zero_copy_only=False), a, b), mask=~enough)
             else:
@@ -99,16 +136,15 @@ def framed(df: DataFrame, group: list[str], order: list[str], col: str, stats: l
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
+            heads = np.flatnonzero(batch.column("__place").to_numpy() == 1)
+            if size + batch.num_rows >= GATHER and len(heads) and size + heads[-1]:
+                yield from whole(pa.Table.from_batches([*held, batch.slice(0, heads[-1])]).combine_chunks())
+                held, size, batch = [], 0, batch.slice(heads[-1])
             held.append(batch)
-            if sum(x.num_rows for x in held) < GATHER:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            heads = np.flatnonzero(rows.column("__place").to_numpy() == 1)
-            if heads[-1]:
-                yield from whole(rows.slice(0, heads[-1]))
-                held = rows.slice(heads[-1]).to_batches()
-        if sum(x.num_rows for x in held):
+            size += batch.num_rows
+        if size:
             yield from whole(pa.Table.from_batches(held).combine_chunks())
 
     return out.mapInArrow(frames, schema).select(*[quoted(c) for c in [*df.columns, *[f"{prefix}{s}" for s in stats]]])
