@@ -235,15 +235,17 @@ def nearest_flag(df: DataFrame, keys: list[str], day: str, flag: str) -> DataFra
     w = Window.partitionBy(*map(quoted, keys)).orderBy(quoted(day))
     on = F.when(quoted(flag) == 1, quoted(day))
     every = Window.partitionBy(*map(quoted, keys))
-    return df.withColumns({
+    back = every.orderBy(F.desc("__place"))  # a frame up to the last row would be read to its end from every row
+    return df.withColumn("__place", F.row_number().over(w)).withColumns({
         "last_flag": F.coalesce(F.last(on, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min(quoted(day)).over(every)),
-        "next_flag": F.coalesce(F.first(on, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.max(quoted(day)).over(every)),
-    })
+        "next_flag": F.coalesce(F.last(on, True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.max(quoted(day)).over(every)),
+    }).drop("__place")
 
 
 def bfill(df: DataFrame, keys: list[str], order: list[str], col: str) -> DataFrame:
-    w = Window.partitionBy(*map(quoted, keys)).orderBy(*map(quoted, order)).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(col, F.first(quoted(col), True).over(w))
+    own = Window.partitionBy(*map(quoted, keys))
+    back = own.orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("__place", F.row_number().over(own.orderBy(*map(quoted, order)))).withColumn(col, F.last(quoted(col), True).over(back)).drop("__place")
 
 
 def tail_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

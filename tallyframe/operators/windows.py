@@ -228,11 +228,14 @@ def running(df: DataFrame, order: list[str], col: str, stats: list[str], prefix:
 
 
 def filled_back(df: DataFrame, order: list[str], cols: list[str], rows: int = ROWS) -> DataFrame:
-    """Each null of ``cols`` takes the next value of the whole series that isn't."""
+    """Each null of ``cols`` takes the next value of the whole series that isn't.
+
+    Rows are run over from the last: a frame that ends with the bucket would be read to its end from every row.
+    """
     at = placed(df, order, "__p").withColumn("__b", F.floor(F.col("__p") / rows))
-    w = Window.partitionBy("__b").orderBy("__p").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("__b").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
     firsts = at.groupBy("__b").agg(*[F.min(F.when(quoted(c).isNotNull(), F.struct("__p", quoted(c).alias("v"))))["v"].alias(f"__v{i}") for i, c in enumerate(cols)])
-    after = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
-    carry = firsts.select(F.col("__b").alias("__c"), *[F.first(f"__v{i}", True).over(after).alias(f"__v{i}") for i in range(len(cols))])
-    made = {c: F.coalesce(F.first(quoted(c), True).over(w), F.col(f"__v{i}")) for i, c in enumerate(cols)}
+    after = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = firsts.select(F.col("__b").alias("__c"), *[F.last(f"__v{i}", True).over(after).alias(f"__v{i}") for i in range(len(cols))])
+    made = {c: F.coalesce(F.last(quoted(c), True).over(w), F.col(f"__v{i}")) for i, c in enumerate(cols)}
     return at.join(carry, F.col("__b") == F.col("__c")).withColumns(made).select(*map(quoted, df.columns))

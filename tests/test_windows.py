@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.core import frames
 from tallyframe.core.order import placed
+from tallyframe.operators import features as fe
 from tallyframe.operators import windows as wi
 
 SCHEMA = "id long, ts timestamp, k string, x double, n long"
@@ -40,6 +41,44 @@ def test_frames():
             assert d == len(set(own)) and (m != m if not own else m == statistics.median(own))
 
 
+def test_sums_and_extremes_of_frames():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 7, 300):
+        x = rnd.normal(size=n) * 10.0 ** rnd.integers(-3, 6, n)
+        x[n // 2 :] = rnd.choice([0.1, 0.3], n - n // 2)
+        low = rnd.integers(0, n + 1, 200)
+        high = np.minimum(n, low + rnd.integers(0, n + 1, 200))
+        least, most = frames.extremes(x, low, high, False), frames.extremes(x, low, high, True)
+        got = np.column_stack(frames.power_sums(x, low, high, 3))
+        for i, (a, b) in enumerate(zip(low, high, strict=True)):
+            own = x[a:b]
+            if len(own):
+                d = own - own.mean()
+                assert least[i] == own.min() and most[i] == own.max()
+                assert np.allclose(got[i], [len(own), own.sum(), (d**2).sum(), (d**3).sum()], rtol=1e-9, atol=1e-9 * np.abs(own).max() ** 3)
+            else:
+                assert not got[i].any()
+
+
+def test_no_frame_is_read_from_every_row(spark, series):
+    df = spark.createDataFrame(series, SCHEMA)
+    made = wi.framed(df, ["k"], ["id"], "n", ["min", "max", "sum", "mean", "std", "skew", "count"], "w_", -300, -1, False, 2)
+    timed = wi.time_windows(df, "ts", "x", 10**9, ["min", "max", "sum", "mean", "std", "skew", "count"], "w_")
+    back = [fe.bfill(df, ["k"], ["id"], "x"), fe.nearest_flag(df.withColumn("f", F.lit(1)), ["k"], "ts", "f"), wi.filled_back(df.filter("ts is not null"), ["ts", "id"], ["x"])]
+    for out in (made, timed, *back):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unboundedfollowing$()))" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "") and "rangeframe, -" not in plan
+    assert [made.schema[f"w_{s}"].dataType.simpleString() for s in ("min", "max", "sum", "mean", "std", "skew", "count")] == ["bigint"] * 3 + ["double"] * 3 + ["bigint"]
+    pdf = pd.DataFrame(series, columns=["id", "ts", "k", "x", "n"])
+    got = made.orderBy("id").toPandas()
+    for i, k, c in zip(got["id"], got["k"], got["w_count"], strict=True):
+        own = pdf[(pdf["k"] == k) & (pdf["id"] >= i - 300) & (pdf["id"] < i)]["n"]
+        assert c == len(own)
+        for s in ("min", "max", "sum", "mean", "std", "skew"):
+            want = getattr(own, s)() if len(own) > 1 else None
+            assert same(got[f"w_{s}"][i], want), (i, s)
+
+
 @pytest.mark.parametrize("keys", [[], ["k"]])
 def test_time_windows(spark, series, keys):
     df = spark.createDataFrame(series, SCHEMA).repartition(3)
