@@ -9,10 +9,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..core.mapping import quoted
+from ..core.mapping import clean, quoted
 from ..core.order import numbered, quantiles
 from ..functions.stats import BUNDLE
 from .anchors import STATS, anchor_statistics
@@ -81,30 +84,46 @@ def horizontal_stats(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
     }).drop("__a", "__n")
 
 
-def horizontal_moments(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
-    """skew, kurt (both bias-corrected), q1, q3 and cv (std over mean) across columns of a row; nulls are left out."""
-    a = F.array_sort(F.filter(F.array(*[quoted(c).cast("double") for c in cols]), lambda x: x.isNotNull()))
-    df = df.withColumn("__a", a).withColumn("__n", F.size("__a").cast("double"))
-    n, m = F.col("__n"), F.col("__m")
+@F.pandas_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in ("skew", "kurt", "cv")]))
+def _moments(*cols: pd.Series) -> pd.DataFrame:
+    """Figures of each row, column by column for all rows of a batch.
 
-    def power(k: int) -> Column:
-        return F.aggregate("__a", F.lit(0.0), lambda s, x: s + F.pow(x - F.col("__m"), F.lit(float(k))))
+    Mean and sums of powers of the differences from it are updated value by value: no power is of a difference from
+    a mean that was rounded once for all values, which would stand out where they differ by their last digits only.
+    """
+    n, m, p2, p3, p4, q, total = np.zeros((7, len(cols[0])))
+    with np.errstate(all="ignore"):
+        for x in (c.to_numpy(float) for c in cols):
+            there = ~np.isnan(x)
+            x, more = np.where(there, x, m), n + there
+            d = x - m
+            dn = np.where(there, d / more, 0.0)
+            t = d * dn * n
+            p4 += t * dn * dn * (more * more - 3 * more + 3) + 6 * dn * dn * p2 - 4 * dn * p3
+            p3 += t * dn * (more - 2) - 3 * dn * p2
+            p2 += t
+            m, n, total = m + dn, more, total + np.where(there, x, 0.0)
+            q += d * (x - m)
+        g1, g2 = p3 / n / (p2 / n) ** 1.5, p4 / n / (p2 / n) ** 2 - 3
+        skew, kurt = g1 * np.sqrt(n * (n - 1)) / (n - 2), ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))
+        mean = total / n
+        cv = np.where((n > 1) & (mean != 0), np.sqrt(q / (n - 1)) / mean, np.nan)
+        return pd.DataFrame({"skew": np.where(n >= 3, np.where(q == 0, 0.0, skew), np.nan), "kurt": np.where(n >= 4, np.where(q == 0, 0.0, kurt), np.nan), "cv": cv})
 
-    df = df.withColumn("__m", F.try_divide(F.aggregate("__a", F.lit(0.0), lambda s, x: s + x), n))
-    df = df.withColumns({f"__p{k}": power(k) for k in (2, 3, 4)})
-    p2, p3, p4 = (F.col(f"__p{k}") for k in (2, 3, 4))
-    g1, g2 = F.try_divide(p3 / n, F.pow(p2 / n, F.lit(1.5))), F.try_divide(p4 / n, F.pow(p2 / n, F.lit(2.0))) - 3
+
+def horizontal_moments(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
+    """skew, kurt (both bias-corrected), q1, q3 and cv (std over mean) across columns of a row; nulls are left out."""
+    a = F.array_sort(F.filter(F.array(*[clean(df, c).cast("double") for c in cols]), lambda x: x.isNotNull()))
+    df = df.withColumn("__m", _moments(*[clean(df, c).cast("double") for c in cols])).withColumn("__a", a).withColumn("__n", F.size("__a").cast("double"))
+    n = F.col("__n")
 
     def quantile(q: float) -> Column:
         at = q * (n - 1)
         low, high = F.floor(at).cast("int") + 1, F.ceil(at).cast("int") + 1
         return F.when(n > 0, F.element_at("__a", low) + (at - F.floor(at)) * (F.element_at("__a", high) - F.element_at("__a", low)))
 
-    return df.withColumns({
-        f"{prefix}skew": F.when(n >= 3, F.when(p2 == 0, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))),
-        f"{prefix}kurt": F.when(n >= 4, F.when(p2 == 0, 0.0).otherwise(((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))),
-        f"{prefix}q1": quantile(0.25), f"{prefix}q3": quantile(0.75), f"{prefix}cv": F.when(n > 1, F.try_divide(F.sqrt(p2 / (n - 1)), m)),
-    }).drop("__a", "__n", "__m", "__p2", "__p3", "__p4")
+    figures = {f"{prefix}skew": F.col("__m.skew"), f"{prefix}kurt": F.col("__m.kurt"), f"{prefix}q1": quantile(0.25), f"{prefix}q3": quantile(0.75), f"{prefix}cv": F.col("__m.cv")}
+    return df.withColumns(figures).drop("__a", "__n", "__m")
 
 
 def date_difference_stats(df: DataFrame, keys: list[str], day: str, col: str, prefix: str) -> DataFrame:

@@ -133,3 +133,12 @@ def test_places_split_ties_and_empty(spark):
     none = df.filter("id < 0")
     assert wi.row_windows(none, ["id"], "x", 3, ["sum"], "w_").collect() == [] and wi.running(none, ["id"], "x", ["mean"], "r_").collect() == []
     assert wi.filled_back(none, ["id"], ["x"]).collect() == []
+
+
+def test_moments_of_values_that_differ_by_their_last_digit(spark):
+    near = 7.000000000000001
+    rows = [(7.0, 7.0, 7.0, 7.0, near), (7.0, near, near, 7.0, 7.0), (36.0, 8.0, 2.0, 7.0, 6.0), (7.0, 7.0, 7.0, 7.0, 7.0), (7.0, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = [(r["h_skew"], r["h_kurt"]) for r in fe.horizontal_moments(df, list("abcde"), "h_").collect()]
+    want = [(5**0.5, 5.0), (-0.7347778569623428, 2.0), (2.0771227960910488, 4.495641351988352), (0.0, 0.0), (None, None)]  # the second: DuckDB's figures
+    assert all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True)), got
