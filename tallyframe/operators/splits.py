@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,45 +100,45 @@ def quota_split(df: DataFrame, user: str, order: str, train_rows: int, valid_row
     return both.withColumn("part", F.when(F.col("__i") < F.col("__first"), "train").when(F.col("__first").isNotNull(), "valid")).drop("__i", "__user", "__first")
 
 
+def _turns(loads: list[int], n: int, m: int) -> list[tuple[int, list[int]]]:
+    """(place, folds): from that place on, ``m`` groups of ``n`` rows go to ``folds`` in turn; ``loads`` are updated.
+
+    Each goes to the fold with the fewest rows, the first of equal ones. A fold takes part from the level (a whole
+    number of groups) of its load on, so there are as many stretches as folds at most, however many the groups.
+    """
+    k = len(loads)
+    levels = sorted({x // n for x in loads})
+    out, place = [], 0
+    for i, level in enumerate(levels):
+        cycle = sorted((f for f in range(k) if loads[f] // n <= level), key=lambda f: (loads[f] % n, f))
+        out.append((place, cycle))
+        take = m - place if i + 1 == len(levels) else min(m - place, (levels[i + 1] - level) * len(cycle))
+        rounds, rest = divmod(take, len(cycle))
+        for j, f in enumerate(cycle):
+            loads[f] += n * (rounds + (j < rest))
+        place += take
+        if place == m:
+            break
+    return out
+
+
 def balanced_group_fold(df: DataFrame, group: str, k: int, seed: int = 0, head: int = HEAD, out: str = "fold", bucket: int = BUCKET) -> DataFrame:
     """Folds of about equal size that split no group; null is a group.
 
-    The ``head`` largest groups go one after the other, largest first, to the fold with the fewest rows. The others
-    fill what room is then left up to a common level, in the order of their hashes: running sums over groups, in two
-    levels, say which fold's room a group starts in. So folds are within the largest group of the tail of each other.
+    Groups go one after the other, largest first and equal ones by their key, to the fold with the fewest rows; so
+    folds are within the largest group of each other at most. Groups of one size take turns over the folds, so the
+    loads follow from how many groups have each size (some root of the rows' number of sizes, as they add up to the
+    rows): the driver gets these, and each group's turn comes from its place in the order, by ranges.
+    ``seed``, ``head`` and ``bucket`` are of an earlier method, and have no effect.
     """
-    name = quoted(group)
-    sizes = df.groupBy(name.alias("__g")).agg(F.count("*").alias("__n"))
-    top = sizes.orderBy(F.desc("__n"), F.asc_nulls_first("__g")).limit(head).collect()
-    loads = [(0, f) for f in range(k)]
-    fold = []
-    for g, n in top:
-        load, f = heapq.heappop(loads)
-        heapq.heappush(loads, (load + n, f))
-        fold.append((g, f))
-    kind = df.schema[group].dataType.simpleString()
-    own = df.sparkSession.createDataFrame(fold, f"__g {kind}, __f int")
-    if len(top) == head:
-        by_fold = {f: load for load, f in loads}
-        tail = sizes.join(F.broadcast(own), sizes["__g"].eqNullSafe(own["__g"]), "left_anti")
-        left = tail.agg(F.sum("__n")).first()[0] or 0
-        order = sorted(by_fold, key=lambda f: (by_fold[f], f))
-        level, room = 0.0, left
-        for i, f in enumerate(order, 1):  # the level up to which the i emptiest folds can be filled
-            level = (left + sum(by_fold[x] for x in order[:i])) / i
-            if i == k or level <= by_fold[order[i]]:
-                break
-        ends, room = [], 0.0
-        for f in range(k):
-            room += max(0.0, level - by_fold[f])
-            ends.append(room)
-        at = summed_before(placed(tail.withColumn("__h", F.xxhash64("__g", F.lit(seed))), ["__h", "__g"], "__p"), "__p", F.col("__n"), "__at", bucket)
-        last = max((f for f in range(k) if by_fold[f] < level), default=0)
-        pick = F.lit(last)
-        for f in reversed(range(k)):
-            if by_fold[f] < level:
-                pick = F.when(F.col("__at") < ends[f] - 1e-6, f).otherwise(pick)
-        own = own.unionByName(at.select("__g", pick.cast("int").alias("__f")))
-    else:
-        own = F.broadcast(own)
+    name, spark = quoted(group), df.sparkSession
+    sizes = df.groupBy(name.alias("__g")).agg(F.count("*").alias("__n")).withColumn("__less", -F.col("__n"))
+    at = placed(sizes, ["__less", "__g"], "__p")
+    loads, turns = [0] * k, []
+    for n, m, first in sorted(at.groupBy("__n").agg(F.count("*"), F.min("__p")).collect(), reverse=True):  # a row a size
+        turns.append((n, [(first + place, cycle) for place, cycle in _turns(loads, n, m)]))
+    told = spark.createDataFrame(turns, "__size long, __turns array<struct<start:long,folds:array<int>>>")
+    own = at.join(told, F.col("__n") == F.col("__size"))
+    turn = F.element_at(F.filter("__turns", lambda t: t["start"] <= F.col("__p")), -1)
+    own = own.withColumn("__t", turn).select("__g", F.get("__t.folds", ((F.col("__p") - F.col("__t.start")) % F.size("__t.folds")).cast("int")).alias("__f"))
     return df.join(own, name.eqNullSafe(F.col("__g")), "left").withColumn(out, F.col("__f")).drop("__g", "__f")

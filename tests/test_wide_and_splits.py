@@ -146,3 +146,16 @@ def test_balanced_group_folds(spark):
         rest = [n for f, n in folds.items() if f not in top or sizes[0] <= 4000 / 3]
         assert set(folds) == {0, 1, 2} and max(rest) - min(rest) <= 2 * (sizes[10] if head == 10 else 40)
     assert splits.balanced_group_fold(df.limit(0), "g", 3).collect() == []
+
+
+def test_groups_are_dealt_one_by_one_however_many(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([None, *range(60), *[1000 + int(rnd.random() ** 3 * 400) for _ in range(40)]])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, g long").repartition(3)
+    for k in (1, 3, 7):
+        loads, want = [0] * k, {}
+        for g, n in sorted(Counter(g for _, g in rows).items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0)):
+            want[g] = loads.index(min(loads))
+            loads[want[g]] += n
+        for head in (10, 10_000):
+            assert {r["g"]: r["fold"] for r in splits.balanced_group_fold(df, "g", k, head=head).collect()} == want
