@@ -19,6 +19,8 @@ from ..core.mapping import clean, quoted
 from ..core.order import numbered, quantiles
 from ..functions.stats import BUNDLE
 from .anchors import STATS, anchor_statistics
+from .history import STATS as HISTORY
+from .history import slot_history
 from .windows import framed, known, time_windows
 
 DAY_US = 86_400_000_000
@@ -181,8 +183,8 @@ def attempts(df: DataFrame, keys: list[str], order: list[str], out: str, cap: in
 def history_by_slot(df: DataFrame, slot: str, day: str, col: str, stats: list[str], prefix: str, same_day: bool = False, days: int | None = None) -> DataFrame:
     """Statistics of a slot (an hour, say) over earlier days, by (slot, day); ``days`` bounds how many.
 
-    With ``same_day`` the day itself counts. Rows are first summed by slot and day where the statistics allow it;
-    median, std, skew and nunique look at all rows of a slot in one task.
+    With ``same_day`` the day itself counts. Rows are first summed by slot and day where the statistics allow it; for
+    medians and different values see ``history``. First and last values look at all rows of a slot in one task.
     """
     if set(stats) <= {"min", "max", "sum", "count", "mean"}:
         base = df.groupBy(quoted(slot), quoted(day)).agg(F.min(quoted(col)).alias("mi"), F.max(quoted(col)).alias("ma"), F.sum(quoted(col)).alias("s"), F.count(quoted(col)).alias("c"))
@@ -191,7 +193,14 @@ def history_by_slot(df: DataFrame, slot: str, day: str, col: str, stats: list[st
         return base.select(slot, day, *[f[s].alias(f"{prefix}{s}") for s in stats])
     known(stats)
     rows = df.select(quoted(slot).alias(slot), quoted(day).alias(day), quoted(col).alias(col)).withColumn("__d", F.datediff(quoted(day), F.lit("1970-01-01")))
-    rows = framed(rows, [slot], ["__d"], col, stats, prefix, None if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1, False)
+    low, high = None if days is None else -(days - (1 if same_day else 0)), 0 if same_day else -1
+    if set(stats) <= HISTORY:
+        at = df.select(quoted(slot).alias("slot"), F.datediff(quoted(day), F.lit("1970-01-01")).alias("d"), clean(df, col).alias("x")).filter("d is not null")
+        found = slot_history(at, stats, low, high).select(F.col("slot").alias("__slot"), F.col("d").alias("__day"), *[F.col(s).alias(f"{prefix}{s}") for s in stats])
+        base = rows.select(quoted(slot), quoted(day), "__d").distinct()
+        out = base.join(found, quoted(slot).eqNullSafe(F.col("__slot")) & (F.col("__d") == F.col("__day")), "left").drop("__d", "__slot", "__day")
+        return out.na.fill(0, [f"{prefix}count"]) if "count" in stats else out
+    rows = framed(rows, [slot], ["__d"], col, stats, prefix, low, high, False)
     return rows.groupBy(quoted(slot), quoted(day)).agg(*[F.first(f"{prefix}{s}").alias(f"{prefix}{s}") for s in stats])  # equal in all rows of a day
 
 

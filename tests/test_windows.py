@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.core import frames
 from tallyframe.core.order import placed
 from tallyframe.operators import features as fe
+from tallyframe.operators import history
 from tallyframe.operators import windows as wi
 
 SCHEMA = "id long, ts timestamp, k string, x double, n long"
@@ -142,3 +143,17 @@ def test_moments_of_values_that_differ_by_their_last_digit(spark):
     got = [(r["h_skew"], r["h_kurt"]) for r in fe.horizontal_moments(df, list("abcde"), "h_").collect()]
     want = [(5**0.5, 5.0), (-0.7347778569623428, 2.0), (2.0771227960910488, 4.495641351988352), (0.0, 0.0), (None, None)]  # the second: DuckDB's figures
     assert all(same(x, y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True)), got
+
+
+def test_history_of_slots_in_buckets(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "a", "b", None]), rnd.randint(0, 14), rnd.choice([None, float(rnd.randint(0, 6)), rnd.random()])) for _ in range(500)]
+    df, stats = spark.createDataFrame(rows, "slot string, d int, x double").repartition(3), ["median", "nunique", "std", "skew", "count", "mean", "min"]
+    for low, high in ((None, -1), (None, 0), (-3, -1), (-2, 0)):
+        for bucket in (16, 1 << 20):
+            got = {(r["slot"], r["d"]): r for r in history.slot_history(df, stats, low, high, bucket).collect()}
+            assert got.keys() == {r[:2] for r in rows}
+            for (slot, d), r in got.items():
+                own = pd.Series([x for s, t, x in rows if s == slot and t <= d + high and (low is None or t >= d + low) and x is not None], dtype=float)
+                want = [own.median(), own.nunique() if len(own) else None, own.std(), own.skew(), len(own), own.mean(), own.min()]
+                assert all(same(r[s], w) or (s == "skew" and abs(r[s] - w) < 1e-6) for s, w in zip(stats, want, strict=True)), (slot, d, r, want)
