@@ -7,10 +7,12 @@ or for hot keys, see ``windows``.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -398,27 +400,27 @@ def boxcox_lambda(df: DataFrame, col: str, grid: list[float]) -> float:
 def boxcox_lambdas(df: DataFrame, cols: list[str], low: float = -2.0, high: float = 2.0, within: float = 1e-4, rounds: int = 10, points: int = 9) -> dict[str, float]:
     """The exponents with the largest log-likelihood of 1 + x, of all columns at once.
 
-    Each round is one aggregation with the likelihoods of ``points`` exponents a column between its bounds; the next
+    Each round is one pass with the likelihoods of ``points`` exponents a column between its bounds; the next
     bounds are the neighbours of the best, or further out if that is an end. Stops when all bounds are ``within``.
+    The powers of a grid are a first power times a step, again and again, so a value costs two powers a round.
     """
-
-    def spread(x: Column, lam: float) -> Column:
-        """The transformed value but for a constant, which would cost digits where powers are small."""
-        return F.pow(1 + x, F.lit(lam)) / lam if abs(lam) > 0.01 else boxcox1p(x, lam)
-
+    xs = df.select(*[clean(df, c).cast("double").alias(f"{k}") for k, c in enumerate(cols)])
     bounds = {c: (low, high) for c in cols}
     best = dict.fromkeys(cols, 0.0)
     for _ in range(rounds):
         if all(b - a <= within for a, b in bounds.values()):
             break
         grids = {c: [a + (b - a) * i / (points - 1) for i in range(points)] for c, (a, b) in bounds.items()}
-        aggs = []
+        parts: dict[tuple[int, int], list[tuple[float, float, float, float]]] = {}
+        for r in xs.mapInArrow(partial(_power_spreads, grids=list(grids.values())), "k int, i int, n double, s double, m double, q double").collect():  # a row a task and exponent
+            parts.setdefault((r["k"], r["i"]), []).append((r["n"], r["s"], r["m"], r["q"]))
         for k, c in enumerate(cols):
-            x = quoted(c).cast("double")
-            aggs += [F.count(x).alias(f"n{k}"), F.sum(F.log1p(x)).alias(f"s{k}"), *[F.var_pop(spread(x, g)).alias(f"v{k}_{i}") for i, g in enumerate(grids[c])]]
-        r = df.agg(*aggs).first()
-        for k, c in enumerate(cols):
-            ll = [(g - 1) * (r[f"s{k}"] or 0.0) - r[f"n{k}"] / 2 * math.log(r[f"v{k}_{i}"]) if r[f"v{k}_{i}"] else -math.inf for i, g in enumerate(grids[c])]
+            ll = []
+            for i, g in enumerate(grids[c]):
+                n, s, m, q = np.array(parts.get((k, i), [(0.0, 0.0, 0.0, 0.0)])).T
+                total = n.sum()
+                v = (q.sum() + (n * (m - (n * m).sum() / total) ** 2).sum()) / total if total else 0.0
+                ll.append((g - 1) * s.sum() - total / 2 * math.log(v) if v > 0 else -math.inf)
             i = max(range(points), key=lambda j: ll[j])
             best[c], (a, b) = grids[c][i], bounds[c]
             step = (b - a) / (points - 1)
@@ -426,6 +428,32 @@ def boxcox_lambdas(df: DataFrame, cols: list[str], low: float = -2.0, high: floa
     return best
 
 
+def _power_spreads(batches: Iterator[pa.RecordBatch], grids: list[list[float]]) -> Iterator[pa.RecordBatch]:
+    """(k, i, n, s, m, q): of column k under exponent i of its grid, in one task: values, sum of the logarithms, mean and sum of squares about it.
+
+    Powers are without the constant of the transformation, which would cost digits where they are small.
+    """
+    figures = np.zeros((4, len(grids), max(map(len, grids))))
+    for batch in batches:
+        for k, grid in enumerate(grids):
+            x = np.log1p(batch.column(k).drop_null().to_numpy(zero_copy_only=False))
+            if not len(x):
+                continue
+            step = np.exp((grid[1] - grid[0]) * x) if len(grid) > 1 else x
+            power = np.exp(grid[0] * x)
+            for i, lam in enumerate(grid):
+                if i:
+                    power = power * step
+                y = power / lam if abs(lam) > 0.01 else np.expm1(lam * x) / lam if abs(lam) >= 1e-12 else x
+                mean = float(y.mean())
+                d = y - mean
+                n, _, m, _ = old = figures[:, k, i].copy()
+                more, gap = n + len(x), mean - m
+                figures[:, k, i] = more, old[1] + x.sum(), m + gap * len(x) / more, old[3] + np.dot(d, d) + gap * gap * n * len(x) / more
+    k, i = np.indices(figures.shape[1:])
+    yield pa.RecordBatch.from_arrays([pa.array(k.ravel(), pa.int32()), pa.array(i.ravel(), pa.int32()), *[pa.array(f.ravel()) for f in figures]], ["k", "i", "n", "s", "m", "q"])
+
+
 def reservation_features(df: DataFrame, key: str, made: str, due: str, amount: str) -> DataFrame:
     """By key and due day: reservations, their sum, and the mean of the days they were made ahead."""
     ahead = F.datediff(F.to_date(quoted(due)), F.to_date(quoted(made)))

@@ -4,6 +4,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,20 @@ def test_box_cox_exponents(spark):
         assert abs(got[c] - best) < 2e-4, (c, got[c], best)
 
 
+def test_spreads_of_a_grid_of_powers(spark):
+    rnd = np.random.default_rng(8)
+    x = np.exp(rnd.normal(size=500)) * 1e4
+    grid = [-2.0, -1.0, 0.0, 1.0, 2.0]
+    batches = [pa.RecordBatch.from_arrays([pa.array([*part.tolist(), None])], ["0"]) for part in np.split(x, [100, 101, 300])]
+    (got,) = fe._power_spreads(iter(batches), [grid])
+    for lam, r in zip(grid, got.to_pylist(), strict=True):
+        y = np.log1p(x) if lam == 0 else (1 + x) ** lam / lam
+        assert r["n"] == 500 and np.isclose(r["q"], ((y - y.mean()) ** 2).sum(), rtol=1e-8) and np.isclose(r["s"], np.log1p(x).sum())
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "a double").repartition(3)
+    odd = df.unionByName(spark.createDataFrame([(None,), (float("nan"),)], "a double"))
+    assert abs(fe.boxcox_lambdas(odd, ["a"])["a"] - fe.boxcox_lambdas(df, ["a"])["a"]) < 1e-9
+
+
 def test_medians_outside_folds(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice(["a", "b", None, "rare"]) if i else "rare", rnd.randrange(4), None if rnd.random() < 0.1 else float(rnd.randint(0, 9)), i) for i in range(200)] + [("one", 2, 5.0, 900), ("one", 2, None, 901)]
