@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from ..core.mapping import clean, fetched, quoted
 from ..core.order import kept, placed
 
+#: Rows that a task groups at once.
+CHUNK = 1 << 16
+
 
 def unpivoted(df: DataFrame, cols: list[str], keep: dict[str, Column]) -> DataFrame:
     """(c, v, and ``keep``): a row for each row and column; c counts from 0 in ``cols``."""
@@ -27,9 +30,41 @@ def unpivoted(df: DataFrame, cols: list[str], keep: dict[str, Column]) -> DataFr
     return df.select(*[e.alias(n) for n, e in keep.items()], F.inline(cells)).select("c", "v", *keep)
 
 
-def column_values(df: DataFrame, cols: list[str], aggs: dict[str, Column], using: dict[str, Column]) -> DataFrame:
-    """(c, v, and ``aggs`` of the columns ``using``) for every value of every column, in one aggregation."""
-    return unpivoted(df, cols, using).groupBy("c", "v").agg(*[e.alias(n) for n, e in aggs.items()])
+def column_values(df: DataFrame, cols: list[str], aggs: dict[str, tuple[str, Column]], text: bool = True) -> DataFrame:
+    """(c, v, and ``aggs``: name to (min, sum or count, of what)) for every value of every column, in one pass.
+
+    A task groups ``CHUNK`` rows column by column, so rows aren't multiplied by columns before they are summed.
+    Without ``text`` the columns have one type, and so has v.
+    """
+    values = {f"__{i}": clean(df, c).cast("string") if text else clean(df, c) for i, c in enumerate(cols)}
+    rows = df.select(*[e.alias(n) for n, e in values.items()], *[e.alias(n) for n, (_, e) in aggs.items()])
+    kinds = [(n, how) for n, (how, _) in aggs.items()]
+    summed = {}
+    for n, how in kinds:
+        of = rows.schema[n].dataType
+        summed[n] = of if how == "min" else T.LongType() if how == "count" or isinstance(of, T.IntegralType) else T.DoubleType()
+    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("v", rows.schema["__0"].dataType)])
+    for n, kind in summed.items():
+        schema = schema.add(n, kind)
+
+    def grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        for i in range(len(cols)):
+            part = table.group_by(f"__{i}").aggregate(kinds)
+            made = [pa.array([i] * part.num_rows, pa.int32()), part.column(f"__{i}"), *[part.column(f"{n}_{how}") for n, how in kinds]]
+            yield from pa.table(made, names=[f.name for f in schema]).combine_chunks().to_batches()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= CHUNK:
+                yield from grouped(held)
+                held = []
+        if held:
+            yield from grouped(held)
+
+    return rows.mapInArrow(partial, schema).groupBy("c", "v").agg(*[(F.min if how == "min" else F.sum)(n).alias(n) for n, how in kinds])
 
 
 def codes(table: DataFrame, by: list[str], out: str = "code", nulls: bool = False) -> DataFrame:
@@ -64,7 +99,7 @@ def looked_up(df: DataFrame, cols: list[str], table: DataFrame, value: str, unkn
                 columns[c] = results.take(at)
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], [f.name for f in schema])
 
-    texts = df.select("*", *[clean(df, c).cast("string").alias(f"__{i}") for i, c in enumerate(cols)])
+    texts = df.select(*[quoted(c) for c in df.columns if c not in cols], *[clean(df, c).cast("string").alias(f"__{i}") for i, c in enumerate(cols)])
     return texts.mapInArrow(replace, schema)
 
 
@@ -82,7 +117,7 @@ def _joined(df: DataFrame, cols: list[str], table: DataFrame, value: str, unknow
 
 def ordinal(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     """(c, v, code): codes by first appearance in ``order``, ties by value, of all columns."""
-    first = column_values(df, cols, {"first": F.min("o")}, {"o": quoted(order)})
+    first = column_values(df, cols, {"first": ("min", quoted(order))})
     return codes(first, ["first", "v"]).select("c", "v", "code")
 
 
@@ -90,5 +125,5 @@ def means(df: DataFrame, cols: list[str], label: str, m: float = 1.0) -> DataFra
     """(c, v, value): means of the label drawn towards the overall one by ``m`` rows, of all columns."""
     y = quoted(label).cast("double")
     prior = df.agg(F.avg(y)).first()[0] or 0.0
-    sums = column_values(df, cols, {"s": F.sum("y"), "n": F.count("y")}, {"y": y})
+    sums = column_values(df, cols, {"s": ("sum", y), "n": ("count", y)})
     return sums.select("c", "v", ((F.coalesce("s", F.lit(0.0)) + prior * m) / (F.col("n") + m)).alias("value"))

@@ -1026,9 +1026,9 @@ def _kinds(spark, d):
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *[F.expr(f"concat('v', cast({x} as string))").alias(c) for c, x in KINDS_WIDE.items()])
 
 
-def _by_column(df, cols, **aggs):
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])
-    return df.select("row", F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("rows"), F.sum("row").alias("row_sum"))
+def _by_column(df, cols):
+    sums = wide.column_values(df, cols, {"rows": ("sum", F.lit(1)), "row_sum": ("sum", F.col("row"))}, text=False)
+    return sums.select(F.array(*map(F.lit, cols))[F.col("c")].alias("column"), F.col("v").alias("value"), "rows", "row_sum")
 
 
 K_WIDE = "WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS row, (l_returnflag = 'R')::INT AS y, " + ", ".join(f"'v' || ({x}) AS {c}" for c, x in KINDS_WIDE.items()) + " FROM lineitem), u AS (UNPIVOT w ON " + ", ".join(KINDS_WIDE) + " INTO NAME \"column\" VALUE v)"
