@@ -48,6 +48,10 @@ def products(df: DataFrame, cols: list[str], complete: bool = False) -> DataFram
                 continue
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
             there = ~np.isnan(x)
+            if there.all():  # counts and squares don't depend on the other column then
+                xy = x.T @ x
+                total += np.stack([np.full((p, p), float(len(x))), x.T @ np.ones_like(x), np.repeat(xy.diagonal()[:, None], p, 1), xy])
+                continue
             x, m = np.where(there, x, 0.0), there.astype(float)
             total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
         i, j = np.indices((p, p))
