@@ -1,16 +1,16 @@
 """Fitting and applying tables of many categorical columns at once: a bounded number of jobs whatever their number.
 
-All columns are unpivoted to (column, value) and aggregated in one pass, with partial sums in the tasks that read
-them; codes are numbered over the whole table, by ranges, less where their column starts. A table of bounded size
-is sent to the tasks, which look up a batch's columns one after the other; a larger one is joined once by
-(column, value), and the values come back to their rows by one aggregation. Values are told by their text; null is
-a value of its own.
+All columns are grouped by (column, value) in one pass, with partial sums in the tasks that read them; codes are
+numbered over the whole table, by ranges, less where their column starts. A table of bounded size is sent to the
+tasks, which look up a batch's columns one after the other; a larger one is joined once by (column, value), and the
+values come back to their rows by one aggregation. Values are told by their text; null is a value of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from ..core.mapping import clean, fetched, quoted
 from ..core.order import kept, placed
 
-#: Rows that a task groups at once.
-CHUNK = 1 << 16
+#: Cells, and bytes, that a task groups at once.
+CHUNK, BYTES = 1 << 22, 1 << 28
 
 
 def unpivoted(df: DataFrame, cols: list[str], keep: dict[str, Column]) -> DataFrame:
@@ -30,41 +30,53 @@ def unpivoted(df: DataFrame, cols: list[str], keep: dict[str, Column]) -> DataFr
     return df.select(*[e.alias(n) for n, e in keep.items()], F.inline(cells)).select("c", "v", *keep)
 
 
-def column_values(df: DataFrame, cols: list[str], aggs: dict[str, tuple[str, Column]], text: bool = True) -> DataFrame:
-    """(c, v, and ``aggs``: name to (min, sum or count, of what)) for every value of every column, in one pass.
+def packed(values: list[Column]) -> Column:
+    """The values, of one type, as an array; flattened it is all cells, row after row.
 
-    A task groups ``CHUNK`` rows column by column, so rows aren't multiplied by columns before they are summed.
+    Spark asks for the size of a batch for Python at every row, column by column, so many columns cost more than one
+    that holds them. The higher-order function round the first value keeps it from making one method of all columns:
+    the JVM doesn't compile those of over 8,000 bytes. Projections are only put together if none uses a column twice.
+    """
+    return F.array(F.get(F.transform(F.array(values[0]), lambda v: v), F.lit(0)), *values[1:])
+
+
+def column_values(df: DataFrame, cols: list[str], aggs: dict[str, tuple[str, str]], using: dict[str, Column], text: bool = True) -> DataFrame:
+    """(c, v, and ``aggs``: name to (min, sum or count, which of ``using``)) for every value of every column, in one pass.
+
+    A task groups ``CHUNK`` cells column by column, so rows aren't multiplied by columns before they are summed.
     Without ``text`` the columns have one type, and so has v.
     """
-    values = {f"__{i}": clean(df, c).cast("string") if text else clean(df, c) for i, c in enumerate(cols)}
-    rows = df.select(*[e.alias(n) for n, e in values.items()], *[e.alias(n) for n, (_, e) in aggs.items()])
-    kinds = [(n, how) for n, (how, _) in aggs.items()]
-    summed = {}
-    for n, how in kinds:
-        of = rows.schema[n].dataType
-        summed[n] = of if how == "min" else T.LongType() if how == "count" or isinstance(of, T.IntegralType) else T.DoubleType()
-    schema = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("v", rows.schema["__0"].dataType)])
-    for n, kind in summed.items():
-        schema = schema.add(n, kind)
+    values = [clean(df, c).cast("string") if text else clean(df, c) for c in cols]
+    rows = df.select(packed(values).alias("__cells"), *[e.alias(n) for n, e in using.items()])
+    p, schema = len(cols), T.StructType([T.StructField("c", T.IntegerType()), T.StructField("v", rows.schema["__cells"].dataType.elementType)])
+    for n, (how, x) in aggs.items():
+        of = rows.schema[x].dataType
+        schema = schema.add(n, of if how == "min" else T.LongType() if how == "count" or isinstance(of, T.IntegralType) else T.DoubleType())
 
     def grouped(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        for i in range(len(cols)):
-            part = table.group_by(f"__{i}").aggregate(kinds)
-            made = [pa.array([i] * part.num_rows, pa.int32()), part.column(f"__{i}"), *[part.column(f"{n}_{how}") for n, how in kinds]]
+        told = pa.concat_arrays([x.column("__cells").flatten() for x in held]).dictionary_encode()
+        at = pc.fill_null(told.indices, -1).to_numpy().reshape(-1, p)
+        for i in range(p):
+            part = table.drop_columns("__cells").append_column("__at", pa.array(np.ascontiguousarray(at[:, i])))
+            part = part.group_by("__at", use_threads=False).aggregate([(x, how) for how, x in aggs.values()])
+            k = part.column("__at").to_numpy()
+            v = told.dictionary.take(pa.array(k, mask=k < 0))
+            made = [pa.array([i] * part.num_rows, pa.int32()), v, *[part.column(f"{x}_{how}") for how, x in aggs.values()]]
             yield from pa.table(made, names=[f.name for f in schema]).combine_chunks().to_batches()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= CHUNK:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) * p >= CHUNK or sum(x.nbytes for x in held) >= BYTES:
                 yield from grouped(held)
                 held = []
         if held:
             yield from grouped(held)
 
-    return rows.mapInArrow(partial, schema).groupBy("c", "v").agg(*[(F.min if how == "min" else F.sum)(n).alias(n) for n, how in kinds])
+    return rows.mapInArrow(partial, schema).groupBy("c", "v").agg(*[(F.min if how == "min" else F.sum)(n).alias(n) for n, (how, _) in aggs.items()])
 
 
 def codes(table: DataFrame, by: list[str], out: str = "code", nulls: bool = False) -> DataFrame:
@@ -94,12 +106,13 @@ def looked_up(df: DataFrame, cols: list[str], table: DataFrame, value: str, unkn
         tables = {c: (pa.array(v, pa.string()), pa.array([*x, unknown])) for c, (v, x) in zip(cols, known, strict=True)}
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            for c, (values, results) in tables.items():
-                at = pc.fill_null(pc.index_in(columns[f"__{cols.index(c)}"], values), len(values))
-                columns[c] = results.take(at)
+            texts = columns["__cells"].flatten()
+            for i, (c, (values, results)) in enumerate(tables.items()):
+                at = pc.index_in(texts.take(pa.array(np.arange(i, len(texts), len(cols)))), values)
+                columns[c] = results.take(pc.fill_null(at, len(values)))
             yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], [f.name for f in schema])
 
-    texts = df.select(*[quoted(c) for c in df.columns if c not in cols], *[clean(df, c).cast("string").alias(f"__{i}") for i, c in enumerate(cols)])
+    texts = df.select(*[quoted(c) for c in df.columns if c not in cols], packed([clean(df, c).cast("string") for c in cols]).alias("__cells"))
     return texts.mapInArrow(replace, schema)
 
 
@@ -117,7 +130,7 @@ def _joined(df: DataFrame, cols: list[str], table: DataFrame, value: str, unknow
 
 def ordinal(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     """(c, v, code): codes by first appearance in ``order``, ties by value, of all columns."""
-    first = column_values(df, cols, {"first": ("min", quoted(order))})
+    first = column_values(df, cols, {"first": ("min", "o")}, {"o": quoted(order)})
     return codes(first, ["first", "v"]).select("c", "v", "code")
 
 
@@ -125,5 +138,5 @@ def means(df: DataFrame, cols: list[str], label: str, m: float = 1.0) -> DataFra
     """(c, v, value): means of the label drawn towards the overall one by ``m`` rows, of all columns."""
     y = quoted(label).cast("double")
     prior = df.agg(F.avg(y)).first()[0] or 0.0
-    sums = column_values(df, cols, {"s": ("sum", y), "n": ("count", y)})
+    sums = column_values(df, cols, {"s": ("sum", "y"), "n": ("count", "y")}, {"y": y})
     return sums.select("c", "v", ((F.coalesce("s", F.lit(0.0)) + prior * m) / (F.col("n") + m)).alias("value"))

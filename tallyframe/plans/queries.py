@@ -1022,12 +1022,14 @@ KINDS_WIDE = {f"k{i}": f"(l_partkey * {i + 1} + l_suppkey * {i}) % {i + 3}" for
 
 
 def _kinds(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *[F.expr(f"concat('v', cast({x} as string))").alias(c) for c, x in KINDS_WIDE.items()])
+    li, texts = table(spark, d, "lineitem"), F.lit([f"v{i}" for i in range(len(KINDS_WIDE) + 2)])
+    # the texts are there already; only remainders below 0 have to be made
+    kinds = [F.coalesce(F.get(texts, F.expr(f"cast({x} as int)")), F.expr(f"concat('v', cast({x} as string))")).alias(c) for c, x in KINDS_WIDE.items()]
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), (F.col("l_returnflag") == "R").cast("int").alias("y"), *kinds)
 
 
 def _by_column(df, cols):
-    sums = wide.column_values(df, cols, {"rows": ("sum", F.lit(1)), "row_sum": ("sum", F.col("row"))}, text=False)
+    sums = wide.column_values(df, cols, {"rows": ("sum", "one"), "row_sum": ("sum", "row")}, {"one": F.lit(1), "row": F.col("row")}, text=False)
     return sums.select(F.array(*map(F.lit, cols))[F.col("c")].alias("column"), F.col("v").alias("value"), "rows", "row_sum")
 
 
@@ -1043,8 +1045,8 @@ def enc_wide_ordinal(spark, d):
 @query(K_WIDE + ", p AS (SELECT avg(y) AS prior FROM w), k AS (SELECT \"column\", v, (sum(y) + any_value(prior) * 5) / (count(y) + 5) AS value FROM u, p GROUP BY 1, 2) SELECT \"column\", round(value, 6) AS value, count(*) AS rows, sum(row)::BIGINT AS row_sum FROM u JOIN k USING (\"column\", v) GROUP BY 1, 2")
 def enc_wide_target(spark, d):
     w, cols = _kinds(spark, d), list(KINDS_WIDE)
-    out = wide.looked_up(w, cols, wide.means(w, cols, "y", 5.0), "value")
-    return _by_column(out.select("row", *[F.round(c, 6).alias(c) for c in cols]), cols)
+    means = wide.means(w, cols, "y", 5.0).withColumn("value", F.round("value", 6))  # a value's mean, not each row's
+    return _by_column(wide.looked_up(w, cols, means, "value"), cols)
 
 
 MANY = {f"p{i}": (f"((o_orderkey * {i * 37 + 11} + o_custkey * {i}) % {101 + i}) * {'-' if i % 3 == 0 else ''}1.5 + CASE WHEN o_orderstatus = 'F' THEN {i % 7 - 3} ELSE 0 END") for i in range(50)}

@@ -1,6 +1,7 @@
 """Anchors, cross products, sweeps, many columns at once, quotas and balanced folds against plain Python."""
 
 import random
+import re
 from collections import Counter
 from datetime import date, timedelta
 from itertools import combinations
@@ -118,6 +119,49 @@ def test_many_columns_both_ways(spark):
     assert sorted(flags.collect(), key=repr) == sorted([(1, "a", 5, True), (1, "b", 5, False), (2, "b", None, True), (3, None, 5, True)], key=repr)
 
 
+def test_many_columns_come_in_one_and_in_methods_that_are_compiled(spark):
+    cols = [f"c{i}" for i in range(60)]
+    made = [F.expr(f"concat('v', cast((id * {i + 3} + id) % {i + 5} as string))").alias(c) for i, c in enumerate(cols)]
+    df = spark.range(100).select("id", (F.col("id") % 2 == 0).cast("int").alias("y"), *made)
+    table = wide.means(df, cols, "y")
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the code of a plan is made as it runs else
+    try:
+        for out in (table, wide.looked_up(df, cols, table, "value")):
+            plan = out._jdf.queryExecution().executedPlan()
+            code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+            assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+            assert [n.children().apply(0).output().size() for n in nodes(plan) if n.nodeName() == "MapInArrow"] in ([2], [3])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_means_of_many_columns_over_many_chunks(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, *[rnd.choice(["", "a", "b", "\x00", None]) for _ in range(5)], rnd.choice([0, 1, None])) for i in range(400)]
+    cols = list("abcde")
+    df = spark.createDataFrame(rows, "i long, a string, b string, c string, d string, e string, y int").repartition(3)
+    monkeypatch.setattr(wide, "CHUNK", 50)
+    with_label = [r[6] for r in rows if r[6] is not None]
+    prior, want = sum(with_label) / len(with_label), {}
+    for k in range(5):
+        for v in {r[k + 1] for r in rows}:
+            own = [r[6] for r in rows if r[k + 1] == v and r[6] is not None]
+            want[k, v] = (sum(own) + 2 * prior) / (len(own) + 2)
+    table = wide.means(df, cols, "y", 2.0)
+    got = {(r["c"], r["v"]): r["value"] for r in table.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    for r, x in zip(rows, wide.looked_up(df, cols, table, "value").orderBy("i").collect(), strict=True):
+        assert all(abs(x[c] - want[k, r[k + 1]]) < 1e-12 for k, c in enumerate(cols)) and x["y"] == r[6]
+    one = wide.looked_up(df.select("a"), ["a"], table.filter("c = 0 AND v = 'a'"), "value", -1.0)
+    assert {x["a"] for x in one.collect()} == {-1.0, one.agg(F.max("a")).first()[0]}
+
+
 def test_quotas(spark):
     rnd = random.Random(6)
     rows = [(i, rnd.choice([None, *range(40)]) if i % 3 else 7) for i in range(1500)]
